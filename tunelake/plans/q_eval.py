@@ -1,3 +1,148 @@
-"""Queries (filled in below)."""
+"""Queries for model application and text metrics (U3, M1-M6) and the
+flagship evaluation report."""
 
 from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions.expr import clean_text
+from ..operators import prompt as P
+from ..operators import report as R
+from ..operators import split as S
+from ..operators import textmetric as TM
+from ..operators.apply import STUB_MODELS, batch_apply_model
+from ..sources.views import Views
+from .catalog import register
+from .q_data import sql_clean, sql_head, sql_md5, sql_strip
+
+MODELS = ("half", "echo", "mix")
+
+
+def generate(instr, models=STUB_MODELS):
+    """instr rows -> inference prompt -> (row_id, model, generated, latency_s)."""
+    prompts = P.format_infer_prompt(instr)
+    return batch_apply_model(prompts, models, input_cols=("prompt", "instruction", "response"))
+
+
+def predictions(instr, models=STUB_MODELS):
+    """Generated text with the prompt prefix stripped, next to the cleaned
+    instruction and reference (the long ``preds`` shape)."""
+    gen = generate(instr, models)
+    prompts = P.format_infer_prompt(instr).select("row_id", "prompt", "instruction", "response")
+    joined = gen.join(prompts, "row_id")
+    out = P.strip_prompt_prefix(joined, text="generated", prompt="prompt", out="prediction")
+    return out.select("row_id", "model", clean_text("instruction").alias("instruction"),
+                      clean_text("response").alias("reference"), "prediction", "latency_s")
+
+
+def flagship_report(spark, sf_dir, n=50):
+    instr = S.seeded_sample_n(Views(spark, sf_dir).instr(), n)
+    preds = predictions(instr)
+    scored = TM.rouge_l(TM.sentence_bleu(preds), use_stemmer=True)
+    return TM.model_report(scored)
+
+
+_GEN_SQL = f"""
+SELECT i.row_id, m.model, {sql_head()} || CASE m.model
+    WHEN 'half' THEN SUBSTR(i.response, 1, CAST(FLOOR(LENGTH(i.response) / 2.0) AS INT))
+    WHEN 'echo' THEN i.instruction
+    ELSE SUBSTR(i.response, 1, 60) || ' ' || i.instruction END AS generated
+FROM instr i CROSS JOIN (SELECT 'half' AS model UNION ALL SELECT 'echo' UNION ALL SELECT 'mix') m"""
+
+
+@register("batch_apply_model", _GEN_SQL, ["instr"])
+def q_batch_apply_model(spark, sf_dir):
+    return generate(Views(spark, sf_dir).instr()).select("row_id", "model", "generated")
+
+
+@register("strip_prompt_prefix", "SELECT row_id, model, instruction, reference, prediction FROM preds",
+          ["preds"])
+def q_strip_prompt_prefix(spark, sf_dir):
+    return predictions(Views(spark, sf_dir).instr()).drop("latency_s")
+
+
+def _tok_sql(x):
+    return f"list_filter(string_split_regex({sql_strip(x)}, '\\s+'), lambda t: t <> '')"
+
+
+def _grams_sql(col):
+    return f"""SELECT row_id, model, ns.n, array_to_string({col}[i:i + ns.n - 1], ' ') AS gram, COUNT(*) AS cnt
+       FROM base, ns, LATERAL (SELECT unnest(range(1, len({col}) - ns.n + 2)) AS i)
+       GROUP BY ALL"""
+
+
+BLEU_SQL = f"""
+WITH base AS (SELECT row_id, model, {_tok_sql('prediction')} AS p, {_tok_sql('reference')} AS r FROM preds),
+ns AS (SELECT unnest([1, 2, 3, 4]) AS n),
+pg AS ({_grams_sql('p')}),
+rg AS ({_grams_sql('r')}),
+clip AS (SELECT pg.row_id, pg.model, pg.n, SUM(LEAST(pg.cnt, COALESCE(rg.cnt, 0))) AS num
+         FROM pg LEFT JOIN rg ON pg.row_id = rg.row_id AND pg.model = rg.model AND pg.n = rg.n AND pg.gram = rg.gram
+         GROUP BY ALL),
+per AS (SELECT b.row_id, b.model, ns.n, len(b.p) AS c, len(b.r) AS rl,
+               CAST(COALESCE(clip.num, 0) AS DOUBLE) AS num, CAST(GREATEST(1, len(b.p) - ns.n + 1) AS DOUBLE) AS den
+        FROM base b CROSS JOIN ns LEFT JOIN clip ON clip.row_id = b.row_id AND clip.model = b.model AND clip.n = ns.n),
+agg AS (SELECT row_id, model, ANY_VALUE(c) AS c, ANY_VALUE(rl) AS rl, SUM(CASE WHEN n = 1 THEN num END) AS num1,
+               SUM(LN(CASE WHEN num > 0 THEN num / den ELSE 0.1 / den END)) AS slog FROM per GROUP BY ALL)
+SELECT row_id, model, CASE WHEN c = 0 OR num1 = 0 THEN 0.0
+       ELSE (CASE WHEN c > rl THEN 1.0 ELSE EXP(1.0 - rl / c) END) * EXP(slog / 4) END AS bleu
+FROM agg"""
+
+
+@register("sentence_bleu", BLEU_SQL, ["preds"])
+def q_sentence_bleu(spark, sf_dir):
+    return TM.sentence_bleu(Views(spark, sf_dir).preds()).select("row_id", "model", "bleu")
+
+
+@register("rouge_l")
+def q_rouge_l(spark, sf_dir):
+    # LCS has no practical SQL form on whole texts; checked against a
+    # brute-force dynamic programme in tests/test_textmetric.py.
+    return TM.rouge_l(Views(spark, sf_dir).preds()).select("row_id", "model", "rouge_l")
+
+
+@register("bert_score", """
+WITH t AS (SELECT vec_id, example_id, side, CAST(embedding AS DOUBLE[]) AS e FROM emb_tokens),
+b AS (SELECT a.example_id, a.side, a.vec_id, MAX(list_cosine_similarity(a.e, o.e)) AS best
+      FROM t a JOIN t o ON a.example_id = o.example_id AND a.side <> o.side GROUP BY ALL),
+s AS (SELECT example_id, AVG(CASE WHEN side = 'pred' THEN best END) AS bert_p,
+             AVG(CASE WHEN side = 'ref' THEN best END) AS bert_r FROM b GROUP BY example_id)
+SELECT example_id, bert_p, bert_r, 2 * bert_p * bert_r / (bert_p + bert_r) AS bert_f1 FROM s""", ["emb_tokens"])
+def q_bert_score(spark, sf_dir):
+    return TM.bert_score(Views(spark, sf_dir).emb_tokens())
+
+
+@register("model_report")
+def q_model_report(spark, sf_dir):
+    preds = Views(spark, sf_dir).preds()
+    return TM.model_report(TM.rouge_l(TM.sentence_bleu(preds)))
+
+
+@register("merge_outputs_wide", """
+SELECT row_id, instruction, reference,
+       MAX(CASE WHEN model = 'half' THEN prediction END) AS half,
+       MAX(CASE WHEN model = 'echo' THEN prediction END) AS echo,
+       MAX(CASE WHEN model = 'mix' THEN prediction END) AS mix
+FROM preds GROUP BY row_id, instruction, reference""", ["preds"])
+def q_merge_outputs_wide(spark, sf_dir):
+    return R.merge_outputs_wide(Views(spark, sf_dir).preds(), MODELS)
+
+
+def _review_cols():
+    cols = []
+    for m in MODELS:
+        cols.append(f"MAX(CASE WHEN model = '{m}' THEN prediction END) AS {m}")
+        cols += [f"'' AS \"{m}_{c} (1-5)\"" for c in R.CRITERIA]
+    return ",\n       ".join(cols)
+
+
+@register("review_table", f"""
+WITH ids AS (SELECT row_id FROM (SELECT DISTINCT row_id FROM preds) d ORDER BY {sql_md5(42, 'row_id')}, row_id LIMIT 5)
+SELECT row_id, instruction, reference,
+       {_review_cols()}
+FROM preds WHERE row_id IN (SELECT row_id FROM ids) GROUP BY row_id, instruction, reference""", ["preds"])
+def q_review_table(spark, sf_dir):
+    return R.review_table(Views(spark, sf_dir).preds(), MODELS)
+
+
+__all__ = ["flagship_report", "predictions", "generate", "sql_clean"]
