@@ -156,7 +156,7 @@ def with_next_values(df: DataFrame, order_col: str, value_cols, part_cols=(),
 
 def prefix_offsets(df: DataFrame, order_cols, size_col: str | None = None,
                    offset_col: str = "offset", part_cols=(),
-                   num_partitions: int | None = None) -> DataFrame:
+                   num_partitions: int | None = None, value_type: str = "bigint") -> DataFrame:
     """``(part_cols..., order_cols..., size, offset_col)`` where
     ``offset_col`` is the exclusive running sum of ``size_col`` (1 per row
     when None, i.e. a 0-based row number) inside each group of
@@ -175,9 +175,11 @@ def prefix_offsets(df: DataFrame, order_cols, size_col: str | None = None,
     if not part_cols:
         df = df.withColumn("_g0", F.lit(0))
     groups = part_cols or ["_g0"]
-    keys = df.select(*groups, *order_cols, size.cast("bigint").alias("_size"))
+    keys = df.select(*groups, *order_cols, size.cast(value_type).alias("_size"))
+    in_type = T.DoubleType() if value_type == "double" else T.LongType()
+    np_type = "float64" if value_type == "double" else "int64"
     schema = T.StructType(list(keys.schema.fields) + [
-        T.StructField("_in", T.LongType(), False),
+        T.StructField("_in", in_type, False),
         T.StructField("_pid", T.IntegerType(), False),
         T.StructField("_firstgrp", T.BooleanType(), False)])
 
@@ -192,7 +194,7 @@ def prefix_offsets(df: DataFrame, order_cols, size_col: str | None = None,
                 continue
             g = pdf[groups]
             keys_t = list(g.itertuples(index=False, name=None))
-            sizes = pdf["_size"].fillna(0).astype("int64")
+            sizes = pdf["_size"].fillna(0).astype(np_type)
             if first_key is None:
                 first_key = keys_t[0]
             starts = (g != g.shift(1)).any(axis=1)
@@ -201,10 +203,10 @@ def prefix_offsets(df: DataFrame, order_cols, size_col: str | None = None,
             if carry_key is not None and keys_t[0] == carry_key:
                 excl = excl.where(grp_no != grp_no.iloc[0], excl + carry)
             out = pdf.copy()
-            out["_in"] = excl.astype("int64")
+            out["_in"] = excl.astype(np_type)
             out["_pid"] = pid
             out["_firstgrp"] = [k == first_key for k in keys_t]
-            carry = int(excl.iloc[-1] + sizes.iloc[-1])
+            carry = excl.iloc[-1] + sizes.iloc[-1]
             carry_key = keys_t[-1]
             yield out
 
@@ -223,7 +225,7 @@ def prefix_offsets(df: DataFrame, order_cols, size_col: str | None = None,
             .groupBy("_pid").agg(F.coalesce(F.sum("_lt"), F.lit(0)).alias("_base")))
     out = (within.join(F.broadcast(base), "_pid")
            .withColumn(offset_col, (F.col("_in") + F.when(F.col("_firstgrp"), F.col("_base"))
-                                    .otherwise(F.lit(0))).cast("bigint"))
+                                    .otherwise(F.lit(0))).cast(value_type))
            .withColumnRenamed("_size", size_col or "_size")
            .drop("_pid", "_in", "_base", "_firstgrp"))
     if not part_cols:
