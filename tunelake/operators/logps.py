@@ -50,8 +50,9 @@ def log_softmax(arr):
 def selective_log_softmax(df: DataFrame, logits="logits", target="target", out="logp", **scale) -> DataFrame:
     """logit[target] - logsumexp(logits) per row (array form)."""
     x = scale_logits(F.col(logits), **scale)
-    return df.withColumn("_x", x).withColumn(
-        out, F.element_at("_x", F.col(target).cast("int") + 1) - log_sum_exp(F.col("_x"))).drop("_x")
+    return (df.withColumn("_x", x).withColumn("_lse", log_sum_exp(F.col("_x")))
+            .withColumn(out, F.element_at("_x", F.col(target).cast("int") + 1) - F.col("_lse"))
+            .drop("_x", "_lse"))
 
 
 def selective_log_softmax_long(long: DataFrame, keys, vocab="vocab_id", logit="logit",
@@ -69,10 +70,11 @@ def selective_log_softmax_long(long: DataFrame, keys, vocab="vocab_id", logit="l
 
 def token_entropy(df: DataFrame, logits="logits", out="entropy") -> DataFrame:
     """logsumexp(l) - sum softmax(l) * l."""
-    x = F.transform(F.col(logits), lambda v: v.cast("double"))
-    lse = log_sum_exp(x)
-    ent = lse - _arr_sum(F.transform(x, lambda v: F.exp(v - lse) * v))
-    return df.withColumn(out, ent)
+    # the log-sum-exp is its own column so the lambda reads it, not recomputes it
+    d = (df.withColumn("_x", F.transform(F.col(logits), lambda v: v.cast("double")))
+         .withColumn("_lse", log_sum_exp(F.col("_x"))))
+    ent = F.col("_lse") - _arr_sum(F.transform("_x", lambda v: F.exp(v - F.col("_lse")) * v))
+    return d.withColumn(out, ent).drop("_x", "_lse")
 
 
 def shifted_labels(tokens: DataFrame, seq="seq_id", pos="pos", token="token_id",
@@ -134,10 +136,13 @@ def generalized_jsd(student: DataFrame, teacher: DataFrame, key, logits="logits"
     beta = 0: KL(teacher || student); beta = 1: KL(student || teacher);
     otherwise beta * KL(t || m) + (1 - beta) * KL(s || m) with the mixture m.
     Student and teacher meet in an equi-join on the position key."""
-    s = student.select(key, label, log_softmax(F.transform(logits, lambda v: v.cast("double") / temperature))
-                       .alias("_ls"))
-    t = teacher.select(key, log_softmax(F.transform(logits, lambda v: v.cast("double") / temperature))
-                       .alias("_lt"))
+    def lsm(df, name, *keep):
+        d = (df.select(key, *keep, F.transform(logits, lambda v: v.cast("double") / temperature).alias("_x"))
+             .withColumn("_lse", log_sum_exp(F.col("_x"))))
+        return d.select(key, *keep, F.transform("_x", lambda v: v - F.col("_lse")).alias(name))
+
+    s = lsm(student, "_ls", label)
+    t = lsm(teacher, "_lt")
     j = s.join(t, key)
 
     def kl(target, inp):  # sum exp(target) * (target - inp)

@@ -39,7 +39,7 @@ def rollout_postprocess(tok: DataFrame, seq="seq_id", pos="pos", token="token",
         F.max((F.col("post_token") == stop_token).cast("int")).alias("_has_eos"))
     per2 = per2.select(seq, (F.coalesce(F.col("_firstpad"), F.col("_w")) - 1).alias("seq_len"),
                        (F.col("_has_eos") == 1).alias("contains_eos"))
-    out = j.drop("_stop", "_width").join(per2, seq)
+    out = j.drop("_stop").withColumnRenamed("_width", "width").join(per2, seq)
     out = (out.withColumn("masked_logp", F.when(F.col(pos) > F.col("seq_len"), F.lit(INVALID_LOGPROB))
                           .otherwise(F.col(logp)))
            .withColumn("masked_val", F.when(F.col(pos) > F.col("seq_len") + 1, F.lit(0.0)).otherwise(F.col(val)))
