@@ -216,20 +216,20 @@ def advantage_per_prompt(df: DataFrame, prompt="prompt_id", batch="batch_id", or
 
     k = prefix_offsets(df, [order], None, offset_col="_k", part_cols=[prompt]).select(prompt, order, "_k")
     rows = df.join(k, [prompt, order])
-    ends = rows.groupBy(prompt, batch).agg(F.max("_k").alias("_K"))
-    slots = ends.select(prompt, batch, "_K", F.explode(F.sequence(
-        F.greatest(F.col("_K") - (buffer_size - 1), F.lit(0)), F.col("_K"))).alias("_k"))
+    ends = rows.groupBy(prompt, batch).agg(F.max("_k").alias("_kend"))
+    slots = ends.select(prompt, batch, "_kend", F.explode(F.sequence(
+        F.greatest(F.col("_kend") - (buffer_size - 1), F.lit(0)), F.col("_kend"))).alias("_k"))
     buf = (slots.join(rows.select(prompt, "_k", F.col(reward).alias("_r")), [prompt, "_k"])
            .groupBy(prompt, batch).agg(F.avg("_r").alias("_pm"), F.stddev_pop("_r").alias("_ps"),
-                                       F.max("_K").alias("_K")))
+                                       F.max("_kend").alias("_kend")))
     glob = df.groupBy(batch).agg(F.avg(reward).alias("_gm"), F.stddev_pop(reward).alias("_gs"))
     j = rows.join(buf, [prompt, batch]).join(glob, batch)
-    own = (F.col("_K") + 1) >= min_count
+    own = (F.col("_kend") + 1) >= min_count
     mean = F.when(own, F.col("_pm")).otherwise(F.col("_gm"))
     std = F.when(own, F.col("_ps")).otherwise(F.col("_gs")) + eps
     return (j.withColumn("advantage", (F.col(reward) - mean) / std)
             .withColumn("used_prompt_stats", own)
-            .drop("_k", "_K", "_pm", "_ps", "_gm", "_gs"))
+            .drop("_k", "_kend", "_pm", "_ps", "_gm", "_gs"))
 
 
 def reward_stats(df: DataFrame, reward="reward", group="model") -> DataFrame:
