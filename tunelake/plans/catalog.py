@@ -25,5 +25,5 @@ def register(name: str, sql: str | None = None, views=()):
 
 def load_all():
     # importing the modules fills the registry
-    from . import q_data, q_eval, q_tokens, q_losses, q_rollout, q_reports, q_stream  # noqa: F401
+    from . import q_data, q_eval, q_tokens, q_packing, q_losses, q_rollout, q_reports, q_stream  # noqa: F401
     return QUERIES, ORACLES
