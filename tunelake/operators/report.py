@@ -55,10 +55,11 @@ def bench_ratio_of_sums(bench: DataFrame, model="model", prompt="prompt_id", lat
                         tokens="gen_tokens", peak="peak") -> DataFrame:
     """Per prompt over its runs: latency = mean time, throughput = total
     tokens / total time, peak = max; then the mean over prompts per model.
-    Both levels aggregate partially before their shuffle."""
+    Both levels aggregate partially before their shuffle. A zero total time
+    leaves the throughput undefined (null), so it does not enter the mean."""
     per_prompt = bench.groupBy(model, prompt).agg(
         F.avg(latency).alias("latency_s"),
-        (F.sum(tokens) / F.sum(latency)).alias("throughput_tok_s"),
+        F.when(F.sum(latency) > 0, F.sum(tokens) / F.sum(latency)).alias("throughput_tok_s"),
         F.max(peak).alias("peak"))
     return per_prompt.groupBy(model).agg(
         F.avg("latency_s").alias("latency_s"), F.avg("throughput_tok_s").alias("throughput_tok_s"),
@@ -68,10 +69,11 @@ def bench_ratio_of_sums(bench: DataFrame, model="model", prompt="prompt_id", lat
 def bench_mean_of_ratios(bench: DataFrame, model="model", latency="latency_s", tokens="gen_tokens",
                          peak="peak") -> DataFrame:
     """Per request throughput = tokens / latency, then plain means per
-    model (kept apart from the ratio of sums on purpose)."""
+    model (kept apart from the ratio of sums on purpose); zero-latency
+    requests have no throughput (null, skipped by the mean)."""
     return bench.groupBy(model).agg(
         F.avg(latency).alias("latency_s"),
-        F.avg(F.col(tokens) / F.col(latency)).alias("throughput_tok_s"),
+        F.avg(F.when(F.col(latency) > 0, F.col(tokens) / F.col(latency))).alias("throughput_tok_s"),
         F.max(peak).alias("peak"), F.count(F.lit(1)).alias("n_requests"))
 
 

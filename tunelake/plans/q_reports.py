@@ -37,7 +37,7 @@ def q_ratings_summary(spark, sf_dir):
 
 
 @register("bench_ratio_of_sums", """
-WITH p AS (SELECT model, prompt_id, AVG(latency_s) AS latency_s, SUM(gen_tokens) / SUM(latency_s) AS throughput_tok_s,
+WITH p AS (SELECT model, prompt_id, AVG(latency_s) AS latency_s, CASE WHEN SUM(latency_s) > 0 THEN SUM(gen_tokens) / SUM(latency_s) END AS throughput_tok_s,
                   MAX(reward) AS peak FROM bench GROUP BY model, prompt_id)
 SELECT model, AVG(latency_s) AS latency_s, AVG(throughput_tok_s) AS throughput_tok_s, AVG(peak) AS peak,
        COUNT(*) AS n_prompts FROM p GROUP BY model""", ["bench"])
@@ -47,7 +47,7 @@ def q_bench_ratio_of_sums(spark, sf_dir):
 
 
 @register("bench_mean_of_ratios", """
-SELECT model, AVG(latency_s) AS latency_s, AVG(gen_tokens / latency_s) AS throughput_tok_s, MAX(reward) AS peak,
+SELECT model, AVG(latency_s) AS latency_s, AVG(CASE WHEN latency_s > 0 THEN gen_tokens / latency_s END) AS throughput_tok_s, MAX(reward) AS peak,
        COUNT(*) AS n_requests FROM bench GROUP BY model""", ["bench"])
 def q_bench_mean_of_ratios(spark, sf_dir):
     b = Views(spark, sf_dir).bench().withColumn("peak", F.col("reward"))
