@@ -69,3 +69,27 @@ def test_prefix_offsets_row_number(spark):
     df = spark.range(0, 1000).select(F.col("id").alias("o"))
     got = prefix_offsets(df, ["o"], None, offset_col="rn", num_partitions=9).toPandas()
     assert (got["rn"] == got["o"]).all()
+
+
+def test_distributed_paths_equal_window_paths(spark):
+    """Force the two-pass paths (bound 0 rows) and compare with the window
+    fast path on the same data."""
+    rows = _rows(1500)
+    df = spark.createDataFrame(rows, ["g", "o", "v"]).repartition(4)
+    ids = spark.range(0, 3000).withColumnRenamed("id", "row_id")
+    fast = (hash_rank(ids, "row_id").toPandas().set_index("row_id")["rank"],
+            next_in_order(df, "o", ["g"]).toPandas().set_index(["g", "o"])["next_o"],
+            prefix_offsets(df, ["o"], "v", part_cols=["g"], value_type="double").toPandas()
+            .set_index(["g", "o"])["offset"])
+    spark.conf.set("tunelake.window.maxTaskRows", "0")
+    try:
+        slow = (hash_rank(ids, "row_id").toPandas().set_index("row_id")["rank"],
+                next_in_order(df, "o", ["g"]).toPandas().set_index(["g", "o"])["next_o"],
+                prefix_offsets(df, ["o"], "v", part_cols=["g"], value_type="double").toPandas()
+                .set_index(["g", "o"])["offset"])
+    finally:
+        spark.conf.unset("tunelake.window.maxTaskRows")
+    assert fast[0].sort_index().equals(slow[0].sort_index())
+    a, b = fast[1].sort_index(), slow[1].sort_index()
+    assert ((a.isna() & b.isna()) | (a == b)).all()
+    assert (abs(fast[2].sort_index() - slow[2].sort_index()) < 1e-9).all()

@@ -15,6 +15,12 @@ give the same answers with work spread over many tasks:
   partition.
 * ``prefix_offsets`` - exclusive running sum of a size column in a total
   order, by the same two-pass idea (per-partition totals, then offsets).
+
+Each helper first checks the size of the largest group (one partial
+aggregate, a single number to the driver). When it is at most
+``tunelake.window.maxTaskRows`` rows (default 1,000,000) a plain window
+partitioned by the group is exact and cheapest, so it is used; beyond that
+bound the distributed two-pass path runs. Both give the same answer.
 """
 
 from __future__ import annotations
@@ -26,10 +32,33 @@ from pyspark.sql import types as T
 from .expr import seeded_md5
 
 
+DEFAULT_MAX_TASK_ROWS = 1_000_000
+
+
 def _num_partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
+def max_task_rows(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("tunelake.window.maxTaskRows", str(DEFAULT_MAX_TASK_ROWS)))
+
+
+def largest_group(df: DataFrame, part_cols=()) -> int:
+    """Rows in the largest group of ``part_cols`` (the whole table when
+    empty)."""
+    part_cols = list(part_cols)
+    if not part_cols:
+        return int(df.select(F.lit(1)).count())
+    top = (df.select(*part_cols).groupBy(*part_cols).agg(F.count(F.lit(1)).alias("_n"))
+           .agg(F.max("_n")).first()[0])
+    return int(top or 0)
+
+
+def fits_one_task(df: DataFrame, part_cols=()) -> bool:
+    """True when a count proves every group fits the one-task bound."""
+    return largest_group(df, part_cols) <= max_task_rows(df)
+
+
 def hash_rank(df: DataFrame, id_col: str, seed=42, rank_col: str = "rank",
               prefix_hex: int = 4, hash_col: str | None = None, part_cols=()) -> DataFrame:
     """Add ``rank_col`` = 0-based position of the row when the rows (of each
@@ -38,6 +67,11 @@ def hash_rank(df: DataFrame, id_col: str, seed=42, rank_col: str = "rank",
     group over 16**prefix_hex window partitions."""
     part_cols = list(part_cols)
     h = hash_col or "_h"
+    if fits_one_task(df, part_cols):
+        ws = (Window.partitionBy(*part_cols) if part_cols else Window).orderBy(F.col(h), F.col(id_col))
+        out = (df.withColumn(h, seeded_md5(seed, id_col))
+               .withColumn(rank_col, (F.row_number().over(ws) - 1).cast("bigint")))
+        return out if hash_col else out.drop(h)
     keyed = (df.withColumn(h, seeded_md5(seed, id_col))
              .withColumn("_hp", F.substring(F.col(h), 1, prefix_hex)))
     # One row per (group, hash prefix): at most groups * 16**prefix_hex rows.
@@ -75,6 +109,9 @@ def next_in_order(df: DataFrame, order_col: str, part_cols=(),
     next_col = next_col or f"next_{order_col}"
     n = num_partitions or _num_partitions(df)
     keys = df.select(*part_cols, order_col)
+    if num_partitions is None and fits_one_task(keys, part_cols):
+        w = (Window.partitionBy(*part_cols) if part_cols else Window).orderBy(order_col)
+        return keys.withColumn(next_col, F.lead(order_col).over(w))
     key_fields = [keys.schema[c] for c in part_cols]
     order_field = keys.schema[order_col]
     schema = _carry_schema(key_fields, order_field)
@@ -172,6 +209,13 @@ def prefix_offsets(df: DataFrame, order_cols, size_col: str | None = None,
     order_cols = list(order_cols)
     n = num_partitions or _num_partitions(df)
     size = F.col(size_col) if size_col else F.lit(1)
+    if num_partitions is None and fits_one_task(df, part_cols):
+        w = ((Window.partitionBy(*part_cols) if part_cols else Window).orderBy(*order_cols)
+             .rowsBetween(Window.unboundedPreceding, -1))
+        out = df.select(*part_cols, *order_cols, size.cast(value_type).alias("_size"))
+        out = out.withColumn(offset_col, F.coalesce(F.sum("_size").over(w), F.lit(0)).cast(value_type))
+        out = out.withColumnRenamed("_size", size_col) if size_col else out.drop("_size")
+        return out
     if not part_cols:
         df = df.withColumn("_g0", F.lit(0))
     groups = part_cols or ["_g0"]

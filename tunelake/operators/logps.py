@@ -38,13 +38,25 @@ def scale_logits(logits, multiply=0.0, divide=0.0, softcap=0.0, temperature=1.0,
 
 
 def log_sum_exp(arr):
-    mx = F.array_max(arr)
-    return mx + F.log(_arr_sum(F.transform(arr, lambda v: F.exp(v - mx))))
+    """One pass, running (max, scaled sum): no value from outside the lambda
+    is read per element (Catalyst would inline it and re-evaluate it for
+    every element)."""
+    init = F.struct(F.lit(float("-inf")).alias("m"), F.lit(0.0).alias("s"))
+
+    def step(acc, x):
+        m = F.greatest(acc["m"], x)
+        return F.struct(m.alias("m"), (acc["s"] * F.exp(acc["m"] - m) + F.exp(x - m)).alias("s"))
+
+    return F.aggregate(arr, init, step, lambda acc: acc["m"] + F.log(acc["s"]))
+
+
+def _minus_each(arr, scalar):
+    """arr[i] - scalar, with the scalar computed once per row."""
+    return F.zip_with(arr, F.array_repeat(scalar, F.size(arr)), lambda v, c: v - c)
 
 
 def log_softmax(arr):
-    lse = log_sum_exp(arr)
-    return F.transform(arr, lambda v: v - lse)
+    return _minus_each(arr, log_sum_exp(arr))
 
 
 def selective_log_softmax(df: DataFrame, logits="logits", target="target", out="logp", **scale) -> DataFrame:
@@ -73,7 +85,8 @@ def token_entropy(df: DataFrame, logits="logits", out="entropy") -> DataFrame:
     # the log-sum-exp is its own column so the lambda reads it, not recomputes it
     d = (df.withColumn("_x", F.transform(F.col(logits), lambda v: v.cast("double")))
          .withColumn("_lse", log_sum_exp(F.col("_x"))))
-    ent = F.col("_lse") - _arr_sum(F.transform("_x", lambda v: F.exp(v - F.col("_lse")) * v))
+    ent = F.col("_lse") - _arr_sum(F.zip_with(
+        "_x", F.array_repeat(F.col("_lse"), F.size("_x")), lambda v, c: F.exp(v - c) * v))
     return d.withColumn(out, ent).drop("_x", "_lse")
 
 
@@ -139,7 +152,7 @@ def generalized_jsd(student: DataFrame, teacher: DataFrame, key, logits="logits"
     def lsm(df, name, *keep):
         d = (df.select(key, *keep, F.transform(logits, lambda v: v.cast("double") / temperature).alias("_x"))
              .withColumn("_lse", log_sum_exp(F.col("_x"))))
-        return d.select(key, *keep, F.transform("_x", lambda v: v - F.col("_lse")).alias(name))
+        return d.select(key, *keep, _minus_each(F.col("_x"), F.col("_lse")).alias(name))
 
     s = lsm(student, "_ls", label)
     t = lsm(teacher, "_lt")

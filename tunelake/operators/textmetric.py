@@ -23,47 +23,49 @@ def whitespace_tokens(c):
     return F.filter(F.split(strip_ws(c), r"\s+"), lambda t: t != "")
 
 
-def _ngrams(df: DataFrame, keys, tokens_col: str, side: str) -> DataFrame:
-    """(keys, n, gram, cnt) for n = 1..MAX_N."""
-    toks = F.col(tokens_col)
-    # sequence(1, 0) is [1, 0] in Spark: guard rows shorter than n
-    grams = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(MAX_N)), lambda n: F.when(
+def _ngram_structs(toks, side: str):
+    """All n-grams (n = 1..MAX_N) of a token array as (n, gram, side)
+    structs. ``sequence(1, 0)`` is [1, 0] in Spark, so short rows are guarded."""
+    return F.flatten(F.transform(F.sequence(F.lit(1), F.lit(MAX_N)), lambda n: F.when(
         F.size(toks) >= n, F.transform(
             F.sequence(F.lit(1), F.size(toks) - n + 1),
-            lambda i: F.struct(n.alias("n"), F.array_join(F.slice(toks, i, n), " ").alias("gram"))))
-        .otherwise(F.array().cast("array<struct<n:int,gram:string>>"))))
-    e = df.select(*keys, F.explode(grams).alias("g")).select(*keys, "g.n", "g.gram")
-    return e.groupBy(*keys, "n", "gram").agg(F.count(F.lit(1)).alias(f"{side}_cnt"))
+            lambda i: F.struct(n.alias("n"), F.array_join(F.slice(toks, i, n), " ").alias("gram"),
+                               F.lit(side).alias("side"))))
+        .otherwise(F.array().cast("array<struct<n:int,gram:string,side:string>>"))))
 
 
 def sentence_bleu(df: DataFrame, keys=("row_id", "model"), prediction="prediction",
                   reference="reference", out="bleu") -> DataFrame:
     """Sentence BLEU, one reference, uniform weights up to 4-grams, clipped
-    counts, brevity penalty, smoothing method 1; 0 when no unigram matches."""
+    counts, brevity penalty, smoothing method 1; 0 when no unigram matches.
+
+    One shuffle: rows are hash partitioned by their key, then both sides'
+    n-grams are exploded and counted per (key, n, gram), clipped per
+    (key, n) and combined per key - all aggregations are satisfied by that
+    partitioning, so no n-gram table is shuffled or joined."""
     keys = list(keys)
-    base = df.select(*keys, whitespace_tokens(prediction).alias("_p"),
-                     whitespace_tokens(reference).alias("_r"))
-    pg = _ngrams(base, keys, "_p", "p")
-    rg = _ngrams(base, keys, "_r", "r")
-    clipped = (pg.join(rg, keys + ["n", "gram"], "left")
-               .groupBy(*keys, "n")
-               .agg(F.sum(F.least(F.col("p_cnt"), F.coalesce(F.col("r_cnt"), F.lit(0)))).alias("num")))
-    per_n = (base.select(*keys, F.size("_p").alias("c"), F.size("_r").alias("r"),
-                         F.explode(F.sequence(F.lit(1), F.lit(MAX_N))).alias("n"))
-             .join(clipped, keys + ["n"], "left")
-             .withColumn("num", F.coalesce(F.col("num"), F.lit(0)).cast("double"))
-             .withColumn("den", F.greatest(F.lit(1), F.col("c") - F.col("n") + 1).cast("double"))
-             .withColumn("p", F.when(F.col("num") > 0, F.col("num") / F.col("den"))
-                         .otherwise(F.lit(SMOOTH_EPSILON) / F.col("den"))))
-    agg = per_n.groupBy(*keys).agg(
-        F.first("c").alias("c"), F.first("r").alias("r"),
-        F.sum(F.when(F.col("n") == 1, F.col("num"))).alias("num1"),
-        F.sum(F.log("p")).alias("slog"))
-    bp = F.when(F.col("c") > F.col("r"), F.lit(1.0)).otherwise(
-        F.exp(F.lit(1.0) - F.col("r") / F.col("c")))
-    score = F.when((F.col("c") == 0) | (F.col("num1") == 0), F.lit(0.0)).otherwise(
-        bp * F.exp(F.col("slog") / MAX_N))
-    return df.join(agg.select(*keys, score.alias(out)), keys)
+    base = (df.withColumn("_p", whitespace_tokens(prediction))
+            .withColumn("_r", whitespace_tokens(reference))
+            .repartition(*keys))
+    grams = base.select(*keys, F.explode(F.concat(_ngram_structs(F.col("_p"), "p"),
+                                                  _ngram_structs(F.col("_r"), "r"))).alias("g"))
+    per_gram = grams.groupBy(*keys, "g.n", "g.gram").agg(
+        F.count_if(F.col("g.side") == "p").alias("pc"), F.count_if(F.col("g.side") == "r").alias("rc"))
+    per_n = per_gram.groupBy(*keys, "n").agg(F.sum(F.least("pc", "rc")).alias("num"))
+    per_key = per_n.groupBy(*keys).agg(*[F.sum(F.when(F.col("n") == k, F.col("num"))).alias(f"_num{k}")
+                                         for k in range(1, MAX_N + 1)])
+    j = (base.withColumn("_c", F.size("_p")).withColumn("_rl", F.size("_r")).drop("_p", "_r")
+         .join(per_key, keys, "left"))
+    c, r = F.col("_c"), F.col("_rl")
+    slog = F.lit(0.0)
+    for k in range(1, MAX_N + 1):
+        num = F.coalesce(F.col(f"_num{k}"), F.lit(0)).cast("double")
+        den = F.greatest(F.lit(1), c - k + 1).cast("double")
+        slog = slog + F.log(F.when(num > 0, num / den).otherwise(F.lit(SMOOTH_EPSILON) / den))
+    bp = F.when(c > r, F.lit(1.0)).otherwise(F.exp(F.lit(1.0) - r / c))
+    num1 = F.coalesce(F.col("_num1"), F.lit(0))
+    score = F.when((c == 0) | (num1 == 0), F.lit(0.0)).otherwise(bp * F.exp(slog / MAX_N))
+    return j.withColumn(out, score).drop("_c", "_rl", *[f"_num{k}" for k in range(1, MAX_N + 1)])
 
 
 # -- ROUGE-L ------------------------------------------------------------------
