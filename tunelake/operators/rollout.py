@@ -26,20 +26,20 @@ def rollout_postprocess(tok: DataFrame, seq="seq_id", pos="pos", token="token",
     first pad index - 1 (row width - 1 when there is none); sequences
     without EOS get ``score - penalty``; log-probs beyond the length ->
     INVALID_LOGPROB, values beyond length + 1 -> 0."""
+    # one aggregate per sequence: first stop, first pad, width. After the
+    # stop every token is pad, so the first pad of the processed sequence is
+    # the earlier of an original pad and stop + 1 (when inside the row).
     per = tok.groupBy(seq).agg(
         F.min(F.when(F.col(token) == stop_token, F.col(pos))).alias("_stop"),
-        F.count(F.lit(1)).alias("_width"))
-    j = tok.join(per, seq)
-    post = F.when(F.col("_stop").isNotNull() & (F.col(pos) > F.col("_stop")), F.lit(pad_token)) \
-        .otherwise(F.col(token))
-    j = j.withColumn("post_token", post)
-    per2 = j.groupBy(seq).agg(
-        F.min(F.when(F.col("post_token") == pad_token, F.col(pos))).alias("_firstpad"),
-        F.max("_width").alias("_w"),
-        F.max((F.col("post_token") == stop_token).cast("int")).alias("_has_eos"))
-    per2 = per2.select(seq, (F.coalesce(F.col("_firstpad"), F.col("_w")) - 1).alias("seq_len"),
-                       (F.col("_has_eos") == 1).alias("contains_eos"))
-    out = j.drop("_stop").withColumnRenamed("_width", "width").join(per2, seq)
+        F.min(F.when(F.col(token) == pad_token, F.col(pos))).alias("_pad"),
+        F.count(F.lit(1)).alias("width"))
+    first_pad = F.least(F.col("_pad"), F.when(F.col("_stop") + 1 < F.col("width"), F.col("_stop") + 1))
+    per = per.select(seq, "width", "_stop",
+                     (F.coalesce(first_pad, F.col("width")) - 1).alias("seq_len"),
+                     F.col("_stop").isNotNull().alias("contains_eos"))
+    out = tok.join(per, seq)
+    out = out.withColumn("post_token", F.when(F.col("_stop").isNotNull() & (F.col(pos) > F.col("_stop")),
+                                              F.lit(pad_token)).otherwise(F.col(token))).drop("_stop")
     out = (out.withColumn("masked_logp", F.when(F.col(pos) > F.col("seq_len"), F.lit(INVALID_LOGPROB))
                           .otherwise(F.col(logp)))
            .withColumn("masked_val", F.when(F.col(pos) > F.col("seq_len") + 1, F.lit(0.0)).otherwise(F.col(val)))
@@ -126,15 +126,18 @@ def _gae_udf(gamma: float, lam: float):
 
 def gae(tok: DataFrame, seq="seq_id", pos="pos", reward="reward", value="val", gamma=1.0, lam=0.95) -> DataFrame:
     """Generalised advantage estimation per sequence (backward recursion,
-    last next-value 0): adds ``advantage`` and ``return`` = advantage + value."""
-    arr = tok.groupBy(seq).agg(F.array_sort(F.collect_list(F.struct(pos, reward, value))).alias("_a"))
-    arr = arr.select(seq, F.transform("_a", lambda s: s[pos]).alias("_p"),
-                     _gae_udf(gamma, lam)(F.transform("_a", lambda s: s[reward].cast("double")),
-                                          F.transform("_a", lambda s: s[value].cast("double"))).alias("_adv"))
-    long = arr.select(seq, F.explode(F.arrays_zip(F.col("_p").alias("p"), F.col("_adv").alias("a"))).alias("z"))
-    long = long.select(F.col(seq).alias("_s"), F.col("z.p").alias("_pp"), F.col("z.a").alias("advantage"))
-    j = tok.join(long, (F.col(seq) == F.col("_s")) & (F.col(pos) == F.col("_pp"))).drop("_s", "_pp")
-    return j.withColumn("return", F.col("advantage") + F.col(value))
+    last next-value 0): adds ``advantage`` and ``return`` = advantage + value.
+    The rows of a sequence travel as one sorted array (all columns), the
+    recursion fills an array of advantages, and both are exploded back - one
+    shuffle, no join back to the input."""
+    others = [c for c in tok.columns if c not in (seq, pos)]
+    arr = tok.groupBy(seq).agg(F.array_sort(F.collect_list(F.struct(pos, *others))).alias("_a"))
+    arr = arr.withColumn("_adv", _gae_udf(gamma, lam)(
+        F.transform("_a", lambda s: s[reward].cast("double")),
+        F.transform("_a", lambda s: s[value].cast("double"))))
+    z = arr.select(seq, F.explode(F.arrays_zip(F.col("_a").alias("r"), F.col("_adv").alias("a"))).alias("z"))
+    out = z.select(seq, *[F.col(f"z.r.{c}").alias(c) for c in [pos] + others], F.col("z.a").alias("advantage"))
+    return out.withColumn("return", F.col("advantage") + F.col(value))
 
 
 # -- G4 / G5 / G9 -------------------------------------------------------------------------

@@ -65,16 +65,16 @@ def tokenize_corpus(docs: DataFrame, id_col="doc_id", text="text", max_length=51
         from ..session import materialize
 
         vocab = materialize(build_vocab(docs, text), "vocab")
-    toks = docs.select(id_col, *keep, F.posexplode(word_tokens(F.col(text))).alias("pos", "token"))
-    ided = join_checked(toks, vocab.select("token", "id"), "token")
-    per_doc = ided.groupBy(id_col).agg(
-        F.array_sort(F.collect_list(F.struct("pos", "id"))).alias("_p"),
-        F.count(F.lit(1)).alias("n_tokens"))
-    out = docs.select(id_col, *keep).join(per_doc, id_col, "left").select(
-        id_col, *keep,
-        F.slice(F.coalesce(F.transform("_p", lambda s: s["id"]), F.array().cast("array<bigint>")),
-                1, max_length).alias("input_ids"),
-        F.coalesce(F.col("n_tokens"), F.lit(0)).cast("bigint").alias("n_tokens"))
+    # every token is counted; the ids kept by truncation (the first
+    # max_length) are mapped through the vocabulary
+    base = docs.select(id_col, *keep, word_tokens(F.col(text)).alias("_t"))
+    ex = base.select(id_col, *keep, F.size("_t").cast("bigint").alias("n_tokens"),
+                     F.posexplode_outer(F.slice("_t", 1, max_length)).alias("pos", "token"))
+    ided = join_checked(ex, vocab.select("token", "id"), "token", how="left")
+    per_doc = ided.groupBy(id_col, *keep).agg(
+        F.first("n_tokens").alias("n_tokens"),
+        F.array_sort(F.collect_list(F.when(F.col("id").isNotNull(), F.struct("pos", "id")))).alias("_p"))
+    out = per_doc.select(id_col, *keep, F.transform("_p", lambda s: s["id"]).alias("input_ids"), "n_tokens")
     return (out.withColumn("n_kept", F.size("input_ids").cast("bigint"))
             .withColumn("truncated", F.col("n_tokens") > max_length))
 
