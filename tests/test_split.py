@@ -53,3 +53,15 @@ def test_sample_and_batches(spark):
     p0 = plan[plan.epoch == 0].set_index("row_id")["order_in_epoch"]
     p1 = plan[plan.epoch == 1].set_index("row_id")["order_in_epoch"]
     assert (p0.sort_index().values != p1.sort_index().values).any()
+
+
+def test_split_folder_read_is_pruned(spark):
+    from tunelake.session import scratch_path
+    from tunelake.sources.io import read_split, write_splits
+
+    df = spark.range(0, 300).withColumnRenamed("id", "row_id")
+    path = write_splits(ratio_split_exact(df), scratch_path(spark, "t-splits"))
+    dev = read_split(spark, path, "dev")
+    plan = dev._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(split" in plan and "(split#" in plan
+    assert dev.count() == 30 and {r.split for r in dev.collect()} == {"dev"}

@@ -142,38 +142,44 @@ def kl_estimators(tokens: DataFrame, logp="logp", ref_logp="ref_logp", group=Non
     return tokens.groupBy(group).agg(*aggs) if group else tokens.agg(*aggs)
 
 
-def generalized_jsd(student: DataFrame, teacher: DataFrame, key, logits="logits", label="label",
-                    beta=0.5, temperature=1.0) -> DataFrame:
-    """Per position: generalised Jensen-Shannon divergence between student
-    and teacher distributions (array form), summed over the vocabulary.
-    beta = 0: KL(teacher || student); beta = 1: KL(student || teacher);
-    otherwise beta * KL(t || m) + (1 - beta) * KL(s || m) with the mixture m.
-    Student and teacher meet in an equi-join on the position key."""
+def jsd_pairs(student: DataFrame, teacher: DataFrame, key, logits="logits", label="label",
+              temperature=1.0) -> DataFrame:
+    """Student and teacher log-softmax arrays (``_ls``, ``_lt``) side by side,
+    joined on the position key."""
     def lsm(df, name, *keep):
         d = (df.select(key, *keep, F.transform(logits, lambda v: v.cast("double") / temperature).alias("_x"))
              .withColumn("_lse", log_sum_exp(F.col("_x"))))
         return d.select(key, *keep, _minus_each(F.col("_x"), F.col("_lse")).alias(name))
 
-    s = lsm(student, "_ls", label)
-    t = lsm(teacher, "_lt")
-    j = s.join(t, key)
+    return lsm(student, "_ls", label).join(lsm(teacher, "_lt"), key)
 
+
+def jsd_expr(beta: float, ls="_ls", lt="_lt"):
+    """Per-position divergence summed over the vocabulary. beta = 0:
+    KL(teacher || student); beta = 1: KL(student || teacher); otherwise
+    beta * KL(t || m) + (1 - beta) * KL(s || m) with the mixture m."""
     def kl(target, inp):  # sum exp(target) * (target - inp)
         return F.zip_with(target, inp, lambda a, b: F.exp(a) * (a - b))
 
     if beta == 0:
-        el = kl(F.col("_lt"), F.col("_ls"))
+        el = kl(F.col(lt), F.col(ls))
     elif beta == 1:
-        el = kl(F.col("_ls"), F.col("_lt"))
+        el = kl(F.col(ls), F.col(lt))
     else:
         import math
 
         lb, l1b = math.log(beta), math.log(1 - beta)
-        mix = F.zip_with("_ls", "_lt", lambda a, b: F.greatest(a + l1b, b + lb) + F.log1p(
+        mix = F.zip_with(ls, lt, lambda a, b: F.greatest(a + l1b, b + lb) + F.log1p(
             F.exp(-F.abs((a + l1b) - (b + lb)))))
-        el = F.zip_with(kl(F.col("_lt"), mix), kl(F.col("_ls"), mix), lambda x, y: beta * x + (1 - beta) * y)
-    return j.withColumn("jsd_elems", el).withColumn("jsd", _arr_sum(F.col("jsd_elems"))).withColumn(
-        "n_vocab", F.size("jsd_elems"))
+        el = F.zip_with(kl(F.col(lt), mix), kl(F.col(ls), mix), lambda x, y: beta * x + (1 - beta) * y)
+    return _arr_sum(el)
+
+
+def generalized_jsd(student: DataFrame, teacher: DataFrame, key, logits="logits", label="label",
+                    beta=0.5, temperature=1.0) -> DataFrame:
+    """Per position: generalised Jensen-Shannon divergence (array form)."""
+    j = jsd_pairs(student, teacher, key, logits, label, temperature)
+    return j.withColumn("jsd", jsd_expr(beta)).withColumn("n_vocab", F.size("_ls"))
 
 
 def jsd_reduce(per_pos: DataFrame, label="label") -> DataFrame:
