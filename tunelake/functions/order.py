@@ -60,17 +60,23 @@ def fits_one_task(df: DataFrame, part_cols=()) -> bool:
 
 
 def hash_rank(df: DataFrame, id_col: str, seed=42, rank_col: str = "rank",
-              prefix_hex: int = 4, hash_col: str | None = None, part_cols=()) -> DataFrame:
+              prefix_hex: int = 4, hash_col: str | None = None, part_cols=(),
+              total_col: str | None = None) -> DataFrame:
     """Add ``rank_col`` = 0-based position of the row when the rows (of each
     ``part_cols`` group) are ordered by (md5(seed:id), id). ``id_col``
     should be unique within a group. The md5 prefix spreads even a hot
-    group over 16**prefix_hex window partitions."""
+    group over 16**prefix_hex window partitions. ``total_col`` adds the row
+    count of the group (carried by the window or the histogram table, so no
+    join of a one-row table is needed)."""
     part_cols = list(part_cols)
     h = hash_col or "_h"
     if fits_one_task(df, part_cols):
         ws = (Window.partitionBy(*part_cols) if part_cols else Window).orderBy(F.col(h), F.col(id_col))
         out = (df.withColumn(h, seeded_md5(seed, id_col))
                .withColumn(rank_col, (F.row_number().over(ws) - 1).cast("bigint")))
+        if total_col:
+            wt = Window.partitionBy(*part_cols) if part_cols else Window.partitionBy()
+            out = out.withColumn(total_col, F.count(F.lit(1)).over(wt))
         return out if hash_col else out.drop(h)
     keyed = (df.withColumn(h, seeded_md5(seed, id_col))
              .withColumn("_hp", F.substring(F.col(h), 1, prefix_hex)))
@@ -80,13 +86,15 @@ def hash_rank(df: DataFrame, id_col: str, seed=42, rank_col: str = "rank",
     offsets = hist.select(
         *part_cols, "_hp",
         F.coalesce(F.sum("_hn").over(wo.rowsBetween(Window.unboundedPreceding, -1)),
-                   F.lit(0)).alias("_off"))
+                   F.lit(0)).alias("_off"),
+        F.sum("_hn").over(Window.partitionBy(*part_cols)).alias("_tot"))
     if not part_cols:
         offsets = F.broadcast(offsets)  # <= 65,536 rows: size proven
     w = Window.partitionBy(*part_cols, "_hp").orderBy(F.col(h), F.col(id_col))
     out = (keyed.join(offsets, part_cols + ["_hp"])
            .withColumn(rank_col, (F.col("_off") + F.row_number().over(w) - 1).cast("bigint"))
            .drop("_hp", "_off"))
+    out = out.withColumnRenamed("_tot", total_col) if total_col else out.drop("_tot")
     return out if hash_col else out.drop(h)
 
 
@@ -180,7 +188,12 @@ def with_next_values(df: DataFrame, order_col: str, value_cols, part_cols=(),
     (PARTITION BY part_cols ORDER BY order_col), via ``next_in_order`` and
     an equi-join on the unique (group, order) key."""
     part_cols = list(part_cols)
-    nxt = next_in_order(df, order_col, part_cols, next_col="_nk")
+    if fits_one_task(df.select(*part_cols, order_col), part_cols):
+        w = (Window.partitionBy(*part_cols) if part_cols else Window).orderBy(order_col)
+        for v in value_cols:
+            df = df.withColumn(f"{prefix}{v}", F.lead(v).over(w))
+        return df
+    nxt = next_in_order(df, order_col, part_cols, next_col="_nk", num_partitions=_num_partitions(df))
     vals = df.select(*[F.col(c).alias(f"_v_{c}") for c in part_cols],
                      F.col(order_col).alias("_v_order"),
                      *[F.col(v).alias(f"{prefix}{v}") for v in value_cols])

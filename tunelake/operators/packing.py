@@ -76,9 +76,7 @@ def kl_mismatch_pairs(df: DataFrame, id_col="row_id", completion="completion", b
     equi-join on (batch_id, position)."""
     if batch_size <= 1:
         raise ValueError("batch size must be > 1 to build mismatched pairs")
-    from .split import _with_total
-
-    ranked = _with_total(hash_rank(df, id_col, seed=seed, rank_col="_rank"))
+    ranked = hash_rank(df, id_col, seed=seed, rank_col="_rank", total_col="_total")
     b = (ranked.withColumn("batch_id", F.floor(F.col("_rank") / batch_size).cast("bigint"))
          .withColumn("batch_pos", (F.col("_rank") % batch_size).cast("bigint"))
          .withColumn("_bsize", F.least(F.lit(batch_size), F.col("_total") - F.col("batch_id") * batch_size))

@@ -11,14 +11,6 @@ from ..functions.expr import hex8_to_long, seeded_md5
 from ..functions.order import hash_rank
 
 
-def _with_total(df: DataFrame, total_col: str = "_total") -> DataFrame:
-    """Attach the row count without a cross join: the count rides on the
-    one-row aggregate broadcast through an equi-join on a constant key of a
-    single group (size proven: one row)."""
-    total = df.groupBy().agg(F.count(F.lit(1)).alias(total_col)).withColumn("_one", F.lit(1))
-    return df.withColumn("_one", F.lit(1)).join(F.broadcast(total), "_one").drop("_one")
-
-
 def ratio_split_exact(df: DataFrame, id_col: str = "row_id", seed=42,
                       ratios=(0.8, 0.1, 0.1), split_col: str = "split") -> DataFrame:
     """train/dev/test with exact sizes: held-out = ceil(n * (dev+test)),
@@ -29,7 +21,7 @@ def ratio_split_exact(df: DataFrame, id_col: str = "row_id", seed=42,
         raise ValueError("ratios must sum to 1")
     held_frac = dv + te
     test_frac = te / held_frac
-    ranked = _with_total(hash_rank(df, id_col, seed=seed, rank_col="_rank"))
+    ranked = hash_rank(df, id_col, seed=seed, rank_col="_rank", total_col="_total")
     held = F.ceil(F.col("_total").cast("double") * F.lit(held_frac))
     test = F.ceil(held.cast("double") * F.lit(test_frac))
     n_train = F.col("_total") - held
@@ -70,24 +62,22 @@ def sample_with_replacement_n(spark: SparkSession, df: DataFrame, size: int = 10
                               id_col: str = "row_id", seed=42) -> DataFrame:
     """``n = min(len, size)`` draws with replacement. Draw k picks index
     md5(seed:draw:k) mod len of the rows in hash order; draws and rows meet
-    in an equi-join on that index."""
-    ranked = _with_total(hash_rank(df, id_col, seed=seed, rank_col="_idx"))
-    total = ranked.select("_total").limit(1)
-    draws = (spark.range(size).withColumnRenamed("id", "draw")
-             .withColumn("_one", F.lit(1))
-             .join(F.broadcast(total.withColumn("_one", F.lit(1))), "_one").drop("_one")
-             .where(F.col("draw") < F.col("_total"))
-             .withColumn("_idx", hex8_to_long(seeded_md5(seed, F.lit("draw"), F.col("draw")))
-                         % F.col("_total"))
-             .drop("_total"))
-    return draws.join(ranked.drop("_total"), "_idx").drop("_idx")
+    in an equi-join on that index. The row count is one number on the
+    driver; the draws table has n rows."""
+    total = df.count()
+    if total == 0:
+        return df.limit(0).withColumn("draw", F.lit(0).cast("bigint"))
+    ranked = hash_rank(df, id_col, seed=seed, rank_col="_idx")
+    draws = (spark.range(min(size, total)).withColumnRenamed("id", "draw")
+             .withColumn("_idx", hex8_to_long(seeded_md5(seed, F.lit("draw"), F.col("draw"))) % F.lit(total)))
+    return draws.join(ranked, "_idx").drop("_idx")
 
 
 def shuffled_full_batches(df: DataFrame, batch_size: int, id_col: str = "row_id",
                           seed=42) -> DataFrame:
     """Shuffle, cut into batches of ``batch_size``, drop the ragged last
     batch. Adds ``batch_id`` and ``batch_pos``."""
-    ranked = _with_total(hash_rank(df, id_col, seed=seed, rank_col="_rank"))
+    ranked = hash_rank(df, id_col, seed=seed, rank_col="_rank", total_col="_total")
     full = F.floor(F.col("_total") / batch_size) * batch_size
     return (ranked.where(F.col("_rank") < full)
             .withColumn("batch_id", F.floor(F.col("_rank") / batch_size).cast("bigint"))

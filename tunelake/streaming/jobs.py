@@ -89,10 +89,9 @@ def stream_step_metrics(spark, sf_dir, logging_steps=50) -> DataFrame:
     q.awaitTermination()
     parts = spark.read.parquet(partial_path)
     merged = parts.groupBy("window_id").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
-    last = parts.agg(F.max("max_step").alias("_last"))
-    done = merged.withColumn("_one", F.lit(1)).join(F.broadcast(last.withColumn("_one", F.lit(1))), "_one")
-    return (done.withColumn("log_step", (F.col("window_id") + 1) * logging_steps)
-            .where(F.col("log_step") <= F.col("_last"))
+    last = parts.agg(F.max("max_step")).first()[0]  # one number: the last step seen
+    return (merged.withColumn("log_step", (F.col("window_id") + 1) * logging_steps)
+            .where(F.col("log_step") <= F.lit(last))
             .select("log_step", F.round(F.col("s") / F.col("n"), 4).alias("loss")))
 
 
