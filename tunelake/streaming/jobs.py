@@ -142,17 +142,28 @@ def _per_prompt(buffer_size):
             buf, seen = list(state.get[0]), int(state.get[1])
         else:
             buf, seen = [], 0
-        pdf = pd.concat(list(pdfs), ignore_index=True).sort_values("event_id")
-        outs = []
-        for b, part in pdf.groupby("batch_id", sort=True):
-            # the whole training batch enters the buffer before statistics
-            buf = (buf + part["reward"].astype(float).tolist())[-buffer_size:]
-            seen += len(part)
-            arr = np.asarray(buf)
-            outs.append(part.assign(prompt_mean=float(arr.mean()), prompt_std=float(arr.std()), seen=seen))
-        state.update((buf, seen))
-        if outs:
-            yield pd.concat(outs)[[f.name for f in _X4_OUT.fields]]
+        pdf = pd.concat(list(pdfs), ignore_index=True).sort_values(["batch_id", "event_id"])
+        if pdf.empty:
+            return
+        rewards = pdf["reward"].to_numpy(dtype="float64")
+        batches = pdf["batch_id"].to_numpy()
+        # the whole training batch enters the buffer before statistics:
+        # statistics of batch b = the last buffer_size rewards up to its end
+        hist = np.concatenate([np.asarray(buf, dtype="float64"), rewards])
+        ends = np.flatnonzero(np.r_[batches[1:] != batches[:-1], True]) + 1 + len(buf)
+        means = np.empty(len(ends))
+        stds = np.empty(len(ends))
+        for i, e in enumerate(ends):
+            w = hist[max(0, e - buffer_size):e]
+            means[i], stds[i] = w.mean(), w.std()
+        counts = np.diff(np.r_[len(buf), ends])
+        out = pdf[["event_id", "prompt_id", "batch_id", "reward"]].copy()
+        out["prompt_mean"] = np.repeat(means, counts)
+        out["prompt_std"] = np.repeat(stds, counts)
+        out["seen"] = seen + np.arange(1, len(pdf) + 1)
+        out["seen"] = np.repeat(out["seen"].to_numpy()[ends - len(buf) - 1], counts)
+        state.update((hist[-buffer_size:].tolist(), seen + len(pdf)))
+        yield out[[f.name for f in _X4_OUT.fields]]
     return fn
 
 
