@@ -63,10 +63,12 @@ def q_sequence_logps(spark, sf_dir):
 @register("chosen_nll", """
 SELECT v.variant, -SUM(logp) / COUNT(*) AS nll, COUNT(*) AS n_tokens
 FROM seq CROSS JOIN (SELECT 'cpo' AS variant UNION ALL SELECT 'orpo') v
-WHERE seq_id % 2 = 0 AND token_id % 10 <> 0 AND (v.variant = 'orpo' OR pos >= 1)
+WHERE token_id % 10 <> 0 AND (v.variant = 'orpo' OR pos >= 1)
 GROUP BY v.variant""", ["seq"])
 def q_chosen_nll(spark, sf_dir):
-    seq = Views(spark, sf_dir).seq().where(F.col("seq_id") % 2 == 0)
+    # every sequence is a chosen sequence here; cpo masks the first (prompt)
+    # position, orpo keeps the full sequence; pads (token 0) never count
+    seq = Views(spark, sf_dir).seq()
     both = seq.withColumn("variant", F.explode(F.array(F.lit("cpo"), F.lit("orpo"))))
     mask = (F.col("token_id") % 10 != 0) & ((F.col("variant") == "orpo") | (F.col("pos") >= 1))
     return L.chosen_nll(both, mask=mask, group="variant")
