@@ -104,7 +104,11 @@ def with_views(sql: str, *names: str) -> str:
     if not names:
         return sql
     ctes = ",\n".join(f"{n} AS ({VIEWS[n][1].strip()})" for n in _order(names))
+    import re
+
     body = sql.strip()
-    if body[:5].upper() == "WITH ":
-        return f"WITH {ctes},\n{body[5:]}"
+    m = re.match(r"WITH\s+(RECURSIVE\s+)?", body, re.I)
+    if m:
+        head = "WITH RECURSIVE" if m.group(1) else "WITH"
+        return f"{head} {ctes},\n{body[m.end():]}"
     return f"WITH {ctes}\n{body}"
