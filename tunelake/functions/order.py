@@ -43,15 +43,32 @@ def max_task_rows(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("tunelake.window.maxTaskRows", str(DEFAULT_MAX_TASK_ROWS)))
 
 
+_GROUP_SIZE_MEMO: dict = {}
+
+
 def largest_group(df: DataFrame, part_cols=()) -> int:
     """Rows in the largest group of ``part_cols`` (the whole table when
-    empty)."""
+    empty). Memoised per (plan, groups) in this process: the answer only
+    picks between two exact strategies, so a stale value costs speed, never
+    correctness."""
     part_cols = list(part_cols)
+    probe = df.select(*part_cols) if part_cols else df.select(F.lit(1).alias("_one"))
+    try:
+        key = (probe.semanticHash(), tuple(part_cols))
+    except Exception:  # e.g. a plan Spark cannot hash
+        key = None
+    if key is not None and key in _GROUP_SIZE_MEMO:
+        return _GROUP_SIZE_MEMO[key]
     if not part_cols:
-        return int(df.select(F.lit(1)).count())
-    top = (df.select(*part_cols).groupBy(*part_cols).agg(F.count(F.lit(1)).alias("_n"))
-           .agg(F.max("_n")).first()[0])
-    return int(top or 0)
+        top = probe.count()
+    else:
+        top = probe.groupBy(*part_cols).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0]
+    top = int(top or 0)
+    if key is not None:
+        if len(_GROUP_SIZE_MEMO) > 4096:
+            _GROUP_SIZE_MEMO.clear()
+        _GROUP_SIZE_MEMO[key] = top
+    return top
 
 
 def fits_one_task(df: DataFrame, part_cols=()) -> bool:
@@ -182,6 +199,19 @@ def next_in_order(df: DataFrame, order_col: str, part_cols=(),
     return patched.select(*names, F.coalesce(F.col("_next"), fix).alias(next_col))
 
 
+def with_row_number(df: DataFrame, order_cols, part_cols=(), out: str = "pos") -> DataFrame:
+    """``df`` plus the 0-based row number inside each group in the order
+    ``order_cols`` (unique within a group). A window when the largest group
+    fits one task, else the two-pass prefix sum joined back on the key."""
+    part_cols, order_cols = list(part_cols), list(order_cols)
+    if fits_one_task(df, part_cols):
+        w = (Window.partitionBy(*part_cols) if part_cols else Window).orderBy(*order_cols)
+        return df.withColumn(out, (F.row_number().over(w) - 1).cast("bigint"))
+    rn = prefix_offsets(df, order_cols, None, offset_col=out, part_cols=part_cols,
+                        num_partitions=_num_partitions(df))
+    return df.join(rn, part_cols + order_cols)
+
+
 def with_next_values(df: DataFrame, order_col: str, value_cols, part_cols=(),
                      prefix: str = "next_") -> DataFrame:
     """``df`` plus LEAD(value) for each of ``value_cols`` over

@@ -45,12 +45,19 @@ def hashed_ids(tokens):
 
 # -- K1 ---------------------------------------------------------------------------
 
-def build_vocab(docs: DataFrame, text="text") -> DataFrame:
+def build_vocab(docs: DataFrame, text="text", materialize_counts: bool = True) -> DataFrame:
     """(token, cnt, id): ids by frequency (desc), ties by token, after the
-    reserved ids. Counting is a partial aggregate; the ranking is the
-    range-partitioned prefix sum (no single-task window)."""
+    reserved ids. Counting is a partial aggregate over all tokens of all
+    texts; the per-token counts are written once (an artefact in the shared
+    checkpoint folder), so ranking and size checks read that small table
+    instead of re-tokenising the corpus; the ranking is the size-checked
+    prefix sum (window or two-pass)."""
     counts = (docs.select(F.explode(word_tokens(F.col(text))).alias("token"))
               .groupBy("token").agg(F.count(F.lit(1)).alias("cnt")))
+    if materialize_counts:
+        from ..session import materialize
+
+        counts = materialize(counts, "token-counts")
     ranked = prefix_offsets(counts.withColumn("neg_cnt", -F.col("cnt")), ["neg_cnt", "token"], None,
                             offset_col="rank")
     return ranked.select("token", (-F.col("neg_cnt")).alias("cnt"), (F.col("rank") + N_SPECIAL).alias("id"))
@@ -61,10 +68,7 @@ def tokenize_corpus(docs: DataFrame, id_col="doc_id", text="text", max_length=51
     """text -> ids through the vocabulary, truncated to ``max_length``.
     Output per row: ids, n_tokens, n_kept, truncated."""
     if vocab is None:
-        # the vocabulary is an artefact: written once, then size-checked
-        from ..session import materialize
-
-        vocab = materialize(build_vocab(docs, text), "vocab")
+        vocab = build_vocab(docs, text)
     # every token is counted; the ids kept by truncation (the first
     # max_length) are mapped through the vocabulary
     base = docs.select(id_col, *keep, word_tokens(F.col(text)).alias("_t"))

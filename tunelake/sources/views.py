@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.order import prefix_offsets, with_next_values
+from ..functions.order import with_next_values, with_row_number
 
 TABLES = ("region nation customer supplier part orders lineitem events documents "
           "embeddings pages benchmark labels conversations").split()
@@ -88,12 +88,11 @@ class Views:
     def seq(self) -> DataFrame:
         """Long-form token table (seq_id, pos, token_id, logp, ref_logp, val,
         score); pos is the 0-based position inside the order."""
-        li = self.t("lineitem")
+        li = self.t("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
+                                        "l_discount", "l_tax", "l_quantity")
         o = self.t("orders").select("o_orderkey", "o_totalprice")
-        pos = prefix_offsets(li, ["l_linenumber", "l_partkey", "l_suppkey"], None,
-                             offset_col="pos", part_cols=["l_orderkey"])
-        return (li.join(pos, ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"])
-                .join(o, F.col("l_orderkey") == F.col("o_orderkey"))
+        li = with_row_number(li, ["l_linenumber", "l_partkey", "l_suppkey"], ["l_orderkey"], out="pos")
+        return (li.join(o, F.col("l_orderkey") == F.col("o_orderkey"))
                 .select(F.col("l_orderkey").alias("seq_id"), F.col("pos").cast("bigint").alias("pos"),
                         (F.col("l_partkey") % 1000).cast("bigint").alias("token_id"),
                         F.log(F.lit(0.05) + F.col("l_discount")).alias("logp"),
