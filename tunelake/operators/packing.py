@@ -31,11 +31,18 @@ def _bfd_schema(key_type):
                          T.StructField("total", T.LongType())])
 
 
-def pack_bfd(lengths: DataFrame, seq="seq_id", length="length", capacity=512, n_shards=64) -> DataFrame:
+SHARD_ROWS = 1_000_000  # sequences per packing shard (one pandas group)
+
+
+def pack_bfd(lengths: DataFrame, seq="seq_id", length="length", capacity=512,
+             n_shards: int | None = None) -> DataFrame:
     """Best-fit-decreasing bins of ``capacity`` per shard (hash of the
     sequence id). Sequences longer than the capacity are truncated first.
-    Each shard holds about 1/n_shards of the sequences, so ``n_shards``
-    bounds the memory of one group; 1 shard = the exact global packing."""
+    Each shard holds about 1/n_shards of the sequences; by default the
+    shard count follows the row count (one number to the driver) so a shard
+    never exceeds SHARD_ROWS sequences; 1 shard = the exact global packing."""
+    if n_shards is None:
+        n_shards = max(1, -(-lengths.count() // SHARD_ROWS))
     key_type = lengths.schema[seq].dataType
     prepared = lengths.select(
         seq, F.least(F.col(length), F.lit(capacity)).cast("bigint").alias("_len"),

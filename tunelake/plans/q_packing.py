@@ -31,7 +31,7 @@ def q_pack_bfd(spark, sf_dir):
     # (capacity, every sequence exactly once) in tests/test_packing.py
     seq = Views(spark, sf_dir).seq()
     lengths = seq.groupBy("seq_id").agg(F.count(F.lit(1)).alias("length"))
-    return PK.pack_bfd(lengths, capacity=16, n_shards=8).select(
+    return PK.pack_bfd(lengths, capacity=16).select(
         "shard", "bin_id", F.size("seq_ids").alias("n_seqs"), "total")
 
 
