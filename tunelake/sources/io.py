@@ -63,8 +63,13 @@ def write_csv_table(df: DataFrame, path: str, quote_all: bool = True) -> str:
 
 
 def read_csv_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """Read a table written by ``write_csv_table`` back. Every field is
+    quoted, so an empty field is the empty string; a null written with
+    ``quoteAll`` is indistinguishable from it and also reads back as ''
+    (result tables hold cleaned text, where null already means '')."""
     return (spark.read.schema(schema).option("header", True).option("multiLine", True)
-            .option("escape", "\\").csv(path))
+            .option("escape", "\\").option("nullValue", "\u0000").option("emptyValue", "")
+            .csv(path))
 
 
 def named_eval_sets(sets: dict, prep=None, name_col: str = "eval_name") -> DataFrame:
