@@ -41,3 +41,29 @@ def test_kl_pairs_never_own_completion(spark):
         assert out.groupby("batch_id")["kl_row_id"].nunique().eq(out.groupby("batch_id").size()).all()
     # 101 rows in batches of 8: the last batch has 5 rows, none dropped
     assert len(out) == 101
+
+
+def _bfd_brute(items, capacity):
+    """Plain best-fit-decreasing: scan every open bin for the tightest fit."""
+    bins = []  # [remaining, [ids]]
+    for sid, ln in sorted(items, key=lambda x: (-x[1], x[0])):
+        best = None
+        for b, (rem, _) in enumerate(bins):
+            if rem >= ln and (best is None or rem < bins[best][0]):
+                best = b
+        if best is None:
+            bins.append([capacity - ln, [sid]])
+        else:
+            bins[best][0] -= ln
+            bins[best][1].append(sid)
+    return [ids for _, ids in bins]
+
+
+def test_bfd_equals_brute_force(spark):
+    import random
+
+    rnd = random.Random(5)
+    items = [(i, rnd.randint(1, 20)) for i in range(300)]
+    df = spark.createDataFrame(items, ["seq_id", "length"])
+    got = pack_bfd(df, capacity=32, n_shards=1).toPandas().sort_values("bin_id")
+    assert [list(x) for x in got["seq_ids"]] == _bfd_brute(items, 32)
