@@ -4,7 +4,6 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import functions as F
 
 from tunelake.operators import losses as R
 from tunelake.operators import packing as PK

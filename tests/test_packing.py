@@ -2,7 +2,6 @@
 
 from collections import Counter
 
-from pyspark.sql import functions as F
 
 from tunelake.operators.packing import kl_mismatch_pairs, pack_bfd, pack_wrapped
 

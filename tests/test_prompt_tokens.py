@@ -1,7 +1,6 @@
 """Prompt templates and token jobs on literal rows (boundaries: blank and
 null context, whitespace kinds, empty arrays, all-pad, truncation modes)."""
 
-from pyspark.sql import functions as F
 
 from tunelake.operators import prompt as P
 from tunelake.operators import tokens as K

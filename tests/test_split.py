@@ -3,7 +3,6 @@ input partitioning."""
 
 import math
 
-from pyspark.sql import functions as F
 
 from tunelake.operators.split import (epoch_batch_plan, ratio_split_exact, ratio_split_hash,
                                       seeded_sample_n, shuffled_full_batches)

@@ -11,8 +11,6 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -187,6 +185,3 @@ def stream_per_prompt_stats(spark, sf_dir, buffer_size=16, min_count=16, batch_e
     return j.select("event_id", ((F.col("reward") - mean) / std).alias("advantage"),
                     own.alias("used_prompt_stats"))
 
-
-__all__ = ["stream_source_copy", "stream_prep", "stream_step_metrics", "stream_running_delta",
-           "stream_per_prompt_stats", "os"]
