@@ -9,7 +9,7 @@ is a per-example greedy cosine match over token embeddings."""
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -23,15 +23,26 @@ def whitespace_tokens(c):
     return F.filter(F.split(strip_ws(c), r"\s+"), lambda t: t != "")
 
 
-def _ngram_structs(toks, side: str):
-    """All n-grams (n = 1..MAX_N) of a token array as (n, gram, side)
-    structs. ``sequence(1, 0)`` is [1, 0] in Spark, so short rows are guarded."""
-    return F.flatten(F.transform(F.sequence(F.lit(1), F.lit(MAX_N)), lambda n: F.when(
-        F.size(toks) >= n, F.transform(
-            F.sequence(F.lit(1), F.size(toks) - n + 1),
-            lambda i: F.struct(n.alias("n"), F.array_join(F.slice(toks, i, n), " ").alias("gram"),
-                               F.lit(side).alias("side"))))
-        .otherwise(F.array().cast("array<struct<n:int,gram:string,side:string>>"))))
+def _ngram_rows(base: DataFrame, keys, pred_col: str, ref_col: str) -> DataFrame:
+    """(keys, side, n, gram) rows for n = 1..MAX_N of both token arrays.
+    Tokens are exploded with their position and the following tokens come
+    from ``lead`` over a window per (row, side); that window reuses the
+    hash partitioning by the row key, so it adds no shuffle, and no
+    per-element lambda runs."""
+    sides = base.select(*keys, F.explode(F.array(
+        F.struct(F.lit("p").alias("side"), F.col(pred_col).alias("toks")),
+        F.struct(F.lit("r").alias("side"), F.col(ref_col).alias("toks")))).alias("s"))
+    toks = sides.select(*keys, F.col("s.side").alias("side"), F.posexplode("s.toks").alias("pos", "tok"))
+    w = Window.partitionBy(*keys, "side").orderBy("pos")
+    nxt = [F.lead("tok", k).over(w) for k in range(1, MAX_N)]
+    toks = toks.select(*keys, "side", "tok", *[c.alias(f"_l{k}") for k, c in enumerate(nxt, start=1)])
+    grams = [F.struct(F.lit(1).alias("n"), F.col("tok").alias("gram"))]
+    for n in range(2, MAX_N + 1):
+        parts = [F.col("tok")] + [F.col(f"_l{k}") for k in range(1, n)]
+        grams.append(F.struct(F.lit(n).alias("n"),
+                              F.when(F.col(f"_l{n - 1}").isNotNull(), F.concat_ws(" ", *parts)).alias("gram")))
+    out = toks.select(*keys, "side", F.explode(F.array(*grams)).alias("g"))
+    return out.select(*keys, "side", "g.n", "g.gram").where(F.col("gram").isNotNull())
 
 
 def sentence_bleu(df: DataFrame, keys=("row_id", "model"), prediction="prediction",
@@ -40,17 +51,17 @@ def sentence_bleu(df: DataFrame, keys=("row_id", "model"), prediction="predictio
     counts, brevity penalty, smoothing method 1; 0 when no unigram matches.
 
     One shuffle: rows are hash partitioned by their key, then both sides'
-    n-grams are exploded and counted per (key, n, gram), clipped per
-    (key, n) and combined per key - all aggregations are satisfied by that
-    partitioning, so no n-gram table is shuffled or joined."""
+    n-grams are generated and counted per (key, n, gram), clipped per
+    (key, n) and combined per key - the window and all aggregations are
+    satisfied by that partitioning, so no n-gram table is shuffled or
+    joined."""
     keys = list(keys)
     base = (df.withColumn("_p", whitespace_tokens(prediction))
             .withColumn("_r", whitespace_tokens(reference))
             .repartition(*keys))
-    grams = base.select(*keys, F.explode(F.concat(_ngram_structs(F.col("_p"), "p"),
-                                                  _ngram_structs(F.col("_r"), "r"))).alias("g"))
-    per_gram = grams.groupBy(*keys, "g.n", "g.gram").agg(
-        F.count_if(F.col("g.side") == "p").alias("pc"), F.count_if(F.col("g.side") == "r").alias("rc"))
+    grams = _ngram_rows(base, keys, "_p", "_r")
+    per_gram = grams.groupBy(*keys, "n", "gram").agg(
+        F.count_if(F.col("side") == "p").alias("pc"), F.count_if(F.col("side") == "r").alias("rc"))
     per_n = per_gram.groupBy(*keys, "n").agg(F.sum(F.least("pc", "rc")).alias("num"))
     per_key = per_n.groupBy(*keys).agg(*[F.sum(F.when(F.col("n") == k, F.col("num"))).alias(f"_num{k}")
                                          for k in range(1, MAX_N + 1)])
