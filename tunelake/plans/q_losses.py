@@ -111,7 +111,7 @@ def _jsd_sql() -> str:
             a, b = f"(ls[i] + {l1b!r})", f"(lt[i] + {lb!r})"
             mix = f"(GREATEST({a}, {b}) + ln(1 + exp(-abs({a} - {b}))))"
             el = f"({beta!r} * exp(lt[i]) * (lt[i] - {mix}) + {1 - beta!r} * exp(ls[i]) * (ls[i] - {mix}))"
-        parts.append(f"""SELECT {beta!r} AS beta, SUM(CASE WHEN lab <> -100 THEN j END) / COUNT_IF(lab <> -100) AS jsd_batchmean,
+        parts.append(f"""SELECT CAST({beta!r} AS DOUBLE) AS beta, SUM(CASE WHEN lab <> -100 THEN j END) / COUNT_IF(lab <> -100) AS jsd_batchmean,
        SUM(CASE WHEN lab <> -100 THEN j END) AS jsd_sum,
        SUM(CASE WHEN lab <> -100 THEN j END) / SUM(CASE WHEN lab <> -100 THEN len(ls) END) AS jsd_mean
 FROM (SELECT lab, ls, list_sum(list_transform(range(1, len(ls) + 1), lambda i: {el})) AS j FROM p) q""")
@@ -211,7 +211,7 @@ def _unp_batch_sql(loss_expr: str, with_kl: bool) -> str:
     src = "u" if with_kl else "unp_logp"
     head = kl if with_kl else ""
     return f"""{head}
-SELECT batch_id, {'ANY_VALUE(kl)' if with_kl else '0.0'} AS kl, SUM({loss_expr}) AS loss_sum,
+SELECT batch_id, {'ANY_VALUE(kl)' if with_kl else 'CAST(0.0 AS DOUBLE)'} AS kl, SUM({loss_expr}) AS loss_sum,
        COUNT_IF(label) AS n_chosen, COUNT_IF(NOT label) AS n_rejected,
        SUM(CASE WHEN label THEN 0.1 * (policy_logp - reference_logp) END) AS chosen_reward_sum,
        SUM(CASE WHEN NOT label THEN 0.1 * (policy_logp - reference_logp) END) AS rejected_reward_sum

@@ -33,8 +33,8 @@ def profile_dataset(df: DataFrame) -> DataFrame:
         aggs.append(F.count_if(F.col(c).isNull()).alias(f"{c}_nulls"))
         if isinstance(f.dataType, T.StringType):
             aggs += [F.count_if(F.col(c).isNotNull() & is_blank(c)).alias(f"{c}_blank"),
-                     F.min(F.length(c)).alias(f"{c}_min_len"),
-                     F.max(F.length(c)).alias(f"{c}_max_len"),
+                     F.min(F.length(c)).cast("bigint").alias(f"{c}_min_len"),
+                     F.max(F.length(c)).cast("bigint").alias(f"{c}_max_len"),
                      F.avg(F.length(c)).alias(f"{c}_avg_len")]
     return df.agg(*aggs)
 
