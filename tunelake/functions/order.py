@@ -303,12 +303,15 @@ def prefix_offsets(df: DataFrame, order_cols, size_col: str | None = None,
     # Tables with one row per non-empty partition.
     gstruct = F.struct(*[F.col(g) for g in groups])
     ostruct = F.struct(*[F.col(g) for g in groups], *[F.col(o) for o in order_cols])
-    lasts = within.groupBy("_pid").agg(
+    # one aggregate gives each partition's first group, last group and the
+    # running total of its last group (one row per partition)
+    bounds = within.groupBy("_pid").agg(
+        F.min_by(gstruct, ostruct).alias("_fg"),
         F.max_by(gstruct, ostruct).alias("_lg"),
         F.max_by(F.col("_in") + F.col("_size"), ostruct).alias("_lt"))
-    firsts = within.groupBy("_pid").agg(F.min_by(gstruct, ostruct).alias("_fg"))
-    base = (firsts.join(lasts.select(F.col("_pid").alias("_q"), "_lg", "_lt"),
-                        (F.col("_fg") == F.col("_lg")) & (F.col("_q") < F.col("_pid")), "left")
+    base = (bounds.select("_pid", "_fg")
+            .join(bounds.select(F.col("_pid").alias("_q"), "_lg", "_lt"),
+                  (F.col("_fg") == F.col("_lg")) & (F.col("_q") < F.col("_pid")), "left")
             .groupBy("_pid").agg(F.coalesce(F.sum("_lt"), F.lit(0)).alias("_base")))
     out = (within.join(F.broadcast(base), "_pid")
            .withColumn(offset_col, (F.col("_in") + F.when(F.col("_firstgrp"), F.col("_base"))
