@@ -57,11 +57,11 @@ def test_rouge_identical_is_one():
 
 def test_bleu_boundaries(spark):
     rows = [(1, "m", "a b c d e", "a b c d e"), (2, "m", "", "a b c"), (3, "m", "x y z", "a b c"),
-            (4, "m", "a b", "a b c d")]
-    df = spark.createDataFrame(rows, ["row_id", "model", "prediction", "reference"])
+            (4, "m", "a b", "a b c d"), (5, "m", None, "a b")]
+    df = spark.createDataFrame(rows, "row_id long, model string, prediction string, reference string")
     got = {r.row_id: r.bleu for r in sentence_bleu(df).collect()}
     assert abs(got[1] - 1.0) < 1e-12
-    assert got[2] == 0.0 and got[3] == 0.0
+    assert got[2] == 0.0 and got[3] == 0.0 and got[5] == 0.0
     # 2 of 4 reference tokens: p1 = p2 = 1, p3 = p4 = 0.1/1 smoothed; brevity exp(1 - 4/2)
     import math
     want = math.exp(1 - 4 / 2) * math.exp((math.log(1) + math.log(1) + 2 * math.log(0.1)) / 4)

@@ -20,7 +20,9 @@ SMOOTH_EPSILON = 0.1  # fixed value: smoothing "method 1" epsilon
 
 
 def whitespace_tokens(c):
-    return F.filter(F.split(strip_ws(c), r"\s+"), lambda t: t != "")
+    """str.split(): whitespace tokens, none for null or blank text."""
+    c = F.col(c) if isinstance(c, str) else c
+    return F.filter(F.split(strip_ws(F.coalesce(c, F.lit(""))), r"\s+"), lambda t: t != "")
 
 
 def _ngram_rows(base: DataFrame, keys, pred_col: str, ref_col: str) -> DataFrame:
