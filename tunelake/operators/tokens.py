@@ -240,6 +240,13 @@ def length_filter_pairs(df: DataFrame, chosen_ids="chosen_ids", rejected_ids="re
     return df.where((F.size(chosen_ids) <= max_length) & (F.size(rejected_ids) <= max_length))
 
 
+def length_filter_report(df: DataFrame, chosen_ids="chosen_ids", rejected_ids="rejected_ids",
+                         max_length=512) -> DataFrame:
+    """Kept and dropped pair counts of ``length_filter_pairs`` (one aggregate)."""
+    fits = (F.size(chosen_ids) <= max_length) & (F.size(rejected_ids) <= max_length)
+    return df.agg(F.count_if(fits).alias("n_kept"), F.count_if(~fits).alias("n_dropped"))
+
+
 # -- K13 ---------------------------------------------------------------------------
 
 def prm_step_labels(df: DataFrame, prompt_ids="prompt_ids", steps_ids="steps_ids", labels="labels",

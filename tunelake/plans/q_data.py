@@ -127,6 +127,13 @@ def q_ratio_split_exact(spark, sf_dir):
     return S.ratio_split_exact(docs, "doc_id").select("doc_id", "split")
 
 
+@register("ratio_split_counts", f"""
+SELECT split, COUNT(*) AS n FROM {sql_split_exact('documents', 'doc_id')} s GROUP BY split""")
+def q_ratio_split_counts(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id")
+    return S.split_counts(S.ratio_split_exact(docs, "doc_id"))
+
+
 @register("ratio_split_hash", f"""
 SELECT doc_id, bucket, CASE WHEN bucket < 800 THEN 'train' WHEN bucket < 900 THEN 'dev' ELSE 'test' END AS split
 FROM (SELECT doc_id, {sql_hex8(sql_md5(42, 'doc_id'))} % 1000 AS bucket FROM documents) t""")

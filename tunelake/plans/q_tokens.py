@@ -244,3 +244,15 @@ def q_length_filter_pairs(spark, sf_dir):
                  K.hashed_ids(K.ws_tokens(F.concat_ws(" ", "prompt", "rejected"))).alias("rejected_ids"))
     return K.length_filter_pairs(t, max_length=96).select(
         "row_id", F.size("chosen_ids").alias("len_chosen"), F.size("rejected_ids").alias("len_rejected"))
+
+
+@register("length_filter_report", f"""
+WITH t AS (SELECT row_id, {sql_hashed(sql_ws("prompt || ' ' || chosen"))} AS c,
+                  {sql_hashed(sql_ws("prompt || ' ' || rejected"))} AS r FROM pref)
+SELECT COUNT_IF(len(c) <= 96 AND len(r) <= 96) AS n_kept, COUNT_IF(NOT (len(c) <= 96 AND len(r) <= 96)) AS n_dropped
+FROM t""", ["pref"])
+def q_length_filter_report(spark, sf_dir):
+    p = Views(spark, sf_dir).pref()
+    t = p.select(K.hashed_ids(K.ws_tokens(F.concat_ws(" ", "prompt", "chosen"))).alias("chosen_ids"),
+                 K.hashed_ids(K.ws_tokens(F.concat_ws(" ", "prompt", "rejected"))).alias("rejected_ids"))
+    return K.length_filter_report(t, max_length=96)
