@@ -207,9 +207,9 @@ def with_row_number(df: DataFrame, order_cols, part_cols=(), out: str = "pos") -
     if fits_one_task(df, part_cols):
         w = (Window.partitionBy(*part_cols) if part_cols else Window).orderBy(*order_cols)
         return df.withColumn(out, (F.row_number().over(w) - 1).cast("bigint"))
-    rn = prefix_offsets(df, order_cols, None, offset_col=out, part_cols=part_cols,
-                        num_partitions=_num_partitions(df))
-    return df.join(rn, part_cols + order_cols)
+    # the ranged pass carries whole rows, so no join back on a key that might repeat
+    return prefix_offsets(df, order_cols, None, offset_col=out, part_cols=part_cols,
+                          num_partitions=_num_partitions(df), keep_columns=True)
 
 
 def with_next_values(df: DataFrame, order_col: str, value_cols, part_cols=(),
@@ -236,12 +236,16 @@ def with_next_values(df: DataFrame, order_col: str, value_cols, part_cols=(),
 
 def prefix_offsets(df: DataFrame, order_cols, size_col: str | None = None,
                    offset_col: str = "offset", part_cols=(),
-                   num_partitions: int | None = None, value_type: str = "bigint") -> DataFrame:
+                   num_partitions: int | None = None, value_type: str = "bigint",
+                   keep_columns: bool = False) -> DataFrame:
     """``(part_cols..., order_cols..., size, offset_col)`` where
     ``offset_col`` is the exclusive running sum of ``size_col`` (1 per row
     when None, i.e. a 0-based row number) inside each group of
     ``part_cols`` (whole table when empty) in the order ``order_cols``.
-    (part_cols, order_cols) must be unique.
+    (part_cols, order_cols) must be unique, unless ``keep_columns`` is set:
+    then every column of ``df`` travels with its row and the result is
+    ``df`` plus ``offset_col`` (ties get distinct, arbitrary offsets, as
+    with a window).
 
     Two passes, no single-task step: rows are range partitioned on
     (group, order), so a hot group spreads over many partitions; running
@@ -252,17 +256,19 @@ def prefix_offsets(df: DataFrame, order_cols, size_col: str | None = None,
     order_cols = list(order_cols)
     n = num_partitions or _num_partitions(df)
     size = F.col(size_col) if size_col else F.lit(1)
+    extra = ([c for c in df.columns if c not in set(part_cols) | set(order_cols) | {size_col}]
+             if keep_columns else [])
     if num_partitions is None and fits_one_task(df, part_cols):
         w = ((Window.partitionBy(*part_cols) if part_cols else Window).orderBy(*order_cols)
              .rowsBetween(Window.unboundedPreceding, -1))
-        out = df.select(*part_cols, *order_cols, size.cast(value_type).alias("_size"))
+        out = df.select(*part_cols, *order_cols, *extra, size.cast(value_type).alias("_size"))
         out = out.withColumn(offset_col, F.coalesce(F.sum("_size").over(w), F.lit(0)).cast(value_type))
         out = out.withColumnRenamed("_size", size_col) if size_col else out.drop("_size")
         return out
     if not part_cols:
         df = df.withColumn("_g0", F.lit(0))
     groups = part_cols or ["_g0"]
-    keys = df.select(*groups, *order_cols, size.cast(value_type).alias("_size"))
+    keys = df.select(*groups, *order_cols, *extra, size.cast(value_type).alias("_size"))
     in_type = T.DoubleType() if value_type == "double" else T.LongType()
     np_type = "float64" if value_type == "double" else "int64"
     schema = T.StructType(list(keys.schema.fields) + [

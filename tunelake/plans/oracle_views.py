@@ -34,7 +34,8 @@ SELECT conv_id, turn AS step, text AS completion, CAST(LENGTH(text) % 2 AS BIGIN
 FROM conversations WHERE role = 'assistant'"""),
     "seq": ((), """
 SELECT l_orderkey AS seq_id,
-       CAST(ROW_NUMBER() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) - 1 AS BIGINT) AS pos,
+       CAST(ROW_NUMBER() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey,
+                                              l_quantity, l_discount, l_tax) - 1 AS BIGINT) AS pos,
        CAST(l_partkey % 1000 AS BIGINT) AS token_id,
        LN(0.05 + l_discount) AS logp, LN(0.05 + l_tax) AS ref_logp,
        LN(l_quantity + 1) / 4 AS val, LN(o_totalprice) - 11 AS score

@@ -91,7 +91,9 @@ class Views:
         li = self.t("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
                                         "l_discount", "l_tax", "l_quantity")
         o = self.t("orders").select("o_orderkey", "o_totalprice")
-        li = with_row_number(li, ["l_linenumber", "l_partkey", "l_suppkey"], ["l_orderkey"], out="pos")
+        # the key is unique from sf0.01 up; the value columns break the rare ties
+        li = with_row_number(li, ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_discount", "l_tax"],
+                             ["l_orderkey"], out="pos")
         return (li.join(o, F.col("l_orderkey") == F.col("o_orderkey"))
                 .select(F.col("l_orderkey").alias("seq_id"), F.col("pos").cast("bigint").alias("pos"),
                         (F.col("l_partkey") % 1000).cast("bigint").alias("token_id"),
