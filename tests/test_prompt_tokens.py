@@ -61,3 +61,10 @@ def test_assistant_mask_requires_messages(spark):
     df = spark.createDataFrame([("x",)], ["messages"])
     with pytest.raises(ValueError):
         K.assistant_mask(df)
+
+
+def test_truncate_sequence_modes(spark):
+    df = spark.createDataFrame([(list(range(6)),), ([1],)], "input_ids array<bigint>")
+    head = [r.input_ids for r in K.truncate_sequence(df, max_length=4, mode="keep_start").collect()]
+    tail = [r.input_ids for r in K.truncate_sequence(df, max_length=4, mode="keep_end").collect()]
+    assert head == [[0, 1, 2, 3], [1]] and tail == [[2, 3, 4, 5], [1]]

@@ -234,6 +234,21 @@ def truncate_pair(df: DataFrame, prompt_ids="prompt_ids", chosen_ids="chosen_ids
             .withColumnRenamed("_r", rejected_ids))
 
 
+def truncate_sequence(df: DataFrame, ids="input_ids", max_length=512, mode="keep_end", out=None) -> DataFrame:
+    """Single-sequence truncation: ``keep_start`` keeps the head,
+    ``keep_end`` the tail (e.g. separate limits for encoder inputs and
+    decoder labels are two calls)."""
+    c = F.col(ids)
+    if mode == "keep_start":
+        cut = F.slice(c, 1, max_length)
+    elif mode == "keep_end":
+        n = F.least(F.size(c), F.lit(max_length))
+        cut = F.when(F.size(c) > max_length, F.slice(c, F.size(c) - n + 1, n)).otherwise(c)
+    else:
+        raise ValueError(f"unknown truncation mode {mode}")
+    return df.withColumn(out or ids, cut)
+
+
 def length_filter_pairs(df: DataFrame, chosen_ids="chosen_ids", rejected_ids="rejected_ids",
                         max_length=512) -> DataFrame:
     """Keep pairs whose both sides fit; never truncate."""
