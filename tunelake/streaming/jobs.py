@@ -28,9 +28,19 @@ def _stream_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return stream_source(spark, sf_dir, schema, glob=f"{name}.parquet")
 
 
-def _drain(stream_df: DataFrame, name: str) -> DataFrame:
+def _state_paths(spark: SparkSession, name: str, state_path: str | None):
+    """(output folder, checkpoint folder). A given ``state_path`` makes a job
+    resumable: a restart with the same path continues from its checkpoint
+    and processes only new input."""
+    if state_path:
+        base = state_path.rstrip("/")
+        return f"{base}/output", f"{base}/checkpoint"
+    return scratch_path(spark, f"{name}-out"), scratch_path(spark, f"{name}-ckpt")
+
+
+def _drain(stream_df: DataFrame, name: str, state_path: str | None = None) -> DataFrame:
     spark = stream_df.sparkSession
-    out, ck = scratch_path(spark, f"{name}-out"), scratch_path(spark, f"{name}-ckpt")
+    out, ck = _state_paths(spark, name, state_path)
     run_available_now(stream_df, out, ck)
     return spark.read.parquet(out)
 
@@ -65,7 +75,7 @@ def _epoch_writer(path: str):
 
 # -- X2 ------------------------------------------------------------------------------------
 
-def stream_step_metrics(spark, sf_dir, logging_steps=50) -> DataFrame:
+def stream_step_metrics(spark, sf_dir, logging_steps=50, state_path: str | None = None) -> DataFrame:
     """Every ``logging_steps`` steps the mean loss since the last log,
     rounded to 4 places; nothing at step 0; a trailing incomplete window is
     not logged. Each micro-batch writes partial (sum, count) per log window;
@@ -74,7 +84,7 @@ def stream_step_metrics(spark, sf_dir, logging_steps=50) -> DataFrame:
         F.col("event_id").alias("step"), F.log(F.col("value") + 1).alias("loss"))
     s = s.where(F.col("step") >= 1).withColumn(
         "window_id", F.floor((F.col("step") - 1) / logging_steps).cast("bigint"))
-    partial_path = scratch_path(spark, "stepmetrics")
+    partial_path, ckpt = _state_paths(spark, "stepmetrics", state_path)
     write = _epoch_writer(partial_path)
 
     def per_batch(df, epoch_id):
@@ -82,7 +92,7 @@ def stream_step_metrics(spark, sf_dir, logging_steps=50) -> DataFrame:
                                           F.max("step").alias("max_step")), epoch_id)
 
     q = (s.writeStream.foreachBatch(per_batch)
-         .option("checkpointLocation", scratch_path(spark, "stepmetrics-ckpt"))
+         .option("checkpointLocation", ckpt)
          .trigger(availableNow=True).start())
     q.awaitTermination()
     parts = spark.read.parquet(partial_path)
@@ -95,7 +105,7 @@ def stream_step_metrics(spark, sf_dir, logging_steps=50) -> DataFrame:
 
 # -- X3 ------------------------------------------------------------------------------------
 
-def stream_running_delta(spark, sf_dir, beta=0.1) -> DataFrame:
+def stream_running_delta(spark, sf_dir, beta=0.1, state_path: str | None = None) -> DataFrame:
     """Running mean of all rewards up to and including each training batch
     (the BCO delta), across micro-batches: each micro-batch writes its
     per-batch (sum, count) partials; delta = cumulative sums in batch order
@@ -103,14 +113,14 @@ def stream_running_delta(spark, sf_dir, beta=0.1) -> DataFrame:
     li = _stream_table(spark, sf_dir, "lineitem").select(
         F.floor(F.col("l_orderkey") / 100.0).cast("bigint").alias("batch_id"),
         (beta * (F.log(F.lit(0.05) + F.col("l_discount")) - F.log(F.lit(0.05) + F.col("l_tax")))).alias("reward"))
-    partial_path = scratch_path(spark, "running-delta")
+    partial_path, ckpt = _state_paths(spark, "running-delta", state_path)
     write = _epoch_writer(partial_path)
 
     def per_batch(df, epoch_id):
         write(df.groupBy("batch_id").agg(F.sum("reward").alias("s"), F.count(F.lit(1)).alias("n")), epoch_id)
 
     q = (li.writeStream.foreachBatch(per_batch)
-         .option("checkpointLocation", scratch_path(spark, "running-delta-ckpt"))
+         .option("checkpointLocation", ckpt)
          .trigger(availableNow=True).start())
     q.awaitTermination()
     sums = spark.read.parquet(partial_path).groupBy("batch_id").agg(F.sum("s").alias("_s"), F.sum("n").alias("_n"))
@@ -165,7 +175,8 @@ def _per_prompt(buffer_size):
     return fn
 
 
-def stream_per_prompt_stats(spark, sf_dir, buffer_size=16, min_count=16, batch_events=1000) -> DataFrame:
+def stream_per_prompt_stats(spark, sf_dir, buffer_size=16, min_count=16, batch_events=1000,
+                            state_path: str | None = None) -> DataFrame:
     """Per-prompt statistics with streaming state (last ``buffer_size``
     rewards and a count per prompt), then the advantage: the prompt's own
     statistics once it has ``min_count`` rewards, else the batch's global
@@ -176,7 +187,7 @@ def stream_per_prompt_stats(spark, sf_dir, buffer_size=16, min_count=16, batch_e
         F.log(F.col("value") + 1).alias("reward"))
     stats = ev.groupBy("prompt_id").applyInPandasWithState(
         _per_prompt(buffer_size), _X4_OUT, _X4_STATE, "append", "NoTimeout")
-    out = _drain(stats, "per-prompt")
+    out = _drain(stats, "per-prompt", state_path)
     glob = out.groupBy("batch_id").agg(F.avg("reward").alias("_gm"), F.stddev_pop("reward").alias("_gs"))
     j = out.join(glob, "batch_id")
     own = F.col("seen") >= min_count
