@@ -181,6 +181,9 @@ def next_in_order(df: DataFrame, order_col: str, part_cols=(),
             tail["_last"] = True
             yield tail
 
+    from ..session import ship_package
+
+    ship_package(df.sparkSession)
     linked = (keys.repartitionByRange(n, *[F.col(c) for c in names])
               .sortWithinPartitions(*names)
               .mapInPandas(link, schema))
@@ -303,6 +306,9 @@ def prefix_offsets(df: DataFrame, order_cols, size_col: str | None = None,
             carry_key = keys_t[-1]
             yield out
 
+    from ..session import ship_package
+
+    ship_package(df.sparkSession)
     within = (keys.repartitionByRange(n, *groups, *order_cols)
               .sortWithinPartitions(*groups, *order_cols)
               .mapInPandas(running, schema))

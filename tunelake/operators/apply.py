@@ -33,6 +33,9 @@ def batch_apply_model(df: DataFrame, models: dict, id_col="row_id", input_cols=(
     ``models`` (name -> factory). Rows are copied once per model by an
     explode of the model names (no join) and each task applies the model
     of its rows."""
+    from ..session import ship_package
+
+    ship_package(df.sparkSession)
     names = list(models)
     cols = [id_col, *input_cols]
     long = df.select(*cols).withColumn(

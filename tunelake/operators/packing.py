@@ -41,6 +41,9 @@ def pack_bfd(lengths: DataFrame, seq="seq_id", length="length", capacity=512,
     Each shard holds about 1/n_shards of the sequences; by default the
     shard count follows the row count (one number to the driver) so a shard
     never exceeds SHARD_ROWS sequences; 1 shard = the exact global packing."""
+    from ..session import ship_package
+
+    ship_package(lengths.sparkSession)
     if n_shards is None:
         n_shards = max(1, -(-lengths.count() // SHARD_ROWS))
     key_type = lengths.schema[seq].dataType

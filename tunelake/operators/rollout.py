@@ -130,6 +130,9 @@ def gae(tok: DataFrame, seq="seq_id", pos="pos", reward="reward", value="val", g
     The rows of a sequence travel as one sorted array (all columns), the
     recursion fills an array of advantages, and both are exploded back - one
     shuffle, no join back to the input."""
+    from ..session import ship_package
+
+    ship_package(tok.sparkSession)
     others = [c for c in tok.columns if c not in (seq, pos)]
     arr = tok.groupBy(seq).agg(F.array_sort(F.collect_list(F.struct(pos, *others))).alias("_a"))
     arr = arr.withColumn("_adv", _gae_udf(gamma, lam)(

@@ -131,6 +131,9 @@ def _rouge_udf(use_stemmer: bool):
 
 def rouge_l(df: DataFrame, prediction="prediction", reference="reference", out="rouge_l",
             use_stemmer: bool = True) -> DataFrame:
+    from ..session import ship_package
+
+    ship_package(df.sparkSession)
     return df.withColumn(out, _rouge_udf(use_stemmer)(F.col(prediction), F.col(reference)))
 
 

@@ -72,3 +72,33 @@ def materialize(df, name: str):
     path = scratch_path(spark, name)
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
+
+
+_SHIPPED: set = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``tunelake`` importable in the Python workers of this
+    application (pandas UDFs and ``mapInPandas`` functions refer to its
+    modules): zip the package once and register it with ``addPyFile``, the
+    same mechanism as ``spark-submit --py-files``; Spark serves the file to
+    every executor."""
+    import zipfile
+
+    sc = spark.sparkContext
+    key = sc.applicationId
+    if key in _SHIPPED:
+        return
+    import tunelake
+
+    root = os.path.dirname(os.path.abspath(tunelake.__file__))
+    folder = tempfile.mkdtemp(prefix="tunelake-pyfiles-")
+    path = os.path.join(folder, "tunelake.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for dirpath, _, files in os.walk(root):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(dirpath, f)
+                    z.write(full, os.path.relpath(full, os.path.dirname(root)))
+    sc.addPyFile(path)
+    _SHIPPED.add(key)

@@ -185,6 +185,9 @@ def stream_per_prompt_stats(spark, sf_dir, buffer_size=16, min_count=16, batch_e
         "event_id", F.col("user_id").alias("prompt_id"),
         F.floor(F.col("event_id") / batch_events).cast("bigint").alias("batch_id"),
         F.log(F.col("value") + 1).alias("reward"))
+    from ..session import ship_package
+
+    ship_package(spark)
     stats = ev.groupBy("prompt_id").applyInPandasWithState(
         _per_prompt(buffer_size), _X4_OUT, _X4_STATE, "append", "NoTimeout")
     out = _drain(stats, "per-prompt", state_path)
