@@ -38,10 +38,25 @@ def _state_paths(spark: SparkSession, name: str, state_path: str | None):
     return scratch_path(spark, f"{name}-out"), scratch_path(spark, f"{name}-ckpt")
 
 
-def _drain(stream_df: DataFrame, name: str, state_path: str | None = None) -> DataFrame:
+def _drain(stream_df: DataFrame, name: str, state_path: str | None = None,
+           state_partitions: int | None = None) -> DataFrame:
     spark = stream_df.sparkSession
     out, ck = _state_paths(spark, name, state_path)
-    run_available_now(stream_df, out, ck)
+    if state_partitions is None:
+        run_available_now(stream_df, out, ck)
+    else:
+        # a stream clones the session conf when it starts (and a restart
+        # reads the count back from its checkpoint), so the caller's
+        # setting is restored right away
+        writer = (stream_df.writeStream.format("parquet").option("path", out)
+                  .option("checkpointLocation", ck).outputMode("append").trigger(availableNow=True))
+        old = spark.conf.get("spark.sql.shuffle.partitions")
+        spark.conf.set("spark.sql.shuffle.partitions", str(state_partitions))
+        try:
+            query = writer.start()
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", old)
+        query.awaitTermination()
     return spark.read.parquet(out)
 
 
@@ -176,7 +191,7 @@ def _per_prompt(buffer_size):
 
 
 def stream_per_prompt_stats(spark, sf_dir, buffer_size=16, min_count=16, batch_events=1000,
-                            state_path: str | None = None) -> DataFrame:
+                            state_path: str | None = None, state_partitions: int | None = None) -> DataFrame:
     """Per-prompt statistics with streaming state (last ``buffer_size``
     rewards and a count per prompt), then the advantage: the prompt's own
     statistics once it has ``min_count`` rewards, else the batch's global
@@ -190,7 +205,10 @@ def stream_per_prompt_stats(spark, sf_dir, buffer_size=16, min_count=16, batch_e
     ship_package(spark)
     stats = ev.groupBy("prompt_id").applyInPandasWithState(
         _per_prompt(buffer_size), _X4_OUT, _X4_STATE, "append", "NoTimeout")
-    out = _drain(stats, "per-prompt", state_path)
+    # one state partition per core by default: the state is tiny per key and
+    # each partition has a fixed start-up cost
+    parts = state_partitions or spark.sparkContext.defaultParallelism
+    out = _drain(stats, "per-prompt", state_path, parts)
     glob = out.groupBy("batch_id").agg(F.avg("reward").alias("_gm"), F.stddev_pop("reward").alias("_gs"))
     j = out.join(glob, "batch_id")
     own = F.col("seen") >= min_count
