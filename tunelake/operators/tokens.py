@@ -60,7 +60,14 @@ def build_vocab(docs: DataFrame, text="text", materialize_counts: bool = True) -
         counts = materialize(counts, "token-counts")
     ranked = prefix_offsets(counts.withColumn("neg_cnt", -F.col("cnt")), ["neg_cnt", "token"], None,
                             offset_col="rank")
-    return ranked.select("token", (-F.col("neg_cnt")).alias("cnt"), (F.col("rank") + N_SPECIAL).alias("id"))
+    vocab = ranked.select("token", (-F.col("neg_cnt")).alias("cnt"), (F.col("rank") + N_SPECIAL).alias("id"))
+    if materialize_counts:
+        # the ranked vocabulary is small: write it too, so the size check and
+        # the broadcast read it instead of ranking twice
+        from ..session import materialize
+
+        vocab = materialize(vocab, "vocab")
+    return vocab
 
 
 def tokenize_corpus(docs: DataFrame, id_col="doc_id", text="text", max_length=512,
