@@ -3,6 +3,7 @@
 import math
 
 import numpy as np
+from pyspark.sql import functions as F
 import pandas as pd
 
 from tunelake.operators import losses as R
@@ -107,3 +108,29 @@ def test_split_last_turn_and_template(spark):
     assert r.completion_text == "<|im_start|>assistant\na<|im_end|>\n" and r.completion_role == "assistant"
     t = P.apply_chat_template(df, add_generation_prompt=True).collect()[0].text
     assert t.endswith("<|im_start|>assistant\n")
+
+
+def test_ppo_losses_by_hand(spark):
+    import math as m
+
+    rows = [(m.log(1.5), 0.0, 1.0, 0.5, 0.3, 1.0), (m.log(0.5), 0.0, -1.0, 0.1, 0.4, 0.0)]
+    df = spark.createDataFrame(rows, ["logp", "old_logp", "advantage", "vpred", "val", "return"])
+    p = G.ppo_policy_loss(df, cliprange=0.2).collect()[0]
+    # row 1: ratio 1.5 -> max(-1.5, -1.2) = -1.2 (clipped); row 2: ratio 0.5 -> max(0.5, 0.8) = 0.8 (clipped)
+    assert math.isclose(p.pg_loss, (-1.2 + 0.8) / 2) and p.pg_clipfrac == 1.0
+    v = G.ppo_value_loss(df, cliprange_value=0.2).collect()[0]
+    # row 1: vpred 0.5 within 0.3 +- 0.2 -> (0.5-1)^2 both; row 2: 0.1 clipped to 0.2 -> max(0.01, 0.04)
+    assert math.isclose(v.vf_loss, 0.5 * (0.25 + 0.04) / 2) and v.vf_clipfrac == 0.5
+    c = G.clipped_surrogate(df.withColumn("advantage", F.col("advantage") * 10), clip_range=0.1).collect()[0]
+    # advantages clamp to +-5; row 1: max(-7.5, -5.5) = -5.5; row 2: max(2.5, 4.5) = 4.5
+    assert math.isclose(c.loss, (-5.5 + 4.5) / 2) and c.clipfrac == 1.0
+
+
+def test_format_profile_precedence(spark):
+    df = spark.createDataFrame(
+        [("s", [1], [2], None, None, None), ("s", None, [2], "p", "c", None), ("s", None, None, "p", "c", "t"),
+         ("s", None, None, None, None, "t"), ("s", None, None, None, None, None)],
+        "source string, labels array<int>, input_ids array<int>, prompt string, completion string, text string")
+    got = {r.format: r.n for r in P.format_profile(df).collect()}
+    assert got == {"labels": 1, "tokenized": 1, "prompt_completion": 1, "language_modeling": 1,
+                   "needs_formatter": 1}
