@@ -134,3 +134,14 @@ def test_format_profile_precedence(spark):
     got = {r.format: r.n for r in P.format_profile(df).collect()}
     assert got == {"labels": 1, "tokenized": 1, "prompt_completion": 1, "language_modeling": 1,
                    "needs_formatter": 1}
+
+
+def test_bert_score_chunks_equal_single_chunk(spark):
+    from tunelake.operators.textmetric import bert_score
+    from tunelake.sources.views import Views
+    from tests.conftest import SF_CHECK
+
+    e = Views(spark, SF_CHECK).emb_tokens()
+    one = {r.example_id: r.bert_f1 for r in bert_score(e, chunk=512).collect()}
+    many = {r.example_id: r.bert_f1 for r in bert_score(e, chunk=2).collect()}
+    assert one.keys() == many.keys() and all(abs(one[k] - many[k]) < 1e-12 for k in one)

@@ -150,19 +150,33 @@ def _dot(a, b):
 
 
 def bert_score(tokens: DataFrame, example="example_id", side="side", emb="embedding",
-               pred_side="pred", ref_side="ref") -> DataFrame:
+               pred_side="pred", ref_side="ref", token="vec_id", chunk: int = 512) -> DataFrame:
     """(example, P, R, F1): P = mean over prediction tokens of the best cosine
     to any reference token, R likewise the other way, F1 harmonic mean.
-    Each token row meets the other side of its example as one array (the
-    tokens of one text), so no pair rows are emitted."""
-    t = tokens.select(example, side, _unit(F.col(emb)).alias("u"))
-    sides = t.groupBy(example, side).agg(F.collect_list("u").alias("others"))
+
+    The other side of an example is cut into chunks of at most ``chunk``
+    vectors (row numbers per example and side), so no collected array grows
+    with the example; each token row is repeated once per chunk of the other
+    side and meets it in an equi-join on (example, chunk), which spreads a
+    hot example over many tasks. The best match is a max over chunks."""
+    from ..functions.order import with_row_number
+
+    t = tokens.select(example, side, token, _unit(F.col(emb)).alias("u"))
+    t = with_row_number(t, [token], [example, side], out="_k").withColumn(
+        "_c", F.floor(F.col("_k") / chunk).cast("bigint"))
+    chunks = t.groupBy(example, side, "_c").agg(F.collect_list("u").alias("others"))
+    n_chunks = t.groupBy(example, side).agg((F.max("_c") + 1).alias("_nc"))
 
     def best(from_side, to_side, name):
-        other = sides.where(F.col(side) == to_side).select(example, "others")
-        return (t.where(F.col(side) == from_side).join(other, example)
-                .select(example, F.array_max(F.transform("others", lambda o: _dot(F.col("u"), o))).alias("b"))
-                .groupBy(example).agg(F.avg("b").alias(name)))
+        other_n = n_chunks.where(F.col(side) == to_side).select(example, "_nc")
+        rep = (t.where(F.col(side) == from_side).join(other_n, example)
+               .select(example, token, "u", F.explode(F.sequence(F.lit(0).cast("bigint"),
+                                                                 F.col("_nc") - 1)).alias("_c")))
+        other = chunks.where(F.col(side) == to_side).select(example, "_c", "others")
+        per_chunk = rep.join(other, [example, "_c"]).select(
+            example, token, F.array_max(F.transform("others", lambda o: _dot(F.col("u"), o))).alias("b"))
+        per_token = per_chunk.groupBy(example, token).agg(F.max("b").alias("b"))
+        return per_token.groupBy(example).agg(F.avg("b").alias(name))
 
     p = best(pred_side, ref_side, "bert_p")
     r = best(ref_side, pred_side, "bert_r")
