@@ -13,3 +13,16 @@ def test_entry_report(spark):
 def test_registry_consistent():
     q, o = E.queries(), E.oracle_sql()
     assert set(o) <= set(q) and len(q) >= 90
+
+
+def test_package_is_shipped(spark):
+    import zipfile
+
+    from tunelake import session
+
+    session._SHIPPED.discard(spark.sparkContext.applicationId)
+    session.ship_package(spark)
+    files = [f for f in spark.sparkContext.listFiles if f.endswith("tunelake.zip")]
+    assert files
+    names = zipfile.ZipFile(files[-1].replace("file:", "")).namelist()
+    assert "tunelake/functions/order.py" in names and "tunelake/streaming/jobs.py" in names

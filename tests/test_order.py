@@ -93,3 +93,19 @@ def test_distributed_paths_equal_window_paths(spark):
     a, b = fast[1].sort_index(), slow[1].sort_index()
     assert ((a.isna() & b.isna()) | (a == b)).all()
     assert (abs(fast[2].sort_index() - slow[2].sort_index()) < 1e-9).all()
+
+
+def test_row_number_with_repeated_key_keeps_rows(spark):
+    """A repeated (group, order) key must not multiply rows on the two-pass
+    path (rows travel whole, nothing is joined back on the key)."""
+    from tunelake.functions.order import with_row_number
+
+    rows = [(1, 5, "a"), (1, 5, "b"), (1, 7, "c"), (2, 1, "d")]
+    df = spark.createDataFrame(rows, ["g", "o", "v"])
+    spark.conf.set("tunelake.window.maxTaskRows", "0")
+    try:
+        out = with_row_number(df, ["o"], ["g"], out="rn").toPandas()
+    finally:
+        spark.conf.unset("tunelake.window.maxTaskRows")
+    assert len(out) == 4 and sorted(out["v"]) == ["a", "b", "c", "d"]
+    assert sorted(out[out.g == 1]["rn"]) == [0, 1, 2] and list(out[out.g == 2]["rn"]) == [0]
