@@ -2,15 +2,23 @@
 
 from __future__ import annotations
 
-from . import dedup, mixing, sharding
+from . import bpe, dedup, jaccard, langid, lm, mixing, pii, secrets, sharding, topk
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
+    "op2_language_id": langid.op2_language_id,
     "op3_shard": sharding.op3_shard,
+    "op4_byte_bpe": bpe.op4_byte_bpe,
+    "op5_ngram_jaccard": jaccard.op5_ngram_jaccard,
     "op6_exact_dedup": dedup.op6_exact_dedup,
+    "op7_topk_search": topk.op7_topk_search,
+    "op8_lm_score": lm.op8_lm_score,
+    "op9_personal_data": pii.op9_personal_data,
+    "op10_secret_scan": secrets.op10_secret_scan,
 }
 
 ORACLES = {
     "op1_mix_sources": mixing.OP1_SQL,
     "op6_exact_dedup": dedup.OP6_SQL,
+    "op7_topk_search": topk.OP7_SQL,
 }

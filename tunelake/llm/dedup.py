@@ -73,8 +73,9 @@ def recipes(docs: DataFrame, ident=identifier) -> DataFrame:
 def decide(docs: DataFrame, ident=identifier) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 of every document."""
     rows = recipes(docs, ident)
-    groups = rows.groupBy("recipe", "ranks").agg(
-        F.max(F.struct("doc_id", "rid")).alias("top"), F.count(F.lit(1)).alias("group_size"))
+    # summed before the shuffle; written, so that Spark may split a large group's rows in the join
+    groups = materialize(rows.groupBy("recipe", "ranks").agg(
+        F.max(F.struct("doc_id", "rid")).alias("top"), F.count(F.lit(1)).alias("group_size")), "recipe-groups")
     return rows.join(groups, ["recipe", "ranks"]).select(
         "doc_id", F.col("top.doc_id").alias("keep_id"), "group_size",
         (F.col("rid") == F.col("top.rid")).alias("kept"), "text_sha256")
