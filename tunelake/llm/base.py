@@ -53,3 +53,12 @@ def uniform(md5: Column) -> Column:
 def null_key(c: Column) -> Column:
     """A string join key that is never null and keeps null apart from every value."""
     return F.when(c.isNull(), F.lit("n")).otherwise(F.concat(F.lit("v"), c.cast("string")))
+
+
+BROADCAST_BYTES = 32 << 20
+
+
+def if_small(df: DataFrame, row_bytes: int, most: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` (a written table) marked for broadcast if its counted rows take at
+    most ``most`` bytes; else as it is, for a shuffle join."""
+    return F.broadcast(df) if df.count() * row_bytes <= most else df

@@ -5,21 +5,22 @@ hashes). Two rows link when 100 * overlap >= THRESHOLD * union.
 
 1. Equal shingle sets are one class; everything below runs on classes, and
    copies only come back at the end.
-2. Size-derived bound: rows that link share a shingle among the first
-   n - ceil(t * n) + 1 of each, in any one order of all shingles. The order
-   takes rare shingles first: workers count shingles in tables of a fixed size
-   over all documents, and cells that are frequent get a level, so that
-   passages of many documents come last. Levels only steer the order; any
-   order finds every link.
-3. Each shingle shared by the first parts of several classes has a hub, the
-   class with the fewest rare shingles. The classes that share such a shingle
-   with a hub make its group, so every pair that may link is in some group.
-4. A group is cut into blocks of bounded size, and each pair of blocks is one
+2. Size-derived bound: let all shingles stand in one order. Rows that link
+   share one of the first n - ceil(t * n) + 1 shingles of each.
+3. The order takes rare shingles first, which keeps candidates few; any order
+   finds every link. It starts from the length of a shingle's words (long
+   words are rare); then the first shingles of all documents are counted, and
+   those that several documents share go last, by their count (kept by cells
+   of a hash in a table of fixed size).
+4. Each first shingle shared by several classes has a hub, the class with the
+   fewest rare shingles. The classes that share such a shingle with a hub make
+   its group, so every pair that may link is in some group.
+5. A group is cut into blocks of bounded size, and each pair of blocks is one
    unit: its overlaps are accumulated as products of column blocks of the
    incidence matrix. Rows that link to the hub are in its component and need
-   no product among each other; the rest meets all rows whose size allows a
-   link. A unit returns the components of its rows as a star, never its pairs.
-5. Components of all stars: alternating stars over the class graph.
+   no product among each other; the rest meets the rows whose size allows a
+   link. A unit returns the components of its rows as stars, never its pairs.
+6. Components of all stars: alternating stars over the class graph.
 
 Results: null, empty and blank texts have no shingle and link with nothing;
 fewer than ``WIDTH`` words make one shingle; rows without an id take part, but
@@ -39,14 +40,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .base import WORD, packed, table, unpacked
+from .base import WORD, if_small, packed, table, unpacked
 from .components import components
 from .words import hashed, split_words
 
 WIDTH = 3
 THRESHOLD = 90
 CELL_BITS = 24
-FREQUENT = 8
+#: Letters beyond this don't make a word rarer.
+LONG_WORD = 40
 CLASS_BITS = 48
 BLOCK_ROWS = 512
 BLOCK_SHINGLES = 1_000_000
@@ -54,21 +56,26 @@ COLUMNS = 2048
 ROWS = 128
 
 
-def shingles(text: bytes | None, width: int = WIDTH) -> np.ndarray:
-    """Sorted distinct hashes of the text's shingles."""
+def in_order(text: bytes | None, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the text's shingles in the order of the text, and the bytes of the words of each."""
     words = split_words(text)
-    if not words:
-        return np.empty(0, np.uint64)
     if len(words) < width:
-        return np.array([xxhash.xxh3_64_intdigest(b" ".join(words), seed=len(words))], np.uint64)
-    h = hashed(words)
-    out = h[:len(h) - width + 1].copy()
+        return (np.array([xxhash.xxh3_64_intdigest(b" ".join(words), seed=len(words))] if words else [], np.uint64),
+                np.zeros(min(1, len(words)), np.int64))
+    h, last = hashed(words), len(words) - width + 1
+    letters = np.minimum(np.fromiter(map(len, words), np.int64, len(words)), LONG_WORD)
+    out, length = h[:last].copy(), letters[:last].copy()
     for i in range(1, width):
-        out = out * np.uint64(0x9E3779B97F4A7C15) + h[i:len(h) - width + 1 + i]
+        out = out * np.uint64(0x9E3779B97F4A7C15) + h[i:last + i]
         out ^= out >> np.uint64(31)
         out *= np.uint64(0xD6E8FEB86659FD93)
-    out ^= out >> np.uint64(32)
-    return np.unique(out)
+        length += letters[i:last + i]
+    return out ^ (out >> np.uint64(32)), length
+
+
+def shingles(text: bytes | None, width: int = WIDTH) -> np.ndarray:
+    """Sorted distinct hashes of the text's shingles."""
+    return np.unique(in_order(text, width)[0])
 
 
 def set_key(grams: np.ndarray) -> bytes:
@@ -84,92 +91,95 @@ def _texts(column):
     return column.cast(pa.binary()).to_pylist()
 
 
-def survey(docs: DataFrame, cell_bits: int = CELL_BITS, width: int = WIDTH) -> DataFrame:
-    """One row per document (doc_id, sha, key, n); and rows (cell, count) of frequent cells of each task."""
-    id_type = docs.schema["doc_id"].dataType.simpleString()
+def prefix_length(n, threshold: int = THRESHOLD):
+    return n - (threshold * n + 99) // 100 + 1
+
+
+def first_shingles(g: np.ndarray, length: np.ndarray, level: np.ndarray | None, threshold: int) -> tuple[np.ndarray, int]:
+    """The first of distinct shingles in the common order, and how many of them have level 0."""
+    often = np.zeros(len(g), np.uint8) if level is None else level[g & np.uint64(len(level) - 1)]
+    order = np.lexsort((g, -length, often))[:prefix_length(len(g), threshold)]
+    return g[order], int((often[order] == 0).sum())
+
+
+def distinct_classes(texts, width: int, most: int = 200_000):
+    """(set key, shingles, lengths, new) of each text; new: not met lately, which only saves work on copies."""
+    seen: set[bytes] = set()
+    for t in texts:
+        g, length = in_order(t, width)
+        g, at = np.unique(g, return_index=True)
+        key = set_key(g) if len(g) else None
+        new = key is not None and key not in seen
+        if new:
+            if len(seen) >= most:
+                seen.clear()
+            seen.add(key)
+        yield key, g, length[at], new
+
+
+def survey(docs: DataFrame, threshold: int = THRESHOLD, width: int = WIDTH) -> DataFrame:
+    """One row per document: doc_id, sha (of the text), key and n of its shingle set, and its first shingles by word
+    length (null where the task has met the set before)."""
     rows = docs.select("doc_id", "text")
-    schema = f"doc_id {id_type}, sha binary, key binary, n long, cell int, count long"
+    id_type = rows.schema["doc_id"].dataType.simpleString()
 
     def scan(batches):
-        seen = np.zeros(1 << cell_bits, np.uint16)
-        total = 0
         for b in batches:
-            out = []
-            for t in _texts(b.column(1)):
-                g = shingles(t, width)
-                cells = g & np.uint64(len(seen) - 1)
-                seen[cells] += seen[cells] < 65535
-                total += len(g)
-                out.append((hashlib.sha256(t or b"").digest(), set_key(g) if len(g) else None, len(g)))
-            none = pa.nulls(len(out))
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array([x[0] for x in out], pa.binary()), pa.array([x[1] for x in out], pa.binary()),
-                 pa.array([x[2] for x in out], pa.int64()), none.cast(pa.int32()), none.cast(pa.int64())],
-                ["doc_id", "sha", "key", "n", "cell", "count"])
-        mean = total / len(seen)
-        cells = np.flatnonzero(seen >= max(3, mean + 6 * mean ** 0.5 + 1))  # more than chance puts together
-        if len(cells):
-            none = pa.nulls(len(cells))
-            yield pa.RecordBatch.from_arrays(
-                [none.cast(b.column(0).type), none.cast(pa.binary()), none.cast(pa.binary()), none.cast(pa.int64()),
-                 pa.array(cells.astype(np.int32)), pa.array(seen[cells].astype(np.int64))],
-                ["doc_id", "sha", "key", "n", "cell", "count"])
-
-    return materialize(rows.mapInArrow(scan, schema), "shingle-survey")
+            texts, out = _texts(b.column(1)), []
+            for t, (key, g, length, new) in zip(texts, distinct_classes(texts, width)):
+                first = first_shingles(g, length, None, threshold)[0].view(np.int64) if new else None
+                out.append((hashlib.sha256(t or b"").digest(), key, len(g), first))
+            kinds = pa.binary(), pa.binary(), pa.int64(), pa.list_(pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0)] + [pa.array([x[i] for x in out], kind) for i, kind in enumerate(kinds)],
+                                             ["doc_id", "sha", "key", "n", "first"])
+
+    return materialize(rows.mapInArrow(scan, f"doc_id {id_type}, sha binary, key binary, n long, first array<bigint>"), "shingle-survey")
 
 
 def levels(surveyed: DataFrame, cell_bits: int = CELL_BITS) -> bytes:
-    """A byte for each cell: 0 if rare, else the logarithm of its count. Its size is fixed."""
-    part = max(0, cell_bits - 8)
+    """A byte for each cell of shingles: 0 if none of them is a first shingle of several sets, else the logarithm of
+    their count. Its size is fixed."""
+    part = min(16, cell_bits)
 
     def pack(key, f):
         out = np.zeros(1 << part, np.uint8)
         out[f["cell"].to_numpy() & ((1 << part) - 1)] = np.log2(f["count"].to_numpy()).astype(np.uint8)
         return pd.DataFrame([{"part": key[0], "levels": out.tobytes()}])
 
-    per = (surveyed.where(F.col("cell").isNotNull()).groupBy("cell").agg(F.sum("count").alias("count"))
-           .where(F.col("count") >= FREQUENT).withColumn("part", F.shiftright("cell", part))
-           .groupBy("part").applyInPandas(pack, "part int, levels binary"))
+    per = (surveyed.select(F.explode("first").alias("gram")).groupBy("gram").count().where(F.col("count") > 1)
+           .groupBy(F.col("gram").bitwiseAND(F.lit((1 << cell_bits) - 1)).cast("int").alias("cell")).agg(F.sum("count").alias("count"))
+           .withColumn("part", F.shiftright("cell", part)).groupBy("part").applyInPandas(pack, "part int, levels binary"))
     out = np.zeros(1 << cell_bits, np.uint8)
-    for r in per.collect():  # at most 256 rows, 2**cell_bits bytes together
+    for r in per.collect():  # a row for each 2**16 cells, 2**cell_bits bytes together
         out[r["part"] << part:(r["part"] + 1) << part] = np.frombuffer(r["levels"], np.uint8)
     return out.tobytes()
 
 
-def prefix_length(n, threshold: int = THRESHOLD):
-    return n - (threshold * n + 99) // 100 + 1
-
-
-def first_parts(docs: DataFrame, level_bytes, threshold: int = THRESHOLD, width: int = WIDTH) -> DataFrame:
-    """(gram, packed) for the first shingles of every document; packed = rare shingles, then class number."""
+def beginnings(docs: DataFrame, level_bytes, threshold: int = THRESHOLD, width: int = WIDTH) -> DataFrame:
+    """(packed, first) of every class (copies may repeat it): number of rare first shingles, then class number."""
     def scan(batches):
         level = np.frombuffer(level_bytes.value, np.uint8)
-        mask = np.uint64(len(level) - 1)
         for b in batches:
-            grams, owners = [], []
-            for t in _texts(b.column(0)):
-                g = shingles(t, width)
-                if len(g):
-                    lev = level[g & mask]
-                    first = np.lexsort((g, lev))[:prefix_length(len(g), threshold)]
-                    number = int.from_bytes(set_key(g)[:CLASS_BITS // 8], "big")
-                    rare = min(int((lev[first] == 0).sum()), (1 << 63 - CLASS_BITS) - 1)
-                    grams.append(g[first])
-                    owners.append(np.full(len(first), rare << CLASS_BITS | number, np.int64))
-            if grams:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(grams).view(np.int64)), pa.array(np.concatenate(owners))],
-                                                 ["gram", "packed"])
+            out = []
+            for key, g, length, new in distinct_classes(_texts(b.column(0)), width):
+                if new:
+                    first, rare = first_shingles(g, length, level, threshold)
+                    rare = min(rare, (1 << 63 - CLASS_BITS) - 1)
+                    out.append((rare << CLASS_BITS | int.from_bytes(key[:CLASS_BITS // 8], "big"), first.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.list_(pa.int64()))],
+                                             ["packed", "first"])
 
-    return materialize(docs.select("text").mapInArrow(scan, "gram long, packed long"), "first-shingles")
+    return materialize(docs.select("text").mapInArrow(scan, "packed long, first array<bigint>"), "beginnings")
 
 
-def groups(entries: DataFrame) -> DataFrame:
+def groups(begun: DataFrame) -> DataFrame:
     """(hub, k): the class numbers of each hub's group, hub included."""
     number = (1 << CLASS_BITS) - 1
-    shared = (entries.groupBy("gram").agg(F.min("packed").alias("hub"), F.max("packed").alias("other"))
-              .where(F.col("hub") != F.col("other")).select("gram", F.col("hub").bitwiseAND(F.lit(number)).alias("hub")))
-    pairs = (entries.join(shared, "gram").select("hub", F.col("packed").bitwiseAND(F.lit(number)).alias("k")).distinct())
-    return materialize(pairs, "groups")
+    entries = begun.select("packed", F.explode("first").alias("gram"))
+    shared = materialize(entries.groupBy("gram").agg(F.min("packed").alias("hub"), F.max("packed").alias("other"))
+                         .where(F.col("hub") != F.col("other")).select("gram", F.col("hub").bitwiseAND(F.lit(number)).alias("hub")), "shared")
+    pairs = entries.join(if_small(shared, 48), "gram").select("hub", F.col("packed").bitwiseAND(F.lit(number)).alias("k"))
+    return materialize(pairs.distinct(), "groups")
 
 
 def overlaps(rows: list[np.ndarray], left: np.ndarray, lo: int, hi: int) -> np.ndarray:
@@ -193,17 +203,16 @@ def overlaps(rows: list[np.ndarray], left: np.ndarray, lo: int, hi: int) -> np.n
     return out.astype(np.int64)
 
 
-def star(keys: list[bytes], rows: list[np.ndarray], hub: int, threshold: int = THRESHOLD) -> list[tuple[bytes, bytes]]:
-    """The components of one unit as (member, representative) pairs. hub: the hub's index."""
-    order = sorted(range(len(rows)), key=lambda i: len(rows[i]))
-    keys, rows, hub = [keys[i] for i in order], [rows[i] for i in order], order.index(hub)
-    sizes = np.array([len(r) for r in rows], np.int64)
+def star(rows: list[np.ndarray], sizes: np.ndarray, hub: int, linked, threshold: int = THRESHOLD) -> np.ndarray:
+    """The component of each row of a unit, as the index of one of its rows. sizes: the rows' numbers of shingles;
+    linked(overlaps, sizes, sizes): which pairs link."""
+    order = np.argsort(sizes, kind="stable")
+    rows, sizes, hub = [rows[i] for i in order], sizes[order], int(np.flatnonzero(order == hub)[0])
 
-    def linked(over, a, b):
-        return 100 * over >= threshold * (a + b - over)
+    def partners(a, b):  # the rows whose size allows a link with sizes a to b
+        return int(np.searchsorted(100 * sizes, threshold * a)), int(np.searchsorted(threshold * sizes, 100 * b, "right"))
 
-    # the rows whose size allows a link with the hub
-    lo, hi = np.searchsorted(100 * sizes, threshold * sizes[hub]), np.searchsorted(threshold * sizes, 100 * sizes[hub], "right")
+    lo, hi = partners(sizes[hub], sizes[hub])
     near = np.zeros(len(rows), bool)
     near[lo:hi] = linked(overlaps(rows, np.array([hub]), lo, hi)[0], sizes[hub], sizes[lo:hi])
     label = np.arange(len(rows))
@@ -211,32 +220,46 @@ def star(keys: list[bytes], rows: list[np.ndarray], hub: int, threshold: int = T
     rest = np.flatnonzero(~near)
     for at in range(0, len(rest), ROWS):
         left = rest[at:at + ROWS]
-        lo = int(np.searchsorted(100 * sizes, threshold * sizes[left[0]]))
-        hi = int(np.searchsorted(threshold * sizes, 100 * sizes[left[-1]], "right"))
-        hit = linked(overlaps(rows, left, lo, hi), sizes[left][:, None], sizes[lo:hi])
+        lo, hi = partners(sizes[left[0]], sizes[left[-1]])
+        fit = (100 * np.minimum(sizes[left][:, None], sizes[lo:hi]) >= threshold * np.maximum(sizes[left][:, None], sizes[lo:hi]))
+        hit = fit & linked(overlaps(rows, left, lo, hi), sizes[left][:, None], sizes[lo:hi])
         for i, own in zip(left, hit):
             joined = np.unique(label[np.append(lo + np.flatnonzero(own), i)])
             if len(joined) > 1:
                 label[np.isin(label, joined)] = joined[0]
-    return [(keys[i], keys[label[i]]) for i in range(len(rows)) if label[i] != i]
+    out = np.empty(len(rows), np.int64)
+    out[order] = order[label]
+    return out
+
+
+def in_units(batches, unit_columns: int, solve, columns):
+    """Calls ``solve(rows)`` for each run of rows that agree in the first ``unit_columns`` columns, and passes on
+    the tuples it returns, as record batches of ``columns`` (name, Arrow type)."""
+    def give(out):
+        return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], kind) for i, (_, kind) in enumerate(columns)],
+                                          [name for name, _ in columns])
+
+    held, now = [], None
+    for b in batches:
+        out = []
+        for row in zip(*(c.to_pylist() for c in b.columns)):
+            if row[:unit_columns] != now:
+                if held:
+                    out += solve(held)
+                held, now = [], row[:unit_columns]
+            held.append(row[unit_columns:])
+        yield give(out)
+    if held:
+        yield give(solve(held))
+
+
+def vectors(docs: DataFrame, surveyed: DataFrame, wanted: DataFrame, width: int = WIDTH) -> DataFrame:
+    """(key, grams): all shingles of the wanted classes, from one document of each."""
+    one = (surveyed.where(F.col("key").isNotNull()).join(if_small(wanted, 48), "key", "left_semi")
+           .groupBy("key").agg(F.min("doc_id").alias("id")))
+    ids = materialize(one, "candidates")
 
-
-def edges(docs: DataFrame, surveyed: DataFrame, pairs: DataFrame, threshold: int = THRESHOLD, width: int = WIDTH,
-          block_rows: int = BLOCK_ROWS, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
-    """(u, v): stars of the classes that link within the groups."""
-    classes = materialize(surveyed.where(F.col("key").isNotNull()).groupBy("key").agg(
-        F.min("doc_id").alias("doc_id"), F.max("n").alias("n")).withColumn("k", class_number(F.col("key"))), "classes")
-    # a number may stand for several classes; then all of them come along
-    members = pairs.join(classes, "k").select("hub", "key", "k", "n")
-    sized = members.groupBy("hub").agg(
-        F.count(F.lit(1)).alias("size"), F.sum("n").alias("total"), F.min("n").alias("least"), F.max("n").alias("most"))
-    # a pair whose sizes rule a link out needs no product
-    sized = sized.where((F.col("size") > 2) | (100 * F.col("least") >= threshold * F.col("most"))).select(
-        "hub", F.greatest(F.ceil(F.col("size") / block_rows), F.ceil(F.col("total") / block_shingles)).cast("int").alias("blocks"))
-    members = materialize(members.join(sized, "hub"), "members")
-    involved = members.select("key").distinct().join(classes.select("key", "doc_id"), "key")
-
-    def vectors(batches):
+    def scan(batches):
         for b in batches:
             out = []
             for key, t in zip(b.column(0).to_pylist(), _texts(b.column(1))):
@@ -245,54 +268,59 @@ def edges(docs: DataFrame, surveyed: DataFrame, pairs: DataFrame, threshold: int
                     out.append((key, g.tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.binary()) for i in (0, 1)], ["key", "grams"])
 
-    ids = involved.select("key", F.col("doc_id").alias("id"))
-    rows = (docs.select("doc_id", "text").join(ids, F.col("doc_id").eqNullSafe(F.col("id"))).select("key", "text")
-            .mapInArrow(vectors, "key binary, grams binary").dropDuplicates(["key"]))
+    rows = docs.select("doc_id", "text").join(if_small(ids, 64), F.col("doc_id").eqNullSafe(F.col("id"))).select("key", "text")
+    found = materialize(rows.mapInArrow(scan, "key binary, grams binary"), "vectors")
+    # a document whose row repeats comes more than once
+    return found if found.count() == ids.count() else materialize(found.dropDuplicates(["key"]), "vectors")
+
+
+def edges(docs: DataFrame, surveyed: DataFrame, pairs: DataFrame, threshold: int = THRESHOLD, width: int = WIDTH,
+          block_rows: int = BLOCK_ROWS, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
+    """(u, v): stars of the classes that link within the groups."""
+    classes = (surveyed.where(F.col("key").isNotNull()).groupBy("key").agg(F.max("n").alias("n"))
+               .withColumn("k", class_number(F.col("key"))))
+    # a number may stand for several classes; then all of them come along
+    members = materialize(classes.join(if_small(pairs, 48), "k").select("hub", "key", (F.col("k") == F.col("hub")).alias("is_hub"), "n"), "members")
+    sized = members.groupBy("hub").agg(
+        F.count(F.lit(1)).alias("size"), F.sum("n").alias("total"), F.min("n").alias("least"), F.max("n").alias("most"))
+    # a pair whose sizes rule a link out needs no product
+    sized = materialize(sized.where((F.col("size") > 2) | (100 * F.col("least") >= threshold * F.col("most"))).select(
+        "hub", F.greatest(F.ceil(F.col("size") / block_rows), F.ceil(F.col("total") / block_shingles)).cast("int").alias("blocks")),
+        "group-sizes")
+    members = materialize(members.join(if_small(sized, 48), "hub"), "members")
+    wanted = materialize(members.select("key").distinct(), "wanted")
     block = F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")
-    is_hub = F.col("k") == F.col("hub")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    units = (members.withColumn("own", block).withColumn("other", other)
+    units = (members.where("not is_hub").withColumn("own", block).withColumn("other", other)
              .withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")))
     # the hub is part of every unit of its group
-    everywhere = (members.where(is_hub).withColumn("i", other)
+    everywhere = (members.where("is_hub").withColumn("i", other)
                   .withColumn("j", F.explode(F.sequence(F.col("i"), F.col("blocks") - 1))))
-    columns = ["hub", "i", "j", "key", is_hub.alias("is_hub")]
-    units = units.where(~is_hub).select(*columns).unionByName(everywhere.select(*columns))
+    columns = ["hub", "i", "j", "key", "is_hub"]
+    units = materialize(units.select(*columns).unionByName(everywhere.select(*columns)), "units")
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = (units.join(materialize(rows, "vectors"), "key").repartition(n, "hub", "i", "j")
-             .sortWithinPartitions("hub", "i", "j").select("hub", "i", "j", "key", "is_hub", "grams"))
-
-    def run(batches):
-        def solve(unit):
-            first = next(x for x, u in enumerate(unit) if u[1])
-            return star([u[0] for u in unit], [np.frombuffer(u[2], np.uint64) for u in unit], first, threshold)
+    dealt = (vectors(docs, surveyed, wanted, width).join(if_small(units, 80), "key").select(*columns, "grams")
+             .repartition(n, "hub", "i", "j").sortWithinPartitions("hub", "i", "j"))
 
-        def give(pairs):
-            return pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], pa.binary()) for i in (0, 1)], ["u", "v"])
+    def linked(over, a, b):
+        return 100 * over >= threshold * (a + b - over)
 
-        unit, now = [], None
-        for b in batches:
-            out = []
-            for hub, i, j, key, is_hub, grams in zip(*(c.to_pylist() for c in b.columns)):
-                if (hub, i, j) != now:
-                    if unit:
-                        out += solve(unit)
-                    unit, now = [], (hub, i, j)
-                unit.append((key, is_hub, grams))
-            yield give(out)
-        if unit:
-            yield give(solve(unit))
+    def solve(rows):
+        own = [np.frombuffer(r[2], np.uint64) for r in rows]
+        hub = next(x for x, r in enumerate(rows) if r[1])
+        label = star(own, np.array([len(v) for v in own], np.int64), hub, linked, threshold)
+        return [(rows[x][0], rows[y][0]) for x, y in enumerate(label) if x != y]
 
-    return dealt.mapInArrow(run, "u binary, v binary")
+    return dealt.mapInArrow(lambda b: in_units(b, 3, solve, [("u", pa.binary()), ("v", pa.binary())]), "u binary, v binary")
 
 
 def roots(docs: DataFrame, threshold: int = THRESHOLD, width: int = WIDTH, **how) -> DataFrame:
     """doc_id, sha, n, root (null without shingles) of every document; rows with equal root are one component."""
-    surveyed = survey(docs, width=width)
+    surveyed = survey(docs, threshold, width)
     level = docs.sparkSession.sparkContext.broadcast(levels(surveyed))  # 2**CELL_BITS bytes
-    pairs = groups(first_parts(docs, level, threshold, width))
+    pairs = groups(beginnings(docs, level, threshold, width))
     found = components(edges(docs, surveyed, pairs, threshold, width, **how), "links")
-    rows = surveyed.where(F.col("cell").isNull())
+    rows = surveyed.select("doc_id", "sha", "n", "key")
     # rows without a key stay out of the joins: they would all meet in one task
     return (rows.where(F.col("key").isNotNull()).join(found.withColumnRenamed("u", "key"), "key", "left")
             .select("doc_id", "sha", "n", F.coalesce("root", "key").alias("root"))
