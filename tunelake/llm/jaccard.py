@@ -31,6 +31,7 @@ are ignored by ``link`` and kept by ``one_per_component``."""
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pandas as pd
@@ -281,10 +282,18 @@ def edges(docs: DataFrame, surveyed: DataFrame, pairs: DataFrame, threshold: int
                .withColumn("k", class_number(F.col("key"))))
     # a number may stand for several classes; then all of them come along
     members = materialize(classes.join(if_small(pairs, 48), "k").select("hub", "key", (F.col("k") == F.col("hub")).alias("is_hub"), "n"), "members")
+    # rows that link are of one band of sizes or of neighbouring ones; a row without such a partner leaves the group
+    members = members.withColumn("band", F.floor(F.log("n") / (math.log(100 / threshold) * (1 + 1e-6)) if threshold < 100 else F.col("n")))
+    counts = members.groupBy("hub", "band").count()
+    partners = materialize(counts.select("hub", "count", F.explode(F.array(F.col("band") - 1, "band", F.col("band") + 1)).alias("band"))
+                           .groupBy("hub", "band").agg(F.sum("count").alias("partners")), "partners")
+    members = (members.join(if_small(partners, 64), ["hub", "band"]).where(F.col("is_hub") | (F.col("partners") > 1))
+               .drop("band", "partners"))
     sized = members.groupBy("hub").agg(
         F.count(F.lit(1)).alias("size"), F.sum("n").alias("total"), F.min("n").alias("least"), F.max("n").alias("most"))
     # a pair whose sizes rule a link out needs no product
-    sized = materialize(sized.where((F.col("size") > 2) | (100 * F.col("least") >= threshold * F.col("most"))).select(
+    fits = (F.col("size") > 2) | (F.col("size") == 2) & (100 * F.col("least") >= threshold * F.col("most"))
+    sized = materialize(sized.where(fits).select(
         "hub", F.greatest(F.ceil(F.col("size") / block_rows), F.ceil(F.col("total") / block_shingles)).cast("int").alias("blocks")),
         "group-sizes")
     members = materialize(members.join(if_small(sized, 48), "hub"), "members")
