@@ -71,41 +71,36 @@ def test_prefix_offsets_row_number(spark):
     assert (got["rn"] == got["o"]).all()
 
 
-def test_distributed_paths_equal_window_paths(spark):
-    """Force the two-pass paths (bound 0 rows) and compare with the window
-    fast path on the same data."""
-    rows = _rows(1500)
-    df = spark.createDataFrame(rows, ["g", "o", "v"]).repartition(4)
-    ids = spark.range(0, 3000).withColumnRenamed("id", "row_id")
-    fast = (hash_rank(ids, "row_id").toPandas().set_index("row_id")["rank"],
-            next_in_order(df, "o", ["g"]).toPandas().set_index(["g", "o"])["next_o"],
-            prefix_offsets(df, ["o"], "v", part_cols=["g"], value_type="double").toPandas()
-            .set_index(["g", "o"])["offset"])
-    spark.conf.set("tunelake.window.maxTaskRows", "0")
-    try:
-        slow = (hash_rank(ids, "row_id").toPandas().set_index("row_id")["rank"],
-                next_in_order(df, "o", ["g"]).toPandas().set_index(["g", "o"])["next_o"],
-                prefix_offsets(df, ["o"], "v", part_cols=["g"], value_type="double").toPandas()
-                .set_index(["g", "o"])["offset"])
-    finally:
-        spark.conf.unset("tunelake.window.maxTaskRows")
-    assert fast[0].sort_index().equals(slow[0].sort_index())
-    a, b = fast[1].sort_index(), slow[1].sort_index()
-    assert ((a.isna() & b.isna()) | (a == b)).all()
-    assert (abs(fast[2].sort_index() - slow[2].sort_index()) < 1e-9).all()
-
-
-def test_row_number_with_repeated_key_keeps_rows(spark):
-    """A repeated (group, order) key must not multiply rows on the two-pass
-    path (rows travel whole, nothing is joined back on the key)."""
+def test_null_groups_and_repeated_keys_as_with_a_window(spark):
     from tunelake.functions.order import with_row_number
 
-    rows = [(1, 5, "a"), (1, 5, "b"), (1, 7, "c"), (2, 1, "d")]
-    df = spark.createDataFrame(rows, ["g", "o", "v"])
-    spark.conf.set("tunelake.window.maxTaskRows", "0")
+    rows = [(None, 1, "a"), (None, 2, "b"), (1, 5, "c"), (1, 5, "d"), (1, 7, None), (2, 1, "e")]
+    df = spark.createDataFrame(rows, "g long, o long, v string")
+    for parts in (1, 3, 8):
+        nxt = with_next_values(df, "o", ["v"], ["g"], num_partitions=parts).collect()
+        assert len(nxt) == 6
+        got = {r["v"]: r["next_v"] for r in nxt}
+        assert got["a"] == "b" and got["b"] is None and got["e"] is None and got[None] is None
+        assert {got["c"], got["d"]} in ({"c", None}, {"d", None})  # the tie in either order, then the null value
+        num = with_row_number(df, ["o"], ["g"], out="rn", total_col="n", num_partitions=parts).collect()
+        assert sorted((str(r["g"]), r["rn"], r["n"]) for r in num) == sorted(
+            [("None", 0, 2), ("None", 1, 2), ("1", 0, 3), ("1", 1, 3), ("1", 2, 3), ("2", 0, 1)])
+    ranks = hash_rank(df, "o", part_cols=["g"]).collect()
+    assert sorted((str(r["g"]), r["rank"]) for r in ranks) == sorted(
+        [("None", 0), ("None", 1), ("1", 0), ("1", 1), ("1", 2), ("2", 0)])
+
+
+def test_right_without_exchange_reuse(spark):
+    df = spark.range(0, 20000).select((F.col("id") % 3).alias("g"), F.col("id").alias("o")).repartition(5)
+    spark.conf.set("spark.sql.exchange.reuse", "false")
     try:
-        out = with_row_number(df, ["o"], ["g"], out="rn").toPandas()
+        out = prefix_offsets(df, ["o"], None, offset_col="rn", part_cols=["g"], num_partitions=16)
+        assert out.where(F.col("rn") != F.floor(F.col("o") / 3)).count() == 0 and out.count() == 20000
     finally:
-        spark.conf.unset("tunelake.window.maxTaskRows")
-    assert len(out) == 4 and sorted(out["v"]) == ["a", "b", "c", "d"]
-    assert sorted(out[out.g == 1]["rn"]) == [0, 1, 2] and list(out[out.g == 2]["rn"]) == [0]
+        spark.conf.unset("spark.sql.exchange.reuse")
+
+
+def test_empty_table(spark):
+    df = spark.createDataFrame([], "g long, o long, v string")
+    assert with_next_values(df, "o", ["v"], ["g"]).collect() == []
+    assert hash_rank(df, "o", total_col="n").collect() == []

@@ -30,9 +30,7 @@ def test_same_result_across_partitionings(spark, name):
         spark.conf.set("spark.sql.shuffle.partitions", "1")
         one = _rows(fn(spark, SF_SMALL))
         spark.conf.set("spark.sql.shuffle.partitions", "7")
-        spark.conf.set("tunelake.window.maxTaskRows", "0")
         dist = _rows(fn(spark, SF_SMALL))
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", old)
-        spark.conf.unset("tunelake.window.maxTaskRows")
     assert base == one == dist

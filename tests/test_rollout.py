@@ -28,3 +28,27 @@ def test_gae_matches_recursion(spark):
         last = rewards[t] + 0.9 * nv - values[t] + 0.9 * 0.8 * last
         want[t] = last
     assert all(abs(got[t] - want[t]) < 1e-12 for t in range(4))
+
+
+def test_pads_have_no_kl_and_rewards_reach_real_tokens_only(spark):
+    # stop at position 1; the two pads have log-probs that must not count
+    tok = [(1, p, t, lp, ref, 0.0, 1.5) for p, (t, lp, ref) in enumerate(
+        [(5, -0.5, -0.7), (1, -0.2, -0.2), (8, -3.0, -0.1), (9, -2.0, -0.1)])]
+    df = spark.createDataFrame(tok, ["seq_id", "pos", "token", "logp", "ref_logp", "val", "score"])
+    shaped = G.shaped_rewards(G.rollout_postprocess(df), score="score_adj", kl_coef=0.05)
+    rows = {r["pos"]: r for r in shaped.collect()}
+    assert [round(rows[i]["reward"], 6) for i in range(4)] == [-0.01, 0.0, 1.5, 0.0]
+    k3 = {r["pos"]: r["reward"] for r in G.shaped_rewards(G.rollout_postprocess(df), score="score_adj", estimator="k3").collect()}
+    import math
+    assert abs(k3[0] + 0.05 * (math.exp(-0.2) - 1 + 0.2)) < 1e-12 and k3[3] == 0.0
+    adv = {r["pos"]: r["advantage"] for r in G.gae(shaped, value="masked_val", gamma=1.0, lam=0.95).collect()}
+    assert [round(adv[i], 6) for i in range(4)] == [round(-0.01 + 1.5 * 0.95 ** 2, 6), 1.425, 1.5, 0.0]
+
+
+def test_epoch_metrics_count_eos_tokens(spark):
+    tok = [(s, p, t, -0.1, -0.2, 0.0, 1.0) for s in (1, 2) for p, t in enumerate([5, 1, 1])]
+    df = spark.createDataFrame(tok, ["seq_id", "pos", "token", "logp", "ref_logp", "val", "score"]).selectExpr("*", "0 as batch_id", "seq_id as minibatch")
+    r = G.ppo_epoch_metrics(G.rollout_postprocess(df)).collect()[0]
+    assert r["eos_count"] == 4 and abs(r["val_ratio_var"]) < 1e-12
+    one = G.ppo_epoch_metrics(G.rollout_postprocess(df.where("seq_id = 1"))).collect()[0]
+    assert one["val_ratio_var"] is None

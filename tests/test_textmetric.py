@@ -66,3 +66,11 @@ def test_bleu_boundaries(spark):
     import math
     want = math.exp(1 - 4 / 2) * math.exp((math.log(1) + math.log(1) + 2 * math.log(0.1)) / 4)
     assert abs(got[4] - want) < 1e-12
+
+
+def test_bert_score_zero_vector_and_one_sided_example(spark):
+    from tunelake.operators.textmetric import bert_score
+
+    rows = [(1, "pred", 1, [0.0, 0.0]), (1, "ref", 2, [1.0, 0.0]), (2, "pred", 3, [1.0, 0.0])]
+    got = {r["example_id"]: r["bert_f1"] for r in bert_score(spark.createDataFrame(rows, "example_id long, side string, vec_id long, embedding array<double>")).collect()}
+    assert got == {1: 0.0, 2: 0.0}

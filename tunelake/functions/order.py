@@ -1,240 +1,51 @@
-"""Order-dependent helpers that never collapse to one task.
+"""Order-dependent helpers without a single-task step.
 
-Spark runs a window without ``partitionBy`` in a single task, and a window
-partitioned by a hot key runs that key in a single task. The helpers here
-give the same answers with work spread over many tasks:
+Spark runs a window without ``partitionBy`` in one task, and a window over a
+hot key in one task. These helpers give the same answers in one way, whatever
+the table's size:
 
-* ``hash_rank`` - global 0-based position of each row in a seeded hash
-  order: histogram of a hash prefix (at most 16**k rows, so it has a proven
-  size bound and may be broadcast) gives every prefix its offset; rows are
-  then numbered inside their prefix only.
-* ``next_in_order`` - the next row (LEAD) inside a group, or over the whole
-  table, by range partitioning on (group, order): a hot group is split over
-  as many tasks as its size needs, and the one row per partition that
-  crosses a partition boundary is patched from a table with one row per
-  partition.
-* ``prefix_offsets`` - exclusive running sum of a size column in a total
-  order, by the same two-pass idea (per-partition totals, then offsets).
+1. the rows are range partitioned on (group, order) and written once to the
+   shared folder, each with the number of its range (so later passes see the
+   same ranges, and a lost executor re-reads files);
+2. windows run inside (range, group) only: a hot group spreads over as many
+   ranges as its size needs;
+3. one row per (range, group), the group's count, sum and first row in that
+   range, gives every range what comes before or after it, by a window over
+   the ranges of one group (without a group: one row per range).
 
-Each helper first checks the size of the largest group (one partial
-aggregate, a single number to the driver). When it is at most
-``tunelake.window.maxTaskRows`` rows (default 1,000,000) a plain window
-partitioned by the group is exact and cheapest, so it is used; beyond that
-bound the distributed two-pass path runs. Both give the same answer.
-"""
+Whole rows travel through the pass, joins on the group are null-safe, and
+repeated keys keep their rows (in an arbitrary order among themselves), as
+with a window."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from ..session import materialize
 from .expr import seeded_md5
 
 
-DEFAULT_MAX_TASK_ROWS = 1_000_000
-
-
-def _num_partitions(df: DataFrame) -> int:
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-
-def max_task_rows(df: DataFrame) -> int:
-    return int(df.sparkSession.conf.get("tunelake.window.maxTaskRows", str(DEFAULT_MAX_TASK_ROWS)))
-
-
-_GROUP_SIZE_MEMO: dict = {}
-
-
-def largest_group(df: DataFrame, part_cols=()) -> int:
-    """Rows in the largest group of ``part_cols`` (the whole table when
-    empty). Memoised per (plan, groups) in this process: the answer only
-    picks between two exact strategies, so a stale value costs speed, never
-    correctness."""
-    part_cols = list(part_cols)
-    probe = df.select(*part_cols) if part_cols else df.select(F.lit(1).alias("_one"))
-    try:
-        key = (probe.semanticHash(), tuple(part_cols))
-    except Exception:  # e.g. a plan Spark cannot hash
-        key = None
-    if key is not None and key in _GROUP_SIZE_MEMO:
-        return _GROUP_SIZE_MEMO[key]
-    if not part_cols:
-        top = probe.count()
-    else:
-        top = probe.groupBy(*part_cols).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0]
-    top = int(top or 0)
-    if key is not None:
-        if len(_GROUP_SIZE_MEMO) > 4096:
-            _GROUP_SIZE_MEMO.clear()
-        _GROUP_SIZE_MEMO[key] = top
-    return top
-
-
-def fits_one_task(df: DataFrame, part_cols=()) -> bool:
-    """True when a count proves every group fits the one-task bound."""
-    return largest_group(df, part_cols) <= max_task_rows(df)
-
-
-def hash_rank(df: DataFrame, id_col: str, seed=42, rank_col: str = "rank",
-              prefix_hex: int = 4, hash_col: str | None = None, part_cols=(),
-              total_col: str | None = None) -> DataFrame:
-    """Add ``rank_col`` = 0-based position of the row when the rows (of each
-    ``part_cols`` group) are ordered by (md5(seed:id), id). ``id_col``
-    should be unique within a group. The md5 prefix spreads even a hot
-    group over 16**prefix_hex window partitions. ``total_col`` adds the row
-    count of the group (carried by the window or the histogram table, so no
-    join of a one-row table is needed)."""
-    part_cols = list(part_cols)
-    h = hash_col or "_h"
-    if fits_one_task(df, part_cols):
-        ws = (Window.partitionBy(*part_cols) if part_cols else Window).orderBy(F.col(h), F.col(id_col))
-        out = (df.withColumn(h, seeded_md5(seed, id_col))
-               .withColumn(rank_col, (F.row_number().over(ws) - 1).cast("bigint")))
-        if total_col:
-            wt = Window.partitionBy(*part_cols) if part_cols else Window.partitionBy()
-            out = out.withColumn(total_col, F.count(F.lit(1)).over(wt))
-        return out if hash_col else out.drop(h)
-    keyed = (df.withColumn(h, seeded_md5(seed, id_col))
-             .withColumn("_hp", F.substring(F.col(h), 1, prefix_hex)))
-    # One row per (group, hash prefix): at most groups * 16**prefix_hex rows.
-    hist = keyed.groupBy(*part_cols, "_hp").agg(F.count(F.lit(1)).alias("_hn"))
-    wo = Window.partitionBy(*part_cols).orderBy("_hp") if part_cols else Window.orderBy("_hp")
-    offsets = hist.select(
-        *part_cols, "_hp",
-        F.coalesce(F.sum("_hn").over(wo.rowsBetween(Window.unboundedPreceding, -1)),
-                   F.lit(0)).alias("_off"),
-        F.sum("_hn").over(Window.partitionBy(*part_cols)).alias("_tot"))
-    if not part_cols:
-        offsets = F.broadcast(offsets)  # <= 65,536 rows: size proven
-    w = Window.partitionBy(*part_cols, "_hp").orderBy(F.col(h), F.col(id_col))
-    out = (keyed.join(offsets, part_cols + ["_hp"])
-           .withColumn(rank_col, (F.col("_off") + F.row_number().over(w) - 1).cast("bigint"))
-           .drop("_hp", "_off"))
-    out = out.withColumnRenamed("_tot", total_col) if total_col else out.drop("_tot")
-    return out if hash_col else out.drop(h)
-
-
-def _carry_schema(key_fields, order_field):
-    fields = list(key_fields) + [order_field,
-                                 T.StructField("_next", order_field.dataType, True),
-                                 T.StructField("_pid", T.IntegerType(), False),
-                                 T.StructField("_first", T.BooleanType(), False),
-                                 T.StructField("_last", T.BooleanType(), False)]
-    return T.StructType(fields)
-
+def _ranged(df: DataFrame, groups, orders, num_partitions=None) -> DataFrame:
+    """``df`` with ``_rng``, the number of its range of (group, order), written once."""
+    n = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = [F.col(c) for c in [*groups, *orders]]
+    return materialize(df.repartitionByRange(n, *keys).withColumn("_rng", F.spark_partition_id()), "ranged")
 
-def next_in_order(df: DataFrame, order_col: str, part_cols=(),
-                  next_col: str | None = None, num_partitions: int | None = None) -> DataFrame:
-    """Return ``(part_cols..., order_col, next_col)`` where ``next_col`` is the
-    smallest ``order_col`` greater than this one inside the same group
-    (``part_cols``; whole table when empty). ``(part_cols, order_col)`` must
-    be unique. Join the result back on the key to fetch the next row."""
-    part_cols = list(part_cols)
-    next_col = next_col or f"next_{order_col}"
-    n = num_partitions or _num_partitions(df)
-    keys = df.select(*part_cols, order_col)
-    if num_partitions is None and fits_one_task(keys, part_cols):
-        w = (Window.partitionBy(*part_cols) if part_cols else Window).orderBy(order_col)
-        return keys.withColumn(next_col, F.lead(order_col).over(w))
-    key_fields = [keys.schema[c] for c in part_cols]
-    order_field = keys.schema[order_col]
-    schema = _carry_schema(key_fields, order_field)
-    names = part_cols + [order_col]
-
-    def link(batches):
-        import pandas as pd
-        from pyspark import TaskContext
-
-        pid = TaskContext.get().partitionId()
-        pending = None  # last row of the previous batch, its successor unknown
-        pending_first = False
-        first = True
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            carried_first = pending_first if pending is not None else first
-            if pending is not None:
-                pdf = pd.concat([pending, pdf], ignore_index=True)
-            same = pd.Series(True, index=pdf.index)
-            for c in part_cols:
-                same &= pdf[c].shift(-1).eq(pdf[c])
-            order = pdf[order_col]
-            if pd.api.types.is_integer_dtype(order):
-                order = order.astype("Int64")
-            nxt = order.shift(-1).where(same)
-            out = pdf[names].copy()
-            out["_next"] = nxt
-            out["_pid"] = pid
-            out["_first"] = False
-            out.loc[out.index[0], "_first"] = bool(carried_first)
-            first = False
-            out["_last"] = False
-            pending = pdf[names].iloc[[-1]].reset_index(drop=True)
-            pending_first = bool(out["_first"].iloc[-1])
-            yield out.iloc[:-1]
-        if pending is not None:
-            tail = pending.copy()
-            tail["_next"] = None
-            tail["_pid"] = pid
-            tail["_first"] = pending_first
-            tail["_last"] = True
-            yield tail
-
-    from ..session import ship_package
 
-    ship_package(df.sparkSession)
-    linked = (keys.repartitionByRange(n, *[F.col(c) for c in names])
-              .sortWithinPartitions(*names)
-              .mapInPandas(link, schema))
-    # One row per non-empty partition: bounded by the partition count.
-    firsts = linked.where("_first").select(
-        "_pid", *[F.col(c).alias(f"_f_{c}") for c in names])
-    wp = Window.orderBy("_pid")
-    succ = firsts.select(
-        F.col("_pid"),
-        *[F.lead(f"_f_{c}").over(wp).alias(f"_s_{c}") for c in names])
-    patched = linked.join(F.broadcast(succ), "_pid", "left")
-    same_group = F.lit(True)
-    for c in part_cols:
-        same_group = same_group & (F.col(f"_s_{c}") == F.col(c))
-    fix = F.when(F.col("_last") & same_group, F.col(f"_s_{order_col}"))
-    return patched.select(*names, F.coalesce(F.col("_next"), fix).alias(next_col))
+def _join_ranges(rows: DataFrame, per: DataFrame, groups, columns) -> DataFrame:
+    """``rows`` with ``columns`` of the table of one row per (range, group)."""
+    other = per.select(F.col("_rng").alias("_r2"), *[F.col(g).alias(f"_g{i}") for i, g in enumerate(groups)], *columns)
+    same = [F.col("_rng") == F.col("_r2")] + [F.col(g).eqNullSafe(F.col(f"_g{i}")) for i, g in enumerate(groups)]
+    joined = rows.join(other, reduce(lambda a, b: a & b, same))
+    return joined.drop("_r2", *[f"_g{i}" for i in range(len(groups))])
 
 
-def with_row_number(df: DataFrame, order_cols, part_cols=(), out: str = "pos") -> DataFrame:
-    """``df`` plus the 0-based row number inside each group in the order
-    ``order_cols`` (unique within a group). A window when the largest group
-    fits one task, else the two-pass prefix sum joined back on the key."""
-    part_cols, order_cols = list(part_cols), list(order_cols)
-    if fits_one_task(df, part_cols):
-        w = (Window.partitionBy(*part_cols) if part_cols else Window).orderBy(*order_cols)
-        return df.withColumn(out, (F.row_number().over(w) - 1).cast("bigint"))
-    # the ranged pass carries whole rows, so no join back on a key that might repeat
-    return prefix_offsets(df, order_cols, None, offset_col=out, part_cols=part_cols,
-                          num_partitions=_num_partitions(df), keep_columns=True)
-
-
-def with_next_values(df: DataFrame, order_col: str, value_cols, part_cols=(),
-                     prefix: str = "next_") -> DataFrame:
-    """``df`` plus LEAD(value) for each of ``value_cols`` over
-    (PARTITION BY part_cols ORDER BY order_col), via ``next_in_order`` and
-    an equi-join on the unique (group, order) key."""
-    part_cols = list(part_cols)
-    if fits_one_task(df.select(*part_cols, order_col), part_cols):
-        w = (Window.partitionBy(*part_cols) if part_cols else Window).orderBy(order_col)
-        for v in value_cols:
-            df = df.withColumn(f"{prefix}{v}", F.lead(v).over(w))
-        return df
-    nxt = next_in_order(df, order_col, part_cols, next_col="_nk", num_partitions=_num_partitions(df))
-    vals = df.select(*[F.col(c).alias(f"_v_{c}") for c in part_cols],
-                     F.col(order_col).alias("_v_order"),
-                     *[F.col(v).alias(f"{prefix}{v}") for v in value_cols])
-    cond = [F.col("_nk") == F.col("_v_order")] + [
-        F.col(f"_v_{c}") == F.col(c) for c in part_cols]
-    linked = nxt.join(vals, cond, "left").drop(
-        "_nk", "_v_order", *[f"_v_{c}" for c in part_cols])
-    return df.join(linked, part_cols + [order_col], "left")
+def _before(groups):
+    """The ranges of a group that come before this one."""
+    return Window.partitionBy(*groups).orderBy("_rng").rowsBetween(Window.unboundedPreceding, -1)
 
 
 def prefix_offsets(df: DataFrame, order_cols, size_col: str | None = None,
@@ -243,95 +54,67 @@ def prefix_offsets(df: DataFrame, order_cols, size_col: str | None = None,
                    keep_columns: bool = False) -> DataFrame:
     """``(part_cols..., order_cols..., size, offset_col)`` where
     ``offset_col`` is the exclusive running sum of ``size_col`` (1 per row
-    when None, i.e. a 0-based row number) inside each group of
-    ``part_cols`` (whole table when empty) in the order ``order_cols``.
-    (part_cols, order_cols) must be unique, unless ``keep_columns`` is set:
-    then every column of ``df`` travels with its row and the result is
-    ``df`` plus ``offset_col`` (ties get distinct, arbitrary offsets, as
-    with a window).
-
-    Two passes, no single-task step: rows are range partitioned on
-    (group, order), so a hot group spreads over many partitions; running
-    sums are streamed inside each partition; only the first group of a
-    partition can continue from earlier partitions, and its base comes from
-    a table with one row per partition."""
-    part_cols = list(part_cols)
-    order_cols = list(order_cols)
-    n = num_partitions or _num_partitions(df)
+    when None, i.e. a 0-based row number; a null size adds nothing) inside
+    each group of ``part_cols`` (whole table when empty) in the order
+    ``order_cols``. ``keep_columns``: every column of ``df`` travels along."""
+    groups, orders = list(part_cols), list(order_cols)
+    extra = [c for c in df.columns if c not in {*groups, *orders, size_col}] if keep_columns else []
     size = F.col(size_col) if size_col else F.lit(1)
-    extra = ([c for c in df.columns if c not in set(part_cols) | set(order_cols) | {size_col}]
-             if keep_columns else [])
-    if num_partitions is None and fits_one_task(df, part_cols):
-        w = ((Window.partitionBy(*part_cols) if part_cols else Window).orderBy(*order_cols)
-             .rowsBetween(Window.unboundedPreceding, -1))
-        out = df.select(*part_cols, *order_cols, *extra, size.cast(value_type).alias("_size"))
-        out = out.withColumn(offset_col, F.coalesce(F.sum("_size").over(w), F.lit(0)).cast(value_type))
-        out = out.withColumnRenamed("_size", size_col) if size_col else out.drop("_size")
-        return out
-    if not part_cols:
-        df = df.withColumn("_g0", F.lit(0))
-    groups = part_cols or ["_g0"]
-    keys = df.select(*groups, *order_cols, *extra, size.cast(value_type).alias("_size"))
-    in_type = T.DoubleType() if value_type == "double" else T.LongType()
-    np_type = "float64" if value_type == "double" else "int64"
-    schema = T.StructType(list(keys.schema.fields) + [
-        T.StructField("_in", in_type, False),
-        T.StructField("_pid", T.IntegerType(), False),
-        T.StructField("_firstgrp", T.BooleanType(), False)])
+    rows = _ranged(df.select(*groups, *orders, *extra, size.cast(value_type).alias("_size")), groups, orders, num_partitions)
+    inside = Window.partitionBy("_rng", *groups).orderBy(*orders).rowsBetween(Window.unboundedPreceding, -1)
+    zero = F.lit(0).cast(value_type)
+    per = rows.groupBy("_rng", *groups).agg(F.sum("_size").alias("_sum"))
+    per = per.withColumn("_base", F.coalesce(F.sum("_sum").over(_before(groups)), zero))
+    out = _join_ranges(rows.withColumn("_in", F.coalesce(F.sum("_size").over(inside), zero)), per, groups, ["_base"])
+    out = out.withColumn(offset_col, (F.col("_base") + F.col("_in")).cast(value_type)).drop("_rng", "_in", "_base")
+    return out.withColumnRenamed("_size", size_col) if size_col else out.drop("_size")
+
+
+def with_row_number(df: DataFrame, order_cols, part_cols=(), out: str = "pos", total_col: str | None = None,
+                    num_partitions: int | None = None) -> DataFrame:
+    """``df`` plus the 0-based row number inside each group in the order
+    ``order_cols``, and the group's row count if ``total_col`` is given."""
+    groups, orders = list(part_cols), list(order_cols)
+    rows = _ranged(df, groups, orders, num_partitions)
+    inside = Window.partitionBy("_rng", *groups).orderBy(*orders)
+    per = rows.groupBy("_rng", *groups).agg(F.count(F.lit(1)).alias("_n"))
+    per = (per.withColumn("_base", F.coalesce(F.sum("_n").over(_before(groups)), F.lit(0)))
+           .withColumn("_total", F.sum("_n").over(Window.partitionBy(*groups))))
+    done = _join_ranges(rows.withColumn("_in", F.row_number().over(inside)), per, groups, ["_base", "_total"])
+    done = done.withColumn(out, (F.col("_base") + F.col("_in") - 1).cast("bigint")).drop("_rng", "_in", "_base")
+    return done.withColumnRenamed("_total", total_col) if total_col else done.drop("_total")
+
+
+def hash_rank(df: DataFrame, id_col: str, seed=42, rank_col: str = "rank", hash_col: str | None = None, part_cols=(),
+              total_col: str | None = None) -> DataFrame:
+    """Add ``rank_col`` = 0-based position of the row when the rows (of each
+    ``part_cols`` group) are ordered by (md5(seed:id), id)."""
+    h = hash_col or "_h"
+    out = with_row_number(df.withColumn(h, seeded_md5(seed, id_col)), [h, id_col], part_cols, rank_col, total_col)
+    return out if hash_col else out.drop(h)
 
-    def running(batches):
-        from pyspark import TaskContext
 
-        pid = TaskContext.get().partitionId()
-        first_key = None
-        carry_key, carry = None, 0
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            g = pdf[groups]
-            keys_t = list(g.itertuples(index=False, name=None))
-            sizes = pdf["_size"].fillna(0).astype(np_type)
-            if first_key is None:
-                first_key = keys_t[0]
-            starts = (g != g.shift(1)).any(axis=1)
-            grp_no = starts.cumsum()
-            excl = sizes.groupby(grp_no).cumsum() - sizes
-            if carry_key is not None and keys_t[0] == carry_key:
-                excl = excl.where(grp_no != grp_no.iloc[0], excl + carry)
-            out = pdf.copy()
-            out["_in"] = excl.astype(np_type)
-            out["_pid"] = pid
-            out["_firstgrp"] = [k == first_key for k in keys_t]
-            carry = excl.iloc[-1] + sizes.iloc[-1]
-            carry_key = keys_t[-1]
-            yield out
+def with_next_values(df: DataFrame, order_col: str, value_cols, part_cols=(),
+                     prefix: str = "next_", num_partitions: int | None = None) -> DataFrame:
+    """``df`` plus LEAD(value) for each of ``value_cols`` over
+    (PARTITION BY part_cols ORDER BY order_col)."""
+    groups = list(part_cols)
+    rows = _ranged(df, groups, [order_col], num_partitions).withColumn("_v", F.struct(*[F.col(v).alias(f"v{i}") for i, v in enumerate(value_cols)]))
+    inside = Window.partitionBy("_rng", *groups).orderBy(order_col)
+    # one pass numbers the rows: the first of each (range, group) is the row that a lead gives its predecessor
+    rows = rows.withColumn("_nv", F.lead("_v").over(inside)).withColumn("_no", F.row_number().over(inside))
+    per = rows.groupBy("_rng", *groups).agg(F.max("_no").alias("_last"), F.min_by("_v", "_no").alias("_fv"))
+    per = per.withColumn("_after", F.lead("_fv").over(Window.partitionBy(*groups).orderBy("_rng")))
+    out = _join_ranges(rows, per, groups, ["_last", "_after"])
+    nxt = F.when(F.col("_no") == F.col("_last"), F.col("_after")).otherwise(F.col("_nv"))
+    out = out.withColumn("_nv", nxt)
+    for i, v in enumerate(value_cols):
+        out = out.withColumn(f"{prefix}{v}", F.col("_nv").getField(f"v{i}"))
+    return out.drop("_rng", "_v", "_nv", "_no", "_last", "_after")
 
-    from ..session import ship_package
 
-    ship_package(df.sparkSession)
-    within = (keys.repartitionByRange(n, *groups, *order_cols)
-              .sortWithinPartitions(*groups, *order_cols)
-              .mapInPandas(running, schema))
-    # Tables with one row per non-empty partition.
-    gstruct = F.struct(*[F.col(g) for g in groups])
-    ostruct = F.struct(*[F.col(g) for g in groups], *[F.col(o) for o in order_cols])
-    # one aggregate gives each partition's first group, last group and the
-    # running total of its last group (one row per partition)
-    bounds = within.groupBy("_pid").agg(
-        F.min_by(gstruct, ostruct).alias("_fg"),
-        F.max_by(gstruct, ostruct).alias("_lg"),
-        F.max_by(F.col("_in") + F.col("_size"), ostruct).alias("_lt"))
-    base = (bounds.select("_pid", "_fg")
-            .join(bounds.select(F.col("_pid").alias("_q"), "_lg", "_lt"),
-                  (F.col("_fg") == F.col("_lg")) & (F.col("_q") < F.col("_pid")), "left")
-            .groupBy("_pid").agg(F.coalesce(F.sum("_lt"), F.lit(0)).alias("_base")))
-    out = (within.join(F.broadcast(base), "_pid")
-           .withColumn(offset_col, (F.col("_in") + F.when(F.col("_firstgrp"), F.col("_base"))
-                                    .otherwise(F.lit(0))).cast(value_type))
-           .withColumnRenamed("_size", size_col or "_size")
-           .drop("_pid", "_in", "_base", "_firstgrp"))
-    if not part_cols:
-        out = out.drop("_g0")
-    if not size_col:
-        out = out.drop("_size")
-    return out
+def next_in_order(df: DataFrame, order_col: str, part_cols=(),
+                  next_col: str | None = None, num_partitions: int | None = None) -> DataFrame:
+    """``(part_cols..., order_col, next_col)``: the next ``order_col`` of the same group."""
+    out = with_next_values(df.select(*part_cols, order_col), order_col, [order_col], part_cols, "_next_", num_partitions)
+    return out.withColumnRenamed(f"_next_{order_col}", next_col or f"next_{order_col}")

@@ -8,7 +8,7 @@ Two layouts:
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import IGNORE_INDEX
@@ -92,31 +92,30 @@ def token_entropy(df: DataFrame, logits="logits", out="entropy") -> DataFrame:
 
 def shifted_labels(tokens: DataFrame, seq="seq_id", pos="pos", token="token_id",
                    ignore=None, shift=True) -> DataFrame:
-    """Attach ``label`` = the token one position later (decoder shift) or the
-    same position (``shift=False``, encoder-decoder), found by an equi-join
-    on (seq, pos + 1) instead of a window. ``ignore(label_col)`` marks
-    labels to ignore (-100)."""
+    """Attach ``label`` = the token one position later (decoder shift; a
+    sequence is one window) or the same position (``shift=False``,
+    encoder-decoder). ``ignore(label_col)`` marks labels to ignore (-100);
+    the last position of a shifted sequence has none and is ignored, so that
+    every sequence keeps its rows."""
     if shift:
-        nxt = tokens.select(F.col(seq).alias("_s"), (F.col(pos) - 1).alias("_p"),
-                            F.col(token).alias("_lab"))
-        out = tokens.join(nxt, (F.col(seq) == F.col("_s")) & (F.col(pos) == F.col("_p")), "inner") \
-                    .drop("_s", "_p")
+        nxt = F.lead(token).over(Window.partitionBy(seq).orderBy(pos))
+        out = tokens.withColumn("_lab", F.coalesce(nxt, F.lit(IGNORE_INDEX)))
     else:
         out = tokens.withColumn("_lab", F.col(token))
     lab = F.col("_lab")
     if ignore is not None:
-        lab = F.when(ignore(lab), F.lit(IGNORE_INDEX)).otherwise(lab)
+        lab = F.when((lab == IGNORE_INDEX) | ignore(lab), F.lit(IGNORE_INDEX)).otherwise(lab)
     return out.withColumn("label", lab.cast("bigint")).drop("_lab")
 
 
 def sequence_logps(labeled: DataFrame, seq="seq_id", logp="logp", label="label") -> DataFrame:
-    """Per sequence: sum of per-token log-probs over labels != -100, their
-    count and mean."""
+    """Per sequence: sum of per-token log-probs over labels != -100 (0 if there
+    is none), their count and mean (null if there is none)."""
     m = F.col(label) != IGNORE_INDEX
     return labeled.groupBy(seq).agg(
-        F.sum(F.when(m, F.col(logp))).alias("logps_sum"),
+        F.coalesce(F.sum(F.when(m, F.col(logp))), F.lit(0.0)).alias("logps_sum"),
         F.count_if(m).alias("n_tokens")).withColumn(
-        "logps_mean", F.col("logps_sum") / F.col("n_tokens"))
+        "logps_mean", F.try_divide("logps_sum", "n_tokens"))
 
 
 def chosen_nll(tokens: DataFrame, logp="logp", mask=None, group=None) -> DataFrame:

@@ -79,17 +79,17 @@ def bench_mean_of_ratios(bench: DataFrame, model="model", latency="latency_s", t
 
 def bench_server_reported(df: DataFrame, response="response", model="model",
                           count_path="$.eval_count", duration_path="$.eval_duration",
-                          mem_before="mem_before", mem_after="mem_after") -> DataFrame:
+                          mem_before="mem_before", mem_after="mem_after", latency="latency_s") -> DataFrame:
     """Throughput from server counters in a JSON response: missing count ->
-    0, missing duration -> 1 ns, ns -> s, guarded division; memory = mean of
-    max(before, after) in GiB."""
+    0, missing duration -> 1 ns, ns -> s, guarded division; latency = mean of
+    the client's wall time; memory = mean of max(before, after) in GiB."""
     cnt = F.coalesce(F.get_json_object(response, count_path).cast("bigint"), F.lit(0))
     dur_ns = F.coalesce(F.get_json_object(response, duration_path).cast("bigint"), F.lit(1))
     dur_s = dur_ns / F.lit(1e9)
     tps = F.when(dur_s > 0, cnt / dur_s).otherwise(F.lit(0.0))
     mem = F.greatest(F.col(mem_before), F.col(mem_after)) / F.lit(float(2 ** 30))
     return df.groupBy(model).agg(
-        F.avg(dur_s).alias("latency_s"), F.avg(tps).alias("throughput_tok_s"),
+        F.avg(latency).alias("latency_s"), F.avg(tps).alias("throughput_tok_s"),
         F.avg(mem).alias("peak_ram_gb"), F.count(F.lit(1)).alias("n_requests"))
 
 

@@ -13,19 +13,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.sizing import join_checked
-
 INVALID_LOGPROB = 1.0  # fixed value used for masked log-probs
 
 
 # -- K26 ------------------------------------------------------------------------------
 
 def rollout_postprocess(tok: DataFrame, seq="seq_id", pos="pos", token="token", stop_token=1, pad_token=0,
-                        logp="logp", val="val", score="score", missing_eos_penalty=1.0) -> DataFrame:
+                        logp="logp", ref_logp="ref_logp", val="val", score="score",
+                        missing_eos_penalty=1.0) -> DataFrame:
     """After the first stop token every token becomes pad; sequence length =
     first pad index - 1 (row width - 1 when there is none); sequences
-    without EOS get ``score - penalty``; log-probs beyond the length ->
-    INVALID_LOGPROB, values beyond length + 1 -> 0."""
+    without EOS get ``score - penalty``; log-probs of both models beyond the
+    length -> INVALID_LOGPROB (so that pads have no KL), values beyond
+    length + 1 -> 0. ``padding_mask``: beyond the length; ``padding_mask_p1``:
+    beyond length + 1, where the score is paid."""
     # one aggregate per sequence: first stop, first pad, width. After the
     # stop every token is pad, so the first pad of the processed sequence is
     # the earlier of an original pad and stop + 1 (when inside the row).
@@ -43,7 +44,10 @@ def rollout_postprocess(tok: DataFrame, seq="seq_id", pos="pos", token="token",
     out = (out.withColumn("masked_logp", F.when(F.col(pos) > F.col("seq_len"), F.lit(INVALID_LOGPROB))
                           .otherwise(F.col(logp)))
            .withColumn("masked_val", F.when(F.col(pos) > F.col("seq_len") + 1, F.lit(0.0)).otherwise(F.col(val)))
-           .withColumn("padding_mask", F.col(pos) > F.col("seq_len")))
+           .withColumn("padding_mask", F.col(pos) > F.col("seq_len"))
+           .withColumn("padding_mask_p1", F.col(pos) > F.col("seq_len") + 1))
+    if ref_logp in tok.columns:
+        out = out.withColumn("masked_ref_logp", F.when(F.col("padding_mask"), F.lit(INVALID_LOGPROB)).otherwise(F.col(ref_logp)))
     if score is not None:
         out = out.withColumn("score_adj", F.when(F.col("contains_eos"), F.col(score))
                              .otherwise(F.col(score) - missing_eos_penalty))
@@ -74,11 +78,15 @@ def align_token_logprobs(tok: DataFrame, records: DataFrame, seq="seq_id", pos="
 
 # -- G1 / G2 ----------------------------------------------------------------------------
 
-def shaped_rewards(tok: DataFrame, seq="seq_id", pos="pos", logp="logp", ref_logp="ref_logp",
-                   seq_len="seq_len", width="width", score="score", kl_coef=0.05) -> DataFrame:
-    """Per token -kl_coef * (logp - ref); the sequence score is added at
-    position seq_len + 1 when it is inside the row, else at seq_len."""
-    nsr = -kl_coef * (F.col(logp) - F.col(ref_logp))
+def shaped_rewards(tok: DataFrame, seq="seq_id", pos="pos", logp="masked_logp", ref_logp="masked_ref_logp",
+                   seq_len="seq_len", width="width", score="score", kl_coef=0.05, estimator="k1") -> DataFrame:
+    """Per token -kl_coef * kl with kl = -r (``k1``) or exp(r) - 1 - r (``k3``),
+    r = ref - logp; the sequence score is added at position seq_len + 1 when
+    it is inside the row, else at seq_len."""
+    r = F.col(ref_logp) - F.col(logp)
+    if estimator not in ("k1", "k3"):
+        raise ValueError(f"estimator {estimator!r} is neither k1 nor k3")
+    nsr = -kl_coef * (-r if estimator == "k1" else F.exp(r) - 1 - r)
     end = F.when(F.col(seq_len) + 1 < F.col(width), F.col(seq_len) + 1).otherwise(F.col(seq_len))
     return (tok.withColumn("non_score_reward", nsr)
             .withColumn("reward", F.when(F.col(pos) == end, nsr + F.col(score)).otherwise(nsr)))
@@ -93,7 +101,7 @@ def masked_whiten(df: DataFrame, value, mask, batch="batch_id", out=None, shift_
     m = F.col(mask)
     var = F.var_samp(F.when(m, F.col(value))) if unbiased else F.var_pop(F.when(m, F.col(value)))
     stats = df.groupBy(batch).agg(F.avg(F.when(m, F.col(value))).alias("_mu"), var.alias("_var"))
-    j = df.join(stats, batch)
+    j = df.join(stats.withColumnRenamed(batch, "_b"), F.col(batch).eqNullSafe(F.col("_b"))).drop("_b")
     w = (F.col(value) - F.col("_mu")) / F.sqrt(F.col("_var") + eps)
     if not shift_mean:
         w = w + F.col("_mu")
@@ -182,23 +190,28 @@ def clipped_surrogate(df: DataFrame, logp="logp", old_logp="old_logp", adv="adva
 
 # -- G6 -----------------------------------------------------------------------------------
 
-def ppo_epoch_metrics(tok: DataFrame, seq="seq_id", batch="batch_id", logp="logp", ref_logp="ref_logp",
-                      score="score", token="token", eos_token=1, kl_coef=0.05) -> DataFrame:
-    """Sum per sequence, then mean per batch (two aggregates)."""
+def ppo_epoch_metrics(tok: DataFrame, seq="seq_id", batch="batch_id", logp="masked_logp", ref_logp="masked_ref_logp",
+                      score="score_adj", token="token", eos_token=1, kl_coef=0.05, minibatch="minibatch") -> DataFrame:
+    """Sums per sequence over the masked columns, then means per batch; EOS
+    tokens are counted one by one; ``val_ratio`` and ``val_ratio_var`` are mean
+    and sample variance of the ratio's means per minibatch (variance null for
+    one minibatch)."""
     kl = F.col(logp) - F.col(ref_logp)
-    per_seq = tok.groupBy(batch, seq).agg(
+    per_seq = tok.groupBy(batch, minibatch, seq).agg(
         F.sum(kl).alias("kl"), F.sum(-F.col(logp)).alias("entropy"),
         F.sum(-kl_coef * kl).alias("non_score"), F.first(score).alias("score"),
-        F.max((F.col(token) == eos_token).cast("int")).alias("has_eos"),
-        F.sum(F.exp(kl)).alias("_rs"), F.sum(F.exp(kl) ** 2).alias("_rs2"), F.count(F.lit(1)).alias("_n"))
-    per_batch = per_seq.groupBy(batch).agg(
-        F.avg("kl").alias("objective_kl"), F.avg("entropy").alias("objective_entropy"),
-        F.avg("non_score").alias("objective_non_score_reward"),
-        F.avg(F.col("non_score") + F.col("score")).alias("objective_rlhf_reward"),
-        F.avg("score").alias("objective_scores"), F.sum("has_eos").cast("bigint").alias("eos_count"),
-        F.sum("_rs").alias("_rs"), F.sum("_rs2").alias("_rs2"), F.sum("_n").alias("_n"))
-    var = (F.col("_rs2") - F.col("_rs") ** 2 / F.col("_n")) / (F.col("_n") - 1)
-    return per_batch.withColumn("val_ratio_var", var).drop("_rs", "_rs2", "_n")
+        F.count_if(F.col(token) == eos_token).alias("eos"),
+        F.sum(F.exp(kl)).alias("_rs"), F.count(F.lit(1)).alias("_n"))
+    sums = [F.sum(c).alias(c) for c in ("kl", "entropy", "non_score", "score", "eos", "_rs", "_n")]
+    per_mini = per_seq.groupBy(batch, minibatch).agg(*sums, F.count(F.lit(1)).alias("_seqs"))
+    ratio = F.col("_rs") / F.col("_n")
+    mean = lambda c: (F.sum(c) / F.sum("_seqs"))
+    return per_mini.groupBy(batch).agg(
+        mean("kl").alias("objective_kl"), mean("entropy").alias("objective_entropy"),
+        mean("non_score").alias("objective_non_score_reward"),
+        (mean("non_score") + mean("score")).alias("objective_rlhf_reward"),
+        mean("score").alias("objective_scores"), F.sum("eos").cast("bigint").alias("eos_count"),
+        F.avg(ratio).alias("val_ratio"), F.var_samp(ratio).alias("val_ratio_var"))
 
 
 # -- G7 / G8 / G10 ----------------------------------------------------------------------------
@@ -206,7 +219,7 @@ def ppo_epoch_metrics(tok: DataFrame, seq="seq_id", batch="batch_id", logp="logp
 def advantage_global(df: DataFrame, reward="reward", group="model", eps=1e-8) -> DataFrame:
     """(r - mean) / (population std + eps) over each group (a batch)."""
     stats = df.groupBy(group).agg(F.avg(reward).alias("_mu"), F.stddev_pop(reward).alias("_sd"))
-    j = join_checked(df, stats, group)
+    j = df.join(stats.withColumnRenamed(group, "_g"), F.col(group).eqNullSafe(F.col("_g"))).drop("_g")
     return j.withColumn("advantage", (F.col(reward) - F.col("_mu")) / (F.col("_sd") + eps)).drop("_mu", "_sd")
 
 
@@ -218,10 +231,9 @@ def advantage_per_prompt(df: DataFrame, prompt="prompt_id", batch="batch_id", or
     own buffer's mean/std (population). Buffers: each (prompt, batch) pair
     expands to its last ``buffer_size`` positions and meets the rows in an
     equi-join on (prompt, position): at most buffer_size rows per pair."""
-    from ..functions.order import prefix_offsets
+    from ..functions.order import with_row_number
 
-    k = prefix_offsets(df, [order], None, offset_col="_k", part_cols=[prompt]).select(prompt, order, "_k")
-    rows = df.join(k, [prompt, order])
+    rows = with_row_number(df, [order], [prompt], out="_k")
     ends = rows.groupBy(prompt, batch).agg(F.max("_k").alias("_kend"))
     slots = ends.select(prompt, batch, "_kend", F.explode(F.sequence(
         F.greatest(F.col("_kend") - (buffer_size - 1), F.lit(0)), F.col("_kend"))).alias("_k"))

@@ -142,7 +142,7 @@ def rouge_l(df: DataFrame, prediction="prediction", reference="reference", out="
 def _unit(vec):
     v = F.transform(vec, lambda x: x.cast("double"))
     norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda acc, x: acc + x * x))
-    return F.transform(v, lambda x: x / norm)
+    return F.transform(v, lambda x: F.coalesce(F.try_divide(x, norm), F.lit(0.0)))  # a zero vector matches nothing
 
 
 def _dot(a, b):
@@ -180,8 +180,10 @@ def bert_score(tokens: DataFrame, example="example_id", side="side", emb="embedd
 
     p = best(pred_side, ref_side, "bert_p")
     r = best(ref_side, pred_side, "bert_r")
-    return p.join(r, example).withColumn(
-        "bert_f1", 2 * F.col("bert_p") * F.col("bert_r") / (F.col("bert_p") + F.col("bert_r")))
+    # an example without tokens on one side scores 0
+    both = t.select(example).distinct().join(p, example, "left").join(r, example, "left").fillna(0.0, ["bert_p", "bert_r"])
+    return both.withColumn("bert_f1", F.coalesce(F.try_divide(
+        2 * F.col("bert_p") * F.col("bert_r"), F.col("bert_p") + F.col("bert_r")), F.lit(0.0)))
 
 
 def model_report(scored: DataFrame, model="model", metrics=("bleu", "rouge_l")) -> DataFrame:

@@ -4,7 +4,7 @@ The tokeniser is a parameter. Two built-in defaults exist:
 * ``vocab_ids`` - regex word tokens mapped through a frequency-ranked
   vocabulary built from the corpus itself (a relational job: explode, count,
   rank, join);
-* ``hashed_ids`` - a stateless hashing tokeniser (id from the md5 of the
+* ``hashed_ids`` - a stateless hashing tokeniser (52 bits of the md5 of the
   token), usable inside any expression and on streams.
 Sequences are arrays per row (one row = one text, so an array is bounded by
 the row); corpus-level work is aggregates and joins."""
@@ -19,13 +19,13 @@ from ..functions.order import prefix_offsets
 from ..functions.sizing import join_checked
 from .prompt import render_messages
 
-WORD_PATTERN = "[a-z0-9]+"
+WORD_PATTERN = r"[\p{L}\p{N}]+"
 N_SPECIAL = 3  # ids 0 pad, 1 eos, 2 bos are reserved
 PAD_ID, EOS_ID, BOS_ID = 0, 1, 2
 
 
 def word_tokens(text):
-    """Lower-cased ``[a-z0-9]+`` tokens."""
+    """Lower-cased runs of letters and numbers of any script."""
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(WORD_PATTERN), 0)
 
 
@@ -36,7 +36,8 @@ def ws_tokens(text):
 
 
 def hashed_id(tok):
-    return F.conv(F.substring(F.md5(tok), 1, 4), 16, 10).cast("bigint") + F.lit(N_SPECIAL)
+    # 13 hex digits: different words get different ids, and sums of a row's ids stay within a bigint
+    return F.conv(F.substring(F.md5(tok), 1, 13), 16, 10).cast("bigint") + F.lit(N_SPECIAL)
 
 
 def hashed_ids(tokens):
@@ -45,14 +46,14 @@ def hashed_ids(tokens):
 
 # -- K1 ---------------------------------------------------------------------------
 
-def build_vocab(docs: DataFrame, text="text", materialize_counts: bool = True) -> DataFrame:
+def build_vocab(docs: DataFrame, text="text", materialize_counts: bool = True, tokenizer=word_tokens) -> DataFrame:
     """(token, cnt, id): ids by frequency (desc), ties by token, after the
     reserved ids. Counting is a partial aggregate over all tokens of all
     texts; the per-token counts are written once (an artefact in the shared
     checkpoint folder), so ranking and size checks read that small table
     instead of re-tokenising the corpus; the ranking is the size-checked
     prefix sum (window or two-pass)."""
-    counts = (docs.select(F.explode(word_tokens(F.col(text))).alias("token"))
+    counts = (docs.select(F.explode(tokenizer(F.col(text))).alias("token"))
               .groupBy("token").agg(F.count(F.lit(1)).alias("cnt")))
     if materialize_counts:
         from ..session import materialize
@@ -71,14 +72,16 @@ def build_vocab(docs: DataFrame, text="text", materialize_counts: bool = True) -
 
 
 def tokenize_corpus(docs: DataFrame, id_col="doc_id", text="text", max_length=512,
-                    vocab: DataFrame | None = None, keep=("source",)) -> DataFrame:
+                    vocab: DataFrame | None = None, keep=("source",), tokenizer=word_tokens) -> DataFrame:
     """text -> ids through the vocabulary, truncated to ``max_length``.
-    Output per row: ids, n_tokens, n_kept, truncated."""
+    ``tokenizer``: column of texts -> column of token arrays (a built-in
+    expression or an Arrow UDF). Output per row: ids, n_tokens, n_kept,
+    truncated."""
     if vocab is None:
-        vocab = build_vocab(docs, text)
+        vocab = build_vocab(docs, text, tokenizer=tokenizer)
     # every token is counted; the ids kept by truncation (the first
     # max_length) are mapped through the vocabulary
-    base = docs.select(id_col, *keep, word_tokens(F.col(text)).alias("_t"))
+    base = docs.select(id_col, *keep, tokenizer(F.col(text)).alias("_t"))
     ex = base.select(id_col, *keep, F.size("_t").cast("bigint").alias("n_tokens"),
                      F.posexplode_outer(F.slice("_t", 1, max_length)).alias("pos", "token"))
     ided = join_checked(ex, vocab.select("token", "id"), "token", how="left")
@@ -195,9 +198,9 @@ def pair_boundary_audit(df: DataFrame, prompt="prompt", chosen="chosen", rejecte
     """Tokenise prompt+answer and prompt alone; where the joint tokenisation
     changes the prompt part, the boundary moves back by one. Chosen and
     rejected prompt parts may differ in at most one token and one length."""
-    pt = hashed_ids(ws_tokens(F.col(prompt)))
-    ct = hashed_ids(ws_tokens(F.concat(F.col(prompt), F.col(chosen))))
-    rt = hashed_ids(ws_tokens(F.concat(F.col(prompt), F.col(rejected))))
+    pt = ws_tokens(F.col(prompt))
+    ct = ws_tokens(F.concat(F.col(prompt), F.col(chosen)))
+    rt = ws_tokens(F.concat(F.col(prompt), F.col(rejected)))
     out = (df.withColumn("_pt", pt).withColumn("_ct", ct).withColumn("_rt", rt)
            .withColumn("boundary_chosen", _boundary(F.col("_pt"), F.col("_ct")))
            .withColumn("boundary_rejected", _boundary(F.col("_pt"), F.col("_rt"))))

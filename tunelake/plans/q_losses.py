@@ -51,9 +51,9 @@ _LEAD = ("WITH l AS (SELECT seq_id, pos, logp, LEAD(token_id) OVER (PARTITION BY
 
 
 @register("sequence_logps", _LEAD + """
-SELECT seq_id, SUM(CASE WHEN nt % 10 <> 0 THEN logp END) AS logps_sum, COUNT_IF(nt % 10 <> 0) AS n_tokens,
-       SUM(CASE WHEN nt % 10 <> 0 THEN logp END) / COUNT_IF(nt % 10 <> 0) AS logps_mean
-FROM l WHERE nt IS NOT NULL GROUP BY seq_id""", ["seq"])
+SELECT seq_id, COALESCE(SUM(CASE WHEN nt % 10 <> 0 THEN logp END), 0.0) AS logps_sum, COUNT_IF(nt % 10 <> 0) AS n_tokens,
+       SUM(CASE WHEN nt % 10 <> 0 THEN logp END) / NULLIF(COUNT_IF(nt % 10 <> 0), 0) AS logps_mean
+FROM l GROUP BY seq_id""", ["seq"])
 def q_sequence_logps(spark, sf_dir):
     seq = Views(spark, sf_dir).seq()
     lab = L.shifted_labels(seq, ignore=lambda c: c % 10 == 0)

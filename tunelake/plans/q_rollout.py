@@ -24,12 +24,14 @@ r AS (SELECT seq_id, COALESCE(MIN(CASE WHEN post = 0 THEN pos END), MAX(w)) - 1
 roll AS (SELECT q.*, r.seq_len, r.contains_eos,
                 CASE WHEN r.contains_eos THEN q.score ELSE q.score - 1.0 END AS score_adj,
                 CASE WHEN q.pos > r.seq_len THEN 1.0 ELSE q.logp END AS masked_logp,
+                CASE WHEN q.pos > r.seq_len THEN 1.0 ELSE q.ref_logp END AS masked_ref_logp,
                 CASE WHEN q.pos > r.seq_len + 1 THEN 0.0 ELSE q.val END AS masked_val,
-                q.pos > r.seq_len AS padding_mask
+                q.pos > r.seq_len AS padding_mask, q.pos > r.seq_len + 1 AS padding_mask_p1
          FROM q JOIN r USING (seq_id)),
-shaped AS (SELECT *, -0.05 * (logp - ref_logp) AS nsr,
+shaped AS (SELECT *, -0.05 * (masked_logp - masked_ref_logp) AS nsr,
                   CASE WHEN pos = CASE WHEN seq_len + 1 < w THEN seq_len + 1 ELSE seq_len END
-                       THEN -0.05 * (logp - ref_logp) + score_adj ELSE -0.05 * (logp - ref_logp) END AS reward
+                       THEN -0.05 * (masked_logp - masked_ref_logp) + score_adj
+                       ELSE -0.05 * (masked_logp - masked_ref_logp) END AS reward
            FROM roll)"""
 
 
@@ -90,14 +92,14 @@ def q_shaped_rewards(spark, sf_dir):
 
 
 @register("masked_whiten", _with(""",
-st AS (SELECT batch_id, AVG(CASE WHEN NOT padding_mask THEN reward END) AS mu,
-              VAR_SAMP(CASE WHEN NOT padding_mask THEN reward END) AS v FROM shaped GROUP BY batch_id),
-wh AS (SELECT s.batch_id, CASE WHEN NOT padding_mask THEN (reward - mu) / sqrt(v + 1e-8) + mu ELSE 0.0 END AS x
+st AS (SELECT batch_id, AVG(CASE WHEN NOT padding_mask_p1 THEN reward END) AS mu,
+              VAR_SAMP(CASE WHEN NOT padding_mask_p1 THEN reward END) AS v FROM shaped GROUP BY batch_id),
+wh AS (SELECT s.batch_id, CASE WHEN NOT padding_mask_p1 THEN (reward - mu) / sqrt(v + 1e-8) + mu ELSE 0.0 END AS x
        FROM shaped s JOIN st USING (batch_id))
 SELECT batch_id, SUM(x) AS white_sum, SUM(x * x) AS white_sq_sum FROM wh GROUP BY batch_id""".lstrip(",")
                                      .replace("\nst AS", ",\nst AS", 1)), ["seq"])
 def q_masked_whiten(spark, sf_dir):
-    s = shaped(spark, sf_dir).withColumn("valid", ~F.col("padding_mask"))
+    s = shaped(spark, sf_dir).withColumn("valid", ~F.col("padding_mask_p1"))
     w = G.masked_whiten(s, "reward", "valid", out="x", shift_mean=False)
     return w.groupBy("batch_id").agg(F.sum("x").alias("white_sum"), F.sum(F.col("x") * F.col("x")).alias("white_sq_sum"))
 
@@ -134,18 +136,18 @@ def q_ppo_value_loss(spark, sf_dir):
     return G.ppo_value_loss(s, mask=F.col("token_id") % 10 != 0, cliprange_value=0.2)
 
 
-@register("ppo_epoch_metrics", """
-WITH s AS (SELECT CAST(seq_id // 100 AS BIGINT) AS batch_id, seq_id, SUM(logp - ref_logp) AS kl, SUM(-logp) AS entropy,
-                  SUM(-0.05 * (logp - ref_logp)) AS non_score, ANY_VALUE(score) AS score,
-                  MAX(CASE WHEN token_id % 10 = 1 THEN 1 ELSE 0 END) AS has_eos FROM seq GROUP BY seq_id),
-v AS (SELECT CAST(seq_id // 100 AS BIGINT) AS batch_id, VAR_SAMP(exp(logp - ref_logp)) AS val_ratio_var FROM seq GROUP BY 1)
+@register("ppo_epoch_metrics", _with(""",
+s AS (SELECT batch_id, seq_id, SUM(masked_logp - masked_ref_logp) AS kl, SUM(-masked_logp) AS entropy,
+             SUM(-0.05 * (masked_logp - masked_ref_logp)) AS non_score, ANY_VALUE(score_adj) AS score,
+             COUNT(CASE WHEN tok = 1 THEN 1 END) AS eos FROM roll GROUP BY batch_id, seq_id),
+m AS (SELECT batch_id, seq_id % 4 AS mb, AVG(exp(masked_logp - masked_ref_logp)) AS ratio FROM roll GROUP BY 1, 2),
+v AS (SELECT batch_id, AVG(ratio) AS val_ratio, VAR_SAMP(ratio) AS val_ratio_var FROM m GROUP BY 1)
 SELECT batch_id, AVG(kl) AS objective_kl, AVG(entropy) AS objective_entropy, AVG(non_score) AS objective_non_score_reward,
-       AVG(non_score + score) AS objective_rlhf_reward, AVG(score) AS objective_scores,
-       CAST(SUM(has_eos) AS BIGINT) AS eos_count, ANY_VALUE(v.val_ratio_var) AS val_ratio_var
-FROM s JOIN v USING (batch_id) GROUP BY batch_id""", ["seq"])
+       AVG(non_score) + AVG(score) AS objective_rlhf_reward, AVG(score) AS objective_scores,
+       CAST(SUM(eos) AS BIGINT) AS eos_count, ANY_VALUE(v.val_ratio) AS val_ratio, ANY_VALUE(v.val_ratio_var) AS val_ratio_var
+FROM s JOIN v USING (batch_id) GROUP BY batch_id""".lstrip(",").replace("\ns AS", ",\ns AS", 1)), ["seq"])
 def q_ppo_epoch_metrics(spark, sf_dir):
-    s = Views(spark, sf_dir).seq().withColumn("token", F.col("token_id") % 10) \
-        .withColumn("batch_id", F.floor(F.col("seq_id") / 100).cast("bigint"))
+    s = rollout(spark, sf_dir).withColumn("minibatch", F.col("seq_id") % 4)
     return G.ppo_epoch_metrics(s, kl_coef=KL_COEF)
 
 

@@ -19,7 +19,7 @@ def sql_ws(x: str) -> str:
 
 
 def sql_hashed(toks: str) -> str:
-    return f"list_transform({toks}, lambda t: ('0x' || substr(md5(t), 1, 4))::BIGINT + 3)"
+    return f"list_transform({toks}, lambda t: ('0x' || substr(md5(t), 1, 13))::BIGINT + 3)"
 
 
 def token_arrays(seq):
@@ -36,7 +36,7 @@ SQL_TOKEN_ARRAYS = "SELECT seq_id, list(token_id % 10 ORDER BY pos) AS input_ids
 # -- K1 -----------------------------------------------------------------------------
 
 @register("tokenize_corpus", """
-WITH l AS (SELECT doc_id, source, regexp_extract_all(lower(text), '[a-z0-9]+') AS l FROM documents),
+WITH l AS (SELECT doc_id, source, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS l FROM documents),
 toks AS (SELECT doc_id, unnest(l) AS token, unnest(range(len(l))) AS pos FROM l),
 vocab AS (SELECT token, ROW_NUMBER() OVER (ORDER BY COUNT(*) DESC, token) - 1 + 3 AS id FROM toks GROUP BY token),
 per AS (SELECT t.doc_id, COUNT(*) AS n_tokens,
@@ -140,8 +140,8 @@ def q_assistant_mask(spark, sf_dir):
 # -- K8 -----------------------------------------------------------------------------
 
 @register("pair_boundary_audit", f"""
-WITH t AS (SELECT row_id, {sql_hashed(sql_ws('prompt'))} AS pt, {sql_hashed(sql_ws('prompt || chosen'))} AS ct,
-                  {sql_hashed(sql_ws('prompt || rejected'))} AS rt FROM pref),
+WITH t AS (SELECT row_id, {sql_ws('prompt')} AS pt, {sql_ws('prompt || chosen')} AS ct,
+                  {sql_ws('prompt || rejected')} AS rt FROM pref),
 b AS (SELECT row_id, pt, ct, rt,
              CASE WHEN list_slice(ct, 1, len(pt)) = pt THEN len(pt) ELSE len(pt) - 1 END AS bc,
              CASE WHEN list_slice(rt, 1, len(pt)) = pt THEN len(pt) ELSE len(pt) - 1 END AS br FROM t),

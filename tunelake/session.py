@@ -4,6 +4,7 @@ shared checkpoint folder of whatever session we were handed."""
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -39,9 +40,9 @@ def build_session(master: str | None = None, shuffle_partitions: int = 8,
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    Read from the session; only when it is unset (local tests) a scratch
-    folder is created and registered, so lineage cuts and written tables
-    always land in one place that every executor can reach."""
+    Read from the session. Only on a ``local`` master, as in tests, an unset
+    one is replaced by a scratch folder; elsewhere that is an error, since
+    other hosts could not read it."""
     sc = spark.sparkContext
     found = sc.getCheckpointDir()
     if not found:
@@ -49,6 +50,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
         if found:
             sc.setCheckpointDir(found)
     if not found:
+        if not re.match(r"local(\[|$)", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="tunelake-ckpt-")
         sc.setCheckpointDir(found)
         found = sc.getCheckpointDir() or found
