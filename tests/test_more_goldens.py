@@ -42,12 +42,14 @@ def test_review_table_layout(spark):
 
 
 def test_server_reported_missing_fields(spark):
-    df = spark.createDataFrame([("m", '{"eval_count": 10, "eval_duration": 2000000000}', 2.0 * 2 ** 30, 1.0),
-                                ("m", '{}', 0.0, float(2 ** 30))], ["model", "response", "mem_before", "mem_after"])
+    df = spark.createDataFrame([("m", '{"eval_count": 10, "eval_duration": 2000000000}', 2.0 * 2 ** 30, 1.0, 3.0),
+                                ("m", '{}', 0.0, float(2 ** 30), 1.0)],
+                               ["model", "response", "mem_before", "mem_after", "latency_s"])
     r = M.bench_server_reported(df).collect()[0]
     # second request: count 0, duration 1 ns -> throughput 0
     assert math.isclose(r.throughput_tok_s, (5.0 + 0.0) / 2)
     assert math.isclose(r.peak_ram_gb, (2.0 + 1.0) / 2)
+    assert r.latency_s == 2.0  # the client's wall time, not the server's counter
 
 
 def test_grid_names_and_best_run(spark):
