@@ -3,7 +3,7 @@
 from collections import Counter
 
 
-from tunelake.operators.packing import kl_mismatch_pairs, pack_bfd, pack_wrapped
+from tunelake.operators.packing import kl_mismatch_pairs, kl_mismatch_report, pack_bfd, pack_wrapped
 
 
 def test_bfd_invariants(spark):
@@ -66,3 +66,22 @@ def test_bfd_equals_brute_force(spark):
     df = spark.createDataFrame(items, ["seq_id", "length"])
     got = pack_bfd(df, capacity=32, n_shards=1).toPandas().sort_values("bin_id")
     assert [list(x) for x in got["seq_ids"]] == _bfd_brute(items, 32)
+
+
+def test_bfd_shard_is_a_range_of_ids(spark):
+    def bins(ids):
+        df = spark.createDataFrame([(i, (i * 37) % 23 + 1) for i in ids], ["seq_id", "length"])
+        return {(r.shard, tuple(r.seq_ids)) for r in pack_bfd(df, capacity=24, shard_ids=50).collect()}
+
+    few, many = bins(range(100)), bins(range(400))
+    assert few == {b for b in many if b[0] < 2}  # further rows don't change a shard
+    assert all(i // 50 == shard for shard, ids in many for i in ids)
+    assert sorted(i for _, ids in many for i in ids) == list(range(400))
+
+
+def test_kl_report_counts_dropped_rows(spark):
+    for n, dropped in ((0, 0), (1, 1), (8, 0), (17, 1), (18, 0)):
+        df = spark.createDataFrame([(i, "c") for i in range(n)], "row_id long, completion string")
+        r = kl_mismatch_report(df, batch_size=8).first()
+        assert (r.n_rows, r.n_batches, r.n_dropped) == (n, -(-n // 8), dropped)
+        assert kl_mismatch_pairs(df, batch_size=8).count() == n - dropped

@@ -25,32 +25,30 @@ def pack_wrapped(tokens: DataFrame, seq="seq_id", pos="pos", token="token", bloc
 
 
 def _bfd_schema(key_type):
-    return T.StructType([T.StructField("shard", T.IntegerType()), T.StructField("bin_id", T.IntegerType()),
+    return T.StructType([T.StructField("shard", T.LongType()), T.StructField("bin_id", T.IntegerType()),
                          T.StructField("seq_ids", T.ArrayType(key_type)),
                          T.StructField("seq_lengths", T.ArrayType(T.LongType())),
                          T.StructField("total", T.LongType())])
 
 
-SHARD_ROWS = 1_000_000  # sequences per packing shard (one pandas group)
-
-
 def pack_bfd(lengths: DataFrame, seq="seq_id", length="length", capacity=512,
-             n_shards: int | None = None) -> DataFrame:
-    """Best-fit-decreasing bins of ``capacity`` per shard (hash of the
-    sequence id). Sequences longer than the capacity are truncated first.
-    Each shard holds about 1/n_shards of the sequences; by default the
-    shard count follows the row count (one number to the driver) so a shard
-    never exceeds SHARD_ROWS sequences; 1 shard = the exact global packing."""
+             n_shards: int | None = None, shard_ids: int = 100_000) -> DataFrame:
+    """Best-fit-decreasing bins of ``capacity`` per shard. Sequences longer
+    than the capacity are truncated first. A shard is a range of
+    ``shard_ids`` consecutive sequence numbers, so with one row per sequence
+    it never holds more than that, and a packing doesn't depend on the rest
+    of the table. Given ``n_shards`` instead, shards are that many hash
+    groups of any id type; 1 = the exact global packing of a small table."""
     from ..session import ship_package
 
     ship_package(lengths.sparkSession)
     if n_shards is None:
-        n_shards = max(1, -(-lengths.count() // SHARD_ROWS))
+        shard = F.floor(F.col(seq) / F.lit(shard_ids))
+    else:
+        shard = F.conv(F.substring(seeded_md5("bfd", seq), 1, 8), 16, 10).cast("bigint") % n_shards
     key_type = lengths.schema[seq].dataType
     prepared = lengths.select(
-        seq, F.least(F.col(length), F.lit(capacity)).cast("bigint").alias("_len"),
-        (F.conv(F.substring(seeded_md5("bfd", seq), 1, 8), 16, 10).cast("bigint") % n_shards)
-        .cast("int").alias("shard"))
+        seq, F.least(F.col(length), F.lit(capacity)).cast("bigint").alias("_len"), shard.cast("bigint").alias("shard"))
 
     def bfd(pdf):
         import bisect
@@ -104,6 +102,17 @@ def kl_mismatch_pairs(df: DataFrame, id_col="row_id", completion="completion", b
             .drop("_sb", "_sp", "_src", "_rank", "_total", "_bsize"))
 
 
+def kl_mismatch_report(df: DataFrame, batch_size=8) -> DataFrame:
+    """One row: n_rows, n_batches, and n_dropped, the rows that
+    ``kl_mismatch_pairs`` leaves out (a last batch of one row)."""
+    if batch_size <= 1:
+        raise ValueError("batch size must be > 1 to build mismatched pairs")
+    n = F.col("n_rows")
+    return df.agg(F.count(F.lit(1)).alias("n_rows")).select(
+        n, F.ceil(n / F.lit(batch_size)).alias("n_batches"),
+        F.when(n % batch_size == 1, F.lit(1)).otherwise(F.lit(0)).cast("bigint").alias("n_dropped"))
+
+
 def align_by_row_id(left: DataFrame, right: DataFrame, id_col="row_id", how="inner") -> DataFrame:
     """Column-wise concatenation of two row-aligned datasets: an equi-join
     on the row id, never on position."""

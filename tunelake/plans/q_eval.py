@@ -139,6 +139,15 @@ def q_model_report(spark, sf_dir):
     return TM.model_report(TM.rouge_l(TM.sentence_bleu(preds)))
 
 
+@register("model_report_unstemmed", f"""
+SELECT b.model, AVG(b.bleu) AS bleu, AVG(r.rouge_l) AS rouge_l, COUNT(*) AS n
+FROM ({BLEU_SQL}) b JOIN ({ROUGE_L_SQL}) r ON r.row_id = b.row_id AND r.model = b.model
+GROUP BY b.model""", ["preds"])
+def q_model_report_unstemmed(spark, sf_dir):
+    preds = Views(spark, sf_dir).preds()
+    return TM.model_report(TM.rouge_l(TM.sentence_bleu(preds), use_stemmer=False))
+
+
 @register("merge_outputs_wide", """
 SELECT row_id, instruction, reference,
        MAX(CASE WHEN model = 'half' THEN prediction END) AS half,

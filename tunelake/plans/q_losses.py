@@ -119,7 +119,7 @@ FROM (SELECT lab, ls, list_sum(list_transform(range(1, len(ls) + 1), lambda i: {
 WITH s AS (SELECT vec_id, CASE WHEN label = 9 THEN -100 ELSE label END AS lab,
                   list_transform(embedding, lambda v: CAST(v AS DOUBLE) / 2.0) AS x FROM embeddings),
 ls AS (SELECT vec_id, lab, list_transform(x, lambda v: v - {sql_lse('x')}) AS l FROM s),
-p AS (SELECT a.vec_id, a.lab, a.l AS ls, b.l AS lt FROM ls a JOIN ls b ON b.vec_id = a.vec_id + 1)
+p AS (SELECT vec_id, lab, l AS ls, list_reverse(l) AS lt FROM ls)
 """ + "\nUNION ALL\n".join(parts)
 
 
@@ -128,7 +128,8 @@ def q_generalized_jsd(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
     student = e.select("vec_id", F.when(F.col("label") == 9, F.lit(-100)).otherwise(F.col("label")).alias("label"),
                        F.col("embedding").alias("logits"))
-    teacher = e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("logits"))
+    # the teacher of every vector holds its components in reverse order
+    teacher = e.select("vec_id", F.reverse("embedding").alias("logits"))
     # one join and one aggregate for all three betas, then one row per beta
     j = L.jsd_pairs(student, teacher, "vec_id", temperature=2.0)
     m = F.col("label") != -100
@@ -283,16 +284,27 @@ def q_unpaired_metrics(spark, sf_dir):
 # -- R8 / R9 / R10 ----------------------------------------------------------------------------
 
 @register("udm_density_ratio", f"""
-WITH p AS (SELECT vec_id, label < 5 AS desirable, {sql_sig('CAST(embedding[1] AS DOUBLE)')} AS p FROM embeddings)
+WITH s AS (SELECT vec_id, label < 5 AS desirable, list_sum(list_transform(embedding, lambda v: CAST(v AS DOUBLE))) AS x
+           FROM embeddings),
+p AS (SELECT vec_id, desirable, {sql_sig('x')} AS p FROM s)
 SELECT vec_id, CASE WHEN desirable THEN 1.0 ELSE LEAST(GREATEST(p / (1 - p + 1e-8), 0.5), 10.0) END AS udm_weight
 FROM p""")
 def q_udm_density_ratio(spark, sf_dir):
+    # a fixed linear model over all components, so that SQL can follow; udm_weights has the fitted one
+    x = F.aggregate("embedding", F.lit(0.0), lambda acc, v: acc + v.cast("double"))
     e = table(spark, sf_dir, "embeddings").select(
-        "vec_id", (F.col("label") < 5).alias("desirable"),
-        (1 / (1 + F.exp(-F.element_at("embedding", 1).cast("double")))).alias("prob_desirable"))
+        "vec_id", (F.col("label") < 5).alias("desirable"), (1 / (1 + F.exp(-x))).alias("prob_desirable"))
     return R.udm_density_ratio(e, label="desirable").select("vec_id", "udm_weight")
 
 
+@register("udm_weights")
+def q_udm_weights(spark, sf_dir):
+    # Spark ML fit: no SQL oracle; tests check the bounds and the formula
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", (F.col("label") < 5).alias("desirable"))
+    _, scored, _ = R.desirability_classifier(e, features="embedding", label="desirable")
+    return R.udm_density_ratio(scored, label="desirable").select("vec_id", "desirable", "prob_desirable", "udm_weight")
+
+
 @register("desirability_classifier")
 def q_desirability_classifier(spark, sf_dir):
     # Spark ML fit: no SQL oracle; checked by accuracy bounds in tests.
@@ -348,20 +360,24 @@ def q_token_accuracy(spark, sf_dir):
 
 @register("pair_metrics", """
 WITH p AS (SELECT CASE WHEN l_orderkey % 10 = 0 THEN 'eval' ELSE 'train' END AS split, chosen_logp, rejected_logp,
-                  0.1 * chosen_logp AS cr, 0.1 * rejected_logp AS rr FROM pair_logp),
+                  0.1 * chosen_logp AS cr, 0.1 * rejected_logp AS rr, margin FROM pair_logp),
 w AS (SELECT split, AVG(cr) AS rc, AVG(rr) AS rj, AVG(CAST(cr > rr AS DOUBLE)) AS acc, AVG(cr - rr) AS mg,
-             AVG(chosen_logp) AS lc, AVG(rejected_logp) AS lr, AVG(-chosen_logp) AS nll FROM p GROUP BY split),
+             AVG(chosen_logp) AS lc, AVG(rejected_logp) AS lr, AVG(-chosen_logp) AS nll,
+             AVG(chosen_logp + margin) AS gc, AVG(rejected_logp - margin) AS gr FROM p GROUP BY split),
 l AS (SELECT split, 'rewards/chosen' AS metric, rc AS value FROM w
       UNION ALL SELECT split, 'rewards/rejected', rj FROM w UNION ALL SELECT split, 'rewards/accuracies', acc FROM w
       UNION ALL SELECT split, 'rewards/margins', mg FROM w UNION ALL SELECT split, 'logps/chosen', lc FROM w
-      UNION ALL SELECT split, 'logps/rejected', lr FROM w UNION ALL SELECT split, 'nll_loss', nll FROM w)
+      UNION ALL SELECT split, 'logps/rejected', lr FROM w UNION ALL SELECT split, 'nll_loss', nll FROM w
+      UNION ALL SELECT split, 'logits/chosen', gc FROM w UNION ALL SELECT split, 'logits/rejected', gr FROM w)
 SELECT split, CASE WHEN split = 'eval' THEN 'eval_' || metric ELSE metric END AS metric, value FROM l""",
           ["pair_logp"])
 def q_pair_metrics(spark, sf_dir):
     p = Views(spark, sf_dir).pair_logp().withColumn(
         "split", F.when(F.col("l_orderkey") % 10 == 0, "eval").otherwise("train"))
     p = R.cpo_loss(p, beta=0.1).withColumn("nll", -F.col("chosen_logp"))
-    return R.pair_metrics(p, nll="nll")
+    p = (p.withColumn("chosen_logit", F.col("chosen_logp") + F.col("margin"))
+         .withColumn("rejected_logit", F.col("rejected_logp") - F.col("margin")))
+    return R.pair_metrics(p, nll="nll", chosen_logits="chosen_logit", rejected_logits="rejected_logit")
 
 
 @register("log_mean", """
@@ -369,3 +385,18 @@ SELECT mode, CASE WHEN mode = 'eval' THEN 'eval_' || metric ELSE metric END AS m
 FROM steplog GROUP BY mode, metric""", ["steplog"])
 def q_log_mean(spark, sf_dir):
     return R.log_mean(Views(spark, sf_dir).steplog())
+
+
+@register("log_mean_by_epoch", """
+WITH l AS (SELECT epoch, inner_epoch, step // 5 AS log_id, val, CASE WHEN step % 7 = 0 THEN 'loss' ELSE metric END AS metric
+           FROM steplog),
+m AS (SELECT *, CASE WHEN MAX(CASE WHEN metric = 'loss' THEN 1 ELSE 0 END) OVER (PARTITION BY log_id) = 1
+                THEN 'train' ELSE 'eval' END AS mode FROM l)
+SELECT mode, epoch, inner_epoch, CASE WHEN mode = 'eval' THEN 'eval_' || metric ELSE metric END AS metric,
+       AVG(val) AS mean, COUNT(*) AS n
+FROM m GROUP BY mode, epoch, inner_epoch, metric""", ["steplog"])
+def q_log_mean_by_epoch(spark, sf_dir):
+    # five steps make one log record; those that log a loss are training records
+    logs = Views(spark, sf_dir).steplog().drop("mode").withColumn("log_id", F.floor(F.col("step") / 5)).withColumn(
+        "metric", F.when(F.col("step") % 7 == 0, "loss").otherwise(F.col("metric")))
+    return R.log_mean(R.with_log_mode(logs), by=("epoch", "inner_epoch"))

@@ -48,6 +48,14 @@ def q_kl_mismatch_pairs(spark, sf_dir):
     return out.select("row_id", "batch_id", "batch_pos", "kl_row_id", "kl_completion")
 
 
+@register("kl_mismatch_report", """
+SELECT COUNT(*) AS n_rows, CAST(CEIL(COUNT(*) / 8.0) AS BIGINT) AS n_batches,
+       CAST(CASE WHEN COUNT(*) % 8 = 1 THEN 1 ELSE 0 END AS BIGINT) AS n_dropped
+FROM unpaired""", ["unpaired"])
+def q_kl_mismatch_report(spark, sf_dir):
+    return PK.kl_mismatch_report(Views(spark, sf_dir).unpaired(), batch_size=8)
+
+
 @register("align_by_row_id", """
 WITH w AS (SELECT row_id, MAX(CASE WHEN model = 'half' THEN prediction END) AS half,
                   MAX(CASE WHEN model = 'echo' THEN prediction END) AS echo,
