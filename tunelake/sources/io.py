@@ -83,8 +83,12 @@ def named_eval_sets(sets: dict, prep=None, name_col: str = "eval_name") -> DataF
 
 
 def stream_source(spark: SparkSession, folder: str, schema: T.StructType,
-                  glob: str | None = None) -> DataFrame:
+                  glob: str | None = None, max_files: int | None = None) -> DataFrame:
+    """A folder of Parquet files as a stream; ``max_files`` bounds the files
+    of one micro-batch, and with it the rows of a prompt held at once."""
     r = spark.readStream.schema(schema)
+    if max_files:
+        r = r.option("maxFilesPerTrigger", max_files)
     if glob:
         r = r.option("pathGlobFilter", glob)
     return r.parquet(folder)

@@ -2,6 +2,8 @@
 
 * stateless prep (X1) runs the same column functions on a streaming
   DataFrame into an exactly-once file sink;
+* ``step_metrics``, ``running_delta`` and ``per_prompt_stats`` take the
+  caller's stream; the functions named ``stream_*`` feed them a table;
 * step metrics (X2) and the running reward mean (X3) keep their state as
   partial sums written per micro-batch (``foreachBatch``, idempotent per
   epoch id), so state is tiny and a restart resumes from the checkpoint;
@@ -90,14 +92,14 @@ def _epoch_writer(path: str):
 
 # -- X2 ------------------------------------------------------------------------------------
 
-def stream_step_metrics(spark, sf_dir, logging_steps=50, state_path: str | None = None) -> DataFrame:
-    """Every ``logging_steps`` steps the mean loss since the last log,
-    rounded to 4 places; nothing at step 0; a trailing incomplete window is
-    not logged. Each micro-batch writes partial (sum, count) per log window;
-    reading merges them, so a window may span micro-batches."""
-    s = _stream_table(spark, sf_dir, "events").select(
-        F.col("event_id").alias("step"), F.log(F.col("value") + 1).alias("loss"))
-    s = s.where(F.col("step") >= 1).withColumn(
+def step_metrics(losses: DataFrame, logging_steps=50, state_path: str | None = None) -> DataFrame:
+    """Of a stream (step, loss) every ``logging_steps`` steps the mean loss
+    since the last log, rounded to 4 places; nothing at step 0; a trailing
+    incomplete window is not logged. Each micro-batch writes partial (sum,
+    count) per log window; reading merges them, so a window may span
+    micro-batches."""
+    spark = losses.sparkSession
+    s = losses.where(F.col("step") >= 1).withColumn(
         "window_id", F.floor((F.col("step") - 1) / logging_steps).cast("bigint"))
     partial_path, ckpt = _state_paths(spark, "stepmetrics", state_path)
     write = _epoch_writer(partial_path)
@@ -118,23 +120,29 @@ def stream_step_metrics(spark, sf_dir, logging_steps=50, state_path: str | None
             .select("log_step", F.round(F.col("s") / F.col("n"), 4).alias("loss")))
 
 
+def stream_step_metrics(spark, sf_dir, logging_steps=50, state_path: str | None = None) -> DataFrame:
+    """``step_metrics`` of the events table read as a stream."""
+    s = _stream_table(spark, sf_dir, "events").select(
+        F.col("event_id").alias("step"), F.log(F.col("value") + 1).alias("loss"))
+    return step_metrics(s, logging_steps, state_path)
+
+
 # -- X3 ------------------------------------------------------------------------------------
 
-def stream_running_delta(spark, sf_dir, beta=0.1, state_path: str | None = None) -> DataFrame:
-    """Running mean of all rewards up to and including each training batch
-    (the BCO delta), across micro-batches: each micro-batch writes its
-    per-batch (sum, count) partials; delta = cumulative sums in batch order
-    (two-pass prefix sum), equal to the batch operator."""
-    li = _stream_table(spark, sf_dir, "lineitem").select(
-        F.floor(F.col("l_orderkey") / 100.0).cast("bigint").alias("batch_id"),
-        (beta * (F.log(F.lit(0.05) + F.col("l_discount")) - F.log(F.lit(0.05) + F.col("l_tax")))).alias("reward"))
+def running_delta(rewards: DataFrame, state_path: str | None = None) -> DataFrame:
+    """Of a stream (batch_id, reward) the running mean of all rewards up to
+    and including each training batch (the BCO delta), across micro-batches:
+    each micro-batch writes its per-batch (sum, count) partials; delta =
+    cumulative sums in batch order (two-pass prefix sum), equal to the batch
+    operator."""
+    spark = rewards.sparkSession
     partial_path, ckpt = _state_paths(spark, "running-delta", state_path)
     write = _epoch_writer(partial_path)
 
     def per_batch(df, epoch_id):
         write(df.groupBy("batch_id").agg(F.sum("reward").alias("s"), F.count(F.lit(1)).alias("n")), epoch_id)
 
-    q = (li.writeStream.foreachBatch(per_batch)
+    q = (rewards.writeStream.foreachBatch(per_batch)
          .option("checkpointLocation", ckpt)
          .trigger(availableNow=True).start())
     q.awaitTermination()
@@ -145,6 +153,14 @@ def stream_running_delta(spark, sf_dir, beta=0.1, state_path: str | None = None)
         "batch_id", ((F.col("_cs") + F.col("_s")) / (F.col("_cn") + F.col("_n"))).alias("delta"))
 
 
+def stream_running_delta(spark, sf_dir, beta=0.1, state_path: str | None = None) -> DataFrame:
+    """``running_delta`` of the lineitem table read as a stream."""
+    li = _stream_table(spark, sf_dir, "lineitem").select(
+        F.floor(F.col("l_orderkey") / 100.0).cast("bigint").alias("batch_id"),
+        (beta * (F.log(F.lit(0.05) + F.col("l_discount")) - F.log(F.lit(0.05) + F.col("l_tax")))).alias("reward"))
+    return running_delta(li, state_path)
+
+
 # -- X4 ------------------------------------------------------------------------------------
 
 _X4_OUT = T.StructType([
@@ -190,30 +206,47 @@ def _per_prompt(buffer_size):
     return fn
 
 
-def stream_per_prompt_stats(spark, sf_dir, buffer_size=16, min_count=16, batch_events=1000,
-                            state_path: str | None = None, state_partitions: int | None = None) -> DataFrame:
-    """Per-prompt statistics with streaming state (last ``buffer_size``
-    rewards and a count per prompt), then the advantage: the prompt's own
-    statistics once it has ``min_count`` rewards, else the batch's global
-    ones (an aggregate over the sink output)."""
-    ev = _stream_table(spark, sf_dir, "events").select(
-        "event_id", F.col("user_id").alias("prompt_id"),
-        F.floor(F.col("event_id") / batch_events).cast("bigint").alias("batch_id"),
-        F.log(F.col("value") + 1).alias("reward"))
+def per_prompt_stats(rewards: DataFrame, buffer_size=16, min_count=16, state_path: str | None = None,
+                     state_partitions: int | None = None) -> DataFrame:
+    """Per-prompt statistics of a stream (event_id, prompt_id, batch_id,
+    reward) with streaming state (last ``buffer_size`` rewards and a count
+    per prompt), then the advantage: the prompt's own statistics once it has
+    ``min_count`` rewards, else the batch's global ones (an aggregate over
+    the sink output).
+
+    A training batch may be cut by micro-batches: every part emits the
+    statistics up to its own end, and the reader takes for all rows of a
+    (prompt, batch) those with the highest count, which saw the whole batch.
+    Rows are expected in the order of their batches."""
+    spark = rewards.sparkSession
     from ..session import ship_package
 
     ship_package(spark)
-    stats = ev.groupBy("prompt_id").applyInPandasWithState(
+    stats = rewards.groupBy("prompt_id").applyInPandasWithState(
         _per_prompt(buffer_size), _X4_OUT, _X4_STATE, "append", "NoTimeout")
     # one state partition per core by default: the state is tiny per key and
     # each partition has a fixed start-up cost
     parts = state_partitions or spark.sparkContext.defaultParallelism
     out = _drain(stats, "per-prompt", state_path, parts)
+    whole = out.groupBy(F.col("prompt_id").alias("_p"), F.col("batch_id").alias("_b")).agg(
+        F.max(F.struct("seen", "prompt_mean", "prompt_std")).alias("_s"))
     glob = out.groupBy("batch_id").agg(F.avg("reward").alias("_gm"), F.stddev_pop("reward").alias("_gs"))
-    j = out.join(glob, "batch_id")
-    own = F.col("seen") >= min_count
-    mean = F.when(own, F.col("prompt_mean")).otherwise(F.col("_gm"))
-    std = F.when(own, F.col("prompt_std")).otherwise(F.col("_gs")) + 1e-6
+    j = (out.select("event_id", "prompt_id", "batch_id", "reward")
+         .join(whole, F.col("prompt_id").eqNullSafe(F.col("_p")) & (F.col("batch_id") == F.col("_b")))
+         .join(glob, "batch_id"))
+    own = F.col("_s.seen") >= min_count
+    mean = F.when(own, F.col("_s.prompt_mean")).otherwise(F.col("_gm"))
+    std = F.when(own, F.col("_s.prompt_std")).otherwise(F.col("_gs")) + 1e-6
     return j.select("event_id", ((F.col("reward") - mean) / std).alias("advantage"),
                     own.alias("used_prompt_stats"))
 
+
+def stream_per_prompt_stats(spark, sf_dir, buffer_size=16, min_count=16, batch_events=1000,
+                            state_path: str | None = None, state_partitions: int | None = None) -> DataFrame:
+    """``per_prompt_stats`` of the events table read as a stream."""
+    ev = _stream_table(spark, sf_dir, "events").select(
+        "event_id", F.col("user_id").alias("prompt_id"),
+        F.floor(F.col("event_id") / batch_events).cast("bigint").alias("batch_id"),
+        F.log(F.col("value") + 1).alias("reward"))
+    return per_prompt_stats(ev, buffer_size, min_count, state_path, state_partitions)
+
