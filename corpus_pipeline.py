@@ -41,7 +41,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [("language_id", language), ("exact_dedup", exact), ("ngram_jaccard", near), ("mix_sources", mixture),
           ("byte_bpe", tokens)]
 
-#: Compression, components and BPE have no SQL: tests/llm/test_pipeline.py compares with a brute-force version.
+#: Compression, components and BPE have no SQL: tests/llm/test_text_models.py compares with a brute-force version.
 ORACLE_SQL = None
 
 
