@@ -68,3 +68,19 @@ def test_truncate_sequence_modes(spark):
     head = [r.input_ids for r in K.truncate_sequence(df, max_length=4, mode="keep_start").collect()]
     tail = [r.input_ids for r in K.truncate_sequence(df, max_length=4, mode="keep_end").collect()]
     assert head == [[0, 1, 2, 3], [1]] and tail == [[2, 3, 4, 5], [1]]
+
+
+def test_input_forms_and_column_types(spark):
+    import pytest
+
+    from tunelake.operators import prompt as P
+
+    df = spark.createDataFrame([("a", None, None), ("a", [1], [1]), (None, [1], None), (None, None, None)],
+                               "text string, ids array<int>, labels array<int>")
+    r = P.input_form_audit(df, {"text": ["text"], "ids": ["ids", "labels"]}).collect()[0]
+    assert r.asDict() == {"n_rows": 4, "no_form": 1, "one_form": 2, "several_forms": 1, "incomplete": 1, "has_text": 2, "has_ids": 2}
+    empty = P.input_form_audit(df.limit(0), {"text": ["text"]}).collect()[0]
+    assert empty["n_rows"] == 0 and empty["no_form"] == 0
+    with pytest.raises(TypeError, match="chosen is bigint"):
+        P.validate_rows(spark.createDataFrame([("p", 1, "r")], ["prompt", "chosen", "rejected"]))
+    assert P.require_strings(spark.createDataFrame([("p", ["t"])], ["prompt", "turns"]), ["prompt"], ["turns"]).count() == 1

@@ -52,3 +52,22 @@ def test_epoch_metrics_count_eos_tokens(spark):
     assert r["eos_count"] == 4 and abs(r["val_ratio_var"]) < 1e-12
     one = G.ppo_epoch_metrics(G.rollout_postprocess(df.where("seq_id = 1"))).collect()[0]
     assert one["val_ratio_var"] is None
+
+
+def test_update_metrics_leave_padding_out(spark):
+    import math
+
+    # two minibatches; the second has a pad with log-probs and values that must not count
+    rows = [(0, 0, -1.0, -1.0, 1.0, 0.5, 0.5, 1.0, 2.0, False, False), (0, 1, -0.5, -1.0, 1.0, 0.5, 0.9, 1.0, 2.0, False, False),
+            (0, 1, -9.0, 1.0, 7.0, 8.0, 0.0, 0.0, 4.0, True, True)]
+    df = spark.createDataFrame(rows, ["batch_id", "minibatch", "new_logp", "masked_logp", "advantage", "vpred", "masked_val",
+                                      "return", "entropy", "padding_mask", "padding_mask_p1"])
+    r = G.ppo_update_metrics(df).collect()[0]
+    assert abs(r["loss_policy_avg"] - (-1.0 - 1.2) / 2) < 1e-12 and r["policy_clipfrac_avg"] == 0.5
+    assert abs(r["policy_approxkl_avg"] - (0.0 + 0.5 * 0.25 / 2) / 2) < 1e-12
+    # minibatch 1: value 0.5 against 1.0 is worse than its clipped 0.7
+    assert abs(r["loss_value_avg"] - 0.5 * 0.25) < 1e-12 and r["val_clipfrac_avg"] == 0.0
+    assert r["policy_entropy_avg"] == 2.5
+    means = [1.0, (math.exp(0.5) + 1.0) / 2]
+    assert abs(r["val_ratio"] - sum(means) / 2) < 1e-12
+    assert abs(r["val_ratio_var"] - (means[1] - means[0]) ** 2 / 2) < 1e-12

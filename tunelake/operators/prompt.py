@@ -3,6 +3,9 @@ higher-order functions only."""
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add, and_, or_
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -194,8 +197,36 @@ def with_special_tokens(df: DataFrame, text="text", bos="<s>", eos="</s>") -> Da
                                         F.when(t.endswith(eos), F.lit("")).otherwise(F.lit(eos))))
 
 
+def require_strings(df: DataFrame, cols, lists=()) -> DataFrame:
+    """``df`` itself if ``cols`` are strings and ``lists`` arrays of strings, else a TypeError that names all misfits."""
+    types = dict(df.dtypes)
+    wrong = [f"{c} is {types[c]}, not {want}" for names, want in ((cols, "string"), (lists, "array<string>"))
+             for c in names if types[c] != want]
+    if wrong:
+        raise TypeError("; ".join(wrong))
+    return df
+
+
+def input_form_audit(df: DataFrame, forms: dict[str, list[str]], group=None) -> DataFrame:
+    """Rows by the input forms they give. A form is given if one of its
+    columns is not null, and complete if all are: each row should give one
+    form, completely. Counts of rows with none, one and several, of rows with
+    an incomplete one, and of each form."""
+    given = {f: reduce(or_, [F.col(c).isNotNull() for c in cols]) for f, cols in forms.items()}
+    full = {f: reduce(and_, [F.col(c).isNotNull() for c in cols]) for f, cols in forms.items()}
+    n = reduce(add, [g.cast("int") for g in given.values()])
+    incomplete = reduce(or_, [given[f] & ~full[f] for f in forms])
+    aggs = [F.count(F.lit(1)).alias("n_rows"), F.count_if(n == 0).alias("no_form"), F.count_if(n == 1).alias("one_form"),
+            F.count_if(n > 1).alias("several_forms"), F.count_if(incomplete).alias("incomplete"),
+            *[F.count_if(g).alias(f"has_{f}") for f, g in given.items()]]
+    return df.groupBy(group).agg(*aggs) if group else df.agg(*aggs)
+
+
 def validate_rows(df: DataFrame, prompt="prompt", chosen="chosen", rejected="rejected") -> DataFrame:
-    """One aggregate of violation counts for preference rows."""
+    """One aggregate of violation counts for preference rows; a column that
+    holds no strings is an error before any row is read."""
+    require_strings(df, [prompt, chosen, rejected])
+
     def blank(c):
         return F.coalesce(strip_ws(F.col(c)) == "", F.lit(False))
 

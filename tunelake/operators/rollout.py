@@ -214,6 +214,33 @@ def ppo_epoch_metrics(tok: DataFrame, seq="seq_id", batch="batch_id", logp="mask
         F.avg(ratio).alias("val_ratio"), F.var_samp(ratio).alias("val_ratio_var"))
 
 
+def ppo_update_metrics(tok: DataFrame, batch="batch_id", minibatch="minibatch", logp="new_logp", old_logp="masked_logp",
+                       adv="advantage", vpred="vpred", values="masked_val", returns="return", entropy="entropy",
+                       padding="padding_mask", padding_p1="padding_mask_p1", cliprange=0.2,
+                       cliprange_value=0.2) -> DataFrame:
+    """Policy and value statistics of the update, one value per minibatch and
+    then the plain mean over a batch's minibatches. Losses and clip fractions
+    leave padding out; KL, entropy and ratio are means over all positions,
+    where a padded position has no log-prob difference."""
+    diff = F.when(F.col(padding), 0.0).otherwise(F.col(logp) - F.col(old_logp))
+    ratio = F.exp(diff)
+    l1 = -F.col(adv) * ratio
+    l2 = -F.col(adv) * F.least(F.greatest(ratio, F.lit(1 - cliprange)), F.lit(1 + cliprange))
+    v = F.when(F.col(padding_p1), 0.0).otherwise(F.col(vpred))
+    vclip = F.least(F.greatest(v, F.col(values) - cliprange_value), F.col(values) + cliprange_value)
+    v1, v2 = (v - F.col(returns)) ** 2, (vclip - F.col(returns)) ** 2
+    real, real_p1 = ~F.col(padding), ~F.col(padding_p1)
+    stats = {"policy_approxkl_avg": 0.5 * F.avg(diff ** 2),
+             "policy_clipfrac_avg": F.avg(F.when(real, (l2 > l1).cast("double"))),
+             "loss_policy_avg": F.avg(F.when(real, F.greatest(l1, l2))),
+             "loss_value_avg": 0.5 * F.avg(F.when(real_p1, F.greatest(v1, v2))),
+             "val_clipfrac_avg": F.avg(F.when(real_p1, (v2 > v1).cast("double"))),
+             "policy_entropy_avg": F.avg(entropy), "val_ratio": F.avg(ratio)}
+    per_mini = tok.groupBy(batch, minibatch).agg(*[c.alias(k) for k, c in stats.items()])
+    return per_mini.groupBy(batch).agg(*[F.avg(k).alias(k) for k in stats],
+                                       F.var_samp("val_ratio").alias("val_ratio_var"))
+
+
 # -- G7 / G8 / G10 ----------------------------------------------------------------------------
 
 def advantage_global(df: DataFrame, reward="reward", group="model", eps=1e-8) -> DataFrame:

@@ -318,6 +318,16 @@ def q_validate_rows(spark, sf_dir):
     return P.validate_rows(Views(spark, sf_dir).pref())
 
 
+@register("input_form_audit", """
+WITH g AS (SELECT text IS NOT NULL OR n_chars IS NOT NULL AS t, text IS NOT NULL AND n_chars IS NOT NULL AS tf,
+                  lang IS NOT NULL OR source IS NOT NULL AS l, lang IS NOT NULL AND source IS NOT NULL AS lf FROM documents),
+n AS (SELECT *, CAST(t AS INT) + CAST(l AS INT) AS n FROM g)
+SELECT COUNT(*) AS n_rows, COUNT_IF(n = 0) AS no_form, COUNT_IF(n = 1) AS one_form, COUNT_IF(n > 1) AS several_forms,
+       COUNT_IF(t AND NOT tf OR l AND NOT lf) AS incomplete, COUNT_IF(t) AS has_text, COUNT_IF(l) AS has_label FROM n""")
+def q_input_form_audit(spark, sf_dir):
+    return P.input_form_audit(table(spark, sf_dir, "documents"), {"text": ["text", "n_chars"], "label": ["lang", "source"]})
+
+
 @register("nan_logprob_audit", """
 SELECT seq_id % 4 AS source, COUNT(*) AS n,
        COUNT_IF(isnan(logp)) AS logp_nan, COUNT_IF(logp IS NULL) AS logp_null,

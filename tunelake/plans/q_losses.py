@@ -260,25 +260,29 @@ def q_bco_loss(spark, sf_dir):
 
 @register("unpaired_metrics", f"""
 WITH k AS (SELECT batch_id, GREATEST(AVG(policy_kl_logp - reference_kl_logp), 0) AS kl FROM unp_logp GROUP BY batch_id),
-u AS (SELECT u.label, 0.1 * {_D} AS reward, u.policy_logp AS lp,
+u AS (SELECT u.label, 0.1 * {_D} AS reward, u.policy_logp AS lp, u.policy_kl_logp - u.policy_logp AS lg,
              CASE WHEN label THEN 1 - {sql_sig(f'0.1 * ({_D} - kl)')} ELSE 1 - {sql_sig(f'0.1 * (kl - {_D})')} END AS loss
       FROM unp_logp u JOIN k USING (batch_id)),
 t AS (SELECT SUM(CASE WHEN label THEN reward END) AS cr, COUNT_IF(label) AS cn,
              SUM(CASE WHEN NOT label THEN reward END) AS rr, COUNT_IF(NOT label) AS rn,
              SUM(CASE WHEN label THEN lp END) AS cl, SUM(CASE WHEN NOT label THEN lp END) AS rl,
-             SUM(loss) AS ls, COUNT(loss) AS ln FROM u)
+             SUM(loss) AS ls, COUNT(loss) AS ln,
+             SUM(CASE WHEN label THEN lg END) AS cg, SUM(CASE WHEN NOT label THEN lg END) AS rg FROM u)
 SELECT * FROM (
   SELECT 'rewards/chosen' AS metric, CASE WHEN cn > 0 THEN cr / cn END AS value FROM t
   UNION ALL SELECT 'rewards/rejected', CASE WHEN rn > 0 THEN rr / rn END FROM t
   UNION ALL SELECT 'rewards/margins', CASE WHEN cn > 0 AND rn > 0 THEN cr / cn - rr / rn END FROM t
   UNION ALL SELECT 'logps/chosen', CASE WHEN cn > 0 THEN cl / cn END FROM t
   UNION ALL SELECT 'logps/rejected', CASE WHEN rn > 0 THEN rl / rn END FROM t
+  UNION ALL SELECT 'logits/chosen', CASE WHEN cn > 0 THEN cg / cn END FROM t
+  UNION ALL SELECT 'logits/rejected', CASE WHEN rn > 0 THEN rg / rn END FROM t
   UNION ALL SELECT 'loss', ls / ln FROM t
   UNION ALL SELECT 'count/chosen', CAST(cn AS DOUBLE) FROM t
   UNION ALL SELECT 'count/rejected', CAST(rn AS DOUBLE) FROM t) x WHERE value IS NOT NULL""", ["unp_logp"])
 def q_unpaired_metrics(spark, sf_dir):
     scored = R.kto_loss(Views(spark, sf_dir).unp_logp(), beta=0.1)
-    return R.unpaired_metrics(scored)
+    scored = scored.withColumn("logit", F.col("policy_kl_logp") - F.col("policy_logp"))
+    return R.unpaired_metrics(scored, logits="logit")
 
 
 # -- R8 / R9 / R10 ----------------------------------------------------------------------------

@@ -151,6 +151,29 @@ def q_ppo_epoch_metrics(spark, sf_dir):
     return G.ppo_epoch_metrics(s, kl_coef=KL_COEF)
 
 
+@register("ppo_update_metrics", _with(""",
+x AS (SELECT *, seq_id % 4 AS mb, val - 0.5 AS adv, CASE WHEN padding_mask THEN 0.0 ELSE 0.5 * (val - 0.5) END AS diff,
+             CASE WHEN padding_mask_p1 THEN 0.0 ELSE val + 0.1 * (logp - ref_logp) END AS v FROM roll),
+y AS (SELECT *, exp(diff) AS ratio, LEAST(GREATEST(v, masked_val - 0.2), masked_val + 0.2) AS vc FROM x),
+z AS (SELECT *, -adv * ratio AS l1, -adv * LEAST(GREATEST(ratio, 0.8), 1.2) AS l2,
+             (v - score_adj) ** 2 AS v1, (vc - score_adj) ** 2 AS v2 FROM y),
+m AS (SELECT batch_id, mb, 0.5 * AVG(diff ** 2) AS kl,
+             AVG(CASE WHEN NOT padding_mask THEN CAST(l2 > l1 AS DOUBLE) END) AS pc,
+             AVG(CASE WHEN NOT padding_mask THEN GREATEST(l1, l2) END) AS pl,
+             0.5 * AVG(CASE WHEN NOT padding_mask_p1 THEN GREATEST(v1, v2) END) AS vl,
+             AVG(CASE WHEN NOT padding_mask_p1 THEN CAST(v2 > v1 AS DOUBLE) END) AS vcf,
+             AVG(-logp) AS ent, AVG(ratio) AS r FROM z GROUP BY 1, 2)
+SELECT batch_id, AVG(kl) AS policy_approxkl_avg, AVG(pc) AS policy_clipfrac_avg, AVG(pl) AS loss_policy_avg,
+       AVG(vl) AS loss_value_avg, AVG(vcf) AS val_clipfrac_avg, AVG(ent) AS policy_entropy_avg, AVG(r) AS val_ratio,
+       VAR_SAMP(r) AS val_ratio_var FROM m GROUP BY batch_id"""), ["seq"])
+def q_ppo_update_metrics(spark, sf_dir):
+    s = (rollout(spark, sf_dir).withColumn("minibatch", F.col("seq_id") % 4)
+         .withColumn("advantage", F.col("val") - 0.5).withColumn("return", F.col("score_adj"))
+         .withColumn("new_logp", F.col("logp") + 0.5 * (F.col("val") - 0.5))
+         .withColumn("vpred", F.col("val") + 0.1 * (F.col("logp") - F.col("ref_logp"))).withColumn("entropy", -F.col("logp")))
+    return G.ppo_update_metrics(s)
+
+
 @register("clipped_surrogate", """
 WITH t AS (SELECT LEAST(GREATEST((val - 0.5) * 20, -5.0), 5.0) AS a, exp(logp - ref_logp) AS ratio, logp, ref_logp FROM seq)
 SELECT AVG(GREATEST(-a * ratio, -a * LEAST(GREATEST(ratio, 1 - 1e-4), 1 + 1e-4))) AS loss,
