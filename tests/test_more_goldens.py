@@ -147,3 +147,27 @@ def test_bert_score_chunks_equal_single_chunk(spark):
     one = {r.example_id: r.bert_f1 for r in bert_score(e, chunk=512).collect()}
     many = {r.example_id: r.bert_f1 for r in bert_score(e, chunk=2).collect()}
     assert one.keys() == many.keys() and all(abs(one[k] - many[k]) < 1e-12 for k in one)
+
+
+def test_model_output_of_any_type_joined_back(spark):
+    from pyspark.sql import types as T
+
+    from tunelake.operators import apply as A
+
+    df = spark.createDataFrame([(1, "ab cd abc"), (2, ""), (3, None), (None, "x")], "row_id long, text string")
+    out = A.with_model_output(df, "m", A.stub_embedder(4), out="e", out_type=T.ArrayType(T.DoubleType()))
+    got = {r["row_id"]: r["e"] for r in out.collect()}
+    assert got == {1: [0.0, 0.0, 2.0, 1.0], 2: [0.0] * 4, 3: [0.0] * 4, None: None}
+    assert A.with_model_output(df.limit(0), "m", A.stub_reward, out_type=T.DoubleType()).count() == 0
+
+
+def test_models_are_cached_by_name_and_version():
+    from tunelake.operators import apply as A
+
+    made = []
+
+    def factory(tag):
+        return lambda: made.append(tag) or tag
+
+    assert [A._cached("m", "1", factory("a")), A._cached("m", "1", factory("b")), A._cached("m", "2", factory("c"))] == ["a", "a", "c"]
+    assert made == ["a", "c"] and A._MODEL_CACHE["m"] == ("2", "c")

@@ -3,13 +3,16 @@ flagship evaluation report."""
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
 from ..functions.expr import clean_text
 from ..operators import prompt as P
 from ..operators import report as R
 from ..operators import split as S
 from ..operators import textmetric as TM
-from ..operators.apply import STUB_MODELS, batch_apply_model
-from ..sources.views import Views
+from ..operators.apply import STUB_MODELS, batch_apply_model, stub_embedder, stub_reward, with_model_output
+from ..sources.views import Views, table
 from .catalog import register
 from .q_data import sql_head, sql_md5, sql_strip
 
@@ -53,6 +56,32 @@ def q_batch_apply_model(spark, sf_dir):
     return generate(Views(spark, sf_dir).instr()).select("row_id", "model", "generated")
 
 
+_WORDS_SQL = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+
+
+@register("apply_embedding_model", f"""
+WITH w AS (SELECT conv_id, turn, role, {_WORDS_SQL} AS words FROM conversations)
+SELECT conv_id, turn, role, """ + ", ".join(
+    f"CAST(len(list_filter(words, lambda x: length(x) % 4 = {i})) AS DOUBLE) AS e{i}" for i in range(4)) + """
+FROM w""")
+def q_apply_embedding_model(spark, sf_dir):
+    # an array output, written once and joined back to the rows
+    turns = table(spark, sf_dir, "conversations").withColumn("row_id", F.concat_ws(":", "conv_id", "turn"))
+    out = with_model_output(turns, "words", stub_embedder(4), out="e", out_type=T.ArrayType(T.DoubleType()))
+    return out.select("conv_id", "turn", "role", *[F.col("e")[i].alias(f"e{i}") for i in range(4)])
+
+
+@register("apply_reward_model", f"""
+WITH w AS (SELECT doc_id, source, {_WORDS_SQL} AS words FROM documents)
+SELECT doc_id, source, CASE WHEN len(words) = 0 THEN 0.0
+       ELSE CAST(list_sum(list_transform(words, lambda x: length(x))) AS DOUBLE) / len(words) END AS reward
+FROM w""")
+def q_apply_reward_model(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    out = with_model_output(docs, "reward", stub_reward, id_col="doc_id", out="reward", out_type=T.DoubleType())
+    return out.select("doc_id", "source", "reward")
+
+
 @register("strip_prompt_prefix", "SELECT row_id, model, instruction, reference, prediction FROM preds",
           ["preds"])
 def q_strip_prompt_prefix(spark, sf_dir):
