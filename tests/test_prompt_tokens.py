@@ -84,3 +84,18 @@ def test_input_forms_and_column_types(spark):
     with pytest.raises(TypeError, match="chosen is bigint"):
         P.validate_rows(spark.createDataFrame([("p", 1, "r")], ["prompt", "chosen", "rejected"]))
     assert P.require_strings(spark.createDataFrame([("p", ["t"])], ["prompt", "turns"]), ["prompt"], ["turns"]).count() == 1
+
+
+def test_quarantine_names_the_first_reason(spark):
+    from tunelake.operators import prompt as P
+
+    rows = [("p", "a", "b"), (None, "a", "b"), ("p", " ", "b"), ("p", "a", "a"), ("p", None, "")]
+    df = spark.createDataFrame(rows, "prompt string, chosen string, rejected string")
+    assert sorted(r["reason"] for r in P.quarantine(df).collect()) == ["blank chosen", "null chosen", "null prompt", "same pair"]
+
+
+def test_nan_logprobs_become_null(spark):
+    from tunelake.operators import prompt as P
+
+    df = spark.createDataFrame([(float("nan"),), (None,), (-1.0,)], "logp double")
+    assert [r["logp"] for r in P.clear_nan_logprobs(df, ["logp"]).collect()] == [None, None, -1.0]

@@ -175,16 +175,17 @@ def jsd_expr(beta: float, ls="_ls", lt="_lt"):
 
 
 def generalized_jsd(student: DataFrame, teacher: DataFrame, key, logits="logits", label="label",
-                    beta=0.5, temperature=1.0) -> DataFrame:
-    """Per position: generalised Jensen-Shannon divergence (array form)."""
-    j = jsd_pairs(student, teacher, key, logits, label, temperature)
-    return j.withColumn("jsd", jsd_expr(beta)).withColumn("n_vocab", F.size("_ls"))
-
-
-def jsd_reduce(per_pos: DataFrame, label="label") -> DataFrame:
-    """batchmean (sum / unmasked positions), sum, mean (over elements)."""
+                    betas=(0.5,), temperature=1.0) -> DataFrame:
+    """One row per beta: the generalised Jensen-Shannon divergence over the
+    positions whose label is not masked, as sum, per position (batchmean) and
+    per element (mean). One join and one aggregate serve all betas."""
     m = F.col(label) != IGNORE_INDEX
-    return per_pos.agg(
-        (F.sum(F.when(m, F.col("jsd"))) / F.count_if(m)).alias("jsd_batchmean"),
-        F.sum(F.when(m, F.col("jsd"))).alias("jsd_sum"),
-        (F.sum(F.when(m, F.col("jsd"))) / F.sum(F.when(m, F.col("n_vocab")))).alias("jsd_mean"))
+    j = jsd_pairs(student, teacher, key, logits, label, temperature)
+    j = j.select(label, F.size("_ls").alias("_nv"), *[jsd_expr(b).alias(f"_j{i}") for i, b in enumerate(betas)])
+    agg = j.agg(F.count_if(m).alias("_n"), F.sum(F.when(m, F.col("_nv"))).alias("_nv"),
+                *[F.sum(F.when(m, F.col(f"_j{i}"))).alias(f"_s{i}") for i in range(len(betas))])
+    rows = F.explode(F.array(*[F.struct(F.lit(float(b)).alias("beta"), F.col(f"_s{i}").alias("s"))
+                               for i, b in enumerate(betas)])).alias("r")
+    return agg.select("_n", "_nv", rows).select(
+        "r.beta", (F.col("r.s") / F.col("_n")).alias("jsd_batchmean"), F.col("r.s").alias("jsd_sum"),
+        (F.col("r.s") / F.col("_nv")).alias("jsd_mean"))

@@ -49,13 +49,6 @@ def format_infer_prompt(df: DataFrame, instruction="instruction", context="conte
     return df.withColumn(out, _prompt_head(instruction, context))
 
 
-def clean_columns(df: DataFrame, cols) -> DataFrame:
-    """null -> '', CR/LF -> space, strip (for CSV-safe result tables)."""
-    for c in cols:
-        df = df.withColumn(c, clean_text(c))
-    return df
-
-
 def strip_prompt_prefix(df: DataFrame, text="generated", prompt="prompt", out=None) -> DataFrame:
     """Drop ``len(prompt)`` leading characters of the generated text, then
     strip and clean it."""
@@ -191,12 +184,6 @@ def special_token_audit(df: DataFrame, text="text", source="source", bos="<s>",
         F.sum(F.length(fixed)).cast("bigint").alias("fixed_chars"))
 
 
-def with_special_tokens(df: DataFrame, text="text", bos="<s>", eos="</s>") -> DataFrame:
-    t = F.coalesce(F.col(text), F.lit(""))
-    return df.withColumn(text, F.concat(F.when(t.startswith(bos), F.lit("")).otherwise(F.lit(bos)), t,
-                                        F.when(t.endswith(eos), F.lit("")).otherwise(F.lit(eos))))
-
-
 def require_strings(df: DataFrame, cols, lists=()) -> DataFrame:
     """``df`` itself if ``cols`` are strings and ``lists`` arrays of strings, else a TypeError that names all misfits."""
     types = dict(df.dtypes)
@@ -242,12 +229,21 @@ def validate_rows(df: DataFrame, prompt="prompt", chosen="chosen", rejected="rej
 
 
 def quarantine(df: DataFrame, prompt="prompt", chosen="chosen", rejected="rejected") -> DataFrame:
-    bad = (F.col(prompt).isNull() | F.col(chosen).isNull() | F.col(rejected).isNull())
-    return df.where(bad)
+    """The rows that ``validate_rows`` counts as violations, with the first reason that holds."""
+    cols = {"prompt": prompt, "chosen": chosen, "rejected": rejected}
+    reasons = [F.when(F.col(c).isNull(), f"null {n}") for n, c in cols.items()]
+    reasons += [F.when(strip_ws(F.col(c)) == "", f"blank {n}") for n, c in cols.items()]
+    reasons.append(F.when(F.col(chosen) == F.col(rejected), "same pair"))
+    return df.withColumn("reason", F.coalesce(*reasons)).where(F.col("reason").isNotNull())
+
+
+def clear_nan_logprobs(df: DataFrame, cols) -> DataFrame:
+    """``df`` with null for NaN in ``cols``."""
+    return df.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in cols})
 
 
 def nan_logprob_audit(df: DataFrame, cols, source="source") -> DataFrame:
-    """NaN log-probs -> null, with NaN/null counts per source."""
+    """NaN and null counts of log-prob columns per source (``clear_nan_logprobs`` makes NaN null)."""
     aggs = []
     for c in cols:
         aggs += [F.count_if(F.isnan(c)).alias(f"{c}_nan"),

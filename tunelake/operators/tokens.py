@@ -93,10 +93,13 @@ def tokenize_corpus(docs: DataFrame, id_col="doc_id", text="text", max_length=51
             .withColumn("truncated", F.col("n_tokens") > max_length))
 
 
-def tokenize_summary(tok: DataFrame, source="source") -> DataFrame:
-    return tok.groupBy(source).agg(
-        F.count(F.lit(1)).alias("n_rows"), F.sum("n_tokens").alias("n_tokens"),
-        F.sum("n_kept").alias("n_kept"), F.count_if("truncated").alias("n_truncated"))
+def tokenize_summary(docs: DataFrame, source="source", text="text", max_length=512, tokenizer=word_tokens) -> DataFrame:
+    """Per source: rows, tokens, tokens kept by truncation, truncated rows; no vocabulary is needed for that."""
+    n = F.greatest(F.size(tokenizer(F.col(text))), F.lit(0)).cast("bigint")
+    return docs.select(F.col(source), n.alias("_n")).groupBy(source).agg(
+        F.count(F.lit(1)).alias("n_rows"), F.sum("_n").alias("n_tokens"),
+        F.sum(F.least("_n", F.lit(max_length).cast("bigint"))).alias("n_kept"),
+        F.count_if(F.col("_n") > max_length).alias("n_truncated"))
 
 
 # -- K2 ---------------------------------------------------------------------------

@@ -318,6 +318,24 @@ def q_validate_rows(spark, sf_dir):
     return P.validate_rows(Views(spark, sf_dir).pref())
 
 
+@register("quarantine_rows", f"""
+WITH r AS (SELECT row_id, CASE WHEN prompt IS NULL THEN 'null prompt' WHEN chosen IS NULL THEN 'null chosen'
+                  WHEN rejected IS NULL THEN 'null rejected' WHEN {sql_strip('prompt')} = '' THEN 'blank prompt'
+                  WHEN {sql_strip('chosen')} = '' THEN 'blank chosen' WHEN {sql_strip('rejected')} = '' THEN 'blank rejected'
+                  WHEN chosen = rejected THEN 'same pair' END AS reason FROM pref)
+SELECT * FROM r WHERE reason IS NOT NULL""", ["pref"])
+def q_quarantine_rows(spark, sf_dir):
+    return P.quarantine(Views(spark, sf_dir).pref()).select("row_id", "reason")
+
+
+@register("clear_nan_logprobs", """
+SELECT seq_id, pos, CASE WHEN token_id % 7 <> 3 THEN logp END AS logp, ref_logp FROM seq""", ["seq"])
+def q_clear_nan_logprobs(spark, sf_dir):
+    s = Views(spark, sf_dir).seq()
+    s = s.withColumn("logp", F.when(F.col("token_id") % 7 == 3, float("nan")).otherwise(F.col("logp")))
+    return P.clear_nan_logprobs(s, ["logp", "ref_logp"]).select("seq_id", "pos", "logp", "ref_logp")
+
+
 @register("input_form_audit", """
 WITH g AS (SELECT text IS NOT NULL OR n_chars IS NOT NULL AS t, text IS NOT NULL AND n_chars IS NOT NULL AS tf,
                   lang IS NOT NULL OR source IS NOT NULL AS l, lang IS NOT NULL AND source IS NOT NULL AS lf FROM documents),

@@ -37,6 +37,16 @@ def q_selective_log_softmax(spark, sf_dir):
                                    softcap=5.0, temperature=0.7).select("vec_id", "logp")
 
 
+@register("selective_log_softmax_long", f"""
+WITH s AS (SELECT vec_id, label, list_transform(embedding, lambda v: CAST(v AS DOUBLE)) AS x FROM embeddings)
+SELECT vec_id, x[label + 1] - {sql_lse('x')} AS logp FROM s""")
+def q_selective_log_softmax_long(spark, sf_dir):
+    # one row per (position, vocabulary entry), for vocabularies too wide for an array
+    e = table(spark, sf_dir, "embeddings").select("vec_id", F.col("label").alias("target"),
+                                                  F.posexplode("embedding").alias("vocab_id", "logit"))
+    return L.selective_log_softmax_long(e.withColumn("logit", F.col("logit").cast("double")), ["vec_id"])
+
+
 @register("token_entropy", f"""
 WITH s AS (SELECT vec_id, list_transform(embedding, lambda v: CAST(v AS DOUBLE)) AS x FROM embeddings)
 SELECT vec_id, {sql_lse('x')} - list_sum(list_transform(x, lambda v: exp(v - {sql_lse('x')}) * v)) AS entropy FROM s""")
@@ -130,18 +140,7 @@ def q_generalized_jsd(spark, sf_dir):
                        F.col("embedding").alias("logits"))
     # the teacher of every vector holds its components in reverse order
     teacher = e.select("vec_id", F.reverse("embedding").alias("logits"))
-    # one join and one aggregate for all three betas, then one row per beta
-    j = L.jsd_pairs(student, teacher, "vec_id", temperature=2.0)
-    m = F.col("label") != -100
-    betas = (0.0, 0.5, 1.0)
-    j = j.select("label", F.size("_ls").alias("n_vocab"), *[L.jsd_expr(b).alias(f"j{i}") for i, b in enumerate(betas)])
-    agg = j.agg(F.count_if(m).alias("_n"), F.sum(F.when(m, F.col("n_vocab"))).alias("_nv"),
-                *[F.sum(F.when(m, F.col(f"j{i}"))).alias(f"s{i}") for i in range(len(betas))])
-    rows = F.explode(F.array(*[F.struct(F.lit(b).alias("beta"), F.col(f"s{i}").alias("s"))
-                               for i, b in enumerate(betas)])).alias("r")
-    return agg.select("_n", "_nv", rows).select(
-        "r.beta", (F.col("r.s") / F.col("_n")).alias("jsd_batchmean"), F.col("r.s").alias("jsd_sum"),
-        (F.col("r.s") / F.col("_nv")).alias("jsd_mean"))
+    return L.generalized_jsd(student, teacher, "vec_id", betas=(0.0, 0.5, 1.0), temperature=2.0)
 
 
 # -- R1 / R2 / R4 ------------------------------------------------------------------------

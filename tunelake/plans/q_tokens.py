@@ -56,6 +56,14 @@ def q_tokenize_corpus(spark, sf_dir):
                     lambda a, x: a + x).alias("id_pos_sum"))
 
 
+@register("tokenize_summary", """
+WITH l AS (SELECT source, len(regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}]+')) AS n FROM documents)
+SELECT source, COUNT(*) AS n_rows, CAST(SUM(n) AS BIGINT) AS n_tokens, CAST(SUM(LEAST(n, 512)) AS BIGINT) AS n_kept,
+       COUNT_IF(n > 512) AS n_truncated FROM l GROUP BY source""")
+def q_tokenize_summary(spark, sf_dir):
+    return K.tokenize_summary(table(spark, sf_dir, "documents"))
+
+
 # -- K2 -----------------------------------------------------------------------------
 
 @register("padding_waste_report", f"""
