@@ -12,6 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 from tunelake.llm import bpe, dedup, jaccard, langid, mixing
 from tunelake.session import scratch_path
 
+#: Near copies share four fifths of their five-word shingles; op5's own 3 words and 0.9 are its digest's.
+NEAR_WIDTH = 5
+NEAR_THRESHOLD = 80
+
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can be told; texts without a letter go."""
@@ -25,7 +29,7 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked documents the one with the smallest id."""
-    return jaccard.one_per_component(docs)
+    return jaccard.one_per_component(docs, width=NEAR_WIDTH, threshold=NEAR_THRESHOLD)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -129,6 +129,41 @@ def test_pipeline_against_brute_force(spark, tmp_path):
     assert not {400, 401, 402} & set(want) and near and not {r[0] for r in near} & set(want)
 
 
+def test_near_stage_takes_five_words_and_four_fifths(spark):
+    rng = random.Random(4)
+    rows = []
+
+    def add(words):
+        rows.append((len(rows) + 1, " ".join(words), "a", "s"))
+
+    for f in range(12):
+        base = [f"w{f}x{i}" for i in range(200)]
+        add(base)
+        add(base + [f"n{f}x{i}" for i in range(rng.choice((10, 30, 45, 55, 70)))])
+        add([f"m{f}" if i in rng.sample(range(200), f) else w for i, w in enumerate(base)])
+    base = [f"z{i}" for i in range(200)]
+    add(base)  # 0.867 on either width
+    add(base + [f"y{i}" for i in range(30)])
+    add(["few", "words"])
+    add(["few", "words", "more"])
+
+    def grams(t):
+        w = t.split()
+        return {tuple(w[i:i + 5]) for i in range(len(w) - 4)} or {tuple(w)}
+
+    sets = [grams(r[1]) for r in rows]
+    root = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                a, b = sorted((root[i], root[j]))
+                root = [a if r == b else r for r in root]
+    want = sorted(rows[i][0] for i in set(root))
+    assert sorted(r["doc_id"] for r in corpus_pipeline.near(spark, documents(spark, rows), "").collect()) == want
+    assert len(rows) - 3 in want and len(rows) - 2 not in want
+    assert len(jaccard.one_per_component(documents(spark, rows)).collect()) > len(want)  # op5's values leave more
+
+
 def test_stages_keep_the_columns(spark, odd, none):
     for docs in (odd, none):
         for _, stage in corpus_pipeline.STAGES[:-1]:
