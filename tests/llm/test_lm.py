@@ -67,6 +67,16 @@ def test_against_dictionaries(spark, min_count, segment_keys):
         assert score - lm.STEP * n_tokens - 1e-6 <= r["score"] <= score + 1e-4 * n_tokens
 
 
+def test_pairs_seen_once_count(spark):
+    rows = [(i, " ".join(f"n{i}x{k}" for k in range(30)), None, None) for i in range(20)]
+    docs = documents(spark, rows)
+    n, want = plain([r[1] for r in rows], [r[1] for r in rows], 1)
+    got = {r["doc_id"]: r["score"] for r in lm.score(docs, docs).collect()}
+    for (d, *_), (n_tokens, _, base, score) in zip(rows, want):
+        assert score - lm.STEP * n_tokens - 1e-6 <= got[d] <= score + 1e-4 * n_tokens
+        assert got[d] > 0.6 * base
+
+
 def test_better_than_the_base_on_held_out_text(spark):
     rng = random.Random(2)
     follows = {i: [rng.randrange(200) for _ in range(3)] for i in range(200)}

@@ -1,7 +1,7 @@
 """Language-model scoring with an Elias-Fano n-gram trie.
 
-Model: words of the training documents with their counts (level 1), and the
-bigrams that occur at least MIN_COUNT times (level 2), interpolated:
+Model: words of the training documents with their counts (level 1), and all
+their bigrams (level 2; ``min_count`` above 1 leaves rare ones out), interpolated:
 
     P(w | v) = (c(vw) - D) / c(v) + backoff(v) * (c(w) + 1) / (N + V + 1)
 
@@ -42,7 +42,7 @@ from .base import id_remainder, table
 from .words import chunks, hashed, split_words
 
 FOLDS, HELD_OUT = 7, 2
-MIN_COUNT = 2
+MIN_COUNT = 1
 DISCOUNT = 0.75
 TALLY = 2_000_000
 BUCKET_KEYS = 4_000_000
