@@ -94,6 +94,17 @@ def test_better_than_the_base_on_held_out_text(spark):
     assert r[0] > 0.5 * r[1]
 
 
+def test_the_model_stays_in_the_shared_folder(spark, monkeypatch):
+    def refused(*_, **__):
+        raise AssertionError("the model passes through the driver")
+
+    monkeypatch.setattr(type(spark.sparkContext), "addFile", refused)
+    words_, bigrams, n = lm.fit(documents(spark, corpus(40)))
+    shared = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir")
+    assert n and all(shared.removeprefix("file:").lstrip("/") in f for f in words_ + bigrams)
+    assert len(lm.Words(words_).h) == len(lm.mapped_rows(words_)) and len(lm.Trie(lm.mapped_rows(bigrams)).rows)
+
+
 def test_odd_rows_and_empty(spark, odd, none):
     got = lm.score(odd, odd).collect()
     assert len(got) == odd.count() and all(r["score"] < 0 for r in got)

@@ -18,8 +18,10 @@ the context before and searches that value's successor.
 Counting covers all training documents. Workers add up repeats before they
 send; bigram keys travel as compressed sorted blocks, dealt by a hash of the
 key, so that no context is hot. Level files are written by Spark to the shared
-folder and reach the executors with SparkContext.addFile, where workers
-memory-map them: heap use doesn't follow the model's size, local disk does.
+folder; a task per file lays its columns open beside it, and workers memory-map
+those: neither heap, driver nor local disk follows the model's size. Only names
+of files pass through the driver. From a store that is not mounted, workers
+copy the columns to their executor's disk instead.
 
 Results: null counts as the empty text (its only token is the end). With no
 training documents every probability is 1. Rows without an id train. Words are
@@ -128,32 +130,51 @@ def word_level(words: DataFrame) -> DataFrame:
     return words.repartitionByRange("h").sortWithinPartitions("h").mapInArrow(pack, "first long, n long, total long, h binary, c binary")
 
 
-def shipped(level: DataFrame) -> list[str]:
-    """Have Spark bring the level's files to every executor; their names."""
+def published(level: DataFrame) -> list[str]:
+    """Have tasks lay the level's binary columns open beside its files; the files' names."""
     files = sorted(level.inputFiles())
-    for f in files:
-        level.sparkSession.sparkContext.addFile(f)
-    return [os.path.basename(f) for f in files]
 
+    def lay(batches):
+        for b in batches:
+            mapped_rows(b.column(0).to_pylist())
+            yield b
+
+    rows = level.sparkSession.createDataFrame([(f,) for f in files], "file string")
+    rows.repartition(max(1, len(files))).mapInArrow(lay, "file string").write.format("noop").mode("overwrite").save()
+    return files
+
+
+def raw_place(uri: str):
+    """(file system, path, beginning of the names of the raw files) of a level file. In a shared folder that is
+    mounted they stand beside it; from another store each executor takes its own copy."""
+    from pyarrow.fs import FileSystem, LocalFileSystem
+    from pyspark import SparkFiles
+
+    store, path = FileSystem.from_uri(uri)
+    folder, name = os.path.split(path)
+    return store, path, os.path.join(folder if isinstance(store, LocalFileSystem) else SparkFiles.getRootDirectory(), "_" + name)
 
-def mapped_rows(names: list[str]) -> list[dict]:
+
+def mapped_rows(files: list[str]) -> list[dict]:
     """The rows of the level's files; binary columns become read-only memory maps."""
     import pyarrow.parquet as pq
-    from pyspark import SparkFiles
 
     rows = []
-    for name in names:
-        path = SparkFiles.get(name)
-        for i, row in enumerate(pq.read_table(path).to_pylist()):
-            for k, v in row.items():
-                if isinstance(v, bytes):
-                    raw = f"{path}.{i}.{k}.raw"
-                    if not os.path.exists(raw):  # of two workers either may be first
-                        with open(own := f"{raw}.{uuid.uuid4().hex}", "wb") as f:
-                            f.write(v)
-                        os.replace(own, raw)
-                    row[k] = np.memmap(raw, np.uint8, "r") if v else np.empty(0, np.uint8)
-            rows.append(row)
+    for uri in files:
+        store, path, raw_name = raw_place(uri)
+        schema = pq.read_schema(path, filesystem=store)
+        wide = [f.name for f in schema if pa.types.is_binary(f.type)]
+        small = pq.read_table(path, columns=[c for c in schema.names if c not in wide], filesystem=store).to_pylist()
+        for k in wide:
+            raws = [f"{raw_name}.{i}.{k}.raw" for i in range(len(small))]
+            if not all(map(os.path.exists, raws)):  # of two workers either may be first
+                for raw, v in zip(raws, pq.read_table(path, columns=[k], filesystem=store)[k].to_pylist()):
+                    with open(own := f"{raw}.{uuid.uuid4().hex}", "wb") as f:
+                        f.write(v)
+                    os.replace(own, raw)
+            for row, raw in zip(small, raws):
+                row[k] = np.memmap(raw, np.uint8, "r") if os.path.getsize(raw) else np.empty(0, np.uint8)
+        rows += small
     return rows
 
 
@@ -377,7 +398,7 @@ def fit(docs: DataFrame, min_count: int = MIN_COUNT, segment_keys: int = SEGMENT
     """(files of level 1, files of level 2, tokens): the model of these documents."""
     level = materialize(word_level(count_words(docs)), "lm-words")
     n, v = (int(x or 0) for x in level.agg(F.sum("total"), F.sum("n")).first())
-    names = shipped(level)
+    names = published(level)
     if not n:
         return names, [], 0
     kept = materialize(count_bigrams(docs, names, n, min_count), "lm-bigrams")
@@ -398,7 +419,7 @@ def fit(docs: DataFrame, min_count: int = MIN_COUNT, segment_keys: int = SEGMENT
 
     parts = max(8, -(-kept.count() // segment_keys))
     trie = kept.repartitionByRange(parts, "key").sortWithinPartitions("key").mapInArrow(cut, SEGMENT)
-    return names, shipped(materialize(trie, "lm-trie")), n
+    return names, published(materialize(trie, "lm-trie")), n
 
 
 def score(docs: DataFrame, train: DataFrame, keep=("doc_id",), **how) -> DataFrame:
