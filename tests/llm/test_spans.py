@@ -109,6 +109,12 @@ def test_secrets(spark):
     assert kinds == ["private_key", "git_token", "hex", "url_password", "web_token"]  # a1a1... is hex as well
 
 
+def test_url_password_of_any_length(spark):
+    url = f"://{'u' * 65}:{'p' * 900}@"
+    got = secret(spark, ["https" + url + "host", "x://a:b@ ://user:" + "p" * 70, "://a:" * 20000], scratch_path(spark, "ledger"))
+    assert got == {0: [f"url_password:5:{5 + len(url)}"], 1: ["url_password:1:8"], 2: []}
+
+
 def test_ledger_scans_only_what_is_new(spark):
     ledger = scratch_path(spark, "ledger")
     docs = lambda ts: documents(spark, [(i, t, None, None) for i, t in enumerate(ts)])

@@ -69,7 +69,7 @@ RULES = (
     Rule("git_token", 1, r"gh[pousr]_[A-Za-z0-9]{36,}", hints=("ghp_", "gho_", "ghu_", "ghs_", "ghr_")),
     Rule("web_token", 1, r"eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}", hints=("eyj",)),
     Rule("chat_token", 1, r"xox[abprs]-[A-Za-z0-9-]{10,}", hints=("xox",)),
-    Rule("url_password", 1, r"://[^\s:/@]{1,64}:[^\s:/@]{1,64}@", hints=("://",)),
+    Rule("url_password", 2, r"://[^\s:/@]++:[^\s:/@]++@", hints=("://",)),
 )
 
 
