@@ -36,6 +36,20 @@ def test_language_on_held_out_rows(spark, spoken):
     assert all(0 <= r["score"] <= 1 for r in rows)
 
 
+def test_language_learns_from_all_of_the_sampled_texts(spark):
+    rng = random.Random(6)
+    header = speech(rng, "c", 700)
+    rows = [(i, " ".join([header if i % 4 < 2 else "12 " * 1000, speech(rng, "ab"[i % 2], 3000), f"end{'xyz'[i % 3] * 3}"]), "ab"[i % 2], "s")
+            for i in range(80)]
+    model = langid.fit(documents(spark, rows))
+    assert len(model) == 2
+    for lang in "ab":
+        raw = dict(model)[lang]
+        assert raw.count(b" ") > 500 and langid.predict(speech(rng, lang, 200), model)[0] == lang
+    many = documents(spark, [(i, "word" * 500 + f" {i}", "a", "s") for i in range(400)])
+    assert len(langid.fit(many)[0][1]) == langid.SAMPLE_DOCS * (langid.EXCERPT + 1) - 1
+
+
 def test_language_odd_rows(spark, odd, none, spoken):
     kept = langid.keep_identified(odd)
     assert kept.columns == odd.columns

@@ -1,8 +1,9 @@
 """Language identification by compression.
 
 Per language a zstandard raw-content dictionary is made of a bounded sample of
-labelled texts (``sample_docs`` texts a language, ``excerpt`` bytes of each,
-``dict_bytes`` at most). A text, reduced to its lower-case letters, is cut
+labelled texts (``sample_docs`` texts a language, ``excerpt`` bytes of each
+from a place in its whole letters that a hash chooses; ``dict_bytes`` at most,
+which by default holds them all). A text, reduced to its lower-case letters, is cut
 into blocks of ``BLOCK`` bytes (so that a long text is judged by the
 dictionaries throughout, not by its own beginning) and each block is
 compressed with every dictionary; the language with the fewest bytes over the
@@ -39,7 +40,7 @@ MIN_MARGIN = 0.005
 MIN_BYTES = 200
 SAMPLE_DOCS = 128
 EXCERPT = 500
-DICT_BYTES = 32 << 10
+DICT_BYTES = SAMPLE_DOCS * (EXCERPT + 1)
 FOLDS = 5
 
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
@@ -52,6 +53,13 @@ def letters(text: str) -> str:
     return out if any(map(str.isalpha, out)) else ""
 
 
+def excerpt_at(text: str | None, h: str, excerpt: int) -> bytes:
+    """``excerpt`` bytes of the text's letters, from a place chosen by the end of a hash (its beginning chose the row)."""
+    data = letters(text or "").encode()
+    start = int(h[16:], 16) % (max(0, len(data) - excerpt) + 1)
+    return data[start:start + excerpt]
+
+
 def fit(docs: DataFrame, folds: int = FOLDS, sample_docs: int = SAMPLE_DOCS, excerpt: int = EXCERPT,
         dict_bytes: int = DICT_BYTES) -> list[tuple[str, bytes]]:
     """(language, dictionary) from rows whose id remainder is not 0, best represented language first."""
@@ -61,13 +69,18 @@ def fit(docs: DataFrame, folds: int = FOLDS, sample_docs: int = SAMPLE_DOCS, exc
     if not counts:
         return []
     rate = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, 2.0 * sample_docs / n))])
+
+    @F.pandas_udf("binary")
+    def excerpts(text: pd.Series, h: pd.Series) -> pd.Series:
+        return pd.Series([excerpt_at(t, x, excerpt) for t, x in zip(text, h)], dtype=object)
+
     sample = (train.select("lang", "text", id_hash(F.col("doc_id"), F.col("text"), "langid").alias("h"))
               .where(uniform(F.col("h")) < F.element_at(rate, F.col("lang")))
-              .select("lang", "h", F.substring("text", 1, 4 * excerpt).alias("text")).collect())
+              .select("lang", "h", excerpts("text", "h").alias("part")).collect())
     texts: dict[str, list] = {}
     for r in sample:
-        if r["text"] and (kept := letters(r["text"])):
-            texts.setdefault(r["lang"], []).append((r["h"], kept.encode()[:excerpt]))
+        if r["part"]:
+            texts.setdefault(r["lang"], []).append((r["h"], bytes(r["part"])))
     model = [(lang, b" ".join(t for _, t in sorted(rows)[:sample_docs])[:dict_bytes]) for lang, rows in texts.items()]
     return sorted(model, key=lambda m: (-counts[m[0]], m[0]))
 
