@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, dedup, jaccard, langid, lm, mixing, pii, secrets, sharding, topk
+from . import bpe, codes, dedup, jaccard, langid, lm, mixing, pii, secrets, sharding, topk
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
@@ -15,10 +15,12 @@ QUERIES = {
     "op8_lm_score": lm.op8_lm_score,
     "op9_personal_data": pii.op9_personal_data,
     "op10_secret_scan": secrets.op10_secret_scan,
+    "op11_vector_codes": codes.op11_vector_codes,
 }
 
 ORACLES = {
     "op1_mix_sources": mixing.OP1_SQL,
     "op6_exact_dedup": dedup.OP6_SQL,
     "op7_topk_search": topk.OP7_SQL,
+    "op11_vector_codes": codes.OP11_SQL,
 }

@@ -19,7 +19,8 @@
 The patterns start only where a run of their characters starts (or where the
 last match ended), which gives the same matches as the plain patterns without
 their quadratic search; texts without the mark of a kind (@, a digit, +) skip
-it.
+it. Repeated groups are possessive or of bounded count: Java matches those in a
+loop, others by recursion, whose stack would grow with the text.
 
 Results: null counts as the empty text; positions are code points, end
 exclusive; a match that fails its test is dropped without another try.
@@ -42,7 +43,7 @@ ROUNDS = 30
 
 _LOCAL = "A-Za-z0-9._%+-"
 BASE = {
-    "email": rf"(?:\G|(?<![{_LOCAL}]))[{_LOCAL}]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+",
+    "email": rf"(?:\G|(?<![{_LOCAL}]))[{_LOCAL}]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     # a run of digits with single separators is matched whole, so only runs of 12 digits or more matter
     "card": r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){11,}+",
