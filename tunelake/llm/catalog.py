@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, codes, dedup, jaccard, langid, lm, mixing, pii, secrets, sharding, topk
+from . import bpe, codes, dedup, fitting, jaccard, langid, lm, mixing, pii, secrets, sharding, topk
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_personal_data": pii.op9_personal_data,
     "op10_secret_scan": secrets.op10_secret_scan,
     "op11_vector_codes": codes.op11_vector_codes,
+    "op12_best_fit": fitting.op12_best_fit,
 }
 
 ORACLES = {
