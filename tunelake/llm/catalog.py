@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, codes, dedup, fitting, jaccard, langid, lm, mixing, pii, secrets, sharding, topk
+from . import bpe, codes, dedup, divergence, fitting, jaccard, langid, lm, mixing, pii, secrets, sharding, topk
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_secret_scan": secrets.op10_secret_scan,
     "op11_vector_codes": codes.op11_vector_codes,
     "op12_best_fit": fitting.op12_best_fit,
+    "op13_source_divergence": divergence.op13_source_divergence,
 }
 
 ORACLES = {
@@ -24,4 +25,5 @@ ORACLES = {
     "op6_exact_dedup": dedup.OP6_SQL,
     "op7_topk_search": topk.OP7_SQL,
     "op11_vector_codes": codes.OP11_SQL,
+    "op13_source_divergence": divergence.OP13_SQL,
 }
