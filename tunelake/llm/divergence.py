@@ -1,15 +1,15 @@
 """Source divergence audit with late string materialization.
 
 How far apart are the sources of a language, and by which terms? Counting
-needs no strings: each task counts its terms per (language, source) and gives
-(group, 64-bit digest, occurrences, documents), so only fixed-width rows are
-shuffled. Beside them it writes, once per distinct digest of a task, the
-smallest and the largest string that has the digest. Those strings stay where
-they were written until
+needs no strings: each task counts its terms per (language, source) and gives,
+per language and 64-bit digest, the documents and the occurrences in each
+source, so only numbers are shuffled. Beside them it writes each distinct
+string once a task, with its digest. Those strings stay where they were written
+until
 
 1. the digests of kept terms are known (a term with few documents is not kept,
-   nor is its digest unless it shares it). Where the smallest string of a kept
-   digest is not the largest, terms collide; the digest is split: the texts are
+   nor is its digest unless it shares it). Where the minimum string of a kept
+   digest is not its maximum, terms collide; the digest is split: the texts are
    counted again, and terms of such digests carry their string as a second key;
 2. the terms that reach the output are known (at most ten a group and their
    ties): only these get their text back, by a join on the digest.
@@ -47,7 +47,7 @@ MIN_DOCS = 10
 TOP = 10
 SIDE = 256
 SALTS = 32
-#: Distinct (group, term) pairs, and bytes of text, that a task counts before it gives them away.
+#: Distinct (lang, source, term) triples, and bytes of text, that a task counts before it gives them away.
 HELD, CHUNK = 500_000, 4 << 20
 #: Colliding digests that are split by string; beyond, all terms carry their string.
 MOST_SPLIT = 100_000
@@ -68,41 +68,59 @@ def terms(text: bytes) -> list[bytes]:
     return text.translate(FOLD).split()
 
 
-COUNTS = "lang_id long, source_id long, digest long, term string, n long, docs long, low string, high string"
+#: One row per (lang, digest) with its occurrences in each source; lang_id null: one row per string met.
+COUNTS = "lang_id long, digest long, term string, n long, docs long, sources array<long>, counts array<long>, text string"
 
 
-def _counted(held: dict, ident, split) -> pa.RecordBatch:
-    """One row per (group, digest, string of a split digest), and one per digest with its smallest and largest string."""
-    of = {t: ident(t) for t in set().union(*(c for c, _ in held.values()))}
-    out: dict = {}
-    for (lang, source), (n, docs) in held.items():
-        for t, c in n.items():
-            d = of[t]
-            cell = out.setdefault((lang, source, d, t if split is None or d in split else None), [0, 0])
-            cell[0] += c
-            cell[1] += docs[t]
-    ends: dict = {}
-    for t, d in of.items():
-        low, high = ends.get(d, (t, t))
-        ends[d] = (min(low, t), max(high, t))
-    rows = [(*k, *v, None, None) for k, v in out.items()] + [(None, None, d, None, None, None, *e) for d, e in ends.items()]
-    lang, source, d, term, n, docs, low, high = zip(*rows)
-    texts = [pa.array(x, pa.binary()).cast(pa.string()) for x in (term, low, high)]
-    numbers = [pa.array(x, pa.int64()) for x in (lang, source, d, n, docs)]
-    return pa.RecordBatch.from_arrays([*numbers[:3], texts[0], *numbers[3:], *texts[1:]], [f.split()[0] for f in COUNTS.split(", ")])
+class Held:
+    """What a task has counted: occurrences by (lang, source), documents by lang."""
+
+    def __init__(self):
+        self.n: dict[int, dict[int, Counter]] = {}
+        self.docs: dict[int, Counter] = {}
+        self.size = 0
+
+    def add(self, lang: int, source: int, texts: list[bytes]) -> None:
+        found = [terms(t) for t in texts]
+        n = self.n.setdefault(lang, {}).setdefault(source, Counter())
+        self.size -= len(n)
+        n.update(chain.from_iterable(found))
+        self.size += len(n)
+        self.docs.setdefault(lang, Counter()).update(chain.from_iterable(map(set, found)))
+
+    def batches(self, ident, split):
+        """COUNTS of one lang after the other, then the strings. Terms of one digest may have a row each."""
+        of = {t: ident(t) for t in set().union(*self.docs.values())}
+        for lang, docs in self.docs.items():
+            place = {t: k for k, t in enumerate(docs)}
+            at = np.concatenate([np.fromiter(map(place.__getitem__, c), np.int64, len(c)) for c in self.n[lang].values()])
+            n = np.concatenate([np.fromiter(c.values(), np.int64, len(c)) for c in self.n[lang].values()])
+            source = np.repeat(np.fromiter(self.n[lang], np.int64), [len(c) for c in self.n[lang].values()])
+            order = np.argsort(at, kind="stable")
+            starts = pa.array(np.concatenate([[0], np.cumsum(np.bincount(at, minlength=len(docs)))]).astype(np.int32))
+            each = [pa.ListArray.from_arrays(starts, pa.array(x[order])) for x in (source, n)]
+            digests = np.fromiter(map(of.__getitem__, docs), np.int64, len(docs))
+            term = [t if split is None or of[t] in split else None for t in docs] if split is None or split else [None] * len(docs)
+            yield self._batch(np.full(len(docs), lang), digests, _strings(term), np.bincount(at, n, len(docs)).astype(np.int64),
+                              np.fromiter(docs.values(), np.int64, len(docs)), *each, pa.nulls(len(docs), pa.string()))
+        none = pa.nulls(len(of), pa.int64())
+        lists = pa.nulls(len(of), pa.list_(pa.int64()))
+        yield self._batch(none, np.fromiter(of.values(), np.int64, len(of)), pa.nulls(len(of), pa.string()), none, none, lists, lists, _strings(list(of)))
+
+    @staticmethod
+    def _batch(*columns) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c) if isinstance(c, np.ndarray) else c for c in columns],
+                                          [f.split()[0] for f in COUNTS.split(", ")])
+
+
+def _strings(values) -> pa.Array:
+    return pa.array(values, pa.binary()).cast(pa.string())
 
 
 def partial_counts(rows: DataFrame, ident=digest, split=frozenset()) -> DataFrame:
     """COUNTS of every task; ``split``: the digests whose terms carry their string (None: all)."""
     def run(batches):
-        held: dict = {}
-
-        def add(group, texts):
-            found = [terms(t) for t in texts]
-            n, docs = held.setdefault(group, (Counter(), Counter()))
-            n.update(chain.from_iterable(found))
-            docs.update(chain.from_iterable(map(set, found)))
-
+        held = Held()
         for b in batches:
             waiting: dict = {}
             for text, lang, source in zip(b.column("text"), b.column("lang_id").to_pylist(), b.column("source_id").to_pylist()):
@@ -110,15 +128,15 @@ def partial_counts(rows: DataFrame, ident=digest, split=frozenset()) -> DataFram
                 texts.append(memoryview(text.as_buffer()).tobytes())
                 size[0] += len(texts[-1])
                 if size[0] >= CHUNK:
-                    add((lang, source), texts)
+                    held.add(lang, source, texts)
                     del waiting[lang, source]
-            for group, (texts, _) in waiting.items():
-                add(group, texts)
-            if sum(len(n) for n, _ in held.values()) >= HELD:
-                yield _counted(held, ident, split)
-                held.clear()
-        if any(n for n, _ in held.values()):
-            yield _counted(held, ident, split)
+            for (lang, source), (texts, _) in waiting.items():
+                held.add(lang, source, texts)
+            if held.size >= HELD:
+                yield from held.batches(ident, split)
+                held = Held()
+        if held.size:
+            yield from held.batches(ident, split)
 
     return rows.select("lang_id", "source_id", "text").mapInArrow(run, COUNTS)
 
@@ -146,8 +164,10 @@ def numbered_groups(rows: DataFrame) -> tuple[DataFrame, int]:
 
 def share(n, total, vocabulary):
     """1 + floor(10**9 (n + 2) / (total + 2 V)), exact."""
-    whole = F.lit(ONE).cast("decimal(10,0)") * (n + F.lit(2)).cast("decimal(20,0)")
-    return F.lit(1) + F.call_function("div", whole, (total + F.lit(2) * vocabulary).cast("decimal(20,0)"))
+    whole, parts = n + F.lit(2), total + F.lit(2) * vocabulary
+    wide = F.call_function("div", F.lit(ONE).cast("decimal(10,0)") * whole.cast("decimal(20,0)"), parts.cast("decimal(20,0)"))
+    # the product fits 64 bits for all but enormous counts
+    return F.lit(1) + F.when(whole < F.lit(9 * ONE), F.call_function("div", F.lit(ONE).cast("long") * whole, parts)).otherwise(wide)
 
 
 def gap(p, q):
@@ -156,24 +176,27 @@ def gap(p, q):
 
 def kept_terms(ids: DataFrame, ident=digest, min_docs: int = MIN_DOCS) -> tuple[DataFrame, DataFrame]:
     """(lang_id, digest, term, source_id, n, lang_n, leads) of the kept terms, ``leads`` on one row a term, and
-    (digest, low, high) of the strings met. term is null but for split digests."""
+    (digest, text) of the strings met. term is null but for split digests."""
     n = int(ids.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     split: frozenset | None = frozenset()
     while True:
         counted = materialize(partial_counts(ids, ident, split), "counts")
-        # one shuffle of fixed-width rows; a common term has one row a source by then
         of_term = Window.partitionBy("lang_id", "digest", "term")
-        sums = (counted.where(F.col("lang_id").isNotNull()).drop("low", "high").repartition(n, "lang_id", "digest")
-                .groupBy("lang_id", "digest", "term", "source_id").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
-                .withColumn("lang_n", F.sum("n").over(of_term)).withColumn("docs", F.sum("docs").over(of_term))
-                .withColumn("leads", F.row_number().over(of_term.orderBy("source_id")) == 1)
-                .where(F.col("docs") >= min_docs).drop("docs"))
+        first = F.row_number().over(of_term.orderBy("n")) == 1
+        # one shuffle of numbers; only kept terms are taken apart by source
+        terms_ = (counted.where(F.col("lang_id").isNotNull()).drop("text").repartition(n, "lang_id", "digest")
+                  .withColumn("lang_n", F.sum("n").over(of_term)).withColumn("d", F.sum("docs").over(of_term)).withColumn("first", first)
+                  .where(F.col("d") >= min_docs))
+        each = terms_.select("lang_id", "digest", "term", "lang_n", "first", F.posexplode(F.arrays_zip("sources", "counts")).alias("place", "x"))
+        sums = (each.groupBy("lang_id", "digest", "term", "lang_n", F.col("x.sources").alias("source_id"))
+                .agg(F.sum("x.counts").alias("n"), F.max(F.col("first") & (F.col("place") == 0)).alias("leads")))
         kept = materialize(sums, "kept-terms")
-        strings = counted.where(F.col("lang_id").isNull()).select("digest", "low", "high")
+        strings = counted.where(F.col("lang_id").isNull()).select("digest", "text")
         if split is None:
             return kept, strings
-        unsplit = kept.where(F.col("leads") & F.col("term").isNull()).select("digest")
-        ends = strings.join(unsplit, "digest", "left_semi").groupBy("digest").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+        unsplit = kept.where(F.col("leads") & F.col("term").isNull()).select("digest").distinct()
+        ends = (strings.join(if_small(unsplit, 8), "digest", "left_semi")
+                .groupBy("digest").agg(F.min("text").alias("low"), F.max("text").alias("high")))
         clash = [r[0] for r in ends.where("low <> high").select("digest").limit(MOST_SPLIT + 1).collect()]
         if not clash:
             return kept, strings
@@ -194,7 +217,7 @@ def leading_terms(valued: DataFrame, strings: DataFrame, top: int = TOP) -> Data
              .groupBy(*group).agg(F.min("value").alias("least")))
     out = materialize(near.join(least, group).where(F.col("value") >= F.col("least")).drop("least"), "candidates")
     wanted = materialize(out.where(F.col("term").isNull()).select("digest").distinct(), "wanted")
-    texts = (strings.join(if_small(wanted, 8), "digest", "left_semi").groupBy("digest").agg(F.min("low").alias("text")))
+    texts = (strings.join(if_small(wanted, 8), "digest", "left_semi").groupBy("digest").agg(F.min("text").alias("text")))
     named = out.join(texts, "digest", "left").withColumn("item", F.coalesce("term", "text"))
     for part in ([*group, "salt"], group):
         named = named.withColumn("rank", F.row_number().over(Window.partitionBy(*part).orderBy(by_value, "item"))).where(F.col("rank") <= top)
