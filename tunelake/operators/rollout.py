@@ -3,15 +3,15 @@
 
 Per-sequence facts (stop position, length, EOS) are aggregates joined back
 on the sequence id; batch statistics are aggregates joined back on the batch
-id; the GAE recursion runs per sequence over its (bounded) arrays in an
-Arrow UDF, because it is a backward scan."""
+id; the GAE recursion is an affine scan in blocks."""
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from ..functions.order import with_next_values
+from ..functions.scan import BLOCK, affine_scan
 
 INVALID_LOGPROB = 1.0  # fixed value used for masked log-probs
 
@@ -110,45 +110,27 @@ def masked_whiten(df: DataFrame, value, mask, batch="batch_id", out=None, shift_
 
 # -- G3 ---------------------------------------------------------------------------------
 
-def _gae_udf(gamma: float, lam: float):
-    @F.pandas_udf(T.ArrayType(T.DoubleType()))
-    def gae(rewards: pd.Series, values: pd.Series) -> pd.Series:
-        import numpy as np
-
-        out = []
-        for r, v in zip(rewards, values):
-            r = np.asarray(r, dtype="float64")
-            v = np.asarray(v, dtype="float64")
-            adv = np.empty_like(r)
-            last = 0.0
-            for t in range(len(r) - 1, -1, -1):
-                nv = v[t + 1] if t + 1 < len(r) else 0.0
-                delta = r[t] + gamma * nv - v[t]
-                last = delta + gamma * lam * last
-                adv[t] = last
-            out.append(adv)
-        return pd.Series(out)
-
-    return gae
-
-
-def gae(tok: DataFrame, seq="seq_id", pos="pos", reward="reward", value="val", gamma=1.0, lam=0.95) -> DataFrame:
-    """Generalised advantage estimation per sequence (backward recursion,
-    last next-value 0): adds ``advantage`` and ``return`` = advantage + value.
-    The rows of a sequence travel as one sorted array (all columns), the
-    recursion fills an array of advantages, and both are exploded back - one
-    shuffle, no join back to the input."""
-    from ..session import ship_package
-
-    ship_package(tok.sparkSession)
-    others = [c for c in tok.columns if c not in (seq, pos)]
-    arr = tok.groupBy(seq).agg(F.array_sort(F.collect_list(F.struct(pos, *others))).alias("_a"))
-    arr = arr.withColumn("_adv", _gae_udf(gamma, lam)(
-        F.transform("_a", lambda s: s[reward].cast("double")),
-        F.transform("_a", lambda s: s[value].cast("double"))))
-    z = arr.select(seq, F.explode(F.arrays_zip(F.col("_a").alias("r"), F.col("_adv").alias("a"))).alias("z"))
-    out = z.select(seq, *[F.col(f"z.r.{c}").alias(c) for c in [pos] + others], F.col("z.a").alias("advantage"))
-    return out.withColumn("return", F.col("advantage") + F.col(value))
+def gae(tok: DataFrame, seq="seq_id", pos="pos", reward="reward", value="val", gamma=1.0, lam=0.95,
+        block: int = BLOCK) -> DataFrame:
+    """Generalised advantage estimation per sequence (backward recursion
+    A_t = r_t - v_t + gamma v_{t+1} + gamma lam A_{t+1}, 0 after the last row):
+    adds ``advantage`` and ``return`` = advantage + value; a null reward or value counts as 0 in the recursion.
+
+    With Z_t = A_t + v_t / lam the next value drops out,
+    Z_t = r_t + (1 / lam - 1) v_t + gamma lam Z_{t+1}, which is one affine
+    scan (``functions/scan.py``): a sequence of any length spreads over tasks,
+    no array holds it. For a lam below 0.1, where 1 / lam would cost digits,
+    the next value is fetched along the order instead."""
+    r, v = (F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in (reward, value))
+    if lam < 0.1:
+        rows = with_next_values(tok, pos, [value], [seq], "_next_")
+        step = r - v + gamma * F.coalesce(F.col(f"_next_{value}").cast("double"), F.lit(0.0))
+        out = affine_scan(rows.withColumn("_step", step).drop(f"_next_{value}"), pos, "_step", gamma * lam, [seq], "advantage", block)
+    else:
+        step = r + (1 / lam - 1) * v
+        out = affine_scan(tok.withColumn("_step", step), pos, "_step", gamma * lam, [seq], "_z", block)
+        out = out.withColumn("advantage", F.col("_z") - v / lam).drop("_z")
+    return out.drop("_step").withColumn("return", F.col("advantage") + F.col(value))
 
 
 # -- G4 / G5 / G9 -------------------------------------------------------------------------
