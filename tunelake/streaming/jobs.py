@@ -4,18 +4,20 @@
   DataFrame into an exactly-once file sink;
 * ``step_metrics``, ``running_delta`` and ``per_prompt_stats`` take the
   caller's stream; the functions named ``stream_*`` feed them a table;
-* step metrics (X2) and the running reward mean (X3) keep their state as
-  partial sums written per micro-batch (``foreachBatch``, idempotent per
-  epoch id), so state is tiny and a restart resumes from the checkpoint;
-* per-prompt statistics (X4) use ``applyInPandasWithState`` keyed by the
-  prompt, with a bounded state (the last 16 rewards and a count).
+* step metrics (X2) and the running reward mean (X3) keep partial sums per
+  micro-batch (``foreachBatch``), which are folded as they come
+  (``partials.py``), so that a long stream keeps few files and a restart
+  resumes from the checkpoint;
+* per-prompt statistics (X4) use ``transformWithStateInPandas`` keyed by the
+  prompt: the last 16 rewards, a count, and the rows of training batches that
+  are still open; an event-time timer closes a batch.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions.expr import clean_text
 from ..functions.order import prefix_offsets
@@ -23,6 +25,7 @@ from ..operators.split import ratio_split_hash
 from ..operators.tokens import hashed_ids, ws_tokens
 from ..session import scratch_path
 from ..sources.io import run_available_now, stream_source
+from .partials import Partials
 
 
 def _stream_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,26 +43,10 @@ def _state_paths(spark: SparkSession, name: str, state_path: str | None):
     return scratch_path(spark, f"{name}-out"), scratch_path(spark, f"{name}-ckpt")
 
 
-def _drain(stream_df: DataFrame, name: str, state_path: str | None = None,
-           state_partitions: int | None = None) -> DataFrame:
-    spark = stream_df.sparkSession
-    out, ck = _state_paths(spark, name, state_path)
-    if state_partitions is None:
-        run_available_now(stream_df, out, ck)
-    else:
-        # a stream clones the session conf when it starts (and a restart
-        # reads the count back from its checkpoint), so the caller's
-        # setting is restored right away
-        writer = (stream_df.writeStream.format("parquet").option("path", out)
-                  .option("checkpointLocation", ck).outputMode("append").trigger(availableNow=True))
-        old = spark.conf.get("spark.sql.shuffle.partitions")
-        spark.conf.set("spark.sql.shuffle.partitions", str(state_partitions))
-        try:
-            query = writer.start()
-        finally:
-            spark.conf.set("spark.sql.shuffle.partitions", old)
-        query.awaitTermination()
-    return spark.read.parquet(out)
+def _drain(stream_df: DataFrame, name: str, state_path: str | None = None) -> DataFrame:
+    out, ck = _state_paths(stream_df.sparkSession, name, state_path)
+    run_available_now(stream_df, out, ck)
+    return stream_df.sparkSession.read.parquet(out)
 
 
 # -- S10 / X1 ---------------------------------------------------------------------------
@@ -80,42 +67,32 @@ def stream_prep(spark, sf_dir) -> DataFrame:
     return _drain(prepped.drop("row_key"), "prep")
 
 
-# -- foreachBatch helpers ---------------------------------------------------------------
-
-def _epoch_writer(path: str):
-    """Write one micro-batch result under ``path/epoch=<id>`` (overwrite, so a
-    replayed epoch after a restart replaces its own output)."""
-    def write(df: DataFrame, epoch_id: int):
-        df.write.mode("overwrite").parquet(f"{path}/epoch={epoch_id}")
-    return write
+# -- X2 ------------------------------------------------------------------------------------
 
+def _into_partials(stream: DataFrame, aggregate, merge, name: str, state_path: str | None) -> Partials:
+    """Drain a stream into folded partials."""
+    path, ckpt = _state_paths(stream.sparkSession, name, state_path)
+    kept = Partials(stream.sparkSession, path, merge)
+    (stream.writeStream.foreachBatch(lambda df, batch: kept.add(aggregate(df), batch))
+     .option("checkpointLocation", ckpt).trigger(availableNow=True).start().awaitTermination())
+    return kept
 
-# -- X2 ------------------------------------------------------------------------------------
 
 def step_metrics(losses: DataFrame, logging_steps=50, state_path: str | None = None) -> DataFrame:
     """Of a stream (step, loss) every ``logging_steps`` steps the mean loss
     since the last log, rounded to 4 places; nothing at step 0; a trailing
-    incomplete window is not logged. Each micro-batch writes partial (sum,
-    count) per log window; reading merges them, so a window may span
-    micro-batches."""
-    spark = losses.sparkSession
+    incomplete window is not logged. Each micro-batch adds partial (sum,
+    count) per log window, so a window may span micro-batches."""
     s = losses.where(F.col("step") >= 1).withColumn(
         "window_id", F.floor((F.col("step") - 1) / logging_steps).cast("bigint"))
-    partial_path, ckpt = _state_paths(spark, "stepmetrics", state_path)
-    write = _epoch_writer(partial_path)
-
-    def per_batch(df, epoch_id):
-        write(df.groupBy("window_id").agg(F.sum("loss").alias("s"), F.count(F.lit(1)).alias("n"),
-                                          F.max("step").alias("max_step")), epoch_id)
-
-    q = (s.writeStream.foreachBatch(per_batch)
-         .option("checkpointLocation", ckpt)
-         .trigger(availableNow=True).start())
-    q.awaitTermination()
-    parts = spark.read.parquet(partial_path)
-    merged = parts.groupBy("window_id").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
-    last = parts.agg(F.max("max_step")).first()[0]  # one number: the last step seen
-    return (merged.withColumn("log_step", (F.col("window_id") + 1) * logging_steps)
+    partials = _into_partials(
+        s, lambda df: df.select("window_id", F.col("loss").alias("s"), F.lit(1).cast("bigint").alias("n"), F.col("step").cast("bigint").alias("max_step")),
+        lambda df: df.groupBy("window_id").agg(F.sum("s").alias("s"), F.sum("n").alias("n"), F.max("max_step").alias("max_step")),
+        "stepmetrics", state_path).read()
+    if partials is None:
+        return losses.sparkSession.createDataFrame([], "log_step bigint, loss double")
+    last = partials.agg(F.max("max_step")).first()[0]  # one number: the last step seen
+    return (partials.withColumn("log_step", (F.col("window_id") + 1) * logging_steps)
             .where(F.col("log_step") <= F.lit(last))
             .select("log_step", F.round(F.col("s") / F.col("n"), 4).alias("loss")))
 
@@ -132,21 +109,14 @@ def stream_step_metrics(spark, sf_dir, logging_steps=50, state_path: str | None
 def running_delta(rewards: DataFrame, state_path: str | None = None) -> DataFrame:
     """Of a stream (batch_id, reward) the running mean of all rewards up to
     and including each training batch (the BCO delta), across micro-batches:
-    each micro-batch writes its per-batch (sum, count) partials; delta =
+    each micro-batch adds its per-batch (sum, count) partials; delta =
     cumulative sums in batch order (two-pass prefix sum), equal to the batch
     operator."""
-    spark = rewards.sparkSession
-    partial_path, ckpt = _state_paths(spark, "running-delta", state_path)
-    write = _epoch_writer(partial_path)
-
-    def per_batch(df, epoch_id):
-        write(df.groupBy("batch_id").agg(F.sum("reward").alias("s"), F.count(F.lit(1)).alias("n")), epoch_id)
-
-    q = (rewards.writeStream.foreachBatch(per_batch)
-         .option("checkpointLocation", ckpt)
-         .trigger(availableNow=True).start())
-    q.awaitTermination()
-    sums = spark.read.parquet(partial_path).groupBy("batch_id").agg(F.sum("s").alias("_s"), F.sum("n").alias("_n"))
+    sums = _into_partials(
+        rewards, lambda df: df.select("batch_id", F.col("reward").alias("_s"), F.col("reward").isNotNull().cast("bigint").alias("_n")),
+        lambda df: df.groupBy("batch_id").agg(F.sum("_s").alias("_s"), F.sum("_n").alias("_n")), "running-delta", state_path).read()
+    if sums is None:
+        return rewards.sparkSession.createDataFrame([], "batch_id bigint, delta double")
     cs = prefix_offsets(sums, ["batch_id"], "_s", offset_col="_cs", value_type="double").select("batch_id", "_s", "_cs")
     cn = prefix_offsets(sums, ["batch_id"], "_n", offset_col="_cn").select("batch_id", "_n", "_cn")
     return cs.join(cn, "batch_id").select(
@@ -163,90 +133,148 @@ def stream_running_delta(spark, sf_dir, beta=0.1, state_path: str | None = None)
 
 # -- X4 ------------------------------------------------------------------------------------
 
-_X4_OUT = T.StructType([
-    T.StructField("event_id", T.LongType()), T.StructField("prompt_id", T.LongType()),
-    T.StructField("batch_id", T.LongType()), T.StructField("reward", T.DoubleType()),
-    T.StructField("prompt_mean", T.DoubleType()), T.StructField("prompt_std", T.DoubleType()),
-    T.StructField("seen", T.LongType())])
-_X4_STATE = T.StructType([T.StructField("buffer", T.ArrayType(T.DoubleType())),
-                          T.StructField("seen", T.LongType())])
-
-
-def _per_prompt(buffer_size):
-    def fn(key, pdfs, state):
-        import numpy as np
-        import pandas as pd
-
-        if state.exists:
-            buf, seen = list(state.get[0]), int(state.get[1])
-        else:
-            buf, seen = [], 0
-        pdf = pd.concat(list(pdfs), ignore_index=True).sort_values(["batch_id", "event_id"])
-        if pdf.empty:
-            return
-        rewards = pdf["reward"].to_numpy(dtype="float64")
-        batches = pdf["batch_id"].to_numpy()
-        # the whole training batch enters the buffer before statistics:
-        # statistics of batch b = the last buffer_size rewards up to its end
-        hist = np.concatenate([np.asarray(buf, dtype="float64"), rewards])
-        ends = np.flatnonzero(np.r_[batches[1:] != batches[:-1], True]) + 1 + len(buf)
-        means = np.empty(len(ends))
-        stds = np.empty(len(ends))
-        for i, e in enumerate(ends):
-            w = hist[max(0, e - buffer_size):e]
-            means[i], stds[i] = w.mean(), w.std()
-        counts = np.diff(np.r_[len(buf), ends])
-        out = pdf[["event_id", "prompt_id", "batch_id", "reward"]].copy()
-        out["prompt_mean"] = np.repeat(means, counts)
-        out["prompt_std"] = np.repeat(stds, counts)
-        out["seen"] = seen + np.arange(1, len(pdf) + 1)
-        out["seen"] = np.repeat(out["seen"].to_numpy()[ends - len(buf) - 1], counts)
-        state.update((hist[-buffer_size:].tolist(), seen + len(pdf)))
-        yield out[[f.name for f in _X4_OUT.fields]]
-    return fn
-
-
-def per_prompt_stats(rewards: DataFrame, buffer_size=16, min_count=16, state_path: str | None = None,
-                     state_partitions: int | None = None) -> DataFrame:
+_X4_OUT = "event_id long, prompt_id long, batch_id long, reward double, prompt_mean double, prompt_std double, seen long"
+#: Training batch b (from 0) has the event time 10 (b + 1) milliseconds, since a watermark starts at 0; the delay
+#: keeps a batch open while its own rows come.
+_STEP_MS, _DELAY_MS, _CLOSE_MS = 10, 5, 4
+#: The batch id of the row that ends a stream; ids of batches are smaller (its event time, in 2261, is near the last that pandas holds).
+_END = 921_000_000_000
+
+
+def prompt_statistics(buffer_size: int) -> StatefulProcessor:
+    """State of one prompt: its last rewards, how many it has had, and the rows of open training batches.
+    A batch is closed when a later one has been seen, by whatever prompt; then its rows leave, in the order of
+    their ids, with the statistics of the last ``buffer_size`` rewards up to its end.
+
+    The class is local, so that it travels by value: Spark also starts it beside the driver, where the files
+    shipped to executors are not on the path."""
+    class PromptStatistics(StatefulProcessor):
+
+        def init(self, handle: StatefulProcessorHandle) -> None:
+            self.handle = handle
+            self.last = handle.getListState("last", "reward double")
+            self.seen = handle.getValueState("seen", "n long")
+            self.open = handle.getListState("open", "batch_id long, event_id long, reward double")
+
+        def handleInputRows(self, key, rows, timerValues):
+            first = None
+            for f in rows:
+                f = f[f["event_id"].notna()]  # the row that ends the stream has none
+                if len(f):
+                    self.open.appendList([(int(b), int(e), float(r)) for b, e, r in zip(f["batch_id"], f["event_id"], f["reward"])])
+                    first = min(int(f["batch_id"].min()), _END if first is None else first)
+            if first is not None:
+                self._wait(first)
+            return iter([])
+
+        def _wait(self, batch: int) -> None:
+            """One timer, for the first open batch."""
+            due, waiting = (batch + 1) * _STEP_MS + _CLOSE_MS, False
+            for (t,) in ((t if isinstance(t, tuple) else (t,)) for t in self.handle.listTimers()):
+                if t > due:
+                    self.handle.deleteTimer(t)
+                else:
+                    waiting = True
+            if not waiting:
+                self.handle.registerTimer(due)
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+            import numpy as np
+            import pandas as pd
+
+            closed_to = timerValues.getCurrentWatermarkInMs() - _CLOSE_MS
+            rows = sorted((tuple(r) for r in self.open.get()), key=lambda r: r[:2])
+            closed = [r for r in rows if (r[0] + 1) * _STEP_MS <= closed_to]
+            rest = rows[len(closed):]
+            if rest:
+                self.open.put(rest)
+                self.handle.registerTimer((rest[0][0] + 1) * _STEP_MS + _CLOSE_MS)
+            else:
+                self.open.clear()
+            if not closed:
+                return
+            batch, event, reward = (np.array(c) for c in zip(*closed))
+            last = np.array([r[0] for r in self.last.get()] if self.last.exists() else [], dtype="float64")
+            seen = int(self.seen.get()[0]) if self.seen.exists() else 0
+            history = np.concatenate([last, reward])
+            ends = np.flatnonzero(np.r_[batch[1:] != batch[:-1], True]) + 1
+            windows = [history[max(0, e + len(last) - buffer_size):e + len(last)] for e in ends]
+            size = np.diff(np.r_[0, ends])
+            self.last.put([(float(r),) for r in history[-buffer_size:]])
+            self.seen.update((seen + len(closed),))
+            yield pd.DataFrame({"event_id": event, "prompt_id": key[0], "batch_id": batch, "reward": reward,
+                                "prompt_mean": np.repeat([w.mean() for w in windows], size),
+                                "prompt_std": np.repeat([w.std() for w in windows], size),
+                                "seen": np.repeat(seen + ends, size)})
+
+    return PromptStatistics()
+
+
+def state_session(spark: SparkSession, state_partitions: int | None = None) -> SparkSession:
+    """A session of the same application for streams with state: it has the RocksDB state store that timers and
+    list states need, and its own number of state partitions (by default one per core, since each has a fixed
+    start-up cost). The caller's settings stay as they are."""
+    own = spark.newSession()
+    own.conf.set("spark.sql.streaming.stateStore.providerClass",
+                 "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    own.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")  # a micro-batch commits its changes only
+    own.conf.set("spark.sql.shuffle.partitions", str(state_partitions or spark.sparkContext.defaultParallelism))
+    return own
+
+
+def per_prompt_stats(rewards: DataFrame, buffer_size=16, min_count=16, state_path: str | None = None, finish: bool = True,
+                     reader: SparkSession | None = None) -> DataFrame:
     """Per-prompt statistics of a stream (event_id, prompt_id, batch_id,
-    reward) with streaming state (last ``buffer_size`` rewards and a count
-    per prompt), then the advantage: the prompt's own statistics once it has
-    ``min_count`` rewards, else the batch's global ones (an aggregate over
-    the sink output).
-
-    A training batch may be cut by micro-batches: every part emits the
-    statistics up to its own end, and the reader takes for all rows of a
-    (prompt, batch) those with the highest count, which saw the whole batch.
-    Rows are expected in the order of their batches."""
-    spark = rewards.sparkSession
+    reward) with streaming state (``prompt_statistics``), then the advantage:
+    the prompt's own statistics once it has ``min_count`` rewards, else the
+    batch's global ones (an aggregate over the sink output).
+
+    Training batches come in their order and may be cut by micro-batches
+    anywhere; a row of a batch that has been closed is late and is dropped, as
+    by any watermark. The last batch is closed by ``finish``, which ends the
+    stream for good; without it the batch stays open, and a later call with
+    the same ``state_path`` goes on. The stream's session needs the RocksDB
+    state store (``state_session``); ``reader`` reads the result."""
     from ..session import ship_package
 
+    spark = rewards.sparkSession
     ship_package(spark)
-    stats = rewards.groupBy("prompt_id").applyInPandasWithState(
-        _per_prompt(buffer_size), _X4_OUT, _X4_STATE, "append", "NoTimeout")
-    # one state partition per core by default: the state is tiny per key and
-    # each partition has a fixed start-up cost
-    parts = state_partitions or spark.sparkContext.defaultParallelism
-    out = _drain(stats, "per-prompt", state_path, parts)
-    whole = out.groupBy(F.col("prompt_id").alias("_p"), F.col("batch_id").alias("_b")).agg(
-        F.max(F.struct("seen", "prompt_mean", "prompt_std")).alias("_s"))
-    glob = out.groupBy("batch_id").agg(F.avg("reward").alias("_gm"), F.stddev_pop("reward").alias("_gs"))
-    j = (out.select("event_id", "prompt_id", "batch_id", "reward")
-         .join(whole, F.col("prompt_id").eqNullSafe(F.col("_p")) & (F.col("batch_id") == F.col("_b")))
-         .join(glob, "batch_id"))
-    own = F.col("_s.seen") >= min_count
-    mean = F.when(own, F.col("_s.prompt_mean")).otherwise(F.col("_gm"))
-    std = F.when(own, F.col("_s.prompt_std")).otherwise(F.col("_gs")) + 1e-6
+    out, checkpoint = _state_paths(spark, "per-prompt", state_path)
+    end = f"{out}-end"
+    rows = rewards.select(F.col("event_id").cast("bigint").alias("event_id"), F.col("prompt_id").cast("bigint").alias("prompt_id"),
+                          F.col("batch_id").cast("bigint").alias("batch_id"), F.col("reward").cast("double").alias("reward"))
+    nothing = spark.createDataFrame([], rows.schema)
+    if not _exists(spark, end):
+        nothing.write.parquet(end)
+    ends = stream_source(spark, end, rows.schema)
+    timed = (rows.unionByName(ends).withColumn("at", F.timestamp_millis((F.col("batch_id") + 1) * _STEP_MS))
+             .withWatermark("at", f"{_DELAY_MS} milliseconds"))
+    stats = timed.groupBy("prompt_id").transformWithStateInPandas(prompt_statistics(buffer_size), _X4_OUT, "Append", "EventTime")
+    run_available_now(stats, out, checkpoint)
+    if finish:
+        spark.range(1).select(*[(F.lit(_END) if f.name == "batch_id" else F.lit(None)).cast(f.dataType).alias(f.name)
+                                for f in rows.schema.fields]).write.mode("append").parquet(end)
+        run_available_now(stats, out, checkpoint)
+    done = (reader or spark).read.schema(_X4_OUT).parquet(out)
+    glob = done.groupBy("batch_id").agg(F.avg("reward").alias("_gm"), F.stddev_pop("reward").alias("_gs"))
+    j = done.join(glob, "batch_id")
+    own = F.col("seen") >= min_count
+    mean = F.when(own, F.col("prompt_mean")).otherwise(F.col("_gm"))
+    std = F.when(own, F.col("prompt_std")).otherwise(F.col("_gs")) + 1e-6
     return j.select("event_id", ((F.col("reward") - mean) / std).alias("advantage"),
                     own.alias("used_prompt_stats"))
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
 def stream_per_prompt_stats(spark, sf_dir, buffer_size=16, min_count=16, batch_events=1000,
                             state_path: str | None = None, state_partitions: int | None = None) -> DataFrame:
     """``per_prompt_stats`` of the events table read as a stream."""
-    ev = _stream_table(spark, sf_dir, "events").select(
+    ev = _stream_table(state_session(spark, state_partitions), sf_dir, "events").select(
         "event_id", F.col("user_id").alias("prompt_id"),
         F.floor(F.col("event_id") / batch_events).cast("bigint").alias("batch_id"),
         F.log(F.col("value") + 1).alias("reward"))
-    return per_prompt_stats(ev, buffer_size, min_count, state_path, state_partitions)
-
+    return per_prompt_stats(ev, buffer_size, min_count, state_path, reader=spark)
