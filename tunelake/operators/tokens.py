@@ -11,12 +11,17 @@ the row); corpus-level work is aggregates and joins."""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.expr import IGNORE_INDEX
 from ..functions.order import prefix_offsets
 from ..functions.sizing import join_checked
+from ..session import materialize
 from .prompt import render_messages
 
 WORD_PATTERN = r"[\p{L}\p{N}]+"
@@ -49,46 +54,109 @@ def hashed_ids(tokens):
 def build_vocab(docs: DataFrame, text="text", materialize_counts: bool = True, tokenizer=word_tokens) -> DataFrame:
     """(token, cnt, id): ids by frequency (desc), ties by token, after the
     reserved ids. Counting is a partial aggregate over all tokens of all
-    texts; the per-token counts are written once (an artefact in the shared
-    checkpoint folder), so ranking and size checks read that small table
-    instead of re-tokenising the corpus; the ranking is the size-checked
-    prefix sum (window or two-pass)."""
+    texts; see ``rank_vocab``."""
     counts = (docs.select(F.explode(tokenizer(F.col(text))).alias("token"))
               .groupBy("token").agg(F.count(F.lit(1)).alias("cnt")))
-    if materialize_counts:
-        from ..session import materialize
+    return rank_vocab(counts, materialize_counts)
+
 
+def rank_vocab(counts: DataFrame, materialize_counts: bool = True) -> DataFrame:
+    """(token, cnt, id) of (token, cnt): the counts are written once (an
+    artefact in the shared checkpoint folder), so ranking and size checks
+    read that small table instead of the corpus; the ranked vocabulary is
+    written as well."""
+    if materialize_counts:
         counts = materialize(counts, "token-counts")
     ranked = prefix_offsets(counts.withColumn("neg_cnt", -F.col("cnt")), ["neg_cnt", "token"], None,
                             offset_col="rank")
     vocab = ranked.select("token", (-F.col("neg_cnt")).alias("cnt"), (F.col("rank") + N_SPECIAL).alias("id"))
-    if materialize_counts:
-        # the ranked vocabulary is small: write it too, so the size check and
-        # the broadcast read it instead of ranking twice
-        from ..session import materialize
-
-        vocab = materialize(vocab, "vocab")
-    return vocab
+    return materialize(vocab, "vocab") if materialize_counts else vocab
+
+
+#: Tokens of the texts that share one dictionary.
+CHUNK_TOKENS = 1 << 20
+
+
+def dictionary_chunks(rows: DataFrame, max_length: int, chunk_tokens: int = CHUNK_TOKENS) -> DataFrame:
+    """One row per chunk of about ``chunk_tokens`` tokens of ``rows`` (any
+    columns, the last one a token array): the chunk's distinct ``tokens`` with
+    their ``counts``, and its rows (Arrow stream) with the numbers of their
+    first ``max_length`` tokens in place of the strings."""
+    def run(batches):
+        from pyspark import TaskContext
+
+        serial = TaskContext.get().partitionId() << 32
+        for b in batches:
+            at = 0
+            ends = np.cumsum(pc.list_value_length(b.column(b.num_columns - 1)).fill_null(0).to_numpy())
+            while at < len(ends):  # at least one row a chunk
+                before = ends[at - 1] if at else 0
+                n = max(1, int(np.searchsorted(ends, before + chunk_tokens, "right")) - at)
+                part = b.slice(at, n)
+                lists = part.column(part.num_columns - 1)
+                coded = lists.flatten().dictionary_encode()
+                codes = coded.indices.to_numpy()
+                size = pc.list_value_length(lists).fill_null(0).to_numpy()
+                place = np.arange(len(codes)) - np.repeat(np.cumsum(size) - size, size)
+                offsets = np.concatenate([[0], np.cumsum(np.minimum(size, max_length))]).astype(np.int32)
+                kept = pa.ListArray.from_arrays(pa.array(offsets), pa.array(codes[place < max_length], pa.int32()))
+                table = pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(size, pa.int64()), kept],
+                                                   [*part.schema.names[:-1], "n_tokens", "codes"])
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, table.schema) as out:
+                    out.write_batch(table)
+                counts = np.bincount(codes, minlength=len(coded.dictionary)).astype(np.int64)
+                whole = pa.array([0, len(counts)], pa.int32())
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([serial], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary()),
+                     pa.ListArray.from_arrays(whole, coded.dictionary), pa.ListArray.from_arrays(whole, pa.array(counts))],
+                    ["chunk", "rows", "tokens", "counts"])
+                serial, at = serial + 1, at + n
+
+    return rows.mapInArrow(run, "chunk long, rows binary, tokens array<string>, counts array<long>")
 
 
 def tokenize_corpus(docs: DataFrame, id_col="doc_id", text="text", max_length=512,
-                    vocab: DataFrame | None = None, keep=("source",), tokenizer=word_tokens) -> DataFrame:
+                    vocab: DataFrame | None = None, keep=("source",), tokenizer=word_tokens,
+                    chunk_tokens: int = CHUNK_TOKENS) -> DataFrame:
     """text -> ids through the vocabulary, truncated to ``max_length``.
     ``tokenizer``: column of texts -> column of token arrays (a built-in
     expression or an Arrow UDF). Output per row: ids, n_tokens, n_kept,
-    truncated."""
+    truncated.
+
+    The tokens are dictionary-encoded: a chunk of texts writes its distinct
+    tokens once, only those are counted and meet the vocabulary, and the texts
+    carry numbers that one lookup array a chunk turns into ids. Tokens that a
+    given vocabulary lacks are left out."""
+    columns = list(dict.fromkeys([id_col, *keep]))
+    chunks = materialize(dictionary_chunks(docs.select(*columns, tokenizer(F.col(text)).alias("_t")), max_length, chunk_tokens), "token-chunks")
+    entries = chunks.select("chunk", F.posexplode(F.arrays_zip("tokens", "counts")).alias("code", "e")).select("chunk", "code", "e.tokens", "e.counts")
     if vocab is None:
-        vocab = build_vocab(docs, text, tokenizer=tokenizer)
-    # every token is counted; the ids kept by truncation (the first
-    # max_length) are mapped through the vocabulary
-    base = docs.select(id_col, *keep, tokenizer(F.col(text)).alias("_t"))
-    ex = base.select(id_col, *keep, F.size("_t").cast("bigint").alias("n_tokens"),
-                     F.posexplode_outer(F.slice("_t", 1, max_length)).alias("pos", "token"))
-    ided = join_checked(ex, vocab.select("token", "id"), "token", how="left")
-    per_doc = ided.groupBy(id_col, *keep).agg(
-        F.first("n_tokens").alias("n_tokens"),
-        F.array_sort(F.collect_list(F.when(F.col("id").isNotNull(), F.struct("pos", "id")))).alias("_p"))
-    out = per_doc.select(id_col, *keep, F.transform("_p", lambda s: s["id"]).alias("input_ids"), "n_tokens")
+        vocab = rank_vocab(entries.groupBy(F.col("tokens").alias("token")).agg(F.sum("counts").alias("cnt")))
+    ided = join_checked(entries.withColumnRenamed("tokens", "token"), vocab.select("token", "id"), "token")
+    lookup = ided.groupBy("chunk").agg(F.collect_list("code").alias("known"), F.collect_list("id").alias("ids"))
+
+    def run(batches):
+        for b in batches:
+            for rows, known, ids in zip(b.column("rows"), b.column("known"), b.column("ids")):
+                table = pa.ipc.open_stream(rows.as_buffer()).read_all().combine_chunks()
+                codes = table["codes"].combine_chunks() if table.num_rows else table["codes"]
+                flat, size = codes.flatten().to_numpy(), pc.list_value_length(codes).to_numpy()
+                to_id = np.full(int(flat.max(initial=-1)) + 1, -1, np.int64)
+                at = known.values.to_numpy() if known.is_valid else np.empty(0, np.int64)
+                use = at < len(to_id)
+                if len(at):
+                    to_id[at[use]] = ids.values.to_numpy()[use]
+                out = to_id[flat]
+                row = np.repeat(np.arange(len(size)), size)[out >= 0]
+                offsets = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(size)))]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(out[out >= 0]))
+                yield pa.RecordBatch.from_arrays([*[table[c].combine_chunks() for c in columns], lists, table["n_tokens"].combine_chunks()],
+                                                 [*columns, "input_ids", "n_tokens"])
+
+    schema = docs.select(*columns).schema.add("input_ids", T.ArrayType(T.LongType())).add("n_tokens", T.LongType())
+    out = (chunks.select("chunk", "rows").join(lookup, "chunk", "left").select("rows", "known", "ids")
+           .mapInArrow(run, schema))
     return (out.withColumn("n_kept", F.size("input_ids").cast("bigint"))
             .withColumn("truncated", F.col("n_tokens") > max_length))
 
