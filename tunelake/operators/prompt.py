@@ -3,10 +3,11 @@ higher-order functions only."""
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 from operator import add, and_, or_
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expr import clean_text, is_blank, strip_ws
@@ -23,6 +24,10 @@ CHAT_TEMPLATE = {
     "end": "<|im_end|>\n",
     "role_sep": "\n",
     "generation_prompt": "<|im_start|>assistant\n",
+    "head": "",
+    "tools_start": "<|im_start|>tools\n",
+    "tool_sep": "\n",
+    "tools_end": "<|im_end|>\n",
 }
 
 
@@ -67,19 +72,52 @@ def messages_from_turns(turns: DataFrame, conv="conv_id", turn="turn", role="rol
         m["role"].alias("role"), m["content"].alias("content"))).alias(out))
 
 
-def render_messages(messages, template=None, add_generation_prompt=False):
-    """Column expression: message array -> one string."""
+_PLACE = re.compile(r"\{(\w+)\}")
+
+
+def _filled(text: str, args):
+    """A template text with ``{name}`` places as a column: each is the row's argument of that name, '' without one."""
+    if args is None:
+        return F.lit(text)
+    parts = _PLACE.split(text)  # literals and names take turns
+    return F.concat(*[F.coalesce(F.try_element_at(args, F.lit(p)), F.lit("")) if k % 2 else F.lit(p) for k, p in enumerate(parts)])
+
+
+def render_messages(messages, template=None, add_generation_prompt=False, args=None, tools=None):
+    """Column expression: message array -> one string.
+
+    ``args``: a map column of per-row arguments, which fill the template's
+    ``{name}`` places; ``tools``: an array column of tool descriptions, laid
+    between ``tools_start`` and ``tools_end`` before the messages of rows that
+    have any; ``add_generation_prompt``: a constant or a boolean column. All
+    of it compiles to one expression, so rows may differ in one plan."""
     t = dict(CHAT_TEMPLATE, **(template or {}))
+    head = _filled(t["head"], args) if t["head"] else None
     body = F.array_join(F.transform(messages, lambda m: F.concat(
-        F.lit(t["start"]), m["role"], F.lit(t["role_sep"]), m["content"], F.lit(t["end"]))), "")
-    if add_generation_prompt:
-        body = F.concat(body, F.lit(t["generation_prompt"]))
+        _filled(t["start"], args), m["role"], _filled(t["role_sep"], args), m["content"], _filled(t["end"], args))), "")
+    if tools is not None:
+        listed = F.concat(_filled(t["tools_start"], args), F.array_join(tools, t["tool_sep"]), _filled(t["tools_end"], args))
+        body = F.concat(F.when(F.coalesce(F.size(tools), F.lit(0)) > 0, listed).otherwise(""), body)
+    if head is not None:
+        body = F.concat(head, body)
+    if isinstance(add_generation_prompt, Column):
+        body = F.concat(body, F.when(add_generation_prompt, _filled(t["generation_prompt"], args)).otherwise(""))
+    elif add_generation_prompt:
+        body = F.concat(body, _filled(t["generation_prompt"], args))
     return body
 
 
 def apply_chat_template(df: DataFrame, messages="messages", out="text", template=None,
-                        add_generation_prompt=False) -> DataFrame:
-    return df.withColumn(out, render_messages(F.col(messages), template, add_generation_prompt))
+                        add_generation_prompt=False, args: str | None = None, tools: str | None = None) -> DataFrame:
+    """``args`` and ``tools`` name the columns of per-row template arguments
+    (a map of strings) and tools (an array of strings, or JSON text of an
+    array); without a template of their own, tools precede the messages."""
+    listed = None
+    if tools is not None:
+        kind = df.schema[tools].dataType.simpleString()
+        listed = F.from_json(tools, "array<string>") if kind == "string" else F.col(tools)
+    return df.withColumn(out, render_messages(F.col(messages), template, add_generation_prompt,
+                                              F.col(args) if args else None, listed))
 
 
 def split_last_turn(df: DataFrame, messages="messages", template=None) -> DataFrame:

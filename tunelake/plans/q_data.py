@@ -243,6 +243,24 @@ def q_apply_chat_template(spark, sf_dir):
     return P.apply_chat_template(m, add_generation_prompt=True).select("conv_id", "text")
 
 
+@register("apply_chat_template_args", f"""
+SELECT conv_id, 'conversation ' || conv_id || ' (' || CASE WHEN conv_id % 3 = 0 THEN 'short' ELSE '' END || ')' || chr(10)
+       || CASE WHEN conv_id % 2 = 0 THEN '<tools>search; list_' || len(messages) || '</tools>' ELSE '' END
+       || array_to_string(list_transform(messages, lambda x: '[' || CASE WHEN conv_id % 3 = 0 THEN 'short' ELSE '' END || '] '
+                                                             || x.role || chr(10) || x.content || '<|im_end|>' || chr(10)), '')
+       || CASE WHEN conv_id % 2 = 0 THEN '<|im_start|>assistant' || chr(10) ELSE '' END AS text
+FROM conv_msgs""", ["conv_msgs"])
+def q_apply_chat_template_args(spark, sf_dir):
+    m = P.messages_from_turns(table(spark, sf_dir, "conversations"))
+    even = F.col("conv_id") % 2 == 0
+    m = (m.withColumn("args", F.when(F.col("conv_id") % 3 == 0, F.create_map(
+            F.lit("id"), F.col("conv_id").cast("string"), F.lit("style"), F.lit("short")))
+            .otherwise(F.create_map(F.lit("id"), F.col("conv_id").cast("string"))))
+         .withColumn("tools", F.when(even, F.array(F.lit("search"), F.concat(F.lit("list_"), F.size("messages").cast("string"))))))
+    template = {"head": "conversation {id} ({style})\n", "start": "[{style}] ", "tools_start": "<tools>", "tool_sep": "; ", "tools_end": "</tools>"}
+    return P.apply_chat_template(m, template=template, add_generation_prompt=even, args="args", tools="tools").select("conv_id", "text")
+
+
 @register("split_last_turn", f"""
 SELECT conv_id, {_RENDER.format(m='messages[1:len(messages) - 1]')} AS prompt_text,
        {_RENDER.format(m='[messages[len(messages)]]')} AS completion_text,

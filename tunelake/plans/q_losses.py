@@ -302,7 +302,7 @@ def q_udm_density_ratio(spark, sf_dir):
 
 @register("udm_weights")
 def q_udm_weights(spark, sf_dir):
-    # Spark ML fit: no SQL oracle; tests check the bounds and the formula
+    # a fit in 64 dimensions: no SQL oracle; desirability_probabilities has the same fit in one, udm_density_ratio the formula
     e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", (F.col("label") < 5).alias("desirable"))
     _, scored, _ = R.desirability_classifier(e, features="embedding", label="desirable")
     return R.udm_density_ratio(scored, label="desirable").select("vec_id", "desirable", "prob_desirable", "udm_weight")
@@ -310,12 +310,33 @@ def q_udm_weights(spark, sf_dir):
 
 @register("desirability_classifier")
 def q_desirability_classifier(spark, sf_dir):
-    # Spark ML fit: no SQL oracle; checked by accuracy bounds in tests.
+    # a fit in 64 dimensions: no SQL oracle; tests hold the fit against an independent optimum
     e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", (F.col("label") < 5).alias("desirable"))
     _, _, acc = R.desirability_classifier(e, features="embedding", label="desirable")
     return acc
 
 
+@register("desirability_probabilities", """
+WITH RECURSIVE e AS (
+  SELECT vec_id, list_sum(list_transform(embedding, lambda v: v::DOUBLE)) AS x, (label < 5)::INT AS y FROM embeddings),
+c AS (SELECT y, COUNT(*) AS nc FROM e GROUP BY y),
+d AS (SELECT vec_id, x, y, (SELECT COUNT(*) FROM e) / (2.0::DOUBLE * nc) AS w FROM e JOIN c USING (y)),
+steps(k, b0, b1) AS (
+  SELECT 0, 0.0::DOUBLE, 0.0::DOUBLE
+  UNION ALL
+  SELECT k + 1, b0 - (h11 * g0 - h01 * g1) / (h00 * h11 - h01 * h01), b1 - (h00 * g1 - h01 * g0) / (h00 * h11 - h01 * h01)
+  FROM (SELECT k, b0, b1, SUM(w * (p - y)) AS g0, SUM(w * (p - y) * x) + b1 AS g1, SUM(w * p * (1 - p)) AS h00,
+               SUM(w * p * (1 - p) * x) AS h01, SUM(w * p * (1 - p) * x * x) + 1 AS h11
+        FROM (SELECT k, b0, b1, x, y, w, 1 / (1 + exp(-(b0 + b1 * x))) AS p FROM steps, d WHERE k < 20) GROUP BY k, b0, b1))
+SELECT vec_id, 1 / (1 + exp(-(b0 + b1 * x))) AS prob_desirable FROM d, (SELECT b0, b1 FROM steps WHERE k = 20)""")
+def q_desirability_probabilities(spark, sf_dir):
+    # the fit over one feature, the sum of the components, so that SQL can take the same Newton steps
+    x = F.aggregate("embedding", F.lit(0.0), lambda acc, v: acc + v.cast("double"))
+    e = table(spark, sf_dir, "embeddings").select("vec_id", F.array(x).alias("sum"), (F.col("label") < 5).alias("desirable"))
+    _, scored, _ = R.desirability_classifier(e, features="sum", label="desirable")
+    return scored.select("vec_id", "prob_desirable")
+
+
 @register("desirable_weight_bounds", """
 WITH c AS (SELECT GREATEST(COUNT_IF(label), 1) AS nd, COUNT(*) AS n FROM unp_logp),
 d AS (SELECT nd AS num_desirable, GREATEST(n - nd, 1) AS num_undesirable FROM c),
