@@ -64,6 +64,13 @@ class Sequence:
         rest = rest - (upto[row, byte] - each[row, byte])
         return word * 64 + byte * 8 + _PLACE[bit][eight[row, byte], rest]
 
+    def _ones_from(self, at: np.ndarray) -> np.ndarray:
+        """How many ones follow without a zero from the bit ``at`` on; 56 or more where they fill the 8 bytes read."""
+        raw = np.ascontiguousarray(self.high[(at >> 3)[:, None] + np.arange(8)]).view(np.uint64)[:, 0]
+        zeros = ~(raw >> (at & 7).astype(np.uint64))
+        lowest = zeros & (~zeros + np.uint64(1))
+        return np.log2(np.where(lowest, lowest, np.uint64(1) << np.uint64(63)).astype(np.float64)).astype(np.int64)
+
     def _lows(self, i: np.ndarray) -> np.ndarray:
         if not self.low_bits:
             return np.zeros(len(i), np.int64)
@@ -88,8 +95,12 @@ class Sequence:
         if not len(inside):
             return out
         h = h[inside]
-        lo = np.where(h > 0, self._select(np.maximum(h - 1, 0), 0) - np.maximum(h - 1, 0), 0)
-        end = self._select(h, 0) - h
+        first = np.where(h > 0, self._select(np.maximum(h - 1, 0), 0) + 1, 0)  # the bit after the zero that begins the bucket
+        lo = first - h
+        ones = self._ones_from(first)
+        end = lo + ones
+        if len(many := np.flatnonzero(ones >= 56)):
+            end[many] = self._select(h[many], 0) - h[many]
         want = x[inside] & ((1 << self.low_bits) - 1)
         hi = end.copy()
         while len(open_ := np.flatnonzero(lo < hi)):  # first place of the bucket not below x

@@ -32,6 +32,7 @@ from __future__ import annotations
 
 import os
 import uuid
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -86,9 +87,9 @@ class Tally:
     def __init__(self, most: int = TALLY):
         self.most, self.parts, self.held = most, [], 0
 
-    def add(self, keys: np.ndarray) -> bool:
+    def add(self, keys: np.ndarray, counts: np.ndarray | None = None) -> bool:
         """True if the counts should be taken out now."""
-        k, c = np.unique(keys, return_counts=True)
+        k, c = np.unique(keys, return_counts=True) if counts is None else summed(keys, counts)
         self.parts.append((k, c))
         self.held += len(k)
         if self.held > 2 * self.most:
@@ -110,7 +111,10 @@ def count_words(train: DataFrame) -> DataFrame:
         tally = Tally()
         for b in batches:
             for texts in texts_of(b.column(0)):
-                if tally.add(tokens(texts)[0]):
+                words = Counter({b"": len(texts)})  # one end a text
+                for t in texts:
+                    words.update(split_words(t))
+                if tally.add(hashed(list(words)).view(np.int64), np.fromiter(words.values(), np.int64, len(words))):
                     yield pa.RecordBatch.from_arrays(list(map(pa.array, tally.take())), ["h", "c"])
         yield pa.RecordBatch.from_arrays(list(map(pa.array, tally.take())), ["h", "c"])
 
@@ -343,21 +347,27 @@ class Trie:
             at = known[edges[p]:edges[p + 1]]
             if not len(at):
                 continue
-            i = part["contexts"].find(before[at] - row["first_context"])
-            at, i = at[i >= 0], i[i >= 0]
+            # what depends on the context alone is read once for all its words
+            new = np.flatnonzero(np.concatenate([[True], before[at[1:]] != before[at[:-1]]]))
+            i = part["contexts"].find(before[at[new]] - row["first_context"])
+            there, times = i >= 0, np.diff(np.append(new, len(at)))
+            i, at, times = i[there], at[np.repeat(there, times)], times[there]
             if not len(at):
                 continue
-            left[at] = 1 - part["sums"][i].astype(np.float64)
-            start, end = part["starts"][i], part["starts"][i + 1]
+            start = part["starts"][i]
             base = np.where(start > 0, part["children"][np.maximum(start - 1, 0)] + 1, 0)
-            j = part["children"].find(base + word[at])
+            left[at] = np.repeat(1 - part["sums"][i].astype(np.float64), times)
+            start, end = np.repeat(start, times), np.repeat(part["starts"][i + 1], times)
+            j = part["children"].find(np.repeat(base, times) + word[at])
             hit = (j >= start) & (j < end)
             share[at[hit]] = 10.0 ** (-STEP * part["quantised"][j[hit]].astype(np.float64))
         # backoff needs the context only, so unknown words count too, and all parts of a context
         lone = np.flatnonzero((before >= 0) & (word < 0))
-        for p, (row, part) in enumerate(zip(self.rows, self.parts)):
-            at = lone[(before[lone] >= row["first_context"]) & (before[lone] <= row["last_context"])]
-            if len(at):
+        low = np.searchsorted(before[lone], [r["first_context"] for r in self.rows], "left")
+        high = np.searchsorted(before[lone], [r["last_context"] for r in self.rows], "right")
+        for row, part, a, b in zip(self.rows, self.parts, low, high):
+            if a < b:
+                at = lone[a:b]
                 i = part["contexts"].find(before[at] - row["first_context"])
                 left[at[i >= 0]] = 1 - part["sums"][i[i >= 0]].astype(np.float64)
         for c, total in self.edge.items():
