@@ -74,3 +74,32 @@ def test_bert_score_zero_vector_and_one_sided_example(spark):
     rows = [(1, "pred", 1, [0.0, 0.0]), (1, "ref", 2, [1.0, 0.0]), (2, "pred", 3, [1.0, 0.0])]
     got = {r["example_id"]: r["bert_f1"] for r in bert_score(spark.createDataFrame(rows, "example_id long, side string, vec_id long, embedding array<double>")).collect()}
     assert got == {1: 0.0, 2: 0.0}
+
+
+def test_bert_score_in_blocks_equals_plain_numpy(spark):
+    import numpy as np
+
+    from tunelake.operators import textmetric as TM
+
+    rng = np.random.default_rng(2)
+    rows = [(e, s, i, rng.normal(size=5).tolist()) for e, sizes in ((1, (40, 23)), (2, (1, 1)), (3, (3, 70)))
+            for s, n in zip(("pred", "ref"), sizes) for i in range(n)]
+    df = spark.createDataFrame(rows, "example_id long, side string, vec_id long, embedding array<double>")
+    got = {r.example_id: (r.bert_p, r.bert_r, r.bert_f1) for r in TM.bert_score(df, chunk=16).collect()}
+    for e in (1, 2, 3):
+        a, b = (TM._unit(np.array([r[3] for r in rows if r[:2] == (e, s)])) for s in ("pred", "ref"))
+        c = a @ b.T
+        p, r = c.max(1).mean(), c.max(0).mean()
+        assert got[e] == pytest.approx((p, r, 2 * p * r / (p + r)), abs=1e-12)
+        assert TM.token_match(a, b, step=7) == pytest.approx(got[e], abs=1e-12)
+
+
+def test_bert_score_of_texts(spark):
+    from tunelake.operators import textmetric as TM
+    from tunelake.operators.apply import stub_token_vectors
+
+    rows = [(1, "a b c", "a b c"), (2, "", "x"), (3, None, None), (4, "a b a", "a"), (5, "q " * 5000, "q r " * 3000)]
+    df = spark.createDataFrame(rows, "row_id long, prediction string, reference string")
+    got = {r.row_id: r for r in TM.bert_score_texts(df, stub_token_vectors).collect()}
+    assert got[1].bert_f1 == pytest.approx(1.0) and got[2].bert_f1 == got[3].bert_f1 == 0.0
+    assert got[4].bert_r == pytest.approx(1.0) and got[4].bert_p < 1 and got[5].bert_p == pytest.approx(1.0) and got[5].bert_r < 1

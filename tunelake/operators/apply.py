@@ -10,6 +10,7 @@ twice for the same rows."""
 
 from __future__ import annotations
 
+import hashlib
 import re
 import time
 import uuid
@@ -125,3 +126,12 @@ def stub_reward():
         words = pdf["text"].fillna("").map(_WORD.findall)
         return words.map(lambda w: sum(map(len, w)) / len(w) if w else 0.0)
     return score
+
+
+def stub_token_vectors(tokens: list[str], dim: int = 8) -> list[list[float]]:
+    """A vector for each token from the hex digits of its md5."""
+    out = []
+    for t in tokens:
+        h = hashlib.md5(t.encode()).hexdigest()
+        out.append([int(h[4 * k:4 * k + 4], 16) / 65535.0 - 0.5 for k in range(dim)])
+    return out

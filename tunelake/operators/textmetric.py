@@ -1,15 +1,21 @@
 """Text metrics against references (M1-M4).
 
-BLEU is fully relational (n-gram explode, count, join, clip, aggregate), so
-it scales with the shuffle and checks against SQL. ROUGE-L needs a longest
-common subsequence per row: an Arrow-batched pandas UDF with a bit-parallel
-LCS (one big-integer pass per token, whole texts, no length cap). BERTScore
-is a per-example greedy cosine match over token embeddings."""
+The metrics of two texts of a row are computed inside the row, by
+Arrow-batched functions over whole texts: BLEU intersects multisets of
+n-grams, ROUGE-L takes a bit-parallel longest common subsequence, BERTScore
+the best cosines of token vectors. ``bert_score`` is the form for vectors that
+come as rows: a per-example match in blocks."""
 
 from __future__ import annotations
 
+import math
+import re
+from collections import Counter
+
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -25,26 +31,22 @@ def whitespace_tokens(c):
     return F.filter(F.split(strip_ws(F.coalesce(c, F.lit(""))), r"\s+"), lambda t: t != "")
 
 
-def _ngram_rows(base: DataFrame, keys, pred_col: str, ref_col: str) -> DataFrame:
-    """(keys, side, n, gram) rows for n = 1..MAX_N of both token arrays.
-    Tokens are exploded with their position and the following tokens come
-    from ``lead`` over a window per (row, side); that window reuses the
-    hash partitioning by the row key, so it adds no shuffle, and no
-    per-element lambda runs."""
-    sides = base.select(*keys, F.explode(F.array(
-        F.struct(F.lit("p").alias("side"), F.col(pred_col).alias("toks")),
-        F.struct(F.lit("r").alias("side"), F.col(ref_col).alias("toks")))).alias("s"))
-    toks = sides.select(*keys, F.col("s.side").alias("side"), F.posexplode("s.toks").alias("pos", "tok"))
-    w = Window.partitionBy(*keys, "side").orderBy("pos")
-    nxt = [F.lead("tok", k).over(w) for k in range(1, MAX_N)]
-    toks = toks.select(*keys, "side", "tok", *[c.alias(f"_l{k}") for k, c in enumerate(nxt, start=1)])
-    grams = [F.struct(F.lit(1).alias("n"), F.col("tok").alias("gram"))]
-    for n in range(2, MAX_N + 1):
-        parts = [F.col("tok")] + [F.col(f"_l{k}") for k in range(1, n)]
-        grams.append(F.struct(F.lit(n).alias("n"),
-                              F.when(F.col(f"_l{n - 1}").isNotNull(), F.concat_ws(" ", *parts)).alias("gram")))
-    out = toks.select(*keys, "side", F.explode(F.array(*grams)).alias("g"))
-    return out.select(*keys, "side", "g.n", "g.gram").where(F.col("gram").isNotNull())
+def words(text: str | None) -> list[str]:
+    """The same tokens in Python: only ASCII white space separates."""
+    return re.findall(r"\S+", text or "", re.ASCII)
+
+
+def bleu(prediction: str | None, reference: str | None) -> float:
+    p, r = words(prediction), words(reference)
+    logs = 0.0
+    for n in range(1, MAX_N + 1):
+        had = Counter(zip(*(r[k:] for k in range(n))))
+        hits = sum(min(c, had[g]) for g, c in Counter(zip(*(p[k:] for k in range(n)))).items())
+        if n == 1 and not hits:
+            return 0.0
+        logs += math.log((hits or SMOOTH_EPSILON) / max(1, len(p) - n + 1))
+    brevity = 1.0 if len(p) > len(r) else math.exp(1 - len(r) / len(p))
+    return brevity * math.exp(logs / MAX_N)
 
 
 def sentence_bleu(df: DataFrame, keys=("row_id", "model"), prediction="prediction",
@@ -52,40 +54,23 @@ def sentence_bleu(df: DataFrame, keys=("row_id", "model"), prediction="predictio
     """Sentence BLEU, one reference, uniform weights up to 4-grams, clipped
     counts, brevity penalty, smoothing method 1; 0 when no unigram matches.
 
-    One shuffle: rows are hash partitioned by their key, then both sides'
-    n-grams are generated and counted per (key, n, gram), clipped per
-    (key, n) and combined per key - the window and all aggregations are
-    satisfied by that partitioning, so no n-gram table is shuffled or
-    joined."""
-    keys = list(keys)
-    base = (df.withColumn("_p", whitespace_tokens(prediction))
-            .withColumn("_r", whitespace_tokens(reference))
-            .repartition(*keys))
-    grams = _ngram_rows(base, keys, "_p", "_r")
-    per_gram = grams.groupBy(*keys, "n", "gram").agg(
-        F.count_if(F.col("side") == "p").alias("pc"), F.count_if(F.col("side") == "r").alias("rc"))
-    per_n = per_gram.groupBy(*keys, "n").agg(F.sum(F.least("pc", "rc")).alias("num"))
-    per_key = per_n.groupBy(*keys).agg(*[F.sum(F.when(F.col("n") == k, F.col("num"))).alias(f"_num{k}")
-                                         for k in range(1, MAX_N + 1)])
-    j = (base.withColumn("_c", F.size("_p")).withColumn("_rl", F.size("_r")).drop("_p", "_r")
-         .join(per_key, keys, "left"))
-    c, r = F.col("_c"), F.col("_rl")
-    slog = F.lit(0.0)
-    for k in range(1, MAX_N + 1):
-        num = F.coalesce(F.col(f"_num{k}"), F.lit(0)).cast("double")
-        den = F.greatest(F.lit(1), c - k + 1).cast("double")
-        slog = slog + F.log(F.when(num > 0, num / den).otherwise(F.lit(SMOOTH_EPSILON) / den))
-    bp = F.when(c > r, F.lit(1.0)).otherwise(F.exp(F.lit(1.0) - r / c))
-    num1 = F.coalesce(F.col("_num1"), F.lit(0))
-    score = F.when((c == 0) | (num1 == 0), F.lit(0.0)).otherwise(bp * F.exp(slog / MAX_N))
-    return j.withColumn(out, score).drop("_c", "_rl", *[f"_num{k}" for k in range(1, MAX_N + 1)])
+    A row's n-grams meet as multisets inside the row (an Arrow-batched
+    function), so there is no explode and no shuffle; ``keys`` are kept for
+    callers that name them and play no part."""
+    from ..session import ship_package
+
+    ship_package(df.sparkSession)
+
+    @F.pandas_udf(T.DoubleType())
+    def score(pred: pd.Series, ref: pd.Series) -> pd.Series:
+        return pd.Series([bleu(p, r) for p, r in zip(pred, ref)], dtype="float64")
+
+    return df.withColumn(out, score(F.col(prediction), F.col(reference)))
 
 
 # -- ROUGE-L ------------------------------------------------------------------
 
 def rouge_tokens(text: str | None, use_stemmer: bool) -> list[str]:
-    import re
-
     from ..functions.porter import stem
 
     toks = re.findall(r"[a-z0-9]+", (text or "").lower())
@@ -139,54 +124,109 @@ def rouge_l(df: DataFrame, prediction="prediction", reference="reference", out="
 
 # -- BERTScore (greedy matching over given token embeddings) -------------------
 
-def _unit(vec):
-    v = F.transform(vec, lambda x: x.cast("double"))
-    norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda acc, x: acc + x * x))
-    return F.transform(v, lambda x: F.coalesce(F.try_divide(x, norm), F.lit(0.0)))  # a zero vector matches nothing
+#: Vectors of one side of an example that travel and are compared together.
+BERT_CHUNK = 512
+
+
+def _unit(m: np.ndarray) -> np.ndarray:
+    """Rows of length 1; a zero vector, or one with a missing component, matches nothing."""
+    norm = np.sqrt((m * m).sum(1, keepdims=True))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        unit = m / norm
+    return np.where(np.isfinite(unit).all(1, keepdims=True), unit, 0.0)
 
 
-def _dot(a, b):
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda acc, x: acc + x)
+def _best_in_blocks(batches):
+    """The best cosine of every row of either matrix of a pair of blocks."""
+    for b in batches:
+        rows = []
+        for n, dim, ma, mb in zip(b.column("n").to_pylist(), b.column("dim").to_pylist(), b.column("ma"), b.column("mb")):
+            x, y = (_unit(v.values.to_numpy(zero_copy_only=False).reshape(k, dim)) for v, k in zip((ma, mb), (n["a"], n["b"])))
+            product = x @ y.T
+            rows.append((product.max(1).tolist(), product.max(0).tolist()))
+        best = [pa.array([r[k] for r in rows], pa.list_(pa.float64())) for k in (0, 1)]
+        yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("example", "ca", "cb")), *best], ["example", "ca", "cb", "best_a", "best_b"])
 
 
 def bert_score(tokens: DataFrame, example="example_id", side="side", emb="embedding",
-               pred_side="pred", ref_side="ref", token="vec_id", chunk: int = 512) -> DataFrame:
+               pred_side="pred", ref_side="ref", token="vec_id", chunk: int = BERT_CHUNK) -> DataFrame:
     """(example, P, R, F1): P = mean over prediction tokens of the best cosine
     to any reference token, R likewise the other way, F1 harmonic mean.
 
-    The other side of an example is cut into chunks of at most ``chunk``
-    vectors (row numbers per example and side), so no collected array grows
-    with the example; each token row is repeated once per chunk of the other
-    side and meets it in an equi-join on (example, chunk), which spreads a
-    hot example over many tasks. The best match is a max over chunks."""
+    Either side of an example is packed into matrices of at most ``chunk``
+    vectors (row numbers per example and side), so no array grows with the
+    example; pairs of matrices meet in an equi-join on (example, chunk), which
+    spreads a hot example over many tasks, and one product serves both
+    directions. The best match is a max over the chunks."""
     from ..functions.order import with_row_number
+    from ..session import ship_package
 
-    t = tokens.select(example, side, token, _unit(F.col(emb)).alias("u"))
-    t = with_row_number(t, [token], [example, side], out="_k").withColumn(
-        "_c", F.floor(F.col("_k") / chunk).cast("bigint"))
-    chunks = t.groupBy(example, side, "_c").agg(F.collect_list("u").alias("others"))
-    n_chunks = t.groupBy(example, side).agg((F.max("_c") + 1).alias("_nc"))
-
-    def best(from_side, to_side, name):
-        other_n = n_chunks.where(F.col(side) == to_side).select(example, "_nc")
-        rep = (t.where(F.col(side) == from_side).join(other_n, example)
-               .select(example, token, "u", F.explode(F.sequence(F.lit(0).cast("bigint"),
-                                                                 F.col("_nc") - 1)).alias("_c")))
-        other = chunks.where(F.col(side) == to_side).select(example, "_c", "others")
-        per_chunk = rep.join(other, [example, "_c"]).select(
-            example, token, F.array_max(F.transform("others", lambda o: _dot(F.col("u"), o))).alias("b"))
-        per_token = per_chunk.groupBy(example, token).agg(F.max("b").alias("b"))
-        return per_token.groupBy(example).agg(F.avg("b").alias(name))
-
-    p = best(pred_side, ref_side, "bert_p")
-    r = best(ref_side, pred_side, "bert_r")
+    ship_package(tokens.sparkSession)
+    t = tokens.select(F.col(example).alias("example"), F.col(side).alias("side"), F.col(token).alias("token"),
+                      F.col(emb).cast("array<double>").alias("e"))
+    t = with_row_number(t, ["token"], ["example", "side"], out="_k").withColumn("_c", F.floor(F.col("_k") / chunk).cast("bigint"))
+    packs = t.groupBy("example", "side", "_c").agg(
+        F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("_k", "e"))), lambda s: s["e"])).alias("m"),
+        F.count(F.lit(1)).alias("n"), F.max(F.size("e")).alias("dim"))
+    a, b = (packs.where(F.col("side") == s) for s in (pred_side, ref_side))
+    n_b = b.groupBy("example").agg((F.max("_c") + 1).alias("_nb"))
+    a = a.join(n_b, "example").select("example", F.col("_c").alias("ca"), F.col("m").alias("ma"), F.col("n").alias("na"), "dim",
+                                      F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_nb") - 1)).alias("cb"))
+    b = b.select("example", F.col("_c").alias("cb"), F.col("m").alias("mb"), F.col("n").alias("nb"))
+    pairs = a.join(b, ["example", "cb"]).select("example", "ca", "cb", F.struct(F.col("na").alias("a"), F.col("nb").alias("b")).alias("n"), "dim", "ma", "mb")
+    schema = pairs.select("example", "ca", "cb").schema
+    for name in ("best_a", "best_b"):
+        schema = schema.add(name, T.ArrayType(T.DoubleType()))
+    best = pairs.mapInArrow(_best_in_blocks, schema).select("example", F.explode(F.array(
+        F.struct(F.lit("p").alias("s"), F.col("ca").alias("c"), F.col("best_a").alias("best")),
+        F.struct(F.lit("r").alias("s"), F.col("cb").alias("c"), F.col("best_b").alias("best")))).alias("x"))
+    per_token = (best.select("example", "x.s", "x.c", F.posexplode("x.best").alias("pos", "b"))
+                 .groupBy("example", "s", "c", "pos").agg(F.max("b").alias("b")))
+    both = per_token.groupBy("example").agg(F.avg(F.when(F.col("s") == "p", F.col("b"))).alias("bert_p"),
+                                            F.avg(F.when(F.col("s") == "r", F.col("b"))).alias("bert_r"))
     # an example without tokens on one side scores 0
-    both = t.select(example).distinct().join(p, example, "left").join(r, example, "left").fillna(0.0, ["bert_p", "bert_r"])
-    return both.withColumn("bert_f1", F.coalesce(F.try_divide(
-        2 * F.col("bert_p") * F.col("bert_r"), F.col("bert_p") + F.col("bert_r")), F.lit(0.0)))
+    both = tokens.select(F.col(example).alias("example")).distinct().join(both, "example", "left").fillna(0.0, ["bert_p", "bert_r"])
+    return both.select(F.col("example").alias(example), "bert_p", "bert_r", F.coalesce(F.try_divide(
+        2 * F.col("bert_p") * F.col("bert_r"), F.col("bert_p") + F.col("bert_r")), F.lit(0.0)).alias("bert_f1"))
+
+
+def token_match(p: np.ndarray, r: np.ndarray, step: int = 1024) -> tuple[float, float, float]:
+    """BERTScore of two matrices of unit rows, in blocks."""
+    if not len(p) or not len(r):
+        return 0.0, 0.0, 0.0
+    best_p, best_r = np.full(len(p), -np.inf), np.full(len(r), -np.inf)
+    for i in range(0, len(p), step):
+        for j in range(0, len(r), step):
+            product = p[i:i + step] @ r[j:j + step].T
+            best_p[i:i + step] = np.maximum(best_p[i:i + step], product.max(1))
+            best_r[j:j + step] = np.maximum(best_r[j:j + step], product.max(0))
+    a, b = best_p.mean(), best_r.mean()
+    return a, b, 2 * a * b / (a + b) if a + b else 0.0
+
+
+def bert_score_texts(df: DataFrame, embed, prediction="prediction", reference="reference") -> DataFrame:
+    """``df`` plus ``bert_p``, ``bert_r``, ``bert_f1`` of two text columns.
+    ``embed``: a function from a list of tokens to one vector each (a matrix);
+    a batch of rows calls it once, for its distinct tokens. The texts of a row
+    meet inside the row, so nothing is shuffled; 0 where either has no token."""
+    from ..session import ship_package
+
+    ship_package(df.sparkSession)
+
+    @F.pandas_udf("bert_p double, bert_r double, bert_f1 double")
+    def score(pred: pd.Series, ref: pd.Series) -> pd.DataFrame:
+        sides = [[words(t) for t in s] for s in (pred, ref)]
+        number = {t: i for i, t in enumerate(dict.fromkeys(t for side in sides for row in side for t in row))}
+        vectors = _unit(np.asarray(embed(list(number)), np.float64)) if number else np.empty((0, 1))
+        at = [[np.array([number[t] for t in row], np.int64) for row in side] for side in sides]
+        return pd.DataFrame([token_match(vectors[p], vectors[r]) for p, r in zip(*at)], columns=["bert_p", "bert_r", "bert_f1"])
+
+    names = ["bert_p", "bert_r", "bert_f1"]
+    scored = df.withColumn("_bert", score(F.col(prediction), F.col(reference)))
+    return scored.select(*[F.col(f"`{c}`") for c in df.columns if c not in names], *[F.col("_bert")[c].alias(c) for c in names])
 
 
-def model_report(scored: DataFrame, model="model", metrics=("bleu", "rouge_l")) -> DataFrame:
+def model_report(scored: DataFrame, model="model", metrics=("bleu", "rouge_l", "bert_f1")) -> DataFrame:
     """Mean of each metric per model (long input: one plan serves all models)."""
     return scored.groupBy(model).agg(*[F.avg(m).alias(m) for m in metrics],
                                      F.count(F.lit(1)).alias("n"))

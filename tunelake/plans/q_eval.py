@@ -11,7 +11,7 @@ from ..operators import prompt as P
 from ..operators import report as R
 from ..operators import split as S
 from ..operators import textmetric as TM
-from ..operators.apply import STUB_MODELS, batch_apply_model, stub_embedder, stub_reward, with_model_output
+from ..operators.apply import STUB_MODELS, batch_apply_model, stub_embedder, stub_reward, stub_token_vectors, with_model_output
 from ..sources.views import Views, table
 from .catalog import register
 from .q_data import sql_head, sql_md5, sql_strip
@@ -39,8 +39,12 @@ def predictions(instr, models=STUB_MODELS):
 def flagship_report(spark, sf_dir, n=50):
     instr = S.seeded_sample_n(Views(spark, sf_dir).instr(), n)
     preds = predictions(instr)
-    scored = TM.rouge_l(TM.sentence_bleu(preds), use_stemmer=True)
-    return TM.model_report(scored)
+    return TM.model_report(scored(preds))
+
+
+def scored(preds, use_stemmer=True):
+    """BLEU, ROUGE-L and BERTScore of every prediction."""
+    return TM.bert_score_texts(TM.rouge_l(TM.sentence_bleu(preds), use_stemmer=use_stemmer), stub_token_vectors)
 
 
 _GEN_SQL = f"""
@@ -162,19 +166,41 @@ def q_bert_score(spark, sf_dir):
     return TM.bert_score(Views(spark, sf_dir).emb_tokens())
 
 
+# the token vectors of stub_token_vectors, and their best cosines per token
+BERT_TEXTS_SQL = f"""
+WITH base AS (SELECT row_id, model, {_tok_sql('prediction')} AS p, {_tok_sql('reference')} AS r FROM preds),
+pt AS (SELECT row_id, model, tok, COUNT(*) AS c FROM (SELECT row_id, model, unnest(p) AS tok FROM base) GROUP BY ALL),
+rt AS (SELECT row_id, model, tok, COUNT(*) AS c FROM (SELECT row_id, model, unnest(r) AS tok FROM base) GROUP BY ALL),
+v AS (SELECT tok, [{", ".join(f"('0x' || substr(md5(tok), {1 + 4 * k}, 4))::BIGINT / 65535.0::DOUBLE - 0.5" for k in range(8))}]::DOUBLE[] AS e
+      FROM (SELECT tok FROM pt UNION SELECT tok FROM rt)),
+m AS (SELECT pt.row_id, pt.model, pt.tok AS pt, rt.tok AS rt, pt.c AS pc, rt.c AS rc, list_cosine_similarity(a.e, b.e) AS s
+      FROM pt JOIN rt ON pt.row_id = rt.row_id AND pt.model = rt.model JOIN v a ON a.tok = pt.tok JOIN v b ON b.tok = rt.tok),
+bp AS (SELECT row_id, model, SUM(pc * s) / SUM(pc) AS bert_p
+       FROM (SELECT row_id, model, pt, ANY_VALUE(pc) AS pc, MAX(s) AS s FROM m GROUP BY row_id, model, pt) GROUP BY ALL),
+br AS (SELECT row_id, model, SUM(rc * s) / SUM(rc) AS bert_r
+       FROM (SELECT row_id, model, rt, ANY_VALUE(rc) AS rc, MAX(s) AS s FROM m GROUP BY row_id, model, rt) GROUP BY ALL)
+SELECT b.row_id, b.model, COALESCE(bert_p, 0.0) AS bert_p, COALESCE(bert_r, 0.0) AS bert_r,
+       COALESCE(2 * bert_p * bert_r / (bert_p + bert_r), 0.0) AS bert_f1
+FROM base b LEFT JOIN bp ON b.row_id = bp.row_id AND b.model = bp.model LEFT JOIN br ON b.row_id = br.row_id AND b.model = br.model"""
+
+
+@register("bert_score_texts", BERT_TEXTS_SQL, ["preds"])
+def q_bert_score_texts(spark, sf_dir):
+    return TM.bert_score_texts(Views(spark, sf_dir).preds(), stub_token_vectors).select("row_id", "model", "bert_p", "bert_r", "bert_f1")
+
+
 @register("model_report")
 def q_model_report(spark, sf_dir):
-    preds = Views(spark, sf_dir).preds()
-    return TM.model_report(TM.rouge_l(TM.sentence_bleu(preds)))
+    return TM.model_report(scored(Views(spark, sf_dir).preds()))
 
 
 @register("model_report_unstemmed", f"""
-SELECT b.model, AVG(b.bleu) AS bleu, AVG(r.rouge_l) AS rouge_l, COUNT(*) AS n
+SELECT b.model, AVG(b.bleu) AS bleu, AVG(r.rouge_l) AS rouge_l, AVG(t.bert_f1) AS bert_f1, COUNT(*) AS n
 FROM ({BLEU_SQL}) b JOIN ({ROUGE_L_SQL}) r ON r.row_id = b.row_id AND r.model = b.model
+JOIN ({BERT_TEXTS_SQL}) t ON t.row_id = b.row_id AND t.model = b.model
 GROUP BY b.model""", ["preds"])
 def q_model_report_unstemmed(spark, sf_dir):
-    preds = Views(spark, sf_dir).preds()
-    return TM.model_report(TM.rouge_l(TM.sentence_bleu(preds), use_stemmer=False))
+    return TM.model_report(scored(Views(spark, sf_dir).preds(), use_stemmer=False))
 
 
 @register("merge_outputs_wide", """
