@@ -74,6 +74,12 @@ def with_row_number(df: DataFrame, order_cols, part_cols=(), out: str = "pos", t
                     num_partitions: int | None = None) -> DataFrame:
     """``df`` plus the 0-based row number inside each group in the order
     ``order_cols``, and the group's row count if ``total_col`` is given."""
+    return numbered(df, order_cols, part_cols, out, total_col, num_partitions)[0]
+
+
+def numbered(df: DataFrame, order_cols, part_cols=(), out: str = "pos", total_col: str | None = None,
+             num_partitions: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """``with_row_number`` and a one-row table with the ``longest`` group's row count, read from the written pass."""
     groups, orders = list(part_cols), list(order_cols)
     rows = _ranged(df, groups, orders, num_partitions)
     inside = Window.partitionBy("_rng", *groups).orderBy(*orders)
@@ -82,7 +88,8 @@ def with_row_number(df: DataFrame, order_cols, part_cols=(), out: str = "pos", t
            .withColumn("_total", F.sum("_n").over(Window.partitionBy(*groups))))
     done = _join_ranges(rows.withColumn("_in", F.row_number().over(inside)), per, groups, ["_base", "_total"])
     done = done.withColumn(out, (F.col("_base") + F.col("_in") - 1).cast("bigint")).drop("_rng", "_in", "_base")
-    return done.withColumnRenamed("_total", total_col) if total_col else done.drop("_total")
+    longest = rows.groupBy(*groups).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("longest"))
+    return done.withColumnRenamed("_total", total_col) if total_col else done.drop("_total"), longest
 
 
 def hash_rank(df: DataFrame, id_col: str, seed=42, rank_col: str = "rank", hash_col: str | None = None, part_cols=(),

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .order import with_row_number
+from .order import numbered
 
 BLOCK = 4096
 #: A coefficient below this adds nothing that a double could show.
@@ -32,8 +32,8 @@ def _block(coef: float, most: int) -> int:
     return max(2, min(most, int(230 / change) if change else most))
 
 
-def _scan(rows: DataFrame, groups, u: str, d: str, coef: float, out: str, most: int) -> DataFrame:
-    """``rows`` (numbered by ``u`` from the end of their group, without gaps) plus ``out``."""
+def _scan(rows: DataFrame, groups, u: str, d: str, coef: float, out: str, most: int, longest: int) -> DataFrame:
+    """``rows`` (numbered by ``u`` from the end of their group, without gaps, below ``longest``) plus ``out``."""
     if abs(coef) < NOTHING:
         return rows.withColumn(out, F.col(d))
     size, own = _block(coef, most), f"{out}_{u}"
@@ -41,11 +41,12 @@ def _scan(rows: DataFrame, groups, u: str, d: str, coef: float, out: str, most:
     rows = rows.withColumn(b, F.floor(F.col(u) / size).cast("bigint")).withColumn(v, (F.col(u) % size).cast("bigint"))
     upto = Window.partitionBy(*groups, b).orderBy(v).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     c = F.lit(float(coef))
-    rows = materialize(rows.withColumn(s, F.pow(c, F.col(v)) * F.coalesce(F.sum(F.col(d) / F.pow(c, F.col(v))).over(upto), F.lit(0.0))), "scan")
-    ends = rows.where(F.col(v) == size - 1).select(*[F.col(g) for g in groups], F.col(b).alias("u"), F.col(s).alias("d"))
-    if ends.isEmpty():
+    rows = rows.withColumn(s, F.pow(c, F.col(v)) * F.coalesce(F.sum(F.col(d) / F.pow(c, F.col(v))).over(upto), F.lit(0.0)))
+    if longest <= size:  # no block has one before it
         return rows.withColumn(out, F.col(s)).drop(b, v, s)
-    ends = _scan(ends, groups, "u", "d", coef ** size, "a", most)
+    rows = materialize(rows, "scan")
+    ends = rows.where(F.col(v) == size - 1).select(*[F.col(g) for g in groups], F.col(b).alias("u"), F.col(s).alias("d"))
+    ends = _scan(ends, groups, "u", "d", coef ** size, "a", most, longest // size)
     ends = ends.select(*[F.col(g).alias(f"_g{i}") for i, g in enumerate(groups)], (F.col("u") + 1).alias("_to"), F.col("a").alias("_a"))
     same = [F.col(b) == F.col("_to")] + [F.col(g).eqNullSafe(F.col(f"_g{i}")) for i, g in enumerate(groups)]
     joined = rows.join(ends, reduce(lambda x, y: x & y, same), "left")
@@ -58,6 +59,6 @@ def affine_scan(df: DataFrame, order_col: str, d_col: str, coef: float, part_col
     A null d counts as 0."""
     if abs(coef) < NOTHING:
         return df.withColumn(out, F.coalesce(F.col(d_col).cast("double"), F.lit(0.0)))
-    rows = with_row_number(df.withColumn("_d", F.coalesce(F.col(d_col).cast("double"), F.lit(0.0))), [order_col], part_cols, "_no", "_total")
+    rows, longest = numbered(df.withColumn("_d", F.coalesce(F.col(d_col).cast("double"), F.lit(0.0))), [order_col], part_cols, "_no", "_total")
     rows = rows.withColumn("_u", F.col("_total") - 1 - F.col("_no")).drop("_no", "_total")
-    return _scan(rows, list(part_cols), "_u", "_d", coef, out, block).drop("_u", "_d")
+    return _scan(rows, list(part_cols), "_u", "_d", coef, out, block, longest.first()[0] or 0).drop("_u", "_d")
