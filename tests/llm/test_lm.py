@@ -138,3 +138,18 @@ def test_packed_keys_round_trip():
     c = np.arange(len(k)) + 1
     a, b = lm.unpacked_keys(lm.packed_keys(k, c))
     assert (a == k).all() and (b == c).all()
+
+
+def test_token_hashes_follow_the_words():
+    import random
+
+    rng = random.Random(8)
+    texts = [None, b"", b" \t\n", "é Été ÀB ab AB".encode(), b"x" * 5000 + b" y", b"a\x00b a\x00 \x0bq\x0cr"]
+    texts += [b" ".join(bytes(rng.choices(range(33, 256), k=rng.randrange(1, 9))) for _ in range(rng.randrange(30))) for _ in range(400)] + [b"w " * 600_000]
+    h, n = lm.tokens(texts)
+    words = [(t or b"").lower().split() for t in texts]
+    assert n.tolist() == [len(w) + 1 for w in words]
+    flat = [x for w in words for x in (*w, None)]
+    of = {}
+    assert len(h) == len(flat) and all(of.setdefault(w, x) == x for w, x in zip(flat, h.tolist()))
+    assert len(set(of.values())) == len(of)

@@ -36,13 +36,14 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
 from . import eliasfano
 from .base import id_remainder, table
-from .words import chunks, hashed, split_words
+from .words import chunks, split_words
 
 FOLDS, HELD_OUT = 7, 2
 MIN_COUNT = 1
@@ -56,15 +57,56 @@ STEP = 12 / 255
 _MODELS: dict = {}
 
 
+#: Fixed random odd multipliers, one for each place in a word; words of more bytes are hashed one by one.
+_MULTIPLIERS = np.random.default_rng(20240817).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_SPACE = np.isin(np.arange(256), list(b" \t\n\r\x0b\x0c"))
+#: Bytes that are taken apart at once.
+PIECE = 1 << 19
+END = np.int64(-1)
+
+
+def word_hashes(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of a lower-cased text and where they start: multilinear, so of whole arrays of bytes."""
+    raw = np.frombuffer(text, np.uint8)
+    inside = np.flatnonzero(~_SPACE[raw])
+    if not len(inside):
+        return np.empty(0, np.int64), inside
+    first = np.flatnonzero(np.concatenate([[True], np.diff(inside) != 1]))
+    size = np.diff(np.append(first, len(inside)))
+    place = np.arange(len(inside)) - np.repeat(first, size)
+    h = np.add.reduceat((raw[inside].astype(np.uint64) + np.uint64(1)) * _MULTIPLIERS[place & 255], first)
+    start = inside[first]
+    for w in np.flatnonzero(size > len(_MULTIPLIERS)):
+        h[w] = xxhash.xxh3_64_intdigest(text[start[w]:start[w] + size[w]])
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return (h >> np.uint64(1)).view(np.int64), start
+
+
+def pieces(texts: list):
+    """The texts joined by line ends, lower-cased, in pieces of about PIECE bytes: (bytes, starts of the texts)."""
+    held, starts, size = [], [], 0
+    for t in texts:
+        held.append(t or b"")
+        starts.append(size)
+        size += len(held[-1]) + 1
+        if size >= PIECE:
+            yield b"\n".join(held).lower(), np.array(starts)
+            held, starts, size = [], [], 0
+    if held:
+        yield b"\n".join(held).lower(), np.array(starts)
+
+
 def tokens(texts: list) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all tokens of the texts (the end token is the hash of no letters) and tokens per text."""
-    words, lengths = [], np.empty(len(texts), np.int64)
-    for i, t in enumerate(texts):
-        before = len(words)
-        words += split_words(t)
-        words.append(b"")
-        lengths[i] = len(words) - before
-    return hashed(words).view(np.int64), lengths
+    """Hashes of all tokens of the texts (END after the words of each) and tokens per text."""
+    out, lengths = [], []
+    for joined, starts in pieces(texts):
+        h, at = word_hashes(joined)
+        n = np.diff(np.append(np.searchsorted(at, starts), len(h)))
+        whole = np.full(len(h) + len(starts), END)
+        whole[np.arange(len(h)) + np.repeat(np.arange(len(starts)), n)] = h
+        out.append(whole)
+        lengths.append(n + 1)
+    return (np.concatenate(out), np.concatenate(lengths)) if out else (np.empty(0, np.int64), np.empty(0, np.int64))
 
 
 def texts_of(column):
@@ -111,10 +153,11 @@ def count_words(train: DataFrame) -> DataFrame:
         tally = Tally()
         for b in batches:
             for texts in texts_of(b.column(0)):
-                words = Counter({b"": len(texts)})  # one end a text
+                words = Counter()
                 for t in texts:
                     words.update(split_words(t))
-                if tally.add(hashed(list(words)).view(np.int64), np.fromiter(words.values(), np.int64, len(words))):
+                distinct = tokens([b" ".join(words)])[0]  # in their order, and one end
+                if tally.add(distinct, np.append(np.fromiter(words.values(), np.int64, len(words)), len(texts))):
                     yield pa.RecordBatch.from_arrays(list(map(pa.array, tally.take())), ["h", "c"])
         yield pa.RecordBatch.from_arrays(list(map(pa.array, tally.take())), ["h", "c"])
 
