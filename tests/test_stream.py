@@ -98,3 +98,18 @@ def test_step_means_and_running_delta_over_cuts(spark, stream):
         seen = [r[3] for r in ROWS if r[2] <= b]
         assert delta == pytest.approx(sum(seen) / len(seen))
     assert len(got) == 7
+
+
+@pytest.mark.parametrize("files", [1, 3])
+def test_tables_that_are_files_or_folders_are_read_whole(spark, tmp_path, files):
+    conv = spark.createDataFrame([(i // 4, i % 4, "user", None if i == 5 else f" word{i} two ") for i in range(40)],
+                                 "conv_id long, turn long, role string, text string")
+    conv.repartition(files).write.parquet(f"{tmp_path}/{'written' if files == 1 else 'conversations.parquet'}")
+    if files == 1:
+        (name,) = [f for f in os.listdir(f"{tmp_path}/written") if f.endswith(".parquet")]
+        shutil.copy(f"{tmp_path}/written/{name}", f"{tmp_path}/conversations.parquet")
+    assert sorted(map(str, jobs.stream_source_copy(spark, str(tmp_path)).collect())) == sorted(map(str, conv.collect()))
+    prepped = jobs.stream_prep(spark, str(tmp_path)).collect()
+    assert len(prepped) == 40 and {r.n_tokens for r in prepped if r.text} == {2}
+    conv.limit(0).write.parquet(f"{tmp_path}/none/conversations.parquet")
+    assert jobs.stream_prep(spark, f"{tmp_path}/none").count() == 0

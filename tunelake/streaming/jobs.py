@@ -29,7 +29,11 @@ from .partials import Partials
 
 
 def _stream_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    schema = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema  # metadata only
+    """A table as a stream: one Parquet file, or a folder of them."""
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    schema = spark.read.parquet(path).schema  # metadata only
+    if _status(spark, path).isDirectory():
+        return stream_source(spark, path, schema)
     return stream_source(spark, sf_dir, schema, glob=f"{name}.parquet")
 
 
@@ -46,7 +50,7 @@ def _state_paths(spark: SparkSession, name: str, state_path: str | None):
 def _drain(stream_df: DataFrame, name: str, state_path: str | None = None) -> DataFrame:
     out, ck = _state_paths(stream_df.sparkSession, name, state_path)
     run_available_now(stream_df, out, ck)
-    return stream_df.sparkSession.read.parquet(out)
+    return stream_df.sparkSession.read.schema(stream_df.schema).parquet(out)  # a stream without rows leaves no file to take it from
 
 
 # -- S10 / X1 ---------------------------------------------------------------------------
@@ -265,9 +269,19 @@ def per_prompt_stats(rewards: DataFrame, buffer_size=16, min_count=16, state_pat
                     own.alias("used_prompt_stats"))
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def _file_system(spark: SparkSession, path: str):
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    fs, p = _file_system(spark, path)
+    return fs.exists(p)
+
+
+def _status(spark: SparkSession, path: str):
+    fs, p = _file_system(spark, path)
+    return fs.getFileStatus(p)
 
 
 def stream_per_prompt_stats(spark, sf_dir, buffer_size=16, min_count=16, batch_events=1000,
