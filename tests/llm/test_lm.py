@@ -153,3 +153,16 @@ def test_token_hashes_follow_the_words():
     of = {}
     assert len(h) == len(flat) and all(of.setdefault(w, x) == x for w, x in zip(flat, h.tolist()))
     assert len(set(of.values())) == len(of)
+
+
+def test_a_batch_of_texts_is_not_held_twice():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    column = pa.array([f"{i:05d}" * 200 for i in range(30_000)])  # 30 MB
+    tracemalloc.start()
+    n = sum(len(t) for texts in lm.texts_of(column) for t in texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == 30_000_000 and peak < 15e6

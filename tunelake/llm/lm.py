@@ -48,7 +48,7 @@ from .words import chunks, split_words
 FOLDS, HELD_OUT = 7, 2
 MIN_COUNT = 1
 DISCOUNT = 0.75
-TALLY = 2_000_000
+TALLY = 500_000
 BUCKET_KEYS = 4_000_000
 SEGMENT_KEYS = 2_000_000
 #: Quantised log10: value q stands for -q * STEP; 255 is the least.
@@ -109,8 +109,12 @@ def tokens(texts: list) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(out), np.concatenate(lengths)) if out else (np.empty(0, np.int64), np.empty(0, np.int64))
 
 
+#: Rows of a batch that are turned into Python's texts at once.
+ROWS = 512
+
+
 def texts_of(column):
-    return chunks(column.cast(pa.binary()).to_pylist())
+    return chunks(t for i in range(0, len(column), ROWS) for t in column.slice(i, ROWS).cast(pa.binary()).to_pylist())
 
 
 def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -142,9 +146,9 @@ class Tally:
     def take(self) -> tuple[np.ndarray, np.ndarray]:
         if not self.parts:
             return np.empty(0, np.int64), np.empty(0, np.int64)
-        out = summed(*(np.concatenate(x) for x in zip(*self.parts)))
+        both = [np.concatenate(x) for x in zip(*self.parts)]
         self.parts, self.held = [], 0
-        return out
+        return summed(*both)
 
 
 def count_words(train: DataFrame) -> DataFrame:
