@@ -103,3 +103,19 @@ def test_bert_score_of_texts(spark):
     got = {r.row_id: r for r in TM.bert_score_texts(df, stub_token_vectors).collect()}
     assert got[1].bert_f1 == pytest.approx(1.0) and got[2].bert_f1 == got[3].bert_f1 == 0.0
     assert got[4].bert_r == pytest.approx(1.0) and got[4].bert_p < 1 and got[5].bert_p == pytest.approx(1.0) and got[5].bert_r < 1
+
+
+def test_bert_score_of_a_large_batch_takes_it_apart_in_slices(spark):
+    """One batch of 300 rows of 10,000 characters: its tokens don't meet the embedder at once."""
+    from tunelake.operators.textmetric import bert_score_texts
+
+    def embed(tokens):
+        assert len(tokens) <= 100_000
+        return [[1.0, float(len(t))] for t in tokens]
+
+    rows = [(i, " ".join(f"a{i}x{k}" for k in range(700)), " ".join(f"b{i}y{k}" for k in range(700))) for i in range(300)]
+    rows += [(300, None, "x"), (301, "", ""), (302, "same text", "same text")]
+    df = spark.createDataFrame(rows, "row_id long, prediction string, reference string").coalesce(1)
+    got = {r.row_id: r.bert_f1 for r in bert_score_texts(df, embed).collect()}
+    assert len(got) == 303 and got[300] == got[301] == 0.0
+    assert all(v == pytest.approx(1.0, abs=1e-3) for k, v in got.items() if k not in (300, 301))

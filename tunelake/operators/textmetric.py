@@ -204,22 +204,40 @@ def token_match(p: np.ndarray, r: np.ndarray, step: int = 1024) -> tuple[float,
     return a, b, 2 * a * b / (a + b) if a + b else 0.0
 
 
+#: Characters of texts that are taken apart at once.
+SLICE_CHARS = 1 << 19
+
+
+def _row_slices(*texts: pd.Series):
+    """(from, to) of runs of rows of about SLICE_CHARS characters, at least one row each."""
+    ends = np.cumsum(sum(t.str.len().fillna(0).to_numpy(np.int64) for t in texts))
+    at = 0
+    while at < len(ends):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + SLICE_CHARS, "right")))
+        yield at, to
+        at = to
+
+
 def bert_score_texts(df: DataFrame, embed, prediction="prediction", reference="reference") -> DataFrame:
     """``df`` plus ``bert_p``, ``bert_r``, ``bert_f1`` of two text columns.
     ``embed``: a function from a list of tokens to one vector each (a matrix);
-    a batch of rows calls it once, for its distinct tokens. The texts of a row
-    meet inside the row, so nothing is shuffled; 0 where either has no token."""
+    a run of rows of a batch calls it once, for its distinct tokens, so that
+    tokens and vectors held at once don't grow with the batch. The texts of a
+    row meet inside the row, so nothing is shuffled; 0 where either has no token."""
     from ..session import ship_package
 
     ship_package(df.sparkSession)
 
     @F.pandas_udf("bert_p double, bert_r double, bert_f1 double")
     def score(pred: pd.Series, ref: pd.Series) -> pd.DataFrame:
-        sides = [[words(t) for t in s] for s in (pred, ref)]
-        number = {t: i for i, t in enumerate(dict.fromkeys(t for side in sides for row in side for t in row))}
-        vectors = _unit(np.asarray(embed(list(number)), np.float64)) if number else np.empty((0, 1))
-        at = [[np.array([number[t] for t in row], np.int64) for row in side] for side in sides]
-        return pd.DataFrame([token_match(vectors[p], vectors[r]) for p, r in zip(*at)], columns=["bert_p", "bert_r", "bert_f1"])
+        got = np.empty((len(pred), 3))
+        for i, j in _row_slices(pred, ref):
+            sides = [[words(t) for t in s.iloc[i:j]] for s in (pred, ref)]
+            number = {t: k for k, t in enumerate(dict.fromkeys(t for side in sides for row in side for t in row))}
+            vectors = _unit(np.asarray(embed(list(number)), np.float64)) if number else np.empty((0, 1))
+            for k, rows in enumerate(zip(*sides)):
+                got[i + k] = token_match(*(vectors[np.array([number[t] for t in row], np.int64)] for row in rows))
+        return pd.DataFrame(got, columns=names)
 
     names = ["bert_p", "bert_r", "bert_f1"]
     scored = df.withColumn("_bert", score(F.col(prediction), F.col(reference)))
