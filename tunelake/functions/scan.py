@@ -54,11 +54,13 @@ def _scan(rows: DataFrame, groups, u: str, d: str, coef: float, out: str, most:
     return joined.withColumn(out, F.col(s) + received).drop(b, v, s, "_to", "_a", *[f"_g{i}" for i in range(len(groups))])
 
 
-def affine_scan(df: DataFrame, order_col: str, d_col: str, coef: float, part_cols=(), out: str = "scan", block: int = BLOCK) -> DataFrame:
+def affine_scan(df: DataFrame, order_col: str, d_col: str, coef: float, part_cols=(), out: str = "scan", block: int = BLOCK,
+                drop=()) -> DataFrame:
     """``df`` plus ``out`` = d + coef * (``out`` of the next row of the group in the order), 0 after the last.
-    A null d counts as 0."""
+    A null d counts as 0. ``drop``: columns that the result leaves out (the d column, say); they don't travel."""
+    d = F.coalesce(F.col(d_col).cast("double"), F.lit(0.0))
     if abs(coef) < NOTHING:
-        return df.withColumn(out, F.coalesce(F.col(d_col).cast("double"), F.lit(0.0)))
-    rows, longest = numbered(df.withColumn("_d", F.coalesce(F.col(d_col).cast("double"), F.lit(0.0))), [order_col], part_cols, "_no", "_total")
+        return df.withColumn(out, d).drop(*drop)
+    rows, longest = numbered(df.withColumn("_d", d).drop(*drop), [order_col], part_cols, "_no", "_total")
     rows = rows.withColumn("_u", F.col("_total") - 1 - F.col("_no")).drop("_no", "_total")
     return _scan(rows, list(part_cols), "_u", "_d", coef, out, block, longest.first()[0] or 0).drop("_u", "_d")

@@ -125,12 +125,12 @@ def gae(tok: DataFrame, seq="seq_id", pos="pos", reward="reward", value="val", g
     if lam < 0.1:
         rows = with_next_values(tok, pos, [value], [seq], "_next_")
         step = r - v + gamma * F.coalesce(F.col(f"_next_{value}").cast("double"), F.lit(0.0))
-        out = affine_scan(rows.withColumn("_step", step).drop(f"_next_{value}"), pos, "_step", gamma * lam, [seq], "advantage", block)
+        out = affine_scan(rows.withColumn("_step", step).drop(f"_next_{value}"), pos, "_step", gamma * lam, [seq], "advantage", block, drop=("_step",))
     else:
         step = r + (1 / lam - 1) * v
-        out = affine_scan(tok.withColumn("_step", step), pos, "_step", gamma * lam, [seq], "_z", block)
+        out = affine_scan(tok.withColumn("_step", step), pos, "_step", gamma * lam, [seq], "_z", block, drop=("_step",))
         out = out.withColumn("advantage", F.col("_z") - v / lam).drop("_z")
-    return out.drop("_step").withColumn("return", F.col("advantage") + F.col(value))
+    return out.withColumn("return", F.col("advantage") + F.col(value))
 
 
 # -- G4 / G5 / G9 -------------------------------------------------------------------------

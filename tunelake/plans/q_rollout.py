@@ -112,7 +112,9 @@ SELECT a.seq_id, a.pos, SUM(power(0.95, b.pos - a.pos) * b.delta) AS advantage,
 FROM d a JOIN d b ON a.seq_id = b.seq_id AND b.pos >= a.pos GROUP BY a.seq_id, a.pos""".lstrip(",")
                  .replace("\nd AS", ",\nd AS", 1)), ["seq"])
 def q_gae(spark, sf_dir):
-    out = G.gae(shaped(spark, sf_dir), reward="reward", value="masked_val", gamma=1.0, lam=0.95)
+    # the scan writes its rows: only what it needs travels
+    tok = shaped(spark, sf_dir).select("seq_id", "pos", "reward", "masked_val")
+    out = G.gae(tok, reward="reward", value="masked_val", gamma=1.0, lam=0.95)
     return out.select("seq_id", "pos", "advantage", "return")
 
 
