@@ -5,8 +5,10 @@ import hashlib
 import random
 
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
+from tunelake.functions import order
 from tunelake.functions.order import hash_rank, next_in_order, prefix_offsets, with_next_values
 
 
@@ -104,3 +106,58 @@ def test_empty_table(spark):
     df = spark.createDataFrame([], "g long, o long, v string")
     assert with_next_values(df, "o", ["v"], ["g"]).collect() == []
     assert hash_rank(df, "o", total_col="n").collect() == []
+
+
+@pytest.fixture()
+def written(monkeypatch):
+    """The columns of every table that the order helpers write."""
+    seen = []
+    monkeypatch.setattr(order, "materialize", lambda df, name, f=order.materialize: seen.append(set(df.columns)) or f(df, name))
+    return seen
+
+
+def test_epoch_plan_writes_neither_its_hash_nor_its_key(spark, written):
+    import hashlib
+
+    from tunelake.operators.split import epoch_batch_plan
+
+    ids = [None if i == 7 else f"{i}:{i % 3}" for i in range(101)] + ["5:2"]
+    df = spark.createDataFrame([(x, i) for i, x in enumerate(ids)], "k string, v long").repartition(5)
+    got = epoch_batch_plan(spark, df, 3, 8, 4, 2, id_col="k").collect()
+    assert written == [{"k", "v", "epoch", "_id"}]
+    assert len(got) == 3 * 102
+    for e in range(3):
+        mine = sorted((r for r in got if r.epoch == e), key=lambda r: r.order_in_epoch)
+        assert [r.order_in_epoch for r in mine] == list(range(102))
+        digest = [hashlib.md5(f"42:{e}{'' if r.k is None else ':' + r.k}".encode()).hexdigest() for r in mine]
+        assert digest == sorted(digest)
+        assert sorted(r.v for r in mine) == list(range(102))
+        assert all(r.batch_id == n // 8 and r.mini_batch_id == n % 8 // 4 and r.micro_batch_id == n % 4 // 2 for n, r in enumerate(mine))
+
+
+def test_few_groups_are_numbered_like_many(spark):
+    rows = [(g, (i * 37) % 101, i) for g in (None, "a", "b") for i in range(100 if g != "b" else 1)]
+    df = spark.createDataFrame(rows, "g string, o long, v long").repartition(3)
+    few, many = ({(r.g, r.o, r.v): (r.pos, r.n) for r in order.with_row_number(df, ["o", "v"], ["g"], total_col="n", num_partitions=6, few_groups=f).collect()}
+                 for f in (True, False))
+    assert few == many and len(few) == 201
+
+
+def test_gae_writes_what_it_needs(spark, written):
+    from tests.conftest import SF_SMALL
+    from tunelake.plans.q_rollout import q_gae
+
+    q_gae(spark, SF_SMALL)
+    assert written[-1] == {"seq_id", "pos", "reward", "masked_val", "_d", "_rng"}
+
+
+def test_long_views_cut_large_tables_into_more_tasks(spark, tmp_path, monkeypatch):
+    from tunelake.sources import views
+
+    monkeypatch.setattr(views, "TASK_ROWS", 20, raising=False)
+    spark.range(500).selectExpr("id % 40 l_orderkey", "id l_linenumber", "id l_partkey", "id l_suppkey", "0.1D l_discount", "0.1D l_tax",
+                                "1.0D l_quantity").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.range(40).selectExpr("id o_orderkey", "100.0D o_totalprice").write.parquet(f"{tmp_path}/orders.parquet")
+    seq = views.Views(spark, str(tmp_path)).seq()
+    assert seq.rdd.getNumPartitions() >= 25
+    assert seq.count() == 500 and seq.agg({"pos": "max"}).first()[0] == 12

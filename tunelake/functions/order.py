@@ -35,9 +35,25 @@ def _ranged(df: DataFrame, groups, orders, num_partitions=None) -> DataFrame:
     return materialize(df.repartitionByRange(n, *keys).withColumn("_rng", F.spark_partition_id()), "ranged")
 
 
-def _join_ranges(rows: DataFrame, per: DataFrame, groups, columns) -> DataFrame:
+#: The row's number within its range is in the lower bits of an increasing id, the range above them.
+_ROW_BITS = 33
+
+
+def _sorted_ranges(df: DataFrame, groups, orders, keep, num_partitions=None) -> DataFrame:
+    """The columns ``keep`` of ``df`` with ``_rng`` and ``_no``, the row's number (from 0) within its range, written
+    once. The rows are sorted as they are written, so the order columns need not be kept."""
+    n = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = [F.col(c) for c in [*groups, *orders]]
+    rows = df.repartitionByRange(n, *keys).sortWithinPartitions(*keys).withColumn("_id", F.monotonically_increasing_id())
+    rows = materialize(rows.select(*[F.col(c) for c in keep], "_id"), "ranged")
+    return rows.select(*[F.col(c) for c in keep], F.shiftrightunsigned("_id", _ROW_BITS).alias("_rng"),
+                       F.col("_id").bitwiseAND(F.lit((1 << _ROW_BITS) - 1)).alias("_no"))
+
+
+def _join_ranges(rows: DataFrame, per: DataFrame, groups, columns, few: bool = False) -> DataFrame:
     """``rows`` with ``columns`` of the table of one row per (range, group)."""
     other = per.select(F.col("_rng").alias("_r2"), *[F.col(g).alias(f"_g{i}") for i, g in enumerate(groups)], *columns)
+    other = F.broadcast(other) if few else other
     same = [F.col("_rng") == F.col("_r2")] + [F.col(g).eqNullSafe(F.col(f"_g{i}")) for i, g in enumerate(groups)]
     joined = rows.join(other, reduce(lambda a, b: a & b, same))
     return joined.drop("_r2", *[f"_g{i}" for i in range(len(groups))])
@@ -71,10 +87,25 @@ def prefix_offsets(df: DataFrame, order_cols, size_col: str | None = None,
 
 
 def with_row_number(df: DataFrame, order_cols, part_cols=(), out: str = "pos", total_col: str | None = None,
-                    num_partitions: int | None = None) -> DataFrame:
+                    num_partitions: int | None = None, few_groups: bool = False, drop=()) -> DataFrame:
     """``df`` plus the 0-based row number inside each group in the order
-    ``order_cols``, and the group's row count if ``total_col`` is given."""
-    return numbered(df, order_cols, part_cols, out, total_col, num_partitions)[0]
+    ``order_cols``, and the group's row count if ``total_col`` is given.
+    Without a group, or with ``few_groups`` (few enough for one row per range
+    and group on every task), the rows are shuffled and sorted once only.
+    ``drop``: order columns that the result leaves out."""
+    if few_groups or not part_cols:
+        return _numbered_few(df, list(order_cols), list(part_cols), out, total_col, num_partitions, drop)
+    return numbered(df, order_cols, part_cols, out, total_col, num_partitions)[0].drop(*drop)
+
+
+def _numbered_few(df: DataFrame, orders, groups, out, total_col, num_partitions, drop) -> DataFrame:
+    rows = _sorted_ranges(df, groups, orders, [c for c in df.columns if c not in drop], num_partitions)
+    per = rows.groupBy("_rng", *groups).agg(F.count(F.lit(1)).alias("_n"), F.min("_no").alias("_first"))
+    per = (per.withColumn("_base", F.coalesce(F.sum("_n").over(_before(groups)), F.lit(0)) - F.col("_first"))
+           .withColumn("_total", F.sum("_n").over(Window.partitionBy(*groups))))
+    done = _join_ranges(rows, per, groups, ["_base", "_total"], few=True)
+    done = done.withColumn(out, (F.col("_base") + F.col("_no")).cast("bigint")).drop("_rng", "_no", "_base")
+    return done.withColumnRenamed("_total", total_col) if total_col else done.drop("_total")
 
 
 def numbered(df: DataFrame, order_cols, part_cols=(), out: str = "pos", total_col: str | None = None,
@@ -82,6 +113,8 @@ def numbered(df: DataFrame, order_cols, part_cols=(), out: str = "pos", total_co
     """``with_row_number`` and a one-row table with the ``longest`` group's row count, read from the written pass."""
     groups, orders = list(part_cols), list(order_cols)
     rows = _ranged(df, groups, orders, num_partitions)
+    if num_partitions:
+        rows = rows.repartition(num_partitions, "_rng", *groups)  # the windows keep the count that was asked for
     inside = Window.partitionBy("_rng", *groups).orderBy(*orders)
     per = rows.groupBy("_rng", *groups).agg(F.count(F.lit(1)).alias("_n"))
     per = (per.withColumn("_base", F.coalesce(F.sum("_n").over(_before(groups)), F.lit(0)))
@@ -96,9 +129,10 @@ def hash_rank(df: DataFrame, id_col: str, seed=42, rank_col: str = "rank", hash_
               total_col: str | None = None) -> DataFrame:
     """Add ``rank_col`` = 0-based position of the row when the rows (of each
     ``part_cols`` group) are ordered by (md5(seed:id), id)."""
-    h = hash_col or "_h"
-    out = with_row_number(df.withColumn(h, seeded_md5(seed, id_col)), [h, id_col], part_cols, rank_col, total_col)
-    return out if hash_col else out.drop(h)
+    h, md5 = hash_col or "_h", seeded_md5(seed, id_col)
+    # its 16 bytes have the order of the digits
+    return with_row_number(df.withColumn(h, md5 if hash_col else F.unhex(md5)), [h, id_col], part_cols, rank_col, total_col,
+                           drop=() if hash_col else (h,))
 
 
 def with_next_values(df: DataFrame, order_col: str, value_cols, part_cols=(),

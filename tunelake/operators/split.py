@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.expr import hex8_to_long, seeded_md5
-from ..functions.order import hash_rank
+from ..functions.order import hash_rank, with_row_number
 
 
 def ratio_split_exact(df: DataFrame, id_col: str = "row_id", seed=42,
@@ -90,12 +90,11 @@ def epoch_batch_plan(spark: SparkSession, df: DataFrame, epochs: int, batch_size
                      id_col: str = "row_id", seed=42) -> DataFrame:
     """Offline training-order plan: a fresh permutation per epoch, with batch,
     mini-batch and micro-batch ids. The epoch copies come from exploding a
-    literal array (no join); the rank per epoch uses the two-pass hash rank
-    keyed on (epoch, id)."""
+    literal array (no join); the rank per epoch orders by md5(seed:epoch:id),
+    then the id."""
     ep = df.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))))
-    ep = ep.withColumn("_key", F.concat_ws(":", F.col("epoch").cast("string"),
-                                           F.col(id_col).cast("string")))
-    out = hash_rank(ep, "_key", seed=seed, rank_col="_rank", part_cols=["epoch"])
+    ep = ep.withColumn("_h", F.unhex(seeded_md5(seed, "epoch", id_col)))
+    out = with_row_number(ep, ["_h", id_col], ["epoch"], "_rank", few_groups=True, drop=("_h",))
     return out.select(
         *[c for c in df.columns], "epoch", F.col("_rank").alias("order_in_epoch"),
         F.floor(F.col("_rank") / batch_size).cast("bigint").alias("batch_id"),

@@ -16,6 +16,9 @@ from ..functions.order import with_next_values, with_row_number
 TABLES = ("region nation customer supplier part orders lineitem events documents "
           "embeddings pages benchmark labels conversations").split()
 
+#: Rows that one task of a long-form view sorts and joins at once.
+TASK_ROWS = 1_000_000
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
@@ -31,6 +34,11 @@ class Views:
     def t(self, name: str) -> DataFrame:
         return table(self.spark, self.sf_dir, name)
 
+    def parts(self, name: str) -> int:
+        """Partitions for the rows of a table: the session's, or as many as keep TASK_ROWS in one (the files' metadata
+        hold the count)."""
+        return max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), -(-self.t(name).count() // TASK_ROWS))
+
     # -- instruction data -------------------------------------------------
     def instr(self) -> DataFrame:
         """(row_id, conv_id, instruction, context, response): every user turn
@@ -92,9 +100,10 @@ class Views:
                                         "l_discount", "l_tax", "l_quantity")
         o = self.t("orders").select("o_orderkey", "o_totalprice")
         # the key is unique from sf0.01 up; the value columns break the rare ties
+        n = self.parts("lineitem")
         li = with_row_number(li, ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_discount", "l_tax"],
-                             ["l_orderkey"], out="pos")
-        return (li.join(o, F.col("l_orderkey") == F.col("o_orderkey"))
+                             ["l_orderkey"], out="pos", num_partitions=n)
+        return (li.repartition(n, "l_orderkey").join(o, F.col("l_orderkey") == F.col("o_orderkey"))
                 .select(F.col("l_orderkey").alias("seq_id"), F.col("pos").cast("bigint").alias("pos"),
                         (F.col("l_partkey") % 1000).cast("bigint").alias("token_id"),
                         F.log(F.lit(0.05) + F.col("l_discount")).alias("logp"),
