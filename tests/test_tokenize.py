@@ -47,3 +47,11 @@ def test_only_distinct_tokens_of_a_chunk_are_taken_apart(spark, rows):
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string, extra array<long>").coalesce(1)
     (chunk,) = K.dictionary_chunks(docs.select("doc_id", K.word_tokens(F.col("text")).alias("t")), 512).collect()
     assert len(chunk.tokens) == len(set(chunk.tokens)) < 80 < 5000 < sum(chunk.counts)
+
+
+def test_a_worker_gets_one_chunk_at_a_time(spark):
+    docs = spark.createDataFrame([(i, f"w{i % 4} common w{i} common", "s") for i in range(60)], "doc_id long, text string, source string").repartition(3)
+    small, large = (K.tokenize_corpus(docs, chunk_tokens=n) for n in (10, 1 << 20))
+    assert "FlatMapGroupsInArrow" in small._jdf.queryExecution().executedPlan().toString()
+    rows = [sorted((r.doc_id, r.input_ids, r.n_tokens) for r in x.collect()) for x in (small, large)]
+    assert rows[0] == rows[1] and len(rows[0]) == 60

@@ -136,27 +136,28 @@ def tokenize_corpus(docs: DataFrame, id_col="doc_id", text="text", max_length=51
     ided = join_checked(entries.withColumnRenamed("tokens", "token"), vocab.select("token", "id"), "token")
     lookup = ided.groupBy("chunk").agg(F.collect_list("code").alias("known"), F.collect_list("id").alias("ids"))
 
-    def run(batches):
-        for b in batches:
-            for rows, known, ids in zip(b.column("rows"), b.column("known"), b.column("ids")):
-                table = pa.ipc.open_stream(rows.as_buffer()).read_all().combine_chunks()
-                codes = table["codes"].combine_chunks() if table.num_rows else table["codes"]
-                flat, size = codes.flatten().to_numpy(), pc.list_value_length(codes).to_numpy()
-                to_id = np.full(int(flat.max(initial=-1)) + 1, -1, np.int64)
-                at = known.values.to_numpy() if known.is_valid else np.empty(0, np.int64)
-                use = at < len(to_id)
-                if len(at):
-                    to_id[at[use]] = ids.values.to_numpy()[use]
-                out = to_id[flat]
-                row = np.repeat(np.arange(len(size)), size)[out >= 0]
-                offsets = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(size)))]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(out[out >= 0]))
-                yield pa.RecordBatch.from_arrays([*[table[c].combine_chunks() for c in columns], lists, table["n_tokens"].combine_chunks()],
-                                                 [*columns, "input_ids", "n_tokens"])
+    def run(chunk: pa.Table) -> pa.Table:
+        done = []
+        for rows, known, ids in zip(chunk["rows"], chunk["known"], chunk["ids"]):  # one row a chunk
+            table = pa.ipc.open_stream(rows.as_buffer()).read_all().combine_chunks()
+            codes = table["codes"].combine_chunks() if table.num_rows else table["codes"]
+            flat, size = codes.flatten().to_numpy(), pc.list_value_length(codes).to_numpy()
+            to_id = np.full(int(flat.max(initial=-1)) + 1, -1, np.int64)
+            at = known.values.to_numpy() if known.is_valid else np.empty(0, np.int64)
+            use = at < len(to_id)
+            if len(at):
+                to_id[at[use]] = ids.values.to_numpy()[use]
+            out = to_id[flat]
+            row = np.repeat(np.arange(len(size)), size)[out >= 0]
+            offsets = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(size)))]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(out[out >= 0]))
+            done.append(pa.Table.from_arrays([*[table[c].combine_chunks() for c in columns], lists, table["n_tokens"].combine_chunks()],
+                                             [*columns, "input_ids", "n_tokens"]))
+        return pa.concat_tables(done)
 
     schema = docs.select(*columns).schema.add("input_ids", T.ArrayType(T.LongType())).add("n_tokens", T.LongType())
-    out = (chunks.select("chunk", "rows").join(lookup, "chunk", "left").select("rows", "known", "ids")
-           .mapInArrow(run, schema))
+    # a group is one chunk: a worker holds one, not the Arrow batch of all chunks of its task
+    out = chunks.select("chunk", "rows").join(lookup, "chunk", "left").groupBy("chunk").applyInArrow(run, schema)
     return (out.withColumn("n_kept", F.size("input_ids").cast("bigint"))
             .withColumn("truncated", F.col("n_tokens") > max_length))
 
