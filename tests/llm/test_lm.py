@@ -166,3 +166,59 @@ def test_a_batch_of_texts_is_not_held_twice():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert n == 30_000_000 and peak < 15e6
+
+
+def peak_of(make):
+    import tracemalloc
+
+    tracemalloc.start()
+    try:
+        return make(), tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+
+
+def test_a_segment_is_laid_out_in_little_memory():
+    rng = np.random.default_rng(5)
+    v, n = 1_000_000, 500_000
+    keys = np.unique(rng.integers(0, v * 50_000, n))
+    row, peak = peak_of(lambda: lm.segment(keys, np.ones(len(keys), np.int64), v, lambda ids: np.full(len(ids), 1000)))
+    assert peak < 60 * len(keys)
+    trie = lm.Trie([{k: np.frombuffer(x, np.uint8) if isinstance(x, bytes) else x for k, x in row.items()}])
+    before, word = keys // v, keys % v
+    share, left = trie.find(before, word, v)
+    assert (share > 0).all() and (share <= 0.25 / 1000 * 1.0001).all() and (left < 1).all()
+    assert (trie.find(before, np.where(word + 1 < v, word + 1, 0), v)[0] > 0).sum() == np.isin(before * v + np.where(word + 1 < v, word + 1, 0), keys).sum()
+
+
+def test_parts_are_merged_range_by_range():
+    rng = np.random.default_rng(6)
+    parts = [(k, c) for k, c in (np.unique(rng.integers(0, 400_000, 15_000), return_counts=True) for _ in range(40))]
+    want = lm.summed(*map(np.concatenate, zip(*parts)))
+
+    def walk():
+        sizes, keys, counts, last = [], 0, 0, -1
+        for k, c in lm.merged(parts, 50_000):
+            assert k[0] > last
+            last, keys, counts = k[-1], keys + k.sum(), counts + (k * c).sum()
+            sizes.append(len(k))
+        return sizes, keys, counts
+
+    (sizes, keys, counts), peak = peak_of(walk)
+    assert max(sizes) <= 70_000 and (sum(sizes), keys, counts) == (len(want[0]), want[0].sum(), (want[0] * want[1]).sum())
+    assert peak < 8e6  # the parts hold 9.4 MB
+    tally = lm.Tally()
+    tally.parts = list(parts)
+    assert all((a == b).all() for a, b in zip(tally.take(), want)) and len(tally.take()[0]) == 0
+    one = (np.arange(9), np.ones(9, np.int64))
+    small = list(lm.merged([one, one], 3))
+    assert len(small) > 1 and [k for r in small for k in r[0]] == list(range(9)) and all((c == 2).all() for _, c in small)
+
+
+def test_keys_are_put_in_order_in_place():
+    from array import array
+
+    k = np.random.default_rng(7).permutation(200_000) * 3
+    keys, counts = array("q", k.tobytes()), array("q", (k + 1).tobytes())
+    (a, b), peak = peak_of(lambda: lm.in_order(keys, counts))
+    assert (a == np.arange(200_000) * 3).all() and (b == a + 1).all() and peak < 20 * len(k)

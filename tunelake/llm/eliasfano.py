@@ -20,21 +20,28 @@ for _b in range(256):
         _PLACE[_v, _b, :len(_at)] = _at
 
 
+#: Values that are taken apart at once; a multiple of 8, so that their low bits fill whole bytes.
+SLICE = 1 << 16
+
+
 def encode(values: np.ndarray) -> dict[str, bytes]:
     """The parts of the sequence (non-negative, ascending) as bytes."""
     values = np.asarray(values, np.int64)
     n = len(values)
     low_bits = max(0, int((int(values[-1]) + 1) // n).bit_length() - 1) if n else 0
-    high = values >> low_bits
-    bits = np.zeros(((int(high[-1]) if n else 0) + n + 64) // 64 * 64 + 64, np.uint8)
-    bits[high + np.arange(n)] = 1
+    bits = np.zeros(((int(values[-1]) >> low_bits if n else 0) + n + 64) // 64 * 64 + 64, np.uint8)
+    lows = []
+    for a in range(0, n, SLICE):
+        some = values[a:a + SLICE]
+        bits[(some >> low_bits) + np.arange(a, a + len(some))] = 1
+        low = np.empty((len(some), low_bits), np.uint8)
+        for j in range(low_bits):
+            low[:, j] = (some >> j) & 1
+        lows.append(np.packbits(low, bitorder="little").tobytes())
     words = np.packbits(bits, bitorder="little")
     ones = np.concatenate([[0], np.cumsum(bits.reshape(-1, 64).sum(1, dtype=np.int64))])
-    low = np.zeros(n * low_bits + 64, np.uint8)
-    for j in range(low_bits):
-        low[np.arange(n) * low_bits + j] = (values >> j) & 1
     return {"head": np.array([n, low_bits], np.int64).tobytes(), "high": words.tobytes(), "ranks": ones.tobytes(),
-            "low": np.packbits(low, bitorder="little").tobytes() + bytes(8)}
+            "low": b"".join(lows) + bytes(16)}
 
 
 class Sequence:

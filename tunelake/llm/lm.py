@@ -32,6 +32,7 @@ from __future__ import annotations
 
 import os
 import uuid
+from array import array
 from collections import Counter
 
 import numpy as np
@@ -51,6 +52,8 @@ DISCOUNT = 0.75
 TALLY = 500_000
 BUCKET_KEYS = 4_000_000
 SEGMENT_KEYS = 2_000_000
+#: Keys that are merged at once.
+RANGE_KEYS = 1 << 17
 #: Quantised log10: value q stands for -q * STEP; 255 is the least.
 STEP = 12 / 255
 
@@ -127,6 +130,30 @@ def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return keys[first], np.add.reduceat(counts, first)
 
 
+def merged(parts: list, most: int = RANGE_KEYS):
+    """Distinct sorted keys and the sums of their counts, out of parts of which each has these, in ranges of about
+    ``most`` keys: only one range at a time is joined and sorted."""
+    if not parts:
+        return
+    every = max(1, most // (4 * len(parts)))
+    sample = np.sort(np.concatenate([k[::every] for k, _ in parts]))
+    step = max(1, most // every)
+    bounds = np.unique(sample[step::step])
+    edges = [np.concatenate([[0], np.searchsorted(k, bounds), [len(k)]]) for k, _ in parts]
+    for r in range(len(bounds) + 1):
+        some = [(k[e[r]:e[r + 1]], c[e[r]:e[r + 1]]) for (k, c), e in zip(parts, edges) if e[r] < e[r + 1]]
+        if some:
+            yield summed(*map(np.concatenate, zip(*some)))
+
+
+def in_order(keys: array, counts: array) -> tuple[np.ndarray, np.ndarray]:
+    """The keys, which are distinct, sorted in place, and the counts in the same order."""
+    k, c = np.frombuffer(keys, np.int64), np.frombuffer(counts, np.int64)
+    c = c[np.argsort(k)]
+    k.sort()
+    return k, c
+
+
 class Tally:
     """Counts of keys, handed out when they no longer fit."""
 
@@ -144,11 +171,12 @@ class Tally:
         return self.held > self.most
 
     def take(self) -> tuple[np.ndarray, np.ndarray]:
-        if not self.parts:
-            return np.empty(0, np.int64), np.empty(0, np.int64)
-        both = [np.concatenate(x) for x in zip(*self.parts)]
+        ranges = list(merged(self.parts))
         self.parts, self.held = [], 0
-        return summed(*both)
+        if not ranges:
+            return np.empty(0, np.int64), np.empty(0, np.int64)
+        keys, counts = map(np.concatenate, zip(*ranges))
+        return keys, counts
 
 
 def count_words(train: DataFrame) -> DataFrame:
@@ -325,21 +353,21 @@ def count_bigrams(train: DataFrame, names: list[str], n_tokens: int, min_count:
         yield send(*tally.take())
 
     def merge(batches):
-        held, bucket = Tally(), None
+        held, bucket = [], None
 
         def out():
-            k, c = held.take()
-            kept = c >= min_count
-            return pa.RecordBatch.from_arrays([pa.array(k[kept]), pa.array(c[kept])], ["key", "c"])
+            for k, c in merged(held):
+                kept = c >= min_count
+                yield pa.RecordBatch.from_arrays([pa.array(k[kept]), pa.array(c[kept])], ["key", "c"])
+            held.clear()
 
         for batch in batches:
-            for b, block in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if b != bucket and bucket is not None:
-                    yield out()
+            for b, block in zip(batch.column(0).to_pylist(), batch.column(1)):
+                if b != bucket:
+                    yield from out()
                 bucket = b
-                held.parts.append(unpacked_keys(block))
-        if bucket is not None:
-            yield out()
+                held.append(unpacked_keys(block.as_buffer()))
+        yield from out()
 
     blocks = train.select("text").mapInArrow(count, "bucket int, block binary")
     return blocks.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(merge, "key long, c long")
@@ -351,20 +379,37 @@ SEGMENT = "first long, first_context long, last_context long, sums binary, quant
 
 
 def segment(keys: np.ndarray, counts: np.ndarray, v: int, context_counts, discount: float = DISCOUNT) -> dict:
-    """One part of level 2 from sorted keys. context_counts: the counts of sorted context ids."""
-    before, word = keys // v, keys % v
-    first = np.flatnonzero(np.concatenate([[True], before[1:] != before[:-1]]))
-    ids = before[first]
+    """One part of level 2 from sorted keys. context_counts: the counts of sorted context ids. Of the keys only their
+    shares and children are laid out whole; the rest is made SLICE keys at a time."""
+    n = len(keys)
+    slices = [slice(a, min(a + eliasfano.SLICE, n)) for a in range(0, n, eliasfano.SLICE)]
+    new = np.ones(n, bool)
+    for s in slices:
+        before = keys[max(0, s.start - 1):s.stop] // v
+        new[max(1, s.start):s.stop] = before[1:] != before[:-1]
+    first = np.flatnonzero(new)
+    del new
+    ids = keys[first] // v
     total = context_counts(ids)
-    n_children = np.diff(np.append(first, len(keys)))
-    share = (counts - discount) / np.repeat(total, n_children)
-    quantised = np.minimum(255, np.ceil(-np.log10(share) / STEP - 1e-9)).astype(np.uint8)
-    # each context's word ids follow the last value of the context before
-    width = word[np.append(first[1:], len(keys)) - 1] + 1
-    children = word + np.repeat(np.concatenate([[0], np.cumsum(width)[:-1]]), n_children)
+
+    def context_of(s):
+        """Which context each key of the slice has."""
+        return np.searchsorted(first, np.arange(s.start, s.stop), "right") - 1
+
+    share, quantised = np.empty(n), np.empty(n, np.uint8)
+    for s in slices:
+        share[s] = (counts[s] - discount) / total[context_of(s)]
+        quantised[s] = np.minimum(255, np.ceil(-np.log10(share[s]) / STEP - 1e-9))
     out = {"first": int(keys[0]), "first_context": int(ids[0]), "last_context": int(ids[-1]),
            "sums": np.add.reduceat(share, first).astype(np.float32).tobytes(), "quantised": quantised.tobytes()}
-    for name, values in zip(SEQUENCES, (ids - ids[0], np.append(first, len(keys)), children)):
+    del share, quantised
+    # each context's word ids follow the last value of the context before
+    width = keys[np.append(first[1:], n) - 1] % v + 1
+    base = np.concatenate([[0], np.cumsum(width)[:-1]])
+    children = np.empty(n, np.int64)
+    for s in slices:
+        children[s] = keys[s] % v + base[context_of(s)]
+    for name, values in zip(SEQUENCES, (ids - ids[0], np.append(first, n), children)):
         out |= {f"{name}_{k}": x for k, x in eliasfano.encode(values).items()}
     return out
 
@@ -433,13 +478,16 @@ class Model:
         v = self.words.n
         first = np.cumsum(lengths) - lengths
         unigram = (counts + 1) / (self.n + 1 * (v + 1))
+        out = {"n_tokens": lengths, "n_known": np.add.reduceat((counts > 0).astype(np.int64), first),
+               "base_score": np.add.reduceat(np.log10(unigram), first)}
         # all bigrams of the texts once, in order; unknown words (-1) come first
         pair = (contexts(ids, lengths, v) + 1) * (v + 1) + ids + 1
+        del ids, counts
         distinct, back = np.unique(pair, return_inverse=True)
+        del pair
         share, left = self.trie.find(distinct // (v + 1) - 1, distinct % (v + 1) - 1, max(v, 1))
         p = share[back] + left[back] * unigram
-        return {"n_tokens": lengths, "n_known": np.add.reduceat((counts > 0).astype(np.int64), first),
-                "base_score": np.add.reduceat(np.log10(unigram), first), "score": np.add.reduceat(np.log10(p), first)}
+        return out | {"score": np.add.reduceat(np.log10(p), first)}
 
 
 def model(words: list[str], bigrams: list[str], n: int) -> Model:
@@ -461,9 +509,11 @@ def fit(docs: DataFrame, min_count: int = MIN_COUNT, segment_keys: int = SEGMENT
     kept = materialize(count_bigrams(docs, names, n, min_count), "lm-bigrams")
 
     def cut(batches):
-        held = [b for b in batches if b.num_rows]
-        if held:
-            t = pa.Table.from_batches(held)
+        keys, counts = array("q"), array("q")
+        for b in batches:  # their memory is not kept
+            keys.frombytes(b.column(0).to_numpy().view(np.uint8))
+            counts.frombytes(b.column(1).to_numpy().view(np.uint8))
+        if keys:
             words = Words(names)
             texts = int(words.find(tokens([None])[0])[1][0])  # every training text has one end
 
@@ -471,11 +521,11 @@ def fit(docs: DataFrame, min_count: int = MIN_COUNT, segment_keys: int = SEGMENT
                 inside = ids[ids < v]
                 return np.append(words.counts_of(inside), [texts] * (len(ids) - len(inside)))
 
-            row = segment(t["key"].to_numpy().astype(np.int64), t["c"].to_numpy().astype(np.int64), v, context_counts)
+            row = segment(*in_order(keys, counts), v, context_counts)
             yield pa.RecordBatch.from_arrays([pa.array([x]) for x in row.values()], list(row))
 
     parts = max(8, -(-kept.count() // segment_keys))
-    trie = kept.repartitionByRange(parts, "key").sortWithinPartitions("key").mapInArrow(cut, SEGMENT)
+    trie = kept.repartitionByRange(parts, "key").mapInArrow(cut, SEGMENT)
     return names, published(materialize(trie, "lm-trie")), n
 
 
