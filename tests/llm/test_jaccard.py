@@ -113,3 +113,59 @@ def test_star_finds_links_beyond_the_hub():
     rows = [np.sort(x) for x in (hub, far, twin)]
     label = jaccard.star(rows, np.full(3, n), 0, lambda over, a, b: 100 * over >= 90 * (a + b - over))
     assert label[1] == label[2] != label[0]
+
+
+def test_sketches_bound_the_overlap():
+    rng = np.random.RandomState(7)
+
+    def linked(over, a, b):
+        return 100 * over >= 80 * (a + b - over)
+
+    for n in (1, 4, 30, 200, 766, 770, 3000):
+        sets = []
+        for part in (1, 0.97, 0.9, 0.7, 0.4, 0):
+            own = rng.randint(-2**63, 2**63 - 1, n, dtype=np.int64).view(np.uint64)
+            sets.append(np.unique(np.concatenate([sets[0][:int(part * n)] if sets else own, own[:n - int(part * n) + n // 50]])))
+        sizes = np.array([len(v) for v in sets])
+        counts = [jaccard.counts_of(jaccard.sketch(v), len(v)) for v in sets]
+        for hub, near in ((0, None), (3, None), (0, np.arange(6) == 5)):
+            label = jaccard.possible(counts, sizes, hub, linked, 80, near)
+            for i in range(6):
+                for j in range(i):
+                    if linked(len(np.intersect1d(sets[i], sets[j])), sizes[i], sizes[j]) and (near is None or not near[i] & near[j]):
+                        assert label[i] == label[j] >= 0
+            assert n < 200 or near is not None or label[5] == -1  # unrelated rows go
+    flat = np.arange(2000, dtype=np.uint64)  # all in one range
+    assert jaccard.counts_of(jaccard.sketch(flat), 2000).max() == 2000
+
+
+def test_rows_that_share_a_shingle_by_chance_read_no_shingles(spark, monkeypatch):
+    """Each of these rows is in a group with others; only the near copies are dealt with their shingles."""
+    rng = random.Random(11)
+    chance = [" ".join([f"w{rng.randrange(10**6)}" for _ in range(100)] + ["extraordinarily unquestionably incomprehensible" * 2])
+              for _ in range(60)]
+    rows = list(enumerate(chance + family(rng, 5, words=200, most=2), 1))
+    asked = []
+    inner = jaccard.vectors
+
+    def vectors(docs, surveyed, wanted, *width):
+        asked.append(wanted.count())
+        return inner(docs, surveyed, wanted, *width)
+
+    monkeypatch.setattr(jaccard, "vectors", vectors)
+    assert got(jaccard.link(documents(spark, [(d, t, None, None) for d, t in rows]))) == brute(rows)
+    assert 2 <= sum(asked) <= 5
+
+
+def test_large_tables_of_ids_meet_only_their_texts(spark, corpus, monkeypatch):
+    monkeypatch.setattr(jaccard, "if_small", lambda df, row_bytes: df)
+    docs = documents(spark, [(d, t, None, None) for d, t in corpus])
+    assert got(jaccard.link(docs)) == brute(corpus)
+
+
+def test_tidy_writes_leave_the_session_as_it_was(spark):
+    from tunelake.session import TIDY, materialize_tidy
+
+    was = spark.conf.get(TIDY, None)
+    df = spark.range(100).repartition(3, "id")
+    assert materialize_tidy(df, "tidy").count() == 100 and spark.conf.get(TIDY, None) == was

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialize
+from ..session import materialize_tidy as materialize
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:

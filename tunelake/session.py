@@ -77,6 +77,21 @@ def materialize(df, name: str):
     return spark.read.parquet(path)
 
 
+#: Spark removes a query's shuffle files when it ends, not when the driver collects its garbage.
+TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def materialize_tidy(df, name: str):
+    """``materialize``, and the shuffle files of this one write go when it ends."""
+    conf = df.sparkSession.conf
+    was = conf.get(TIDY, None)
+    conf.set(TIDY, "true")
+    try:
+        return materialize(df, name)
+    finally:
+        conf.unset(TIDY) if was is None else conf.set(TIDY, was)
+
+
 _SHIPPED: set = set()
 
 
