@@ -157,6 +157,18 @@ def test_rows_that_share_a_shingle_by_chance_read_no_shingles(spark, monkeypatch
     assert 2 <= sum(asked) <= 5
 
 
+def test_rows_that_stay_are_not_shuffled(spark, odd):
+    """Rows that neither go nor repeat reach the result without a join."""
+    def walk(node):
+        yield node
+        for i in range(node.children().size()):
+            yield from walk(node.children().apply(i))
+
+    plan = jaccard.one_per_component(odd)._jdf.queryExecution().optimizedPlan()
+    union = next(x for x in walk(plan) if x.nodeName() == "Union")
+    assert not {x.nodeName() for x in walk(union.children().apply(0))} & {"Join", "Aggregate", "RepartitionByExpression", "Deduplicate"}
+
+
 def test_large_tables_of_ids_meet_only_their_texts(spark, corpus, monkeypatch):
     monkeypatch.setattr(jaccard, "if_small", lambda df, row_bytes: df)
     docs = documents(spark, [(d, t, None, None) for d, t in corpus])

@@ -568,14 +568,20 @@ def one_per_component(docs: DataFrame, **how) -> DataFrame:
     def key(doc_id, sha):
         return F.concat(F.coalesce(doc_id.cast("string"), F.lit("null")), F.lit(":"), F.hex(sha))
 
-    rows = roots(docs, **how).where(F.col("root").isNotNull())
+    rows = materialize(roots(docs, **how).where(F.col("root").isNotNull()).select("doc_id", "sha", "root"), "rooted")
     stay = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "sha")).alias("s"))
-    keepers = materialize(stay.select(key(F.col("s.doc_id"), F.col("s.sha")).alias("k")).distinct(), "keepers")
+    each = rows.groupBy("root", "doc_id", "sha").count()
+    stays = F.col("doc_id").eqNullSafe(F.col("s.doc_id")) & (F.col("sha") == F.col("s.sha"))
+    # rows that go, and rows that repeat; all others stay where they are
+    special = materialize(each.join(stay, "root").select(key(F.col("doc_id"), F.col("sha")).alias("k"), stays.alias("stays"), "count")
+                          .where("not stays or count > 1"), "special")
+    found = in_table(docs, special.select(F.xxhash64("k").alias("h")))
     text = F.coalesce("text", F.lit(""))
     all_rows = docs.select(packed(docs), text.rlike(WORD).alias("has_words"),
-                           key(F.col("doc_id"), F.unhex(F.sha2(text, 256))).alias("k"))
-    kept = all_rows.where("has_words").join(keepers, "k", "left_semi").dropDuplicates(["k"]).select("d")
-    return unpacked(kept.unionByName(all_rows.where("not has_words").select("d")), docs)
+                           key(F.col("doc_id"), F.unhex(F.sha2(text, 256))).alias("k")).withColumn("asked", found(F.xxhash64("k")))
+    kept = (all_rows.where("asked and has_words").join(special.where("not stays").select("k"), "k", "left_anti")
+            .dropDuplicates(["k"]).select("d"))
+    return unpacked(all_rows.where("not (asked and has_words)").select("d").unionByName(kept), docs)
 
 
 def op5_ngram_jaccard(spark, sf_dir):
